@@ -45,4 +45,4 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 def one_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each group by ``order``; Spark cuts each task's rows of a group to one before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_first", F.row_number().over(window)).filter("_first = 1").drop("_first")
+    return df.withColumn("_cs_first", F.row_number().over(window)).filter("_cs_first = 1").drop("_cs_first")

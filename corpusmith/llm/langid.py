@@ -238,8 +238,8 @@ def predict(docs: DataFrame, model: Crf, keep: tuple[str, ...] = ("doc_id",), na
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 2**BITS x languages floats, at most MAX_LANGUAGES
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
-    fields = [f for f in source.schema.fields if f.name != "_text"]
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_cs_text"))
+    fields = [f for f in source.schema.fields if f.name != "_cs_text"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{names[0]}` string, `{names[1]}` double"
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +247,7 @@ def predict(docs: DataFrame, model: Crf, keep: tuple[str, ...] = ("doc_id",), na
         known = _Potentials(own)
         gc.disable()
         for frame in frames:
-            texts = [t or "" for t in column(frame, "_text")]
+            texts = [t or "" for t in column(frame, "_cs_text")]
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             if own.languages:
                 post, lettered, counts = predict_words(own, known, texts)
@@ -277,5 +277,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that have a language: those without any letter, or null, go."""
     model = fit(sample_words(training_rows(docs)))
-    found = predict(docs, model, tuple(docs.columns), ("_crf_lang", "_crf_score"))
-    return found.filter("_crf_lang <> 'und'").select(docs.columns)
+    found = predict(docs, model, tuple(docs.columns), ("_cs_lang", "_cs_score"))
+    return found.filter("_cs_lang <> 'und'").select(docs.columns)

@@ -173,9 +173,9 @@ def repeat_documents(docs: DataFrame, **params) -> DataFrame:
     """The documents as often as the mix takes them: once for each pass of the stream that takes any of its words.
     Documents without words are in no stream and go."""
     mix = mix_sources(docs, **params).filter("taken > 0")
-    times = mix.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    times = mix.select(F.col("doc_id").alias("_cs_id"), F.col("source").alias("_cs_source"), F.col("size").alias("_cs_size"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_cs_times"))
     # Rows that repeat are alike in every column compared here; the copies of a group are added up and shared out.
-    times = times.groupBy("_id", "_source", "_size").agg(F.ceil(F.sum("_times") / F.count("*")).cast("int").alias("_times"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
-    taken = docs.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    times = times.groupBy("_cs_id", "_cs_source", "_cs_size").agg(F.ceil(F.sum("_cs_times") / F.count("*")).cast("int").alias("_cs_times"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_cs_id")) & F.col("source").eqNullSafe(F.col("_cs_source")) & (word_count(F.col("text")) == F.col("_cs_size"))
+    taken = docs.join(times, same).withColumn("_cs_copy", F.explode(F.sequence(F.lit(1), F.col("_cs_times"))))
     return taken.select(docs.columns)

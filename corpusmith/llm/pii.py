@@ -154,8 +154,8 @@ def find_personal_data(docs: DataFrame, window: int = 4, reach: int = 120, suppo
     flagged = pairs.join(n_e, "e").join(n_t, "t").filter(pmi >= F.lit(share) * F.log2(F.lit(float(total)) / F.col("n_e"))).filter(F.col("n_e") < total).select("e", "t")
     told = near.join(flagged, ["e", "t"]).select("doc_id", "key", F.explode("at").alias("at")).groupBy("doc_id", "key").agg(F.collect_set("at").alias("at"))
     ordered = F.array_sort(F.transform("at", lambda s: F.struct(F.split(s, ":")[0].cast("long").alias("s"), F.split(s, ":")[1].cast("long").alias("e"))))
-    told = told.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("term:"), x["s"], F.lit(":"), x["e"])), ",").alias("terms"))
-    out = rows.join(told, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    told = told.select(F.col("doc_id").alias("_cs_id"), F.col("key").alias("_cs_key"), F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("term:"), x["s"], F.lit(":"), x["e"])), ",").alias("terms"))
+    out = rows.join(told, (F.col("key") == F.col("_cs_key")) & F.col("doc_id").eqNullSafe(F.col("_cs_id")), "left")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "terms")
     return out.select("doc_id", "key", *[f"n_{k}" for k in KINDS], "base", spans.alias("spans"))
 
@@ -174,13 +174,13 @@ def redact(text: str, spans: str) -> str:
 def sanitise(docs: DataFrame, **params) -> DataFrame:
     """The documents with every span generalised to its kind; n_chars follows the text. Documents without a span are
     returned as they are."""
-    found = find_personal_data(docs, **params).filter("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans")).distinct()
-    marked = docs.join(found, (F.xxhash64("text") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    found = find_personal_data(docs, **params).filter("spans <> ''").select(F.col("doc_id").alias("_cs_id"), F.col("key").alias("_cs_key"), F.col("spans").alias("_cs_spans")).distinct()
+    marked = docs.join(found, (F.xxhash64("text") == F.col("_cs_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_cs_id")), "left")
     change = F.udf(lambda text, spans: redact(text, spans) if spans else text, "string", useArrow=True)
-    changed = marked.withColumn("text", change("text", "_spans"))
+    changed = marked.withColumn("text", change("text", "_cs_spans"))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(length))
+        changed = changed.withColumn("n_chars", F.when(F.col("_cs_spans").isNull(), F.col("n_chars")).otherwise(length))
     return changed.select(docs.columns)
 
 
