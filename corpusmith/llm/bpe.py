@@ -19,7 +19,6 @@ import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, column
+from .common import bound_batches, column, worker_cache
 
 #: What a worker keeps before it starts anew: states, joint checks, and the outputs of short pre-tokens.
-MAX_STATES, MAX_PAIRS, MAX_WORDS, WORD_BYTES = 400_000, 500_000, 600_000, 48
+MAX_STATES, MAX_PAIRS, MAX_WORDS, WORD_BYTES = 300_000, 300_000, 500_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,21 +40,38 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
-        self._pairs: dict[tuple[bytes | None, bytes], bool] = {}
+        self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        self.trie: dict[int, int] = {}  # node * 256 + byte -> node
+        self.ends: list[int] = [-1]  # the token that ends at a node
+        self.inner: list[bool] = [True]  # whether a token goes on from a node
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                key = node << 8 | byte
+                if (child := self.trie.get(key)) is None:
+                    child = self.trie[key] = len(self.ends)
+                    self.ends.append(-1)
+                    self.inner.append(False)
+                node = child
+            self.ends[node] = rank
+        self._pairs: dict[int, bool] = {}
         self._splits: dict[bytes, tuple[bytes, bytes]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = (None, b"")
-        self.states: dict[tuple[bytes | None, bytes], int] = {start: 0}
-        self.keys: list[tuple[bytes | None, bytes]] = [start]
-        self.live: list[list[tuple[int, tuple[bytes, ...]]]] = [[(0, ())]]
-        self.arcs: dict[int, tuple[tuple[int, ...], int]] = {}  # by state * 256 + byte
-        self.finals: list[tuple[int, ...] | None] = [None]
+        start = (-1, b"")
+        self.states: dict[tuple[int, bytes], int] = {start: 0}
+        self.keys: list[tuple[int, bytes]] = [start]
+        #: Of each state the hypotheses (trie node since the cut, tokens before it), the earliest cut first.
+        self.live: list[list[tuple[int, tuple[int, ...]]]] = [[(0, ())]]
+        #: Where the first five bytes of a longer pre-token lead, and what they emit.
+        self.jumps: dict[bytes, tuple[tuple[int, ...], int]] = {}
+        self.arcs: dict[int, tuple[tuple[int, ...], int]] = {}  # state * 256 + byte -> tokens emitted, state
 
     def merged(self, piece: bytes) -> list[bytes]:
-        """The merges applied to ``piece`` in order of rank; only ever called on two tokens joined."""
+        """The merges applied to ``piece`` in order of rank."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
@@ -74,86 +90,113 @@ class Transducer:
             known = self._splits[token] = parts[0], parts[1]
         return known
 
-    def follows(self, before: bytes | None, token: bytes) -> bool:
+    def follows(self, before: int, token: int) -> bool:
         """Whether merging ``before`` + ``token`` gives these two back: no merge across the joint may come before the
-        merges that make either side, as the two are taken apart again from the later-made side."""
-        key = (before, token)
-        if (known := self._pairs.get(key)) is not None:
+        merges that make either side, as the two are taken apart again from the later-made side. ``before`` -1: whether
+        the token's own bytes merge to it."""
+        if (known := self._pairs.get(before << 32 | token)) is not None:
             return known
         if len(self._pairs) > MAX_PAIRS:
             self._pairs.clear()
-        if before is None:
-            self._pairs[key] = known = self.merged(token) == [token]
-            return known
-        left, right, get, limit, known = before, token, self.ranks.get, 1 << 60, True
-        while True:
-            if get(left + right, 1 << 60) < limit:
-                known = False
-                break
-            a, b = get(left), get(right)
-            if a > b and len(left) > 1 or len(right) == 1:
-                if len(left) == 1:
+        if before < 0:
+            known = len(self.merged(self.bytes_of[token])) == 1
+        else:
+            left, right, get, limit, known = self.bytes_of[before], self.bytes_of[token], self.ranks.get, 1 << 60, True
+            while True:
+                if get(left + right, 1 << 60) < limit:
+                    known = False
                     break
-                limit, left = a, self._split(left)[1]
-            else:
-                limit, right = b + 1, self._split(right)[0]
-        self._pairs[key] = known
+                a, b = get(left), get(right)
+                if a > b and len(left) > 1 or len(right) == 1:
+                    if len(left) == 1:
+                        break
+                    limit, left = a, self._split(left)[1]
+                else:
+                    limit, right = b + 1, self._split(right)[0]
+        self._pairs[before << 32 | token] = known
         return known
 
-    def _state(self, last: bytes | None, pending: bytes, live: list[tuple[int, tuple[bytes, ...]]]) -> int:
-        if (at := self.states.get((last, pending))) is None:
-            at = self.states[last, pending] = len(self.keys)
-            self.keys.append((last, pending))
-            self.live.append(live)
-            self.finals.append(None)
-        return at
-
     def _arc(self, at: int, byte: int) -> tuple[tuple[int, ...], int]:
-        """The arc for ``byte``. A state's hypotheses are (cut, tokens before it) for each cut that a token may span."""
         last, pending = self.keys[at]
-        pending += bytes((byte,))
-        ranks, prefixes, full, live = self.ranks, self.prefixes, None, []
-        for cut, chain in self.live[at]:
-            token = pending[cut:]
-            if full is None and token in ranks and self.follows(chain[-1] if chain else last, token):
-                full = (*chain, token)
-            if token in prefixes:
-                live.append((cut, chain))
+        trie, ends, inner, pairs = self.trie, self.ends, self.inner, self._pairs
+        full, live = None, []
+        for node, chain in self.live[at]:
+            if (child := trie.get(node << 8 | byte)) is None:
+                continue
+            if full is None and (token := ends[child]) >= 0:
+                before = chain[-1] if chain else last
+                known = pairs.get(before << 32 | token)
+                if self.follows(before, token) if known is None else known:
+                    full = (*chain, token)
+            if inner[child]:
+                live.append((child, chain))
         if full is not None:
-            live.append((len(pending), full))
-        common = 0
-        for tokens in () if not live[0][1] else zip(*(chain for _, chain in live), strict=False):
-            if any(token != tokens[0] for token in tokens):
+            live.append((0, full))
+        pending += bytes((byte,))
+        common, first = 0, live[0][1]
+        for i, token in enumerate(first):
+            if any(len(chain) <= i or chain[i] != token for _, chain in live):
                 break
-            common += 1
-        out: tuple[bytes, ...] = ()
+            common = i + 1
+        out = first[:common]
         if common:
-            out = live[0][1][:common]
-            gone = sum(map(len, out))
-            last, pending, live = out[-1], pending[gone:], [(cut - gone, chain[common:]) for cut, chain in live]
-        arc = self.arcs[at << 8 | byte] = tuple([ranks[t] for t in out]), self._state(last, pending, live)
+            gone = sum([len(self.bytes_of[t]) for t in out])
+            last, pending, live = out[-1], pending[gone:], [(node, chain[common:]) for node, chain in live]
+        key = (last, pending)
+        if (to := self.states.get(key)) is None:
+            to = self.states[key] = len(self.keys)
+            self.keys.append(key)
+            self.live.append(live)
+        arc = self.arcs[at << 8 | byte] = out, to
         return arc
 
-    def _final(self, at: int) -> tuple[int, ...]:
+    def _rest(self, at: int, tail: bytes) -> list[int]:
+        """What a pre-token that ends with ``tail`` still emits. Ends are mostly a word's own, so they make no states:
+        the hypotheses are carried along and the one that a token completes at the last byte is the answer."""
         last, pending = self.keys[at]
-        if last is None and pending in self.ranks:  # a pre-token that is itself a token stays whole
-            tokens: tuple[bytes, ...] = (pending,)
-        else:
-            tokens = self.live[at][-1][1]
-        out = self.finals[at] = tuple([self.ranks[t] for t in tokens])
-        return out
+        if last < 0 and (whole := self.ranks.get(pending + tail)) is not None:
+            return [whole]  # a pre-token that is itself a token stays whole
+        trie, ends, pairs, live, full = self.trie, self.ends, self._pairs, self.live[at], None
+        for byte in tail:
+            ahead, full = [], None
+            for node, chain in live:
+                if (child := trie.get(node << 8 | byte)) is None:
+                    continue
+                if full is None and (token := ends[child]) >= 0:
+                    before = chain[-1] if chain else last
+                    known = pairs.get(before << 32 | token)
+                    if self.follows(before, token) if known is None else known:
+                        full = (*chain, token)
+                ahead.append((child, chain))
+            if full is not None:
+                ahead.append((0, full))
+            live = ahead
+        return list(full or ())
 
     def encode(self, piece: bytes) -> list[int]:
+        """The tokens of one pre-token. A byte that has no arc yet gets one; the bytes after it are followed without."""
+        if not piece:
+            return []
         if len(self.keys) > MAX_STATES:
             self._reset()
-        at, ids, arcs = 0, [], self.arcs
-        for byte in piece:
-            out, at = arcs.get(at << 8 | byte) or self._arc(at, byte)
+        at, ids, arcs, begin = 0, [], self.arcs, 0
+        if len(piece) > 5 and (jump := self.jumps.get(piece[:5])) is not None:
+            (ids, at), begin = jump, 5
+            ids = [*ids]
+        n = len(piece) - 1
+        for i in range(begin, n):
+            arc = arcs.get(at << 8 | piece[i])
+            if arc is None:
+                arc = self._arc(at, piece[i])
+                if i >= 5 and n - i <= 8:
+                    out, at = arc
+                    return ids + [*out] + self._rest(at, piece[i + 1 :])
+            out, at = arc
             if out:
                 ids += out
-        final = self.finals[at]
-        ids += self._final(at) if final is None else final
-        return ids
+            if i == 4:
+                self.jumps[piece[:5]] = (tuple(ids), at)
+        return ids + self._rest(at, piece[n:])
 
 
 class Utf8Stream:
@@ -186,16 +229,24 @@ class Utf8Stream:
         return text
 
 
+class _OtherBlanks(Exception):
+    """A text has blanks that are not single spaces or line ends between words."""
+
+
 class Codec:
-    """Text to ids and back, with the outputs of short pre-tokens kept."""
+    """Text to ids and back, with the outputs of what stands between single blanks kept.
+
+    A text whose blanks are single spaces and line ends between other characters is cut there: the pattern never joins
+    characters across such a blank, a space goes with what follows it and a line end stands alone. Any other text is
+    split by the pattern as a whole."""
 
     def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)
         self.machine, self.pattern = Transducer(ranks), regex.compile(pattern)
-        self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        self.bytes_of = self.machine.bytes_of
         self.known: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         out = array("I", self.machine.encode(piece.encode())).tobytes()
@@ -205,11 +256,46 @@ class Codec:
             self.known[piece] = out
         return out
 
-    def encode(self, text: str) -> bytes:
-        """All ids of a whole text as little-endian unsigned 32-bit integers."""
+    def _whole(self, text: str) -> bytes:
         known, make = self.known, self._piece
         return b"".join([known.get(piece) or make(piece) for piece in self.pattern.findall(text)])
 
+    def _word(self, kept: dict[str, bytes], word: str, space: str) -> bytes:
+        if not word or word != word.strip():
+            raise _OtherBlanks
+        if word[-1] in ".,;:!?" and word[-2:-1].isalpha():  # such a mark is a pre-token of its own
+            bare = word[:-1]
+            return (kept.get(bare) or self._word(kept, bare, space)) + (self.known.get(word[-1]) or self._piece(word[-1]))
+        if word.isalpha():
+            out = array("I", self.machine.encode((space + word).encode())).tobytes()
+        else:
+            out = self._whole(space + word)
+        if len(word) <= WORD_BYTES:
+            if len(kept) >= MAX_WORDS:
+                kept.clear()
+            kept[word] = out
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """All ids of a whole text as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        plain, spaced, make, parts = self.plain, self.spaced, self._word, []
+        try:
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                parts.append(plain.get(first) or make(plain, first, ""))
+                parts += [spaced.get(word) or make(spaced, word, " ") for word in rest]
+                parts.append(self.newline)
+        except _OtherBlanks:
+            return self._whole(text)
+        parts.pop()
+        return b"".join(parts)
+
+    @property
+    def newline(self) -> bytes:
+        return self.known.get("\n") or self._piece("\n")
+
     def count(self, text: str) -> int:
         return len(self.encode(text)) // 4
 
@@ -221,9 +307,8 @@ class Codec:
         yield stream.close()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return worker_cache(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> DataFrame:

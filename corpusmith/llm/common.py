@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def worker_cache(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: the one object asked for last. Workers serve one operator after
+    another, so an older one's tables are let go before new ones are built."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release_worker_cache() -> None:
+    """Let go of what another operator kept in this worker."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
