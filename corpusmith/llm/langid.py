@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, column, crc_mod
+from .common import bound_batches, column, crc_mod, worker_cache
 
 #: The bound of the fitting sample, and the number of languages beyond which the rarest are left out of the model.
 SAMPLE_DOCS, SAMPLE_WORDS, MAX_LANGUAGES = 250, 96, 64
@@ -237,6 +238,7 @@ def predict(docs: DataFrame, model: Crf, keep: tuple[str, ...] = ("doc_id",), na
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    token = uuid.uuid4().hex  # names this model's tables in the workers
     shared = spark.sparkContext.broadcast(model)  # 2**BITS x languages floats, at most MAX_LANGUAGES
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_cs_text"))
     fields = [f for f in source.schema.fields if f.name != "_cs_text"]
@@ -244,7 +246,7 @@ def predict(docs: DataFrame, model: Crf, keep: tuple[str, ...] = ("doc_id",), na
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        known = _Potentials(own)
+        known = worker_cache(("langid", token), lambda: _Potentials(own))
         gc.disable()
         for frame in frames:
             texts = [t or "" for t in column(frame, "_cs_text")]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, column, materialise
+from .common import bound_batches, column, materialise, release_worker_cache
 
 KINDS = ("email", "ip", "card", "phone")
 #: Document frequencies that a task holds before it sends them on.
@@ -117,6 +117,7 @@ def _scan(docs: DataFrame, window: int, reach: int) -> DataFrame:
         df.clear()
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_cache()
         df: Counter = Counter()
         for frame in frames:
             rows = []

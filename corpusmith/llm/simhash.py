@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, column, materialise
+from .common import bound_batches, column, materialise, release_worker_cache
 from .components import components, one_per
 
 HALF = 32
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_cache()
         for frame in frames:
             values = np.array([fingerprint(text or "", width) for text in column(frame, "text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(values)], schema=schema)

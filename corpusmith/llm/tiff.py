@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, column
+from .common import bound_batches, column, release_worker_cache
 
 PLAIN, LZW, DEFLATE_OLD, DEFLATE, PACKBITS = 1, 5, 32946, 8, 32773
 #: Field types of the format: struct code and bytes.
@@ -334,6 +334,7 @@ def texts_as_tiff(docs: DataFrame) -> DataFrame:
         return size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(features), len(features)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_cache()
         for frame in frames:
             made = [describe(text or "") for text in column(frame, "text")]
             columns = list(zip(*made, strict=True)) if made else [[]] * 8
