@@ -16,20 +16,42 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Codec, codec
-from .common import bound_batches, column
+from .bpe import MAX_WORDS, WORD_BYTES, load_ranks
+from .common import bound_batches, column, worker_cache
 
 #: Pre-tokens in a fresh leaf.
 LEAF = 64
 
 
+class PieceCounts:
+    """Numbers of tokens of pre-tokens, those of short ones kept."""
+
+    def __init__(self, path: str, pattern: str):
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+        self.pattern = regex.compile(pattern)
+        self.known: dict[str, int] = {}
+
+    def _make(self, piece: str) -> int:
+        n = len(self.encoding.encode_ordinary(piece))
+        if len(piece) <= WORD_BYTES:
+            if len(self.known) >= MAX_WORDS:
+                self.known.clear()
+            self.known[piece] = n
+        return n
+
+    def __call__(self, pieces: list[str]) -> list[int]:
+        known, make = self.known, self._make
+        return [known.get(piece) or make(piece) for piece in pieces]
+
+
 class CountTree:
-    """Token counts of one text under edits. ``count`` is a pre-token's number of tokens."""
+    """Token counts of one text under edits. ``count`` gives the numbers of tokens of pre-tokens."""
 
-    def __init__(self, text: str, pattern: regex.Pattern, count: Callable[[str], int]):
+    def __init__(self, text: str, pattern: regex.Pattern, count: Callable[[list[str]], list[int]]):
         self.pattern, self.count = pattern, count
         self.recounted = 0  # characters encoded after an edit
         self._lay(pattern.findall(text))
@@ -41,8 +63,9 @@ class CountTree:
             size *= 2
         self.size = size
         self.chars, self.tokens = [0] * (2 * size), [0] * (2 * size)
+        counts = self.count(pieces)
         for i, leaf in enumerate(self.leaves):
-            self.chars[size + i], self.tokens[size + i] = sum(map(len, leaf)), sum(map(self.count, leaf))
+            self.chars[size + i], self.tokens[size + i] = len("".join(leaf)), sum(counts[i * LEAF : i * LEAF + LEAF])
         for i in range(size - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -69,7 +92,7 @@ class CountTree:
             start += len(piece)
             if start > at:
                 break
-            out += self.count(piece)
+            out += self.count([piece])[0]
         return out
 
     def _find(self, at: int) -> tuple[int, int]:
@@ -87,7 +110,7 @@ class CountTree:
     def _set(self, leaf: int, pieces: list[str]) -> None:
         self.leaves[leaf] = pieces
         node = self.size + leaf
-        self.chars[node], self.tokens[node] = sum(map(len, pieces)), sum(map(self.count, pieces))
+        self.chars[node], self.tokens[node] = sum(map(len, pieces)), sum(self.count(pieces))
         node >>= 1
         while node:
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -194,9 +217,8 @@ def count_with_edits(docs: DataFrame, path: str, pattern: str, edits: Callable[[
     bound_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.col(edits).alias("edits")] if isinstance(edits, str) else []))
 
-    def of(own: Codec, text: str, given: list | None) -> tuple:
-        known, make = own.known, own._piece
-        tree = CountTree(text, own.pattern, lambda piece: len(known.get(piece) or make(piece)) // 4)
+    def of(own: PieceCounts, text: str, given: list | None) -> tuple:
+        tree = CountTree(text, own.pattern, own)
         before = tree.total
         todo = edits(text) if callable(edits) else [(e["at"] or 0, e["removed"] or 0, e["inserted"] or "") for e in given or [] if e]
         for at, removed, inserted in todo:
@@ -204,7 +226,7 @@ def count_with_edits(docs: DataFrame, path: str, pattern: str, edits: Callable[[
         return before, tree.total, len(todo), len(tree), tree.recounted
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = worker_cache(("edits", path, pattern), lambda: PieceCounts(path, pattern))
         for frame in frames:
             given = column(frame, "edits") if isinstance(edits, str) else [None] * frame.num_rows
             made = [of(own, text or "", own_edits) for text, own_edits in zip(column(frame, "text"), given, strict=True)]
