@@ -163,4 +163,5 @@ def safe_href(url: Column) -> Column:
 def source_name(url: Column) -> Column:
     """A page's name from its URL: the last path segment, underscores as spaces, %-escapes undone."""
     tail = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"([^/]*)/?$", 1)
-    return F.coalesce(F.try_url_decode(F.replace(F.replace(tail, F.lit("+"), F.lit("%2B")), F.lit("_"), F.lit(" "))), tail)
+    spaced = F.replace(tail, F.lit("_"), F.lit(" "))
+    return F.coalesce(F.try_url_decode(F.replace(spaced, F.lit("+"), F.lit("%2B"))), spaced)

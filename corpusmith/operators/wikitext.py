@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -140,7 +141,7 @@ def sections(text: str) -> list[dict]:
     """The lead as Introduction and every level-2 section with its subsections inside; blank ones are dropped."""
     cuts = [m for m in _HEADING.finditer(text) if len(m[1]) == 2]
     parts = [("Introduction", text[: cuts[0].start()] if cuts else text)]
-    parts += [(plain(m[2]).strip(), text[m.end() : nxt.start() if nxt else len(text)]) for m, nxt in zip(cuts, [*cuts[1:], None], strict=True)]
+    parts += [(plain(m[2]).strip(), text[m.end() : nxt.start() if nxt else len(text)]) for m, nxt in zip_longest(cuts, cuts[1:])]
     out = []
     for heading, body in parts:
         body = re.sub(r"\n{3,}", "\n\n", plain(body).strip()).strip()

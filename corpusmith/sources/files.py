@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +14,10 @@ from ..errors import SetupError
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of one file or folder (plain or gzip), and file_name, the lexicographic order in which later records
-    replace earlier ones. Blank lines are skipped; lines that are not JSON give null rows, which are dropped."""
-    rows = spark.read.schema(f"{schema}, _corrupt STRING").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.withColumn("file_name", F.col("_metadata.file_name")).filter("_corrupt IS NULL").drop("_corrupt")
+    replace earlier ones. Blank lines, lines that are not JSON and records without any of the fields are dropped."""
+    rows = spark.read.schema(schema).json(path)
+    some = reduce(or_, [F.col(c).isNotNull() for c in rows.columns])
+    return rows.withColumn("file_name", F.col("_metadata.file_name")).filter(some)
 
 
 def write_jsonl(df: DataFrame, path: str, compression: str | None = None, mode: str = "overwrite") -> int:
