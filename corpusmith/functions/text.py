@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ LABELS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, for use inside lambdas, where expressions are not shared."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -49,12 +56,15 @@ def collapse(text: Column) -> Column:
 def windows(text: Column, size: int, overlap: int) -> Column:
     """Overlapping word windows. A text that fits one window is returned stripped but otherwise as it is; longer ones
     are cut every ``size - overlap`` words and re-joined by single spaces, up to the window that reaches the end."""
-    found, step = words(text), max(1, size - overlap)
-    n = F.size(found)
-    last = F.ceil((n - size) / step).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(found, i * step + 1, F.lit(size)), " "))
-    none = F.array().cast("array<string>")
-    return F.when(text.isNull() | (n == 0), none).when(n <= size, F.array(strip(text))).otherwise(cut)
+    step, none = max(1, size - overlap), F.array().cast("array<string>")
+
+    def cut(found: Column) -> Column:
+        n = F.size(found)
+        last = F.greatest(F.ceil((n - size) / step).cast("int"), F.lit(0))
+        pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(found, i * step + 1, F.lit(size)), " "))
+        return F.when(n == 0, none).when(n <= size, F.array(strip(text))).otherwise(pieces)
+
+    return F.when(text.isNull(), none).otherwise(let(words(text), cut))
 
 
 def breadcrumb(game: Column, title: Column, heading: Column) -> Column:

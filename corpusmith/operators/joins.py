@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SetupError
+from ..scratch import materialise
 
 
 def latest(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -49,16 +50,17 @@ def point_get(ids: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(ids.select("chunk_id").filter(F.coalesce(F.col("chunk_id"), F.lit("")) != "").distinct(), "chunk_id", "left_semi")
 
 
-def in_batches(rows: DataFrame, size: int, order: list[str], bucket_rows: int = 1_000_000) -> DataFrame:
+def in_batches(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
     """``batch`` numbers of ``size`` rows in order. Rows are numbered within ranges of the order, which are then added
     up, so no task holds all rows."""
-    ranged = rows.repartitionByRange(max(1, rows.sparkSession.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)).drop("_m")
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    # Written once: a second evaluation could cut the ranges elsewhere.
+    ranged = materialise(ranged, "batches").withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m") - F.shiftleft("_p", 33))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
-    return ranged.join(F.broadcast(starts), "_p").withColumn("batch", F.floor((F.col("_s") + F.col("_i")) / size).cast("long")).drop("_p", "_i", "_s")
+    starts = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))  # a row per partition
+    return ranged.join(F.broadcast(starts), "_p").withColumn("batch", F.floor((F.col("_s") + F.col("_i")) / size).cast("long")).drop("_p", "_i", "_s", "_m")
 
 
 def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:

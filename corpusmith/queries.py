@@ -500,10 +500,10 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").cast("string").alias("facet"))
+    return read(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").cast("string").alias("facet"))
 
 
-COSINE_SQL = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id < 20),
+COSINE_SQL = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT qid, vec_id AS chunk_id, ql, label, list_cosine_distance(qv, embedding::DOUBLE[]) AS distance FROM q, embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), chunk_id) AS rank FROM d {where})
 SELECT qid, chunk_id, round(distance, 6) + 0.0 AS distance, rank::INT AS rank FROM r WHERE rank <= 10"""
@@ -518,9 +518,9 @@ def cosine_topk(spark, sf_dir):
     return _rounded(dense.top_k(vector_queries(spark, sf_dir), vector_store(spark, sf_dir), 10))
 
 
-@register("cosine_topk_faceted", COSINE_SQL.format(where="WHERE label = (qid % 10)"))
+@register("cosine_topk_faceted", COSINE_SQL.format(where="WHERE label = (qid // 20) % 10"))
 def cosine_topk_faceted(spark, sf_dir):
-    asked = vector_queries(spark, sf_dir).withColumn("facet", (F.col("qid") % 10).cast("string"))
+    asked = vector_queries(spark, sf_dir).withColumn("facet", (F.floor(F.col("qid") / 20) % 10).cast("string"))
     return _rounded(dense.top_k(asked, vector_store(spark, sf_dir), 10, facet="facet"))
 
 
@@ -573,7 +573,7 @@ def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.unionByName(same.select("qid", F.lit(1).alias("list_id"), "rank", "chunk_id"))
 
 
-LISTS_SQL = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id < 20),
+LISTS_SQL = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT qid, vec_id AS chunk_id, label, ql, list_cosine_distance(qv, embedding::DOUBLE[]) AS distance FROM q, embeddings),
 l AS (SELECT qid, 0 AS list_id, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), chunk_id) AS rank, chunk_id FROM d
       UNION ALL SELECT qid, 1, row_number() OVER (PARTITION BY qid ORDER BY chunk_id), chunk_id FROM d WHERE label = ql),
@@ -585,14 +585,14 @@ def rrf_fuse(spark, sf_dir):
     return fusion.rrf(two_lists(spark, sf_dir)).select("qid", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
-BEST_SQL = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 20),
+BEST_SQL = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT qid, vec_id AS chunk_id, label, list_cosine_distance(qv, embedding::DOUBLE[]) AS distance FROM q, embeddings WHERE vec_id <> qid),
-b AS (SELECT qid, min(distance) FILTER (label = (qid + 1) % 10 AND qid % 4 <> 3) AS bf, min(distance) AS bu FROM d GROUP BY qid),
+b AS (SELECT qid, min(distance) FILTER (label = (qid // 20 + 1) % 10 AND (qid // 20) % 4 <> 3) AS bf, min(distance) AS bu FROM d GROUP BY qid),
 s AS (SELECT qid, bf, bu, CASE WHEN bf IS NULL THEN bu IS NOT NULL WHEN bu IS NULL THEN false ELSE bf - bu >= 0.10 END AS starved FROM b)"""
 
 
 def both_passes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    asked = vector_queries(spark, sf_dir).withColumn("facet", F.when(F.col("qid") % 4 == 3, "none").otherwise(((F.col("qid") + 1) % 10).cast("string")))
+    asked = vector_queries(spark, sf_dir).withColumn("facet", F.when(F.floor(F.col("qid") / 20) % 4 == 3, "none").otherwise(((F.floor(F.col("qid") / 20) + 1) % 10).cast("string")))
     store = vector_store(spark, sf_dir)
     run = lambda facet: dense.top_k(asked, store, 11, facet=facet).filter("chunk_id <> qid").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).filter("rank <= 10")
     return run("facet"), run(None)
@@ -609,7 +609,7 @@ def starved_filter(spark, sf_dir):
 @register(
     "relaxed_retrieve",
     BEST_SQL + """, r AS (SELECT d.qid, chunk_id, distance, starved AS relaxed, row_number() OVER (PARTITION BY d.qid ORDER BY round(distance, 9), chunk_id) AS rank
-    FROM d JOIN s USING (qid) WHERE starved OR (label = (qid + 1) % 10)) SELECT qid, chunk_id, round(distance, 6) AS distance, rank::INT AS rank, relaxed FROM r WHERE rank <= 10""",
+    FROM d JOIN s USING (qid) WHERE starved OR (label = (qid // 20 + 1) % 10)) SELECT qid, chunk_id, round(distance, 6) AS distance, rank::INT AS rank, relaxed FROM r WHERE rank <= 10""",
 )
 def relaxed_retrieve(spark, sf_dir):
     inside, every = both_passes(spark, sf_dir)
@@ -902,7 +902,7 @@ def gold_hit_rate(spark, sf_dir):
     # Passages are found by their first window of words, which the text must hold; then checked whole.
     key = lambda c: F.array_join(F.slice(T.words(c), 1, 5), " ")
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), key(F.col("text")).alias("key"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(T.words(F.col("text"))) - 4, F.lit(1))), lambda i: F.array_join(F.slice(T.words(F.col("text")), i, F.lit(5)), " "))
+    grams = T.let(T.words(F.col("text")), lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 4, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, F.lit(5)), " ")))
     where = docs.withColumn("key", F.explode(F.array_distinct(F.concat(grams, F.array(F.lit("")))))).join(items, "key").filter(F.contains("text", "passage")).groupBy("qid").agg(F.min("doc_id").alias("gold"))
     gold = where.join(docs.select(F.col("doc_id").alias("gold"), "game"), "gold").select("qid", "game", F.concat(F.lit("c"), F.col("qid") % 4).alias("category"), F.concat(F.lit(BASE_URL), F.col("gold"), F.lit("/ ")).alias("source_url"), F.lit(None).cast("string").alias("source_title"))
     hits = lexical.search(documents_index(spark, sf_dir), benchmark_questions(spark, sf_dir), 10).select("qid", "rank", F.concat(F.lit(BASE_URL), F.col("chunk_id")).alias("url"), F.lit("").alias("title"))
