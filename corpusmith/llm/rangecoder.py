@@ -18,7 +18,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bound_batches, column, materialise
+from .common import bound_batches, column, materialise, worker_cache
 
-BLOCK, LANES = 2048, 512
+BLOCK, LANES = 2048, 2048
 #: Ids of a file; documents are never split between files.
 FILE_IDS = BLOCK * LANES
 MAGIC, HEAD = b"CMR1", struct.Struct("<4sIIQI")
@@ -36,9 +35,12 @@ TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 WORD, SHIFT = np.uint64(16), np.uint64(48)
 GAIN, LIMIT = 24, 1 << 14
 BITS1, BITS2 = 11, 12
-#: First node of each level of the order-0 tree.
+#: First node of each level of the order-0 tree. The last level's 4096 nodes share 1024 places: a block touches few.
 LEVELS = (0, 1, 17, 273)
-NODES = 273 + 4096
+PLACES = 1024
+NODES = 273 + PLACES
+#: Confidences of predictions count up to three.
+SURE = np.minimum(np.arange(256), 3)
 
 
 class _Lanes:
@@ -49,9 +51,7 @@ class _Lanes:
         self.n, self.lengths, self.rows = n, lengths, np.arange(n)
         self.low = np.zeros(n, np.uint64)
         self.range = np.full(n, 0xFFFF_FFFF_FFFF_FFFF, np.uint64)
-        self.flags = np.ones((n, 16, 4), np.uint16)
-        self.flags[:, :, 3] = 0
-        self.flags[:, :, 2] = 4
+        self.flags = np.tile(np.array([1, 1, 4, 0], np.uint16), (n * 16, 1))
         self.tree = np.ones((n * NODES, 16), np.uint16)
         self.id1, self.id2 = np.zeros((n, 1 << BITS1), np.uint16), np.zeros((n, 1 << BITS2), np.uint16)
         self.sure1, self.sure2 = np.zeros((n, 1 << BITS1), np.uint8), np.zeros((n, 1 << BITS2), np.uint8)
@@ -75,49 +75,48 @@ class _Lanes:
     def move(self, lanes: np.ndarray, words: np.ndarray) -> None:
         raise NotImplementedError
 
-    def symbol(self, lanes, counts: np.ndarray, given: np.ndarray | None) -> np.ndarray:
-        """Code (or, with ``given`` None, decode) one symbol of each lane by its row of counts."""
+    def symbol(self, lanes, counts: np.ndarray, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Code (or, with ``given`` None, decode) one symbol of each lane by its row of counts; the rows' totals too."""
         raise NotImplementedError
 
     def step(self, active: int, given: np.ndarray | None) -> np.ndarray:
+        """Code the next id of the first ``active`` lanes, or decode it where none are given."""
         lanes = slice(0, active)
-        rows = self.rows[lanes]
-        last, before = self.last[lanes], self.before[lanes]
-        h1 = (last * 0x9E3779B1 >> 7) & ((1 << BITS1) - 1)
-        h2 = ((last * 0x85EBCA77 ^ before * 0xC2B2AE3D) >> 9) & ((1 << BITS2) - 1)
-        c1, c2, s1, s2 = self.id1[rows, h1], self.id2[rows, h2], self.sure1[rows, h1], self.sure2[rows, h2]
-        state = np.minimum(s2, 3).astype(np.int64) * 4 + np.minimum(s1, 3)
+        rows, last, before = self.rows[lanes], self.last[lanes], self.before[lanes]
+        at1 = (rows << BITS1) + ((last * 0x9E3779B1 >> 7) & ((1 << BITS1) - 1))
+        at2 = (rows << BITS2) + (((last * 0x85EBCA77 ^ before * 0xC2B2AE3D) >> 9) & ((1 << BITS2) - 1))
+        c1, c2, s1, s2 = self.id1.take(at1), self.id2.take(at2), self.sure1.take(at1), self.sure2.take(at2)
+        node = (rows << 4) + (SURE.take(s2) << 2) + SURE.take(s1)
         flag = None if given is None else np.where(given == c2, 0, np.where(given == c1, 1, 2))
-        counts = self.flags[rows, state]
-        flag = self.symbol(lanes, counts, flag)
-        self.flags[rows, state, flag] += GAIN
-        full = np.flatnonzero(counts.sum(axis=1) > LIMIT - GAIN)
-        if len(full):
-            self.flags[rows[full], state[full]] = (self.flags[rows[full], state[full]] + 1) >> 1
+        flag = self.node(lanes, self.flags, node, flag, True)
         ids = np.where(flag == 0, c2, c1).astype(np.int64)
         new = np.flatnonzero(flag == 2)
         if len(new):
-            own, prefix, base = rows[new], np.zeros(len(new), np.int64), rows[new] * NODES
+            own, prefix = rows[new], 0
+            base = own * NODES
+            wanted = None if given is None else given[new]
             for level, first in enumerate(LEVELS):
-                node = base + first + prefix
-                part = None if given is None else (given[new] >> (12 - 4 * level)) & 15
-                counts = self.tree[node]
-                part = self.symbol(own, counts, part)
-                self.tree[node, part] += GAIN
-                if level < 2:
-                    full = np.flatnonzero(counts.sum(axis=1) > LIMIT - GAIN)
-                    if len(full):
-                        self.tree[node[full]] = (self.tree[node[full]] + 1) >> 1
-                prefix = prefix << 4 | part
+                node = base + first + (prefix if level < 3 else (prefix ^ prefix >> 6) % PLACES)
+                part = None if given is None else (wanted >> (12 - 4 * level)) & 15
+                prefix = prefix << 4 | self.node(own, self.tree, node, part, level < 2)
             ids[new] = prefix
-        met1, met2 = ids == c1, ids == c2
-        self.id1[rows, h1], self.id2[rows, h2] = ids, ids
-        self.sure1[rows, h1] = np.where(met1, np.minimum(s1, 250) + 1, 0)
-        self.sure2[rows, h2] = np.where(met2, np.minimum(s2, 250) + 1, 0)
+        self.id1.put(at1, ids)
+        self.id2.put(at2, ids)
+        self.sure1.put(at1, np.where(ids == c1, np.minimum(s1, 250) + 1, 0))
+        self.sure2.put(at2, np.where(ids == c2, np.minimum(s2, 250) + 1, 0))
         self.before[lanes] = last.copy()
         self.last[lanes] = ids
         return ids
 
+    def node(self, lanes, table: np.ndarray, node: np.ndarray, given: np.ndarray | None, busy: bool) -> np.ndarray:
+        """One symbol by each lane's row of counts, which then learns it; rows that may grow large (``busy``) are halved."""
+        counts = table.take(node, axis=0)
+        found, total = self.symbol(lanes, counts, given)
+        table[node, found] += GAIN
+        if busy and len(full := np.flatnonzero(total > LIMIT - GAIN)):
+            table[node[full]] = (table[node[full]] + 1) >> 1
+        return found
+
 
 class _Encoder(_Lanes):
     def __init__(self, lengths: np.ndarray):
@@ -126,20 +125,21 @@ class _Encoder(_Lanes):
         self.at = np.zeros(self.n, np.int64)
 
     def move(self, lanes: np.ndarray, words: np.ndarray) -> None:
-        if self.at.max() + 8 >= self.out.shape[1]:
+        at = self.at[lanes]
+        if at.max() + 8 >= self.out.shape[1]:
             self.out = np.concatenate((self.out, np.zeros_like(self.out)), axis=1)
-        self.out[lanes, self.at[lanes]] = words
-        self.at[lanes] += 1
-
-    def symbol(self, lanes, counts: np.ndarray, given: np.ndarray | None) -> np.ndarray:
-        upto = np.cumsum(counts, axis=1, dtype=np.uint32)
-        rows = np.arange(len(counts))
-        own = counts[rows, given].astype(np.uint64)
-        unit = self.range[lanes] // upto[:, -1]
-        self.low[lanes] += unit * (upto[rows, given] - own)
+        self.out[lanes, at] = words
+        self.at[lanes] = at + 1
+
+    def symbol(self, lanes, counts: np.ndarray, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        upto = np.cumsum(counts, axis=1, dtype=np.uint16)  # totals stay under LIMIT
+        at = self.rows[: len(counts)] * counts.shape[1] + given
+        own, end, total = counts.take(at).astype(np.uint64), upto.take(at), upto[:, -1]
+        unit = self.range[lanes] // total
+        self.low[lanes] += unit * (end - own)
         self.range[lanes] = unit * own
         self.settle(lanes)
-        return given
+        return given, total
 
     def finish(self) -> list[bytes]:
         for _ in range(4):
@@ -165,17 +165,22 @@ class _Decoder(_Lanes):
         self.code[lanes] = self.code[lanes] << WORD | self.words[lanes, at]
         self.at[lanes] += 1
 
-    def symbol(self, lanes, counts: np.ndarray, given: np.ndarray | None) -> np.ndarray:
-        upto = np.cumsum(counts, axis=1, dtype=np.uint32)
-        rows = np.arange(len(counts))
-        unit = np.maximum(self.range[lanes] // upto[:, -1], np.uint64(1))
-        value = ((self.code[lanes] - self.low[lanes]) // unit).astype(np.int64)
-        found = np.minimum((upto <= value[:, None]).sum(axis=1), counts.shape[1] - 1)
-        own = counts[rows, found].astype(np.uint64)
-        self.low[lanes] += unit * (upto[rows, found] - own)
+    def symbol(self, lanes, counts: np.ndarray, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        upto = np.cumsum(counts, axis=1, dtype=np.uint16)  # totals stay under LIMIT
+        total = upto[:, -1]
+        unit = np.maximum(self.range[lanes] // total, np.uint64(1))
+        value = np.minimum((self.code[lanes] - self.low[lanes]) // unit, np.uint64(0xFFFF)).astype(np.uint16)
+        base, half = self.rows[: len(counts)] * counts.shape[1], counts.shape[1] // 2
+        at = base
+        while half:  # the first symbol whose end lies above the value, by halves
+            at = at + half * (upto.take(at + (half - 1)) <= value)
+            half //= 2
+        found = at - base
+        own, end = counts.take(at).astype(np.uint64), upto.take(at)
+        self.low[lanes] += unit * (end - own)
         self.range[lanes] = np.maximum(unit * own, np.uint64(1))
         self.settle(lanes)
-        return found
+        return found, total
 
 
 def _active(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -262,26 +267,41 @@ class _Words:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.between = "<|endoftext|>"
+        self.mark = self.tokenizer.token_to_id(self.between)
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, text: str, end: int) -> np.ndarray:
-        known, words = self.known, text.replace("\n", " ").split(" ")
-        missing = [w for w in dict.fromkeys(words) if w not in known]
+    def _learn(self, words: list[str]) -> None:
+        """Encode words in one call, told apart by a special token between them; words that hold its text by one each."""
+        plain = [w for w in words if "<|" not in w] or [""]
+        self.tokenizer.encode_special_tokens = False
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(plain)], add_special_tokens=False)[0].ids, "<u2")
+        self.tokenizer.encode_special_tokens = True
+        cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+        for word, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
+            self.known[word] = ids[a + 1 : b].tobytes()
+        if odd := [w for w in words if "<|" in w]:
+            for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(found.ids, "<u2").tobytes()
+
+    def encode_all(self, texts: list[str], end: int) -> list[np.ndarray]:
+        known, parts = self.known, [text.replace("\n", " ").split(" ") for text in texts]
+        missing = list({w for words in parts for w in words if w not in known})
         if len(known) + len(missing) > self.MOST:
             known.clear()
             known[""] = b""
-            missing = list(dict.fromkeys(w for w in words if w))
-        for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True) if missing else ():
-            known[word] = np.array(found.ids, "<u2").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]) + struct.pack("<H", end), "<u2")
+            missing = list({w for words in parts for w in words if w})
+        if missing:
+            self._learn(missing)
+        last = struct.pack("<H", end)
+        return [np.frombuffer(b"".join([known[w] for w in words]) + last, "<u2") for words in parts]
 
+    def encode(self, text: str, end: int) -> np.ndarray:
+        return self.encode_all([text], end)[0]
 
-@lru_cache(maxsize=1)
-def _words(path: str) -> _Words:
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return _Words(path)
+def _words(path: str) -> _Words:
+    return worker_cache(("words", path), lambda: _Words(path))
 
 
 def write_tokens(docs: DataFrame, path: str, end: int = 2, bucket_docs: int = 8192, most_buckets: int = 10_000) -> DataFrame:
@@ -300,7 +320,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = 2, bucket_docs: int = 81
         own = _words(path)
         bounds = np.array(cuts, np.int64)
         for frame in frames:
-            ids = [own.encode(text or "", end) for text in column(frame, "text")]
+            ids = own.encode_all([text or "" for text in column(frame, "text")], end)
             place = [0 if d is None else int(np.searchsorted(bounds, d, "right")) for d in frame.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(place, pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "bucket", "ids"])
 
