@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, column, worker_cache
 
 #: What a worker keeps before it starts anew: states, joint checks, and the outputs of short pre-tokens.
-MAX_STATES, MAX_PAIRS, MAX_WORDS, WORD_BYTES = 300_000, 300_000, 500_000, 48
+MAX_STATES, MAX_PAIRS, MAX_WORDS, WORD_BYTES = 120_000, 200_000, 300_000, 48
+LEARN = 8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +57,7 @@ class Transducer:
                     self.inner.append(False)
                 node = child
             self.ends[node] = rank
+        self.misses = 0
         self._pairs: dict[int, bool] = {}
         self._splits: dict[bytes, tuple[bytes, bytes]] = {}
         self._reset()
@@ -174,7 +176,8 @@ class Transducer:
         return list(full or ())
 
     def encode(self, piece: bytes) -> list[int]:
-        """The tokens of one pre-token. A byte that has no arc yet gets one; the bytes after it are followed without."""
+        """The tokens of one pre-token. Where an arc is missing near the end of a word, the rest is mostly the word's own:
+        it is followed without arcs, and only one such miss in LEARN makes some."""
         if not piece:
             return []
         if len(self.keys) > MAX_STATES:
@@ -187,10 +190,11 @@ class Transducer:
         for i in range(begin, n):
             arc = arcs.get(at << 8 | piece[i])
             if arc is None:
+                if i >= 5 and n - i <= 12:
+                    self.misses += 1
+                    if self.misses % LEARN:
+                        return ids + self._rest(at, piece[i:])
                 arc = self._arc(at, piece[i])
-                if i >= 5 and n - i <= 8:
-                    out, at = arc
-                    return ids + [*out] + self._rest(at, piece[i + 1 :])
             out, at = arc
             if out:
                 ids += out
