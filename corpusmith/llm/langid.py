@@ -15,7 +15,6 @@ from __future__ import annotations
 import gc
 import re
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -37,18 +36,40 @@ MAX_WORDS = 500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word's letters; none for a token without letters."""
-    letters = "".join(_LETTERS.findall(word.lower()))
-    if not letters:
-        return []
-    crc, n, mask = zlib.crc32, len(letters), (1 << BITS) - 1
-    raw = [f"w{letters}"]
-    raw += [f"p{letters[:k]}" for k in range(1, min(4, n) + 1)]
-    raw += [f"s{letters[-k:]}" for k in range(1, min(4, n) + 1)]
-    raw += [f"2{letters[i : i + 2]}" for i in range(n - 1)]
-    raw += [f"3{letters[i : i + 3]}" for i in range(n - 2)]
-    return [crc(x.encode("utf-8", "surrogatepass")) & mask for x in raw]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of the words' letters, and the place of the word that each belongs to; none for a token without
+    letters. All words are worked on together: one array of code points, hashed at every start."""
+    letters = [w if w.isalpha() else "".join(_LETTERS.findall(w)) for w in (word.lower() for word in words)]
+    sizes = np.array([len(x) for x in letters], np.int64)
+    points = np.frombuffer("".join(letters).encode("utf-32-le", "surrogatepass"), np.uint32)
+    some = np.flatnonzero(sizes)
+    first = (np.cumsum(sizes) - sizes)[some]
+    size, word = sizes[some], np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(first + size, size) - np.arange(len(points))  # letters from here to the word's end
+    found: list[np.ndarray] = []
+    owner: list[np.ndarray] = []
+
+    def grams(kind: int, at: np.ndarray, n: int) -> None:
+        h = np.full(len(at), kind, np.uint32)
+        for k in range(n):
+            h = (h ^ points[at + k]) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        found.append((h * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS))
+        owner.append(word[at])
+
+    for k in range(1, 5):  # prefixes and suffixes
+        long = size >= k
+        grams(k, first[long], k)
+        grams(4 + k, (first + size)[long] - k, k)
+    for k in (2, 3):
+        grams(8 + k, np.flatnonzero(left >= k), k)
+    if len(some):  # the word itself, as a polynomial in its code points
+        place = np.arange(len(points)) - np.repeat(first, size)
+        power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+        whole = np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * power[place], first)
+        found.append((whole >> np.uint64(64 - BITS)).astype(np.uint32))
+        owner.append(some)
+    return np.concatenate(found).astype(np.int64), np.concatenate(owner)
 
 
 @dataclass
@@ -57,9 +78,12 @@ class Crf:
     weights: np.ndarray  # features x languages
     moves: np.ndarray  # languages x languages, log potentials
 
-    def emit(self, word: str) -> np.ndarray | None:
-        found = features(word)
-        return self.weights[found].sum(axis=0) / np.sqrt(len(found)) if found else None
+    def emit(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The potentials of words (words x languages), and whether they have letters."""
+        found, owner = features(words)
+        n = np.bincount(owner, minlength=len(words))
+        sums = [np.bincount(owner, self.weights[found, j], len(words)) for j in range(len(self.languages))]
+        return (np.stack(sums, axis=1) / np.sqrt(np.maximum(n, 1))[:, None]).astype(np.float32), n > 0
 
 
 def marginals(scores: np.ndarray, moves: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -120,12 +144,9 @@ def fit(words: dict[str, list[list[str]]], rounds: int = 30, rate: float = 0.25,
     if not text:
         return Crf(langs, np.zeros((1 << BITS, k), np.float32), np.zeros((k, k), np.float32))
     vocab, index = np.unique(np.array(text, object).astype(str), return_inverse=True)
-    lists = [features(w) for w in vocab.tolist()]
-    sizes = np.array([len(x) for x in lists])
-    flat = np.array([f for x in lists for f in x], np.int64)
+    flat, owner = features(vocab.tolist())
     used, flat = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(vocab)), sizes)
-    scale = (1 / np.sqrt(np.maximum(sizes, 1)))[:, None]
+    scale = (1 / np.sqrt(np.maximum(np.bincount(owner, minlength=len(vocab)), 1)))[:, None]
     steps = SPAN
     seqs = index.reshape(-1, steps).T
     gold = np.array(label).reshape(-1, steps).T
@@ -192,30 +213,28 @@ class _Potentials:
         self.table = np.zeros((1024, self.k), np.float32)
         self.n = 1
 
-    def add(self, word: str) -> int:
-        scores = self.model.emit(word)
-        if scores is None:
-            at = 0
-        else:
-            at = self.n
-            if at == len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[at] = scores
-            self.n += 1
-        self.rows[word] = at
-        return at
+    def add(self, words: list[str]) -> None:
+        scores, lettered = self.model.emit(words)
+        more = int(lettered.sum())
+        while self.n + more > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        self.table[self.n : self.n + more] = scores[lettered]
+        at = np.zeros(len(words), np.int64)
+        at[lettered] = np.arange(self.n, self.n + more)
+        self.rows.update(zip(words, at.tolist(), strict=True))
+        self.n += more
 
 
 def predict_words(model: Crf, known: _Potentials, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of every word (words x languages), whether it has letters, and the words of each text."""
+    split = [text.split() for text in texts]
     if len(known.rows) > MAX_WORDS:
         known.clear()
-    get, add = known.rows.get, known.add
-    per_text, parts = [], []
-    for text in texts:
-        ids = [row if (row := get(word)) is not None else add(word) for word in text.split()]
-        per_text.append(len(ids))
-        parts.append(np.array(ids, np.int32))
+    rows = known.rows
+    if missing := list({word for words in split for word in words if word not in rows}):
+        known.add(missing)
+    per_text = [len(words) for words in split]
+    parts = [np.array([rows[word] for word in words], np.int32) for words in split]
     counts = np.array(per_text, np.int64)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     n_seq = -(-counts // SPAN)
