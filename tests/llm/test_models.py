@@ -91,9 +91,9 @@ def test_model_is_a_distribution_over_one_word(spark):
     """Over all next tokens of the head and the escape, probabilities sum to one."""
     docs = spark.createDataFrame([(i, "red green blue red", "en", "s", 1) for i in range(20)], DOCS)
     model, _ = mixlm.train(docs)
-    base = 10 ** model.score([[b"red"]])[0]
-    assert 0 < base < 1
-    known = sum(10 ** model.score([[w]])[0] for w in model.codes.words)
+    chance = lambda word: 10 ** model.score([[word]], [model.codes.ids([word])])[0]
+    assert 0 < chance(b"red") < 1
+    known = sum(map(chance, model.codes.words))
     assert known < 1.0001
 
 
