@@ -24,7 +24,8 @@ BROADCAST_SOURCES = 10_000
 #: Golden ratio less one, and the fractional part of 2**20 times it: two-step products keep 2**60 points exact to 1e-9.
 _PHI = (getcontext().create_decimal(5).sqrt() - 1) / 2
 PHI, PHI_STEP = float(_PHI), float(_PHI * 2**20 % 1)
-BUCKET_ROWS = 20_000
+#: Rows of a source that share a bucket, about: no window holds more, whatever the source's share.
+BUCKET_ROWS = 1_000
 SLOT_BUCKET = 1 << 16
 #: Hex digits of a document's hash that choose its bucket.
 HASH_DIGITS = 8
@@ -74,14 +75,14 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     spark = docs.sparkSession
     sized = materialise(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), "mix-sized")
     sources = materialise(source_targets(sized, weights, share, repeat), "mix-sources")
-    n, n_sources = sources.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.count("*")).first()
+    n_sources = sources.count()
     few = n_sources <= BROADCAST_SOURCES
 
     # The shuffled stream of each source: running sums inside hash buckets, plus the sums of the buckets before.
-    n_buckets = max(1, -(-n // BUCKET_ROWS))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     place = F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long")
-    bucketed = _attach(sized.withColumn("digest", digest), sources.drop("n_rows"), few).withColumn("bucket", F.floor(place * n_buckets / 16**HASH_DIGITS).cast("long"))
+    n_buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS)
+    bucketed = _attach(sized.withColumn("digest", digest), sources, few).withColumn("bucket", F.floor(place * n_buckets / 16**HASH_DIGITS).cast("long"))
     totals = bucketed.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_first"))
