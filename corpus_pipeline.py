@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmith.llm import bpe, langid, mixing, pii, simhash
+from corpusmith.llm import bpe, langid, mixing, pii, resemblance
 from corpusmith.llm.common import materialise, table
 
 
@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, fingerprints within three bits."""
-    return simhash.keep_one(docs, width=5)
+    """One document of each group of near duplicates stays: sets of five-word shingles with a similarity of 0.8 or more."""
+    return resemblance.keep_one(docs, width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("source_mix", source_mix), ("encode", encode)]
 
-#: SimHash linking and the field model have no SQL form; tests hold ``run`` against a brute-force version.
+#: Near-duplicate linking and the field model have no SQL form; tests hold ``run`` against a brute-force version.
 ORACLE_SQL = None
 
 

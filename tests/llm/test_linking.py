@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import xxhash
-from corpusmith.llm import simhash
+from corpusmith.llm import resemblance, simhash
 from corpusmith.llm.components import components
 
 from .conftest import DOCS, make_docs
@@ -104,3 +104,39 @@ def test_keep_one(spark, docs, no_docs, wide_docs):
     assert sum(r.doc_id is None for r in kept) == 1
     assert simhash.keep_one(no_docs).count() == 0
     assert simhash.keep_one(wide_docs).columns == wide_docs.columns
+
+
+def jaccard(a, b, width=5):
+    a, b = ({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if (w := t.lower().split()) else set() for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_pipeline_links_copies_of_similarity_080_to_095(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    rows, vocabulary = [], [f"w{i}" for i in range(4000)]
+    for i in range(60):
+        base = [r.choice(vocabulary) for _ in range(r.randint(60, 400))]
+        rows.append((1000 + i, " ".join(base), "en", "s", 1))
+        copy = list(base)
+        for at in r.sample(range(len(base)), max(1, len(base) // r.choice([40, 60, 90]))):
+            copy[at] = "changed"
+        rows.append((i, " ".join(copy), "en", "s", 1))
+    base = [r.choice(vocabulary) for _ in range(120)]
+    for i in range(40):  # a chain: neighbours alike, ends not
+        base[3 * i] = f"c{i}"
+        rows.append((2000 + i, " ".join(base), "en", "s", 1))
+    rows += [(3000, None, None, "s", 0), (3001, " ", None, "s", 1), (3002, "Two Words", "en", "s", 9), (3003, "two words", "en", "s", 9), (None, "two words", "en", "s", 9)]
+    texts = [(d, t or "") for d, t, *_ in rows if d is not None]
+    scores = {(i, j): jaccard(texts[i][1], texts[j][1]) for i in range(len(texts)) for j in range(i)}
+    links = [pair for pair, s in scores.items() if s >= 0.8]
+    assert sum(0.8 <= scores[p] <= 0.95 and (simhash.fingerprint(texts[p[0]][1], 5) ^ simhash.fingerprint(texts[p[1]][1], 5)).bit_count() > 3 for p in links) > 20
+    assert any(0.7 < s < 0.8 for s in scores.values())
+    group, least = groups(len(texts), links), {}
+    for g, (d, _) in zip(group, texts, strict=True):
+        least[g] = min(least.get(g, d), d)
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert sorted((r.doc_id, r.component) for r in resemblance.near_duplicates(df.filter("doc_id IS NOT NULL")).collect()) == sorted((d, least[g]) for g, (d, _) in zip(group, texts, strict=True))
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert sorted(d for d in kept if d is not None) == sorted(least.values()) and kept.count(None) == 1
