@@ -137,18 +137,18 @@ def _scan(docs: DataFrame, window: int, reach: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("text").cast("string")).mapInArrow(run, _SCAN_DDL)
 
 
-def find_personal_data(docs: DataFrame, window: int = 4, reach: int = 120, support: int = 3, share: float = 0.9) -> DataFrame:
+def find_personal_data(docs: DataFrame, window: int = 4, reach: int = 120, share: float = 0.9) -> DataFrame:
     """doc_id, key (hash of the text), n_email .. n_phone, base and spans (kind:start:end, comma-joined; terms last).
 
-    A term is reported where it stands within ``window`` terms of an entity's span and PMI(t; e) >= ``share`` * IC(e),
-    with at least ``support`` documents holding both. Null texts are empty. Rows that repeat are counted and returned
+    A term is reported where it stands within ``window`` terms of an entity's span and PMI(t; e) >= ``share`` * IC(e);
+    one document that holds both is enough. Null texts are empty. Rows that repeat are counted and returned
     as often as they occur. Hashes of 64 bits stand for terms and entities in the counts.
     """
     scan = materialise(_scan(docs, window, reach), "pii-scan")
     rows = scan.filter("term IS NULL").drop("term", "df")
     total = rows.count()
     near = rows.filter("size(near) > 0").select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.*")
-    pairs = near.groupBy("e", "t").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
+    pairs = near.groupBy("e", "t").agg(F.count("*").alias("n_te"))
     n_e = rows.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     n_t = scan.filter("term IS NOT NULL").groupBy(F.col("term").alias("t")).agg(F.sum("df").alias("n_t"))
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))

@@ -198,6 +198,16 @@ def test_disclosing_terms(spark):
     assert clean[1] == "Ask [TERM] [TERM] at [EMAIL] about the second report" and clean[10] == rows[4][1] and clean[99] is None
 
 
+def test_an_entity_of_one_document_has_disclosing_terms(spark):
+    rows = [(1, "ask Quentin Zweig at q.zweig@corp.example", "en", "s", 1)]
+    rows += [(10 + i, "please ask about the house at noon", "en", "s", 1) for i in range(12)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    assert got[1].spans == "email:21:41,term:4:11,term:12:17"
+    assert all(got[10 + i].spans == "" for i in range(12))
+    assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[1] == "ask [TERM] [TERM] at [EMAIL]"
+
+
 def test_personal_data_edge_tables(docs, no_docs, wide_docs):
     assert pii.find_personal_data(no_docs).count() == 0
     assert pii.sanitise(no_docs).count() == 0
