@@ -106,6 +106,13 @@ def test_lsh_recall(spark):
     assert len(exact & {(r.qid, r.chunk_id) for r in dense.lsh_top_k(asked, rows, 5, tables=24, bits=4).collect()}) / len(exact) > 0.8
 
 
+def test_lsh_recall_of_the_registered_query(spark):
+    import __spark_entry__ as entry
+
+    found, exact = ({(r.qid, r.chunk_id) for r in entry.queries()[name](spark, "/root/testdata/sf0.001").collect()} for name in ("ann_lsh_topk", "cosine_topk"))
+    assert len(found & exact) / len(exact) >= 0.9
+
+
 WIKI = """{{XC1 enemy data|lv=12|hp = 300 <ref>x</ref>|place={{XC1|Colony 9|the colony}}|third}}
 '''Bunnit''' lives in {{XC1|Colony 9}} [[File:a.png|thumb]] and [[Plains|the plains]].<ref name=a /> <!-- no -->
 
