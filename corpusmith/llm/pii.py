@@ -1,10 +1,10 @@
 """Personal data by patterns, and terms that reveal it by corpus co-occurrence.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. Each distinct value is a protected
-entity. A term t near an entity e discloses pointwise information PMI(t; e) = log2(n_te N / (n_t n_e)) of the
+entity. A term t in the documents of an entity e discloses pointwise information PMI(t; e) = log2(n_te N / (n_t n_e)) of the
 IC(e) = log2(N / n_e) bits that identify it (Sanchez and Batet's information-theoretic sanitisation), all four counts
-being documents of the whole corpus. Terms above a share of IC(e) are reported as further spans, and generalised to
-their kind in ``sanitise``. A document without a base span never gets a further one.
+being documents of the whole corpus and their whole texts. Every occurrence of a term above a share of IC(e) is
+reported as a further span, with or without the entity beside it, and generalised to its kind in ``sanitise``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from .common import bound_batches, column, materialise, release_worker_cache
 KINDS = ("email", "ip", "card", "phone")
 #: Document frequencies that a task holds before it sends them on.
 FLUSH = 400_000
+#: Bits of the filter of flagged terms (1 MB), and terms that a task remembers of it.
+FILTER_BITS, KNOWN = 1 << 23, 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -78,37 +81,36 @@ def _signed(data: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _terms_near(text: str, spans: list[tuple[str, int, int]], reach: int, window: int) -> list[dict]:
-    """For each entity and term within ``window`` terms of one of its spans: their hashes and the term's spans.
-    ``reach`` characters on each side are searched; terms inside base spans are not terms."""
+def _entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """The distinct protected values of the spans, hashed."""
+    values = {(kind, text[s:e].lower() if kind in ("email", "ip") else "".join(_DIGITS.findall(text[s:e]))) for kind, s, e in spans}
+    return sorted({_signed(f"{kind}:{value}") for kind, value in values})
+
+
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) over the whole text; terms that touch base spans are not terms."""
     inside = sorted((s, e) for _, s, e in spans)
-    found: dict[tuple[int, int], set[tuple[int, int]]] = {}
-    for kind, start, end in spans:
-        value = text[start:end].lower() if kind in ("email", "ip") else "".join(_DIGITS.findall(text[start:end]))
-        entity = _signed(f"{kind}:{value}")
-        low = max(0, start - reach)
-        while low and low < start and not text[low - 1].isspace():  # no half words
-            low += 1
-        before = list(_TERM.finditer(text, low, start))[-window:]
-        high = min(len(text), end + reach)
-        while high < len(text) and high > end and not text[high].isspace():
-            high -= 1
-        after = list(_TERM.finditer(text, end, high))[:window]
-        for m in (*before, *after):
-            if not any(s < m.end() and m.start() < e for s, e in inside):
-                found.setdefault((entity, _signed(m[0].lower())), set()).add(m.span())
-    return [{"e": e, "t": t, "at": sorted(f"{a}:{b}" for a, b in at)} for (e, t), at in found.items()]
-
-
-_SCAN = pa.schema(
-    [("doc_id", pa.int64()), ("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("entities", pa.list_(pa.int64())), ("near", pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("at", pa.list_(pa.string()))]))), ("term", pa.int64()), ("df", pa.int64())]
-)
-_SCAN_DDL = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, near array<struct<e: long, t: long, at: array<string>>>, term long, df long"
-
-
-def _scan(docs: DataFrame, window: int, reach: int) -> DataFrame:
-    """One pass over every text: a row per document, and rows (term, df) of each task's document frequencies."""
+    at = high = 0
+    for m in _TERM.finditer(text):
+        while at < len(inside) and inside[at][0] < m.end():
+            high = max(high, inside[at][1])
+            at += 1
+        if m.start() >= high:
+            yield m[0].lower(), m.start(), m.end()
+
+
+_SCAN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64())), ("term", pa.int64()), ("df", pa.int64())])
+_SCAN_DDL = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, terms array<long>, term long, df long"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("text").cast("string"))
+
+
+def _scan(docs: DataFrame) -> DataFrame:
+    """One pass over every text: a row per document, with its terms if it holds an entity, and rows (term, df) of each
+    task's document frequencies."""
 
     def flush(df: Counter) -> Iterator[pa.RecordBatch]:
         terms, counts = [_signed(t) for t in df], list(df.values())
@@ -124,39 +126,82 @@ def _scan(docs: DataFrame, window: int, reach: int) -> DataFrame:
             for doc_id, key, text in zip(column(frame, "doc_id"), column(frame, "key"), column(frame, "text"), strict=True):
                 text = text or ""
                 spans = base_spans(text)
-                near = _terms_near(text, spans, reach, window) if spans else []
+                terms = {t for t, _, _ in _terms(text, spans)} if spans else set(map(str.lower, _TERM.findall(text)))
                 n = Counter(k for k, _, _ in spans)
-                rows.append({"doc_id": doc_id, "key": key, **{f"n_{k}": n[k] for k in KINDS}, "base": joined(spans), "entities": sorted({x["e"] for x in near}), "near": near, "term": None, "df": None})
-                df.update(set(_TERM.findall(text.lower())))
+                rows.append({"doc_id": doc_id, "key": key, **{f"n_{k}": n[k] for k in KINDS}, "base": joined(spans), "entities": _entities(text, spans), "terms": sorted(map(_signed, terms)) if spans else [], "term": None, "df": None})
+                df.update(terms)
             yield pa.RecordBatch.from_pylist(rows, schema=_SCAN)
             if len(df) > FLUSH:
                 yield from flush(df)
         if df:
             yield from flush(df)
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("text").cast("string")).mapInArrow(run, _SCAN_DDL)
+    return _texts(docs).mapInArrow(run, _SCAN_DDL)
 
 
-def find_personal_data(docs: DataFrame, window: int = 4, reach: int = 120, share: float = 0.9) -> DataFrame:
+def _filter_of(flagged: DataFrame) -> bytes:
+    """FILTER_BITS bits, of fixed size whatever the input: those of the flagged terms' hashes are set."""
+    place = F.pmod("t", F.lit(FILTER_BITS))
+    words = flagged.groupBy(F.shiftright(place, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(t, 32)))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out.astype("<u4").tobytes()
+
+
+def _told(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """doc_id, key, terms: all spans of flagged terms, in every document. The filter lets few other terms through, and
+    the join drops those."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(flagged))
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("t", pa.int64()), ("at", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))])
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_cache()
+        bits, known = shared.value, {}
+        for frame in frames:
+            rows = []
+            for doc_id, key, text in zip(column(frame, "doc_id"), column(frame, "key"), column(frame, "text"), strict=True):
+                found: dict[int, list[dict]] = {}
+                maybe = {}
+                for term in set(map(str.lower, _TERM.findall(text or ""))):
+                    if (t := known.get(term)) is None:
+                        h = _signed(term)
+                        place = h % FILTER_BITS
+                        t = known[term] = (h,) if bits[place >> 3] >> (place & 7) & 1 else ()
+                    if t:
+                        maybe[term] = t[0]
+                if maybe:
+                    for term, start, end in _terms(text, base_spans(text)):
+                        if term in maybe:
+                            found.setdefault(maybe[term], []).append({"s": start, "e": end})
+                rows += [{"doc_id": doc_id, "key": key, "t": t, "at": at} for t, at in found.items()]
+                if len(known) > KNOWN:
+                    known.clear()
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    held = _texts(docs).mapInArrow(run, "doc_id long, key long, t long, at array<struct<s: long, e: long>>").dropDuplicates(["doc_id", "key", "t"])
+    told = held.join(flagged, "t").groupBy("doc_id", "key").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    return told.select(F.col("doc_id").alias("_cs_id"), F.col("key").alias("_cs_key"), F.array_join(F.transform("at", lambda x: F.concat(F.lit("term:"), x["s"], F.lit(":"), x["e"])), ",").alias("terms"))
+
+
+def find_personal_data(docs: DataFrame, share: float = 0.9) -> DataFrame:
     """doc_id, key (hash of the text), n_email .. n_phone, base and spans (kind:start:end, comma-joined; terms last).
 
-    A term is reported where it stands within ``window`` terms of an entity's span and PMI(t; e) >= ``share`` * IC(e);
-    one document that holds both is enough. Null texts are empty. Rows that repeat are counted and returned
-    as often as they occur. Hashes of 64 bits stand for terms and entities in the counts.
+    A term is reported wherever it stands, in any document, if PMI(t; e) >= ``share`` * IC(e) for some entity e; one
+    document that holds both is enough. Null texts are empty. Rows that repeat are counted and returned as often as
+    they occur. Hashes of 64 bits stand for terms and entities in the counts.
     """
-    scan = materialise(_scan(docs, window, reach), "pii-scan")
+    scan = materialise(_scan(docs), "pii-scan")
     rows = scan.filter("term IS NULL").drop("term", "df")
     total = rows.count()
-    near = rows.filter("size(near) > 0").select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.*")
-    pairs = near.groupBy("e", "t").agg(F.count("*").alias("n_te"))
-    n_e = rows.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    entities = rows.select(F.explode("entities").alias("e"), F.col("terms").alias("ts"))
+    n_e = entities.groupBy("e").agg(F.count("*").alias("n_e"))
+    # Dealt by the term once, which serves the count of pairs and the join with n_t.
+    pairs = entities.join(n_e, "e").select("e", "n_e", F.explode("ts").alias("t")).repartition("t").groupBy("t", "e").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"))
     n_t = scan.filter("term IS NOT NULL").groupBy(F.col("term").alias("t")).agg(F.sum("df").alias("n_t"))
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    flagged = pairs.join(n_e, "e").join(n_t, "t").filter(pmi >= F.lit(share) * F.log2(F.lit(float(total)) / F.col("n_e"))).filter(F.col("n_e") < total).select("e", "t")
-    told = near.join(flagged, ["e", "t"]).select("doc_id", "key", F.explode("at").alias("at")).groupBy("doc_id", "key").agg(F.collect_set("at").alias("at"))
-    ordered = F.array_sort(F.transform("at", lambda s: F.struct(F.split(s, ":")[0].cast("long").alias("s"), F.split(s, ":")[1].cast("long").alias("e"))))
-    told = told.select(F.col("doc_id").alias("_cs_id"), F.col("key").alias("_cs_key"), F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("term:"), x["s"], F.lit(":"), x["e"])), ",").alias("terms"))
-    out = rows.join(told, (F.col("key") == F.col("_cs_key")) & F.col("doc_id").eqNullSafe(F.col("_cs_id")), "left")
+    flagged = pairs.join(n_t, "t").filter(pmi >= F.lit(share) * F.log2(F.lit(float(total)) / F.col("n_e"))).filter(F.col("n_e") < total).select("t").distinct()
+    told = _told(docs, materialise(flagged, "pii-flagged"))
+    out = rows.drop("terms").join(told, (F.col("key") == F.col("_cs_key")) & F.col("doc_id").eqNullSafe(F.col("_cs_id")), "left")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "terms")
     return out.select("doc_id", "key", *[f"n_{k}" for k in KINDS], "base", spans.alias("spans"))
 

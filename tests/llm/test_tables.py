@@ -208,6 +208,18 @@ def test_an_entity_of_one_document_has_disclosing_terms(spark):
     assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[1] == "ask [TERM] [TERM] at [EMAIL]"
 
 
+def test_disclosing_terms_anywhere_in_the_corpus(spark):
+    filler = " ".join(["the house is by the river and people walk there"] * 8)
+    rows = [(1, f"Zweig wrote. {filler} q.zweig@corp.example {filler} ask zweig", "en", "s", 1), (2, f"Zweig works here. {filler} q.zweig@corp.example", "en", "s", 1), (3, f"we met zweig, {filler}", "en", "s", 1)]
+    rows += [(10 + i, filler, "en", "s", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    cut = lambda d, t: [t[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[d].spans.split(",") if s) if k == "term"]
+    assert cut(3, rows[2][1]) == ["zweig"] and got[3].base == ""
+    assert cut(1, rows[0][1]).count("Zweig") == cut(1, rows[0][1]).count("zweig") == 1
+    assert all(got[10 + i].spans == "" for i in range(400))
+
+
 def test_personal_data_edge_tables(docs, no_docs, wide_docs):
     assert pii.find_personal_data(no_docs).count() == 0
     assert pii.sanitise(no_docs).count() == 0
