@@ -177,9 +177,11 @@ def fit(words: dict[str, list[list[str]]], rounds: int = 30, rate: float = 0.25,
 
 def sample_words(docs: DataFrame, docs_each: int = SAMPLE_DOCS, words_each: int = SAMPLE_WORDS) -> dict[str, list[list[str]]]:
     """The bounded fitting sample: ``docs_each`` rows of each language by hash of the id, and of each text up to
-    ``words_each`` words in runs of SPAN from evenly spaced places. At most MAX_LANGUAGES languages, the commonest."""
+    ``words_each`` words in runs of SPAN from evenly spaced places. Raises if there are more than MAX_LANGUAGES languages."""
     named = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    langs = [r[0] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    langs = [r[0] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()]
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled; none is left out silently")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     picked = named.filter(F.col("lang").isin(langs)).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= docs_each).select("doc_id")
     ids = [r[0] for r in picked.distinct().collect()]  # at most MAX_LANGUAGES * docs_each

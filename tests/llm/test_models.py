@@ -59,6 +59,13 @@ def test_nothing_to_learn_gives_und(spark):
     assert langid.identify(df).first().lang_pred == "und"
 
 
+def test_no_language_is_left_out_silently(spark):
+    df = spark.createDataFrame([(i, "some text", f"l{i}", "s", 9) for i in range(langid.MAX_LANGUAGES + 1)], DOCS)
+    with pytest.raises(ValueError, match="languages"):
+        langid.sample_words(df)
+    assert len(langid.sample_words(df.filter("doc_id > 0"))) == langid.MAX_LANGUAGES
+
+
 def test_base_score_and_counts(spark, docs, no_docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
