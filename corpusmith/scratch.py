@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written by this process and not yet removed.
+_written: list[str] = []
+
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where
-    that is unset (local mode, tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Only in local mode, where there is one
+    machine, may it be unset: a temporary folder serves then, until the process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='corpusmith-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="corpusmith-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing. The table
+    stays until ``release`` as plans that read it may run at any time."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove every table that ``materialise`` wrote in this process and return their number. Call it when the results
+    that were made from them have been written or collected."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
