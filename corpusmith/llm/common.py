@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialise
 
+T = TypeVar("T")
+
 #: A word is a maximal run of bytes outside the six ASCII blanks; the same pattern in Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,9 +27,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bound what one Python worker holds at once. The settings are read when a plan runs, so they stay set."""
+    """Bound what one Python worker is handed at once. A session whose limits are looser gets these, the same for every
+    operator of this package, as plans read them when they run; tighter limits of the user's stay."""
     for key, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= value:
+            spark.conf.set(name, str(value))
+
+
+@contextmanager
+def gc_off() -> Iterator[None]:
+    """The garbage collector rests, as large tables are not garbage, and goes on as before afterwards."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def without_gc(frames: Iterable[T]) -> Iterator[T]:
+    """The frames, with the garbage collector at rest until the last one is done."""
+    with gc_off():
+        yield from frames
 
 
 _kept: dict[tuple, object] = {}
