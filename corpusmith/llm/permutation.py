@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors. A vector is represented by the order of its nearest pivots (largest inner
-product first, the first ``PREFIX`` of them), and posted in the inverted files of its first few pivots. A query opens
-the files of its own first pivots, ranks each file's entries by Spearman footrule distance between the orders, and
-reranks the best share of them by the exact inner product.
+Pivots are a bounded sample of the vectors. A vector is represented by the order of the pivots, largest inner product
+first, kept as each pivot's place in that order. Classes of equal vectors are dealt to blocks by hash, and a block
+posts each of its vectors in the inverted files of the vector's first ``POSTS`` pivots. A query opens the files of its
+own first ``PROBES`` pivots in every block; what the files hold is ranked once by Spearman footrule distance between
+the orders, and only the nearest by it are reranked by the exact inner product: about ``reranked(n)`` of n vectors, a
+share that falls with the square root of n.
 
 Equal vectors are posted once, with the smallest ids that could be asked for, so a vector that many rows repeat costs
-one entry. Files that are long are dealt to several tasks by salt, with the file's queries sent to each part.
+one entry. Blocks and slices of the queries are bounded, so a task holds at most ``PART`` entries and ``ASK`` queries.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,14 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Pivots (at most MAX_PIVOTS x dimensions doubles are sent to the tasks), and orders kept of each vector.
-PIVOTS, MAX_PIVOTS, PREFIX = 128, 4096, 40
-#: Files that a vector is posted in, files that a query opens, and the share of a file that is reranked.
-POSTS, PROBES, RERANK, LEAST = 4, 40, 0.5, 64
-#: Entries of a file that one task takes.
-PART = 20_000
-#: Vectors from which the number of pivots grows with the square root of the rows.
-GROW_FROM = 100_000
+#: Pivots: a place in the order is one byte.
+PIVOTS = 256
+#: Files that a vector is posted in, and files that a query opens.
+POSTS, PROBES = 8, 32
+#: Vectors reranked for a query: at least LEAST, and GROWTH times the square root of their number.
+LEAST, GROWTH = 400, 2.5
+#: Entries and queries of one task.
+PART, ASK = 8_000, 8_192
 
 
 def sound(embedding: str = "embedding"):
@@ -36,61 +39,59 @@ def sound(embedding: str = "embedding"):
     return F.col(embedding).isNotNull() & fine & F.exists(embedding, lambda x: x != 0)
 
 
-def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The first ``prefix`` pivots of each vector, nearest first."""
-    near = -(vectors @ pivots.T)
-    k = min(prefix, near.shape[1])
-    part = np.argpartition(near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(near), 1))
-    rank = np.lexsort((part, np.take_along_axis(near, part, 1)), axis=1)
-    return np.take_along_axis(part, rank, 1).astype(np.int16)
-
-
-def agreement(query: np.ndarray, entries: np.ndarray, n_pivots: int) -> np.ndarray:
-    """How far the footrule distance to each entry falls short of its maximum (halved).
-
-    With places beyond the prefix all counted as place l = prefix + 1, the footrule distance of two prefixes is
-    l (l - 1) - 2 * sum over shared pivots of min(l - place, l - other place)."""
-    l = entries.shape[1] + 1  # noqa: E741
-    weight = np.zeros(n_pivots, np.int16)
-    weight[query] = l - 1 - np.arange(len(query), dtype=np.int16)
-    own = (l - 1 - np.arange(entries.shape[1], dtype=np.int16))[None, :]
-    return np.minimum(weight[entries], own).sum(axis=1, dtype=np.int32)
-
-
-def _search_file(entries: pd.DataFrame, queries: pd.DataFrame, top: int, n_pivots: int, share: float) -> list[np.ndarray]:
-    """Candidates of one file part: arrays of (query class, entry class, score)."""
-    dims = len(queries["vec"].iloc[0]) // 4
-    of = lambda s, kind, width: np.frombuffer(b"".join(s), kind).reshape(len(s), width)
-    vectors = of(entries["vec"], np.float32, dims).astype(np.float64)
-    wanted = of(queries["vec"], np.float32, dims).astype(np.float64)
-    theirs, asked = (of(x["ord"], np.int16, len(x["ord"].iloc[0]) // 2) for x in (entries, queries))
-    ids, qids = entries["cls"].to_numpy(), queries["cls"].to_numpy()
-    out = []
-    for i in range(len(qids)):
-        keep = max(LEAST, top, int(share * len(ids)))
-        if keep < len(ids):
-            near = agreement(asked[i], theirs, n_pivots)
-            best = np.argpartition(-near, keep - 1)[:keep]
-        else:
-            best = np.arange(len(ids))
-        scores = np.einsum("ij,j->i", vectors[best], wanted[i])
-        if len(best) > top:  # all that tie with the last of the top stay
-            edge = np.partition(scores, len(scores) - top)[len(scores) - top]
-            hit = scores >= edge
-            best, scores = best[hit], scores[hit]
-        out.append(np.stack([np.full(len(best), qids[i]), ids[best], scores.view(np.int64)], axis=1))
+def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The place of each pivot (column) in the order of each vector (row), nearest first; ties to the first pivot."""
+    order = np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")
+    out = np.empty(order.shape, np.uint8)
+    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.uint8)[None, :], axis=1)
     return out
 
 
-def search(vectors: DataFrame, is_query, top: int = 20, pivots: int = PIVOTS, posts: int = POSTS, probes: int = PROBES, share: float = RERANK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def footrule(entries: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Spearman footrule distance of each entry's order to the query's: how far the pivots' places lie apart in all."""
+    return (np.maximum(entries, query) - np.minimum(entries, query)).sum(axis=1, dtype=np.uint32)
+
+
+def reranked(n: int) -> int:
+    """How many of ``n`` vectors are compared exactly with a query."""
+    return max(LEAST, math.ceil(GROWTH * math.sqrt(n)))
+
+
+def search_block(vectors: np.ndarray, entries: np.ndarray, asked: np.ndarray, orders: np.ndarray, top: int, keep: int, posts: int, probes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the block's best by footrule, as places in the block, and their exact inner products: the ``top``
+    and all that tie with the last of them. Files that hold fewer than ``keep`` vectors are made up for by the others."""
+    n = len(vectors)
+    row, pivot = np.nonzero(entries < posts)
+    files = np.split(row[np.argsort(pivot, kind="stable")], np.cumsum(np.bincount(pivot, minlength=entries.shape[1]))[:-1])
+    for i in range(len(asked)):
+        hit = np.zeros(n, bool)
+        for file in np.flatnonzero(orders[i] < probes).tolist():
+            hit[files[file]] = True
+        found = np.flatnonzero(hit)
+        if len(found) < keep:
+            found = np.arange(n)
+        if len(found) > keep:
+            found = found[np.argpartition(footrule(entries[found], orders[i]), keep - 1)[:keep]]
+        scores = np.einsum("ij,j->i", vectors[found], asked[i])
+        if len(found) > top:
+            good = scores >= np.partition(scores, len(scores) - top)[len(scores) - top]
+            found, scores = found[good], scores[good]
+        yield i, found, scores
+
+
+def _matrix(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
+def search(vectors: DataFrame, is_query, top: int = 20, pivots: int = PIVOTS, posts: int = POSTS, probes: int = PROBES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's nearest other rows by inner product, ties to smaller ids.
 
     ``is_query`` is a condition on the rows. Vectors that are null, zero, or hold null or non-finite components take no
     part; neither do rows without an id. Of rows that repeat an id each is a candidate; a query never finds its own id.
-    A table without sound vectors gives no rows. All vectors must have one length.
+    A table without sound vectors gives no rows. All vectors must have one length. At most 256 pivots.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), is_query.alias("q")).filter(sound("vec") & F.col("id").isNotNull())
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("q")).filter(sound("vec") & F.col("id").isNotNull())
     rows = materialise(rows.withColumn("h", F.xxhash64("vec")), "perm-rows")
     # Classes of equal vectors, each with the ids that a top list could need: the smallest top + 1.
     small = Window.partitionBy("vec").orderBy("id")
@@ -98,44 +99,42 @@ def search(vectors: DataFrame, is_query, top: int = 20, pivots: int = PIVOTS, po
     classes = heads.groupBy("vec").agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("ids"), F.first("h").alias("h"))
     classes = materialise(classes, "perm-classes")
     n = classes.count()
-    if n > GROW_FROM:
-        pivots = min(MAX_PIVOTS, int(pivots * (n / GROW_FROM) ** 0.5))
-    chosen = [r[0] for r in classes.orderBy("h", "cls").limit(pivots).select("vec").collect()]  # at most MAX_PIVOTS
+    chosen = [r[0] for r in classes.orderBy("h", "cls").limit(min(256, pivots)).select("vec").collect()]
     if not chosen:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    base = np.array(chosen, np.float64)
-    posts, probes, n_pivots = min(posts, PREFIX, len(base)), min(probes, PREFIX, len(base)), len(base)
-    shared = spark.sparkContext.broadcast(base)
-
-    def placer(files: int):
-        def place(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if len(frame):
-                    x = np.stack(frame["vec"].to_numpy()).astype(np.float32)
-                    order = orders(x.astype(np.float64), shared.value, PREFIX)
-                    for low in range(0, len(frame), 1000):
-                        part = slice(low, low + 1000)
-                        k = len(order[part])
-                        yield pd.DataFrame({"file": order[part, :files].ravel().astype(np.int32), "cls": np.repeat(frame["cls"].to_numpy()[part], files), "vec": np.repeat(np.array([v.tobytes() for v in x[part]], object), files), "ord": np.repeat(np.array([o.tobytes() for o in order[part]], object), files)}, index=range(k * files))
-
-        return place
-
-    ddl = "file int, cls long, vec binary, ord binary"
-    posted = classes.select("cls", "vec").mapInPandas(placer(posts), ddl)
-    asked = rows.filter("q").select("vec").distinct().join(classes.select("cls", "vec"), "vec").select("cls", "vec").mapInPandas(placer(probes), ddl)
-    posted = materialise(posted, "perm-posts")
-    sizes = {r[0]: r[1] for r in posted.groupBy("file").count().collect()}  # a number for each pivot
-    parts = F.create_map(*[F.lit(x) for f, c in sizes.items() for x in (int(f), max(1, -(-c // PART)))]) if sizes else F.create_map(F.lit(-1), F.lit(1))
-    posted = posted.withColumn("salt", F.pmod(F.xxhash64("cls"), F.coalesce(F.element_at(parts, F.col("file")), F.lit(1))).cast("int"))
-    asked = asked.filter(F.col("file").isin(list(map(int, sizes)))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("file")) - 1)))
+    shared = spark.sparkContext.broadcast(np.array(chosen, np.float64))  # at most 256 vectors
+    blocks = -(-n // PART)
+    share = reranked(n) / blocks  # of a block; its number among the nearest varies as a sum of chances does
+    keep = max(top + 1, math.ceil(share + (4 * math.sqrt(share) + 4 if blocks > 1 else 0)))
+
+    def place(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["vec"].to_numpy()).astype(np.float64)
+                yield pd.DataFrame({"cls": frame["cls"], "vec": [v.tobytes() for v in x], "ord": [o.tobytes() for o in places(x, shared.value)]})
+
+    ddl = "cls long, vec binary, ord binary"
+    block = F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(blocks)).cast("int")
+    posted = classes.select("cls", "vec").mapInPandas(place, ddl)
+    asked = rows.filter("q").select("vec").distinct().join(classes.select("cls", "vec"), "vec").select("cls", "vec").mapInPandas(place, ddl)
+    asked = materialise(asked, "perm-asked")
+    slices = max(1, -(-asked.count() // ASK))
+    posted = posted.withColumn("block", block).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    asked = asked.withColumn("slice", F.pmod(F.xxhash64("cls", F.lit(2)), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = np.concatenate(_search_file(entries, queries, top + 1, n_pivots, share)) if len(entries) and len(queries) else np.zeros((0, 3), np.int64)
-        return pd.DataFrame({"qcls": found[:, 0], "cls": found[:, 1], "score": found[:, 2].view(np.float64)})
-
-    met = posted.groupBy("file", "salt").cogroup(asked.groupBy("file", "salt")).applyInPandas(meet, "qcls long, cls long, score double")
+        out = []
+        if len(entries) and len(queries):
+            entries = entries.sort_values("cls")
+            ids, own = entries["cls"].to_numpy(), queries["cls"].to_numpy()
+            x, q = _matrix(entries["vec"], np.float64), _matrix(queries["vec"], np.float64)
+            for i, found, scores in search_block(x, _matrix(entries["ord"], np.uint8), q, _matrix(queries["ord"], np.uint8), top + 1, keep, posts, probes):
+                out.append(pd.DataFrame({"qcls": own[i], "cls": ids[found], "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"qcls": [], "cls": [], "score": []})
+
+    met = posted.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInPandas(meet, "qcls long, cls long, score double")
     best = Window.partitionBy("qcls").orderBy(F.desc("score"), "cls")
-    hits = met.groupBy("qcls", "cls").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= top + 1).drop("n")
+    hits = met.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= top + 1).drop("n")
     # A class stands for its ids; of a query class the top + 1 rows serve every one of its queries.
     hits = hits.join(classes.select("cls", "ids"), "cls").select("qcls", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("qcls").orderBy(F.desc("score"), "vec_id")
