@@ -68,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_permutation_index, op2_edit_aware_counts, op3_crf_language, op4_tiff_media, op5_range_coded_ids, op6_simhash_ball, op7_context_mixing_lm, op8_bpe_transducer, op9_low_discrepancy_mix, op10_disclosing_terms, pipeline)
 }
 
-ORACLES: dict[str, str] = {"op9_low_discrepancy_mix": mixing.MIX_SQL.format(docs="documents")}
+ORACLES: dict[str, str] = {"op9_low_discrepancy_mix": mixing.mix_sql()}

@@ -1,6 +1,7 @@
 """TIFF pages, source mixing, personal data, and the pipeline."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -113,10 +114,11 @@ def test_mix_against_brute_force_and_sql(docs, block):
     assert all(abs(taken[s] - target[s]) < 1 for s in sizes)
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
-    want = con.execute(mixing.MIX_SQL.format(docs="documents")).fetchall()
-    key = lambda r: tuple((x is None or x != x, 0 if x is None or x != x else x) for x in (r[0], r[1], r[4]))
-    mine = sorted(got[["doc_id", "size", "source_size", "target", "taken"]].itertuples(index=False), key=key)
-    assert [(r[1], r[4]) for r in mine] == [(r[1], r[4]) for r in sorted(want, key=key)]
+    want = con.execute(mixing.mix_sql(block=block)).fetchall()
+    key = lambda r: tuple((x is None or x != x, 0 if x is None or x != x else x) for x in (r[0], r[1], r[4], r[6], r[7]))
+    mine = sorted(got[["doc_id", "size", "source_size", "target", "taken", "source", "first_slot", "n_slots"]].itertuples(index=False), key=key)
+    assert list(map(key, mine)) == [key(r) for r in sorted(want, key=key)]
+    assert all((r.first_slot >= 0) == (r.taken > 0) == (r.n_slots > 0) for r in got.itertuples())
 
 
 def test_mix_schedule_interleaves(docs, no_docs):
@@ -127,12 +129,13 @@ def test_mix_schedule_interleaves(docs, no_docs):
         by[r.sid].append(r)
     for own in by.values():
         assert [r["rank"] for r in own] == list(range(len(own)))
-    # Low discrepancy: in every prefix each source is near its share.
-    seen, n = defaultdict(int), 0
+    # Low discrepancy: in every run of slots from the first each source is within a logarithm of its target's share.
+    target = {r.sid: r.target for r in placed.select("sid", "target").distinct().collect()}
+    seen, total = defaultdict(int), sum(target.values())
     for r in rows[: len(rows) // 2]:
-        n += 1
         seen[r.sid] += 1
-        assert abs(seen[r.sid] - n * len(by[r.sid]) / len(rows)) < 0.15 * len(rows) + 12
+        n = r.slot + 1
+        assert abs(seen[r.sid] - n * target[r.sid] / total) <= 3 + 3.53 * math.log(n + 1)
     assert mixing.mix_sources(no_docs).count() == 0
     assert mixing.repeat_documents(no_docs).count() == 0
     pieces = mixing.mixed_pieces(docs, block=16).collect()
@@ -255,7 +258,7 @@ def test_pipeline_against_its_stages_done_plainly(spark, tmp_path):
     import pandas as pd
 
     con.register("documents", pd.DataFrame({"doc_id": list(clean), "text": list(clean.values()), "source": [sources[d] for d in clean]}))
-    times = {r[0]: -(-r[4] // r[1]) for r in con.execute(mixing.MIX_SQL.format(docs="documents")).fetchall() if r[4] > 0}
+    times = {r[0]: -(-r[4] // r[1]) for r in con.execute(mixing.mix_sql()).fetchall() if r[4] > 0}
     import public_tokenizers
 
     own = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
