@@ -15,7 +15,6 @@ complete so far.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -26,11 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, column, worker_cache
+from .common import bound_batches, column, without_gc, worker_cache
 
 #: What a worker keeps before it starts anew: states, joint checks, and the outputs of short pre-tokens.
 MAX_STATES, MAX_PAIRS, MAX_WORDS, WORD_BYTES = 120_000, 200_000, 300_000, 48
 LEARN = 8
+#: The pattern under which single blanks may be cut at (see Codec); texts are split as a whole by any other.
+BLANK_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -240,14 +241,14 @@ class _OtherBlanks(Exception):
 class Codec:
     """Text to ids and back, with the outputs of what stands between single blanks kept.
 
-    A text whose blanks are single spaces and line ends between other characters is cut there: the pattern never joins
-    characters across such a blank, a space goes with what follows it and a line end stands alone. Any other text is
-    split by the pattern as a whole."""
+    Under the pattern BLANK_CUT, a text whose blanks are single spaces and line ends between other characters is cut there: the pattern never joins
+    characters across such a blank, a space goes with what follows it and a line end stands alone. Any other text,
+    and every text under another pattern, is split by the pattern as a whole."""
 
     def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)
         self.machine, self.pattern = Transducer(ranks), regex.compile(pattern)
-        self.bytes_of = self.machine.bytes_of
+        self.bytes_of, self.cut_blanks = self.machine.bytes_of, pattern == BLANK_CUT
         self.known: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
@@ -284,6 +285,8 @@ class Codec:
         """All ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self.cut_blanks:
+            return self._whole(text)
         plain, spaced, make, parts = self.plain, self.spaced, self._word, []
         try:
             for line in text.split("\n"):
@@ -329,8 +332,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digest: bool = Fa
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        gc.disable()  # the machine's many small tuples hold no cycles; scanning them would double the time
-        for frame in frames:
+        for frame in without_gc(frames):  # the machine's many small tuples hold no cycles; scanning them would double the time
             counts, first, second = [], [], []
             for text in column(frame, "text"):
                 ids = own.encode(text or "")

@@ -87,6 +87,11 @@ def _entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
     return sorted({_signed(f"{kind}:{value}") for kind, value in values})
 
 
+def term_of(word: str) -> str:
+    """A word in lower case, the same wherever it stands (the lower form of a whole text depends on neighbours)."""
+    return word.lower()
+
+
 def _terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) over the whole text; terms that touch base spans are not terms."""
     inside = sorted((s, e) for _, s, e in spans)
@@ -96,7 +101,7 @@ def _terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str,
             high = max(high, inside[at][1])
             at += 1
         if m.start() >= high:
-            yield m[0].lower(), m.start(), m.end()
+            yield term_of(m[0]), m.start(), m.end()
 
 
 _SCAN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64())), ("term", pa.int64()), ("df", pa.int64())])
@@ -126,7 +131,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             for doc_id, key, text in zip(column(frame, "doc_id"), column(frame, "key"), column(frame, "text"), strict=True):
                 text = text or ""
                 spans = base_spans(text)
-                terms = {t for t, _, _ in _terms(text, spans)} if spans else set(map(str.lower, _TERM.findall(text)))
+                terms = {t for t, _, _ in _terms(text, spans)} if spans else set(map(term_of, _TERM.findall(text)))
                 n = Counter(k for k, _, _ in spans)
                 rows.append({"doc_id": doc_id, "key": key, **{f"n_{k}": n[k] for k in KINDS}, "base": joined(spans), "entities": _entities(text, spans), "terms": sorted(map(_signed, terms)) if spans else [], "term": None, "df": None})
                 df.update(terms)
@@ -162,7 +167,7 @@ def _told(docs: DataFrame, flagged: DataFrame) -> DataFrame:
             for doc_id, key, text in zip(column(frame, "doc_id"), column(frame, "key"), column(frame, "text"), strict=True):
                 found: dict[int, list[dict]] = {}
                 maybe = {}
-                for term in set(map(str.lower, _TERM.findall(text or ""))):
+                for term in set(map(term_of, _TERM.findall(text or ""))):
                     if (t := known.get(term)) is None:
                         h = _signed(term)
                         place = h % FILTER_BITS

@@ -353,7 +353,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = 2, bucket_docs: int = 81
 def read_tokens(files: DataFrame, digest: bool = False) -> DataFrame:
     """The documents of the files in order: doc_id, start (ids of all documents before), n_tokens, and the ids (binary,
     little-endian u32) or, with ``digest``, their CRC-32. A file that fails a checksum fails the job."""
-    bound_batches(files.sparkSession, rows=4)
+    bound_batches(files.sparkSession)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:

@@ -24,7 +24,7 @@ PLAIN, LZW, DEFLATE_OLD, DEFLATE, PACKBITS = 1, 5, 32946, 8, 32773
 #: Field types of the format: struct code and bytes.
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d"}
 #: Bounds on what a damaged header may make the reader allocate.
-MAX_PIXELS, MAX_PAGES = 1 << 28, 1 << 16
+MAX_PIXELS = 1 << 28
 
 
 def packbits(data: bytes) -> bytes:
@@ -239,7 +239,7 @@ def read(data: bytes) -> Iterator[Page]:
     if order is None:
         raise ValueError("not a TIFF file")
     (at,), seen = struct.unpack_from(f"{order}I", data, 4), set()
-    while at and len(seen) < MAX_PAGES:
+    while at:
         if at in seen:
             raise ValueError("directories form a loop")
         seen.add(at)
@@ -274,9 +274,10 @@ def decode_pages(files: DataFrame, content: str = "content", key: str = "path")
     (row by row, native order), pixels_sha256, feature (difference hash) and error.
 
     A null or damaged file gives its readable pages and one row with page null and the error; repeated files are
-    decoded as often as they occur.
+    decoded as often as they occur. Other columns are not read; an empty table gives no rows. A file's pages are as
+    many as its directories; they are sent on one by one.
     """
-    bound_batches(files.sparkSession, rows=64)
+    bound_batches(files.sparkSession)
     kind = files.schema[key].dataType.simpleString()
     names = [part.strip().split()[0] for part in _PAGE_DDL.split(",")]
 
@@ -320,7 +321,8 @@ _TEXT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_by
 def texts_as_tiff(docs: DataFrame) -> DataFrame:
     """Store every whole text as a deflated TIFF with the horizontal predictor, read the bytes back, and describe both.
 
-    Null texts are empty and stored as one row of zeros. feature: the difference hash of each page, joined by commas.
+    Null texts are empty and stored as one row of zeros. Repeated rows give repeated results, other columns are not read,
+    and an empty table gives no rows. feature: the difference hash of each page, joined by commas.
     """
     bound_batches(docs.sparkSession)
 

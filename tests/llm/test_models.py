@@ -2,7 +2,7 @@
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
@@ -59,11 +59,68 @@ def test_nothing_to_learn_gives_und(spark):
     assert langid.identify(df).first().lang_pred == "und"
 
 
-def test_no_language_is_left_out_silently(spark):
-    df = spark.createDataFrame([(i, "some text", f"l{i}", "s", 9) for i in range(langid.MAX_LANGUAGES + 1)], DOCS)
-    with pytest.raises(ValueError, match="languages"):
-        langid.sample_words(df)
-    assert len(langid.sample_words(df.filter("doc_id > 0"))) == langid.MAX_LANGUAGES
+def test_a_long_text_is_one_chain():
+    """Posteriors and expected moves of 10,000 words, cut into pieces, are those of the uncut chain."""
+    r = np.random.default_rng(5)
+    for k in (2, 6):
+        table, moves = 2 * r.normal(size=(60, k)), 2 * r.normal(size=(k, k))
+        counts = np.array([1, 0, 52, 48, 49, 10_000, 96, 3])
+        flat, pairs, want_pairs, at = r.integers(0, 60, counts.sum()), np.zeros((k, k)), np.zeros((k, k)), 0
+        post = langid.chains(table, flat, counts, moves, pairs)
+        for n in counts:
+            if n:
+                want = langid.marginals(table[flat[at : at + n]][:, None, :], moves, np.ones((n, 1), bool), pairs=want_pairs)
+                assert np.allclose(post[at : at + n], want[:, 0], atol=1e-9)
+            at += n
+        assert np.allclose(pairs, want_pairs) and abs(pairs.sum() - np.maximum(counts - 1, 0).sum()) < 1e-6
+
+
+def test_expected_moves_equal_enumeration():
+    r = np.random.default_rng(9)
+    scores, moves, got, want, total = r.normal(size=(4, 1, 3)), r.normal(size=(3, 3)), np.zeros((3, 3)), np.zeros((3, 3)), 0.0
+    langid.marginals(scores, moves, np.ones((4, 1), bool), pairs=got)
+    for path in product(range(3), repeat=4):
+        weight = math.exp(sum(scores[i, 0, y] for i, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:], strict=False)))
+        total += weight
+        for a, b in zip(path, path[1:], strict=False):
+            want[a, b] += weight
+    assert np.allclose(got, want / total)
+
+
+def test_seventy_languages_are_all_learned(spark):
+    r = np.random.default_rng(1)
+    words = [["".join(chr(97 + x) for x in r.integers(0, 26, 6)) for _ in range(12)] for _ in range(70)]
+    rows = [(70 * i + j, " ".join(r.choice(words[j], 20)), f"l{j:02}", "s", 9) for i in range(8) for j in range(70)]
+    got = langid.identify(spark.createDataFrame(rows, DOCS)).collect()
+    langs = {d: lang for d, _, lang, *_ in rows}
+    assert len({g.lang_pred for g in got}) == 70
+    assert sum(g.lang_pred == langs[g.doc_id] for g in got if g.held_out) > 0.9 * sum(g.held_out for g in got)
+
+
+def test_words_of_code_switched_text_are_labelled(spark, docs, no_docs):
+    model = langid.fit(langid.sample_words(docs))
+    text = " ".join(LEXICON["de"][:10] + ["12"] + LEXICON["fr"][:10])
+    mixed = spark.createDataFrame([(1, text), (2, None), (3, ""), (1, text)], "doc_id long, text string")
+    got = sorted(((r.doc_id, [tuple(w) for w in r.words]) for r in langid.label_words(mixed, model).collect()), key=lambda r: r[0])
+    assert [len(w) for _, w in got] == [21, 21, 0, 0] and got[0] == got[1]
+    assert [w for w, _, _ in got[0][1]] == text.split() and got[0][1][10][1:] == ("und", 0.0)
+    assert [x for _, x, _ in got[0][1]][:8] == ["de"] * 8 and [x for _, x, _ in got[0][1]][13:] == ["fr"] * 8
+    assert langid.label_words(no_docs, model).count() == 0
+
+
+def test_the_sample_is_bounded_by_rows_and_keeps_whole_texts(spark):
+    rows = [(i, f"w{i} " * 500, f"l{i % 3}", "s", 9) for i in range(90)] + [(None, "no id", "l0", "s", 1)] * 5
+    got = langid.sample_words(spark.createDataFrame(rows, DOCS), docs_each=7)
+    assert sorted(got) == ["l0", "l1", "l2"] and all(len(v) <= 7 and all(len(t) in (500, 2) for t in v) for v in got.values())
+    again = langid.sample_words(spark.createDataFrame(rows[::-1], DOCS).repartition(4), docs_each=7)
+    assert again == got
+
+
+def test_a_document_without_a_clear_language_goes(spark):
+    rows = make_docs(120, seed=8)
+    df = spark.createDataFrame(rows, DOCS)
+    assert langid.keep_identified(df, least=1.01).count() == 0
+    assert langid.keep_identified(spark.createDataFrame([(1, "some text", None, "s", 9)], DOCS)).count() == 0
 
 
 def test_base_score_and_counts(spark, docs, no_docs):
@@ -151,11 +208,55 @@ def test_search_of_little_and_nothing(spark):
     assert permutation.search(spark.createDataFrame([], ddl), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_footrule_agreement():
+def test_footrule_distance():
     r = np.random.default_rng(3)
-    q, e = r.permutation(20)[:6].astype(np.int16), np.stack([r.permutation(20)[:6] for _ in range(30)]).astype(np.int16)
-    got = permutation.agreement(q, e, 20)
-    for row, value in zip(e, got, strict=True):
-        place = lambda order, p: list(order).index(p) + 1 if p in order else 7
-        foot = sum(abs(place(q, p) - place(row, p)) for p in range(20))
-        assert foot == 7 * 6 - 2 * value
+    x, pivots = r.normal(size=(30, 8)), r.normal(size=(20, 8))
+    order = permutation.places(x, pivots)
+    for row, v in zip(order, x, strict=True):
+        assert [int(p) for p in np.argsort(row)] == sorted(range(20), key=lambda p: -(v @ pivots[p]))
+    got = permutation.footrule(order, order[0])
+    assert got.tolist() == [sum(abs(int(a) - int(b)) for a, b in zip(order[0], row, strict=True)) for row in order] and got[0] == 0
+
+
+def recall(spark, df, every):
+    """Recall at 20 and exact products a query, as a share of the candidates, against brute force."""
+    found = defaultdict(set)
+    for r in permutation.search(df, F.col("vec_id") % every == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    rows = df.select("vec_id", "embedding").toArrow()
+    ids, x = rows.column(0).to_numpy(), np.stack(rows.column(1).to_numpy()).astype(np.float64)
+    at = {int(d): i for i, d in enumerate(ids.tolist())}
+    hit = 0
+    for q in found:
+        s = x @ x[at[q]]
+        s[at[q]] = -np.inf
+        hit += len(found[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    return hit / (20 * len(found))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_given_tables(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    assert recall(spark, df, 20) >= 0.95
+
+
+def test_recall_and_work_on_a_large_table(spark, tmp_path):
+    """200,000 vectors of many blocks, made as label means and noise; a hundredth of them is compared exactly."""
+    r, n = np.random.default_rng(2), 200_000
+    centres = 0.03 * r.normal(size=(10, 64))
+    x = centres[r.integers(10, size=n)] + 0.125 * r.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.astype(np.float32).ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    assert recall(spark, spark.read.parquet(str(tmp_path / "v.parquet")), 5000) >= 0.95
+    assert permutation.reranked(2000) <= 0.2 * 2000 and permutation.reranked(n) < 0.01 * n
+
+
+def test_scores_are_of_the_original_doubles(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(60, 8)) + 1e-9 * r.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for row in permutation.search(df, F.col("vec_id") % 20 == 0).collect():
+        assert row.score == np.einsum("j,j->", x[row.query_id], x[row.vec_id]) or abs(row.score - x[row.query_id] @ x[row.vec_id]) < 1e-14
