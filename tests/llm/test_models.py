@@ -136,35 +136,120 @@ def test_base_score_and_counts(spark, docs, no_docs):
     assert mixlm.score_documents(no_docs).count() == 0
 
 
-def test_tail_tokens_are_counted_by_the_join(docs, monkeypatch):
-    want = sorted((r.n_known, round(r.base_score, 6)) for r in mixlm.score_documents(docs).collect())
-    monkeypatch.setattr(mixlm._head, "__defaults__", (10,))
-    assert sorted((r.n_known, round(r.base_score, 6)) for r in mixlm.score_documents(docs).collect()) == want
-
-
-def test_decisions_are_a_code():
-    codes = mixlm.make_codes([("the", 9), ("a", 4), ("", 3)], 5)
-    start, nodes, bits = codes.word_code
-    paths = ["".join(map(str, bits[start[i] : start[i + 1]].tolist())) for i in range(4)]
-    assert abs(sum(2.0 ** -len(p) for p in paths) - 1) < 1e-12 and len(set(paths)) == 4
-    start, nodes, bits = codes.byte_code
-    assert abs(sum(2.0 ** -(b - a) for a, b in zip(start, start[1:], strict=False)) - 1) < 1e-9
-
-
-def test_model_is_a_distribution_over_one_word(spark):
-    """Over all next tokens of the head and the escape, probabilities sum to one."""
-    docs = spark.createDataFrame([(i, "red green blue red", "en", "s", 1) for i in range(20)], DOCS)
-    model, _ = mixlm.train(docs)
-    chance = lambda word: 10 ** model.score([[word]], [model.codes.ids([word])])[0]
-    assert 0 < chance(b"red") < 1
-    known = sum(map(chance, model.codes.words))
-    assert known < 1.0001
-
-
-def test_learned_text_scores_higher_than_base_on_held_out(spark):
-    rows = make_docs(400, seed=11)
-    found = [r for r in mixlm.score_documents(spark.createDataFrame(rows, DOCS)).collect() if r.held_out and r.n_tokens > 20]
-    assert sum(r.score for r in found) > 1.2 * sum(r.base_score for r in found)  # scores are negative
+def plainly_told(rows, held):
+    """Shares, codes and spelled words of each document, token by token with dictionaries."""
+    texts = [mixlm.tokens(t) for _, t in rows]
+    grams = lambda x, n: [tuple((["<"] * 2 + x)[i - n + 3 : i + 3]) for i in range(len(x))]
+    counts = [Counter(), Counter(), Counter()]
+    for (d, _), x in zip(rows, texts, strict=True):
+        for n in (1, 2, 3):
+            counts[n - 1].update(grams(x, n) if not held(d) else [])
+    total, n_docs, out = sum(counts[0].values()), sum(not held(d) for d, _ in rows), []
+    for (d, _), x in zip(rows, texts, strict=True):
+        own = [Counter(grams(x, n)) if not held(d) else Counter() for n in (1, 2, 3)]
+        past, share, codes, spelled, levels, c = [Counter(), Counter(), Counter()], 0.0, [], [], [3, 3], [0, 0, 0]
+        for i in range(len(x)):
+            one = c[0] if i else n_docs - (not held(d))
+            two = c[1] if i else 0
+            every = max(1, total - (0 if held(d) else len(x)) + i)
+            c = [counts[n][g] - own[n][g] + past[n][g] for n in range(3) for g in [grams(x[: i + 1], n + 1)[i]]]
+            level = 3
+            for order, seen, context, shorter in ((2, c[2], two, one), (1, c[1], one, two), (0, c[0], every, one)):
+                if context:
+                    size = lambda v, most: min(most, int(math.log2(max(1, v))))
+                    codes.append((seen > 0) + 2 * order + 8 * size(context, 15) + 128 * size(shorter, 7) + 1024 * (4 * levels[-1] + levels[-2]))
+                    if seen:
+                        share += math.log10(seen / context)
+                        level = order
+                        break
+            if level == 3:
+                spelled.append(x[i] + b"\n")
+            levels.append(level)
+            for n in range(3):
+                past[n][grams(x[: i + 1], n + 1)[i]] += 1
+        out.append((round(share, 6), codes, b"".join(spelled)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "per_slice"), [(1 << 20, 1 << 20), (300, 500)])
+def test_what_tells_a_token_against_dictionaries(spark, monkeypatch, block, per_slice):
+    """In one block and slice, and in many of both."""
+    rows = [(r[0], r[1]) for r in make_docs(50, seed=13) if not (r[1] and len(r[1]) > 10_000)]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    monkeypatch.setattr(mixlm, "BLOCK", block)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blocks = mixlm.pack_blocks(df, mixlm.crc_mod(F.col("doc_id"), 7) == 2).cache()
+    total, n_docs = blocks.agg(F.sum("n_tokens"), F.sum("n_train")).first()
+    slices = max(1, 2 * total // per_slice)
+    assert (blocks.count() > 4) == (slices > 4) == (block == 300)
+    elsewhere = mixlm.count_elsewhere(blocks, slices)
+    types = elsewhere.agg(F.sum("types")).first()[0]
+    assert types == len({w for d, t in rows if not held(d) for w in mixlm.tokens(t)})
+    found = mixlm.describe(blocks, elsewhere, slices, total, types, n_docs).collect()
+    got = sorted((round(r.shares, 6), np.frombuffer(r.codes, "<u2").tolist(), bytes(r.spelled)) for r in found)
+    assert got == plainly_told(rows, held)
+
+
+def test_mixing_against_one_document_at_a_time():
+    r = np.random.default_rng(8)
+    x, gates, bits = r.normal(size=(4, 900)).astype(np.float32), r.integers(0, 3, 900), r.integers(0, 2, 900)
+    doc = np.sort(r.integers(0, 5, 900))
+    start = r.normal(size=(3, 4)) / 3
+    want = np.zeros(6)
+    for d in range(5):
+        w, own = start.copy(), np.flatnonzero(doc == d)
+        moves = np.zeros_like(w)
+        for i, j in enumerate(own):
+            if i and math.log2(i // mixlm.FIRST + 1) % 1 == 0 and i % mixlm.FIRST == 0:
+                w, moves = w + np.clip(mixlm.RATE * moves, -0.25, 0.25), np.zeros_like(w)
+            p = 1 / (1 + math.exp(-(w[gates[j]] @ x[:, j])))
+            want[d] += math.log(p if bits[j] else 1 - p)
+            moves[gates[j]] += (bits[j] - p) * x[:, j]
+    assert np.allclose(mixlm.mix(x, gates, bits, doc, 6, start), want, atol=1e-3)
+    assert not mixlm.mix(x[:, :0], gates[:0], bits[:0], doc[:0], 2, start).any()
+
+
+def test_spelled_bits_are_those_of_the_bytes():
+    raw = np.frombuffer("élan\nb\n".encode(), np.uint8)
+    slots, bits, owner = mixlm._spelled_bits(raw)
+    assert np.packbits(bits).tobytes() == raw.tobytes() and owner.tolist() == np.repeat(np.arange(len(raw)), 8).tolist()
+    again, _, _ = mixlm._spelled_bits(np.frombuffer("b\nélan\n".encode(), np.uint8))
+    assert all((a[:48] == b[16:]).all() and (a[48:] == b[:16]).all() for a, b in zip(slots, again, strict=True))  # words stand alone
+
+
+def test_a_spelled_word_has_a_probability(spark):
+    """Over all words of up to two letters of a small alphabet and the rest, chances sum to no more than one."""
+    docs = spark.createDataFrame([(i, f"red green blue {a}{b}") for i, (a, b) in enumerate(product("abc", "xyz"))], "doc_id long, text string")
+    blocks = mixlm.pack_blocks(docs, F.lit(False))
+    total, n = blocks.agg(F.sum("n_tokens"), F.sum("n_train")).first()
+    model = mixlm.fit(mixlm.describe(blocks, mixlm.count_elsewhere(blocks, 1), 1, total, 20, n))
+    chance = lambda w: math.exp(mixlm.probabilities(model, [b""], [w.encode() + b"\n"], np.array([False]))[0])
+    letters = "abcxyz"
+    known = sum(map(chance, ["", *letters, *map("".join, product(letters, letters))]))
+    assert 0.1 < known < 1.0001
+
+
+def test_a_repeated_document_is_told_apart(spark):
+    r = np.random.default_rng(3)
+    word = lambda: "".join(chr(97 + k) for k in r.integers(0, 26, 7))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(60)]
+    df = spark.createDataFrame([*enumerate(texts), *((100 + i, texts[i]) for i in range(10))], "doc_id long, text string")
+    got = {r.doc_id: r.bits_per_byte for r in mixlm.score_documents(df, F.col("doc_id") < 0).collect()}
+    twice = [got[i] for i in (*range(10), *range(100, 110))]
+    assert max(twice) < 0.5 * min(got[i] for i in range(10, 60))
+
+
+def test_held_out_text_scores_above_the_base(spark):
+    """On the given documents: what is learned from the others, spelling included, beats the add-one unigram."""
+    found = mixlm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
+    score, base = sum(r.score for r in found), sum(r.base_score for r in found)
+    assert score < 0 and base < 0 and score > 0.9 * base
+
+
+def test_language_model_on_odd_tables(spark, docs, no_docs, wide_docs):
+    assert mixlm.score_documents(wide_docs).columns == mixlm.score_documents(docs).columns
+    one = mixlm.score_documents(spark.createDataFrame([(9, "all held out"), (9, None)], "doc_id long, text string"), F.lit(True)).collect()
+    assert [(r.train_tokens, r.n_known) for r in one] == [(0, 0)] * 2 and all(math.isfinite(r.score) and r.score < 0 for r in one)
 
 
 @pytest.fixture(scope="module")
