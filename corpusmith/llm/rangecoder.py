@@ -1,14 +1,16 @@
 """Token-id files packed by an adaptive context-mixing range coder.
 
 Each block of ids is coded from a fresh state and carries a CRC-32 of its ids, so blocks can be read alone and damage
-stays in its block. An id is coded in two steps. First, which prediction it meets: that of the two ids before it
-(order 2), that of the id before it (order 1), or neither; the three shares adapt per pair of confidences that the
-predictions have earned. An id that meets neither is coded by order 0, an adaptive tree of four 16-way nodes.
+stays in its block. Three predictions of an id are mixed into one probability: the id that followed the two ids before
+last time (order 2), the id that followed the one before (order 1), and an adaptive tree of four 16-way nodes (order 0).
+Their weights are learned for each pair of confidences that the first two have earned. The id is coded in its four hex
+digits: a digit's chance is the mixture's, and the weights are updated by what each prediction gave the digit, so the
+four steps give the id exactly its mixed probability.
 
 The coder works on many blocks at once: step t codes id t of every block, with one numpy operation for all of them,
 so the interpreter's cost is shared. Streams are independent of which blocks were coded together.
 
-File layout (little-endian): magic "CMR1", documents u32, blocks u32, ids u64, CRC-32 of the directory u32; the
+File layout (little-endian): magic "CMR2", documents u32, blocks u32, ids u64, CRC-32 of the directory u32; the
 directory: doc_id i64 and has-id u8 and ids u32 for each document, ids u32 and bytes u32 and CRC-32 u32 for each
 block; then the blocks' bytes.
 """
@@ -17,20 +19,21 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bound_batches, column, materialise, worker_cache
+from .common import bound_batches, column, materialise, release_worker_cache, without_gc, worker_cache
 
 BLOCK, LANES = 2048, 2048
 #: Ids of a file; documents are never split between files.
 FILE_IDS = BLOCK * LANES
-MAGIC, HEAD = b"CMR1", struct.Struct("<4sIIQI")
+MAGIC, HEAD = b"CMR2", struct.Struct("<4sIIQI")
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 WORD, SHIFT = np.uint64(16), np.uint64(48)
 GAIN, LIMIT = 24, 1 << 14
@@ -41,6 +44,10 @@ PLACES = 1024
 NODES = 273 + PLACES
 #: Confidences of predictions count up to three.
 SURE = np.minimum(np.arange(256), 3)
+#: A digit's chances are in 1/SCALE, each digit of order 0 having one more.
+SCALE = 1 << 15
+#: What a digit adds to the running counts of its node.
+ADDED = (np.arange(16)[:, None] <= np.arange(16)[None, :]).astype(np.uint16) * np.uint16(GAIN)
 
 
 class _Lanes:
@@ -51,32 +58,31 @@ class _Lanes:
         self.n, self.lengths, self.rows = n, lengths, np.arange(n)
         self.low = np.zeros(n, np.uint64)
         self.range = np.full(n, 0xFFFF_FFFF_FFFF_FFFF, np.uint64)
-        self.flags = np.tile(np.array([1, 1, 4, 0], np.uint16), (n * 16, 1))
-        self.tree = np.ones((n * NODES, 16), np.uint16)
+        self.weights = np.tile(np.array([1, 1, 4], np.float64), (n * 16, 1))  # of order 2, 1 and 0
+        self.tree = np.tile(np.arange(1, 17, dtype=np.uint16), (n * NODES, 1))  # running counts of the digits
+        self.upto = self.tree.reshape(-1)
         self.id1, self.id2 = np.zeros((n, 1 << BITS1), np.uint16), np.zeros((n, 1 << BITS2), np.uint16)
         self.sure1, self.sure2 = np.zeros((n, 1 << BITS1), np.uint8), np.zeros((n, 1 << BITS2), np.uint8)
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
-    def settle(self, lanes: slice | np.ndarray) -> None:
-        """Move out the leading words that no longer change."""
-        low, span = self.low[lanes], self.range[lanes]
-        fixed = (low ^ (low + span)) < TOP
-        todo = np.flatnonzero(fixed | (span < BOTTOM))
-        while len(todo):
-            at = self.rows[lanes][todo]
+    def settle(self, active: int) -> None:
+        """Move out the leading words of the lanes whose range has become small."""
+        at = np.flatnonzero(self.range[:active] < BOTTOM)
+        while len(at):
             low, span = self.low[at], self.range[at]
             stuck = (low ^ (low + span)) >= TOP
-            span = np.where(stuck, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), span)
+            span = np.where(stuck & (span < BOTTOM), (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), span)
             self.move(at, low >> SHIFT)
             low, span = low << WORD, span << WORD
             self.low[at], self.range[at] = low, span
-            todo = todo[((low ^ (low + span)) < TOP) | (span < BOTTOM)]
+            at = at[((low ^ (low + span)) < TOP) | (span < BOTTOM)]
 
     def move(self, lanes: np.ndarray, words: np.ndarray) -> None:
         raise NotImplementedError
 
-    def symbol(self, lanes, counts: np.ndarray, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Code (or, with ``given`` None, decode) one symbol of each lane by its row of counts; the rows' totals too."""
+    def digit(self, active: int, upto: Callable[[np.ndarray], np.ndarray], total: np.ndarray, given: np.ndarray | None) -> np.ndarray:
+        """Code (or, with ``given`` None, decode) one digit of each lane. ``upto`` gives the chances of all digits below
+        the given ones, ``total`` those of all."""
         raise NotImplementedError
 
     def step(self, active: int, given: np.ndarray | None) -> np.ndarray:
@@ -85,43 +91,61 @@ class _Lanes:
         rows, last, before = self.rows[lanes], self.last[lanes], self.before[lanes]
         at1 = (rows << BITS1) + ((last * 0x9E3779B1 >> 7) & ((1 << BITS1) - 1))
         at2 = (rows << BITS2) + (((last * 0x85EBCA77 ^ before * 0xC2B2AE3D) >> 9) & ((1 << BITS2) - 1))
-        c1, c2, s1, s2 = self.id1.take(at1), self.id2.take(at2), self.sure1.take(at1), self.sure2.take(at2)
-        node = (rows << 4) + (SURE.take(s2) << 2) + SURE.take(s1)
-        flag = None if given is None else np.where(given == c2, 0, np.where(given == c1, 1, 2))
-        flag = self.node(lanes, self.flags, node, flag, True)
-        ids = np.where(flag == 0, c2, c1).astype(np.int64)
-        new = np.flatnonzero(flag == 2)
-        if len(new):
-            own, prefix = rows[new], 0
-            base = own * NODES
-            wanted = None if given is None else given[new]
-            for level, first in enumerate(LEVELS):
-                node = base + first + (prefix if level < 3 else (prefix ^ prefix >> 6) % PLACES)
-                part = None if given is None else (wanted >> (12 - 4 * level)) & 15
-                prefix = prefix << 4 | self.node(own, self.tree, node, part, level < 2)
-            ids[new] = prefix
-        self.id1.put(at1, ids)
-        self.id2.put(at2, ids)
-        self.sure1.put(at1, np.where(ids == c1, np.minimum(s1, 250) + 1, 0))
-        self.sure2.put(at2, np.where(ids == c2, np.minimum(s2, 250) + 1, 0))
+        c1, c2, s1, s2 = (t.take(at) for t, at in ((self.id1, at1), (self.id2, at2), (self.sure1, at1), (self.sure2, at2)))
+        state = (rows << 4) + (SURE.take(s2) << 2) + SURE.take(s1)
+        own = self.weights.take(state, axis=0)
+        w2, w1, w0 = own[:, 0], own[:, 1], own[:, 2]
+        every = w0 + w1 + w2  # sums of a fixed order: the decoder must find the same numbers on any machine
+        w2, w1, w0 = w2 / every, w1 / every, w0 / every
+        base, prefix, upto = rows * NODES, np.zeros(active, np.int64), self.upto
+        for level, first in enumerate(LEVELS):
+            shift = 12 - 4 * level
+            node = base + first + (prefix if level < 3 else (prefix ^ prefix >> 6) % PLACES)
+            at = node << 4
+            total = upto.take(at + 15)
+            d2, d1 = (c2 >> shift) & 15, (c1 >> shift) & 15
+            spike2, spike1, each = (w2 * SCALE).astype(np.int64), (w1 * SCALE).astype(np.int64), w0 * SCALE / total
+
+            def below(k: np.ndarray) -> np.ndarray:
+                """The mixture's chances of the digits below k: order 0's share, one for each, and the predicted ones."""
+                own = np.where(k, upto.take(at + k - (k > 0)), 0)  # noqa: B023
+                return (own * each).astype(np.int64) + k + spike2 * (k > d2) + spike1 * (k > d1)  # noqa: B023
+
+            everything = (total * each).astype(np.int64) + 16 + spike2 + spike1
+            found = self.digit(active, below, everything, None if given is None else (given >> shift) & 15)
+            w2 = w2 * (found == d2)
+            w1 = w1 * (found == d1)
+            w0 = w0 * ((upto.take(at + found) - np.where(found, upto.take(at + found - (found > 0)), 0)) / total)
+            every = w0 + w1 + w2
+            w2, w1, w0 = w2 / every, w1 / every, w0 / every
+            counts = self.tree.take(node, axis=0)
+            counts += ADDED.take(found, axis=0)
+            if level < 2 and len(full := np.flatnonzero(total > LIMIT - 2 * GAIN)):
+                halved = (np.diff(counts[full], axis=1, prepend=np.uint16(0)) + 1) >> 1
+                counts[full] = np.cumsum(halved, axis=1)
+            self.tree[node] = counts
+            prefix = prefix << 4 | found
+        hit2, hit1 = prefix == c2, prefix == c1
+        update = self.weights.take(state, axis=0)
+        update *= 0.98
+        update[:, 0] += hit2
+        update[:, 1] += hit1 & ~hit2
+        update[:, 2] += ~(hit1 | hit2)
+        update += 0.002
+        self.weights[state] = update
+        self.id1.put(at1, prefix)
+        self.id2.put(at2, prefix)
+        self.sure1.put(at1, np.where(hit1, np.minimum(s1, 250) + 1, 0))
+        self.sure2.put(at2, np.where(hit2, np.minimum(s2, 250) + 1, 0))
         self.before[lanes] = last.copy()
-        self.last[lanes] = ids
-        return ids
-
-    def node(self, lanes, table: np.ndarray, node: np.ndarray, given: np.ndarray | None, busy: bool) -> np.ndarray:
-        """One symbol by each lane's row of counts, which then learns it; rows that may grow large (``busy``) are halved."""
-        counts = table.take(node, axis=0)
-        found, total = self.symbol(lanes, counts, given)
-        table[node, found] += GAIN
-        if busy and len(full := np.flatnonzero(total > LIMIT - GAIN)):
-            table[node[full]] = (table[node[full]] + 1) >> 1
-        return found
+        self.last[lanes] = prefix
+        return prefix
 
 
 class _Encoder(_Lanes):
     def __init__(self, lengths: np.ndarray):
         super().__init__(lengths)
-        self.out = np.zeros((self.n, 64 + 2 * int(lengths.max(initial=0))), np.uint16)
+        self.out = np.zeros((self.n, 64 + int(lengths.max(initial=0))), np.uint16)
         self.at = np.zeros(self.n, np.int64)
 
     def move(self, lanes: np.ndarray, words: np.ndarray) -> None:
@@ -131,15 +155,13 @@ class _Encoder(_Lanes):
         self.out[lanes, at] = words
         self.at[lanes] = at + 1
 
-    def symbol(self, lanes, counts: np.ndarray, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        upto = np.cumsum(counts, axis=1, dtype=np.uint16)  # totals stay under LIMIT
-        at = self.rows[: len(counts)] * counts.shape[1] + given
-        own, end, total = counts.take(at).astype(np.uint64), upto.take(at), upto[:, -1]
-        unit = self.range[lanes] // total
-        self.low[lanes] += unit * (end - own)
-        self.range[lanes] = unit * own
-        self.settle(lanes)
-        return given, total
+    def digit(self, active: int, upto: Callable[[np.ndarray], np.ndarray], total: np.ndarray, given: np.ndarray | None) -> np.ndarray:
+        start, end = upto(given), np.where(given < 15, upto(np.minimum(given + 1, 15)), total)
+        unit = self.range[:active] // total.view(np.uint64)
+        self.low[:active] += unit * start.view(np.uint64)
+        self.range[:active] = unit * (end - start).view(np.uint64)
+        self.settle(active)
+        return given
 
     def finish(self) -> list[bytes]:
         for _ in range(4):
@@ -152,7 +174,7 @@ class _Decoder(_Lanes):
     def __init__(self, lengths: np.ndarray, blocks: list[bytes]):
         super().__init__(lengths)
         words = [np.frombuffer(b[: len(b) // 2 * 2], "<u2") for b in blocks]
-        self.words = np.zeros((self.n, 8 + max(map(len, words), default=0)), np.uint64)
+        self.words = np.zeros((self.n, 8 + max(map(len, words), default=0)), np.uint16)
         for i, w in enumerate(words):
             self.words[i, : len(w)] = w
         self.at = np.full(self.n, 4, np.int64)
@@ -165,22 +187,19 @@ class _Decoder(_Lanes):
         self.code[lanes] = self.code[lanes] << WORD | self.words[lanes, at]
         self.at[lanes] += 1
 
-    def symbol(self, lanes, counts: np.ndarray, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        upto = np.cumsum(counts, axis=1, dtype=np.uint16)  # totals stay under LIMIT
-        total = upto[:, -1]
-        unit = np.maximum(self.range[lanes] // total, np.uint64(1))
-        value = np.minimum((self.code[lanes] - self.low[lanes]) // unit, np.uint64(0xFFFF)).astype(np.uint16)
-        base, half = self.rows[: len(counts)] * counts.shape[1], counts.shape[1] // 2
-        at = base
-        while half:  # the first symbol whose end lies above the value, by halves
-            at = at + half * (upto.take(at + (half - 1)) <= value)
-            half //= 2
-        found = at - base
-        own, end = counts.take(at).astype(np.uint64), upto.take(at)
-        self.low[lanes] += unit * (end - own)
-        self.range[lanes] = np.maximum(unit * own, np.uint64(1))
-        self.settle(lanes)
-        return found, total
+    def digit(self, active: int, upto: Callable[[np.ndarray], np.ndarray], total: np.ndarray, given: np.ndarray | None) -> np.ndarray:
+        unit = np.maximum(self.range[:active] // total.view(np.uint64), np.uint64(1))
+        value = np.minimum((self.code[:active] - self.low[:active]) // unit, np.uint64(0xFFFF)).view(np.int64)
+        found, start, end = np.zeros(active, np.int64), np.zeros(active, np.int64), total
+        for half in (8, 4, 2, 1):  # the last digit that begins at or below the value, by halves
+            middle = upto(found + half)
+            higher = middle <= value
+            found = found + half * higher
+            start, end = np.where(higher, middle, start), np.where(higher, end, middle)
+        self.low[:active] += unit * start.view(np.uint64)
+        self.range[:active] = np.maximum(unit * (end - start).view(np.uint64), np.uint64(1))
+        self.settle(active)
+        return found
 
 
 def _active(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -260,41 +279,59 @@ def read_file(data: bytes) -> list[tuple[int | None, np.ndarray]]:
 
 class _Words:
     """Ids of texts by the tokenizer, which drops blanks: what stands between plain spaces or line ends is encoded once
-    and kept. Neither its normaliser nor its pattern looks across these two characters."""
+    and kept, letters and the marks after them apart. Neither the tokenizer's normaliser nor its pattern looks across
+    these. A text that holds what may be a special token's string is encoded as a whole."""
 
-    MOST = 500_000
+    MOST = 400_000
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.between = "<|endoftext|>"
+        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.between = self.special[-1]
         self.mark = self.tokenizer.token_to_id(self.between)
         self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode words in one call, told apart by a special token between them; words that hold its text by one each."""
-        plain = [w for w in words if "<|" not in w] or [""]
-        self.tokenizer.encode_special_tokens = False
-        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(plain)], add_special_tokens=False)[0].ids, "<u2")
-        self.tokenizer.encode_special_tokens = True
-        cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-        for word, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
-            self.known[word] = ids[a + 1 : b].tobytes()
-        if odd := [w for w in words if "<|" in w]:
-            for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u2").tobytes()
+        self.older: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, "<u2") for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Words not known yet: those used before the last clearance are taken over, the others encoded in one call, told
+        apart by a special token between them."""
+        known, older = self.known, self.older
+        new: dict[str, tuple[str, str]] = {}
+        parts: set[str] = set()
+        for word in words:
+            if (ids := older.get(word)) is not None:
+                known[word] = ids
+                continue
+            bare = word.rstrip(self.MARKS)
+            cut = (bare, word[len(bare) :]) if bare.isalpha() and bare.isascii() else (word, "")
+            new[word] = cut
+            parts.update(part for part in cut if part and part not in known)
+        if parts:
+            order = list(parts)
+            ids = self._library([self.between.join(order)])[0]
+            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            for part, a, b in zip(order, cuts[:-1], cuts[1:], strict=True):
+                known[part] = ids[a + 1 : b].tobytes()
+        for word, (bare, marks) in new.items():
+            known[word] = known[bare] + known[marks]
 
     def encode_all(self, texts: list[str], end: int) -> list[np.ndarray]:
-        known, parts = self.known, [text.replace("\n", " ").split(" ") for text in texts]
-        missing = list({w for words in parts for w in words if w not in known})
-        if len(known) + len(missing) > self.MOST:
-            known.clear()
-            known[""] = b""
-            missing = list({w for words in parts for w in words if w})
-        if missing:
+        odd = {i: x for i, x in enumerate(texts) if any(t in x for t in self.special)}
+        parts = [[] if i in odd else text.replace("\n", " ").split(" ") for i, text in enumerate(texts)]
+        if len(self.known) > self.MOST:
+            self.older, self.known = self.known, {"": b""}
+        known = self.known
+        if missing := {w for words in parts for w in words if w not in known}:
             self._learn(missing)
         last = struct.pack("<H", end)
-        return [np.frombuffer(b"".join([known[w] for w in words]) + last, "<u2") for words in parts]
+        out = [np.frombuffer(b"".join([known[w] for w in words]) + last, "<u2") for words in parts]
+        for i, ids in zip(odd, self._library(list(odd.values())) if odd else [], strict=True):
+            out[i] = np.append(ids, np.uint16(end)).astype("<u2")
+        return out
 
     def encode(self, text: str, end: int) -> np.ndarray:
         return self.encode_all([text], end)[0]
@@ -304,49 +341,45 @@ def _words(path: str) -> _Words:
     return worker_cache(("words", path), lambda: _Words(path))
 
 
-def write_tokens(docs: DataFrame, path: str, end: int = 2, bucket_docs: int = 8192, most_buckets: int = 10_000) -> DataFrame:
+#: Bytes of text of a bucket, about: what one file's lanes hold. A task makes one bucket.
+BUCKET_BYTES = 12 << 20
+
+
+def write_tokens(docs: DataFrame, path: str, end: int = 2, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Encode every whole text, append ``end``, and write the files: bucket, part, n_docs, n_ids and data, one row per
-    file, in the shared folder. Buckets are ranges of doc_id (nulls first) and files within them follow doc_id, so
-    (bucket, part) is the order of all ids. The vocabulary must have ids below 65536."""
+    file, in the shared folder. Buckets are ranges of doc_id (nulls first), each one task's, and files within them follow
+    doc_id, so (bucket, part) is the order of all ids. Rows that share an id are put in order by their texts and may
+    fill several buckets. The vocabulary must have ids below 65536.
+
+    Null texts are empty (the end alone); rows that repeat are written each; other columns are not read; an empty table
+    gives no file."""
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = docs.select("doc_id").count()
-    n_buckets = max(1, min(most_buckets, -(-n // bucket_docs)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n_buckets for k in range(1, n_buckets)], 100 * n_buckets)).first()[0] if n_buckets > 1 else []
-    cuts = sorted(set(cuts or []))
-
-    def encode(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _words(path)
-        bounds = np.array(cuts, np.int64)
-        for frame in frames:
-            ids = own.encode_all([text or "" for text in column(frame, "text")], end)
-            place = [0 if d is None else int(np.searchsorted(bounds, d, "right")) for d in frame.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(place, pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "bucket", "ids"])
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    rows = docs.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = ["doc_id", "h", "row"]
+    dealt = rows.repartitionByRange(max(1, -(-size // bucket_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def pack(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, bucket = _words(path), TaskContext.get().partitionId()
         held: list[tuple[int | None, np.ndarray]] = []
-        bucket, part, size = -1, 0, 0
+        part, size = 0, 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "part": pa.array([part], pa.int32()), "n_docs": pa.array([len(held)], pa.int64()), "n_ids": pa.array([size], pa.int64()), "data": pa.array([write_file(held)], pa.binary())})
+            return pa.RecordBatch.from_pylist([{"bucket": bucket, "part": part, "n_docs": len(held), "n_ids": size, "data": write_file(held)}], schema=schema)
 
-        for frame in frames:
-            for doc_id, at, ids in zip(*(frame.column(i).to_pylist() for i in range(3)), strict=True):
-                if held and (at != bucket or size >= FILE_IDS):
+        for frame in without_gc(frames):
+            for doc_id, ids in zip(frame.column(0).to_pylist(), own.encode_all([text or "" for text in column(frame, "text")], end), strict=True):
+                if size >= FILE_IDS:
                     yield flush()
-                    part = part + 1 if at == bucket else 0
-                    held, size = [], 0
-                elif at != bucket:
-                    part = 0
-                bucket = at
-                held.append((doc_id, np.frombuffer(ids, "<u2")))
-                size += len(held[-1][1])
+                    held, part, size = [], part + 1, 0
+                held.append((doc_id, ids))
+                size += len(ids)
         if held:
             yield flush()
 
-    rows = docs.mapInArrow(encode, "doc_id long, bucket int, ids binary")
-    dealt = rows.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     return materialise(dealt.mapInArrow(pack, "bucket int, part int, n_docs long, n_ids long, data binary"), "token-files")
 
 
@@ -356,15 +389,18 @@ def read_tokens(files: DataFrame, digest: bool = False) -> DataFrame:
     bound_batches(files.sparkSession)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_cache()
         for frame in frames:
             for bucket, part, data in zip(*(frame.column(i).to_pylist() for i in range(3)), strict=True):
                 docs = read_file(data)
                 sizes = np.array([len(x) for _, x in docs], np.int64)
-                raw = [x.astype("<u4").tobytes() for _, x in docs]
-                last = pa.array([zlib.crc32(r) for r in raw], pa.int64()) if digest else pa.array(raw, pa.binary())
+                raw = (x.astype("<u4").tobytes() for _, x in docs)
+                last = pa.array([zlib.crc32(r) for r in raw], pa.int64()) if digest else pa.array(list(raw), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(docs), pa.int32()), pa.array([part] * len(docs), pa.int32()), pa.array([d for d, _ in docs], pa.int64()), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes), last], names=["bucket", "part", "doc_id", "inside", "n_tokens", "last"])
 
-    found = files.select("bucket", "part", "data").mapInArrow(run, f"bucket int, part int, doc_id long, inside long, n_tokens long, last {'long' if digest else 'binary'}")
+    # A file to a task: all have about the same size.
+    dealt = files.select("bucket", "part", "data").repartitionByRange(max(1, min(10_000, files.count())), "bucket", "part")
+    found = dealt.mapInArrow(run, f"bucket int, part int, doc_id long, inside long, n_tokens long, last {'long' if digest else 'binary'}")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = files.groupBy("bucket").agg(F.sum("n_ids").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bucket_start"))
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -103,24 +103,59 @@ def test_edits_touch_little(own, pieces):
     assert tree.recounted < 500
 
 
-def test_edit_query_against_full_counts(docs, no_docs, own):
-    got = {(r.n_tokens, r.n_tokens_after, r.n_chars_after) for r in editcount.count_with_edits(docs, PATH, PATTERN).collect()}
-    want = set()
-    for row in docs.collect():
-        text = after = row.text or ""
-        for at, gone, new in editcount.standard_edits(text):
-            at = min(at, len(after))
-            after = after[:at] + new + after[at + gone :]
-        want.add((own.count(text), own.count(after), len(after)))
+def standard(n):
+    return [(n // 3, 0, " as amended,"), (n // 2, 5, ""), (2 * n // 3, 7, "x 2nd ed.")]
+
+
+def edited(text, edits):
+    for at, gone, new in edits:
+        at = min(at, len(text))
+        text = text[:at] + new + text[at + gone :]
+    return text
+
+
+def test_edit_query_against_full_counts(docs, no_docs, wide_docs, own):
+    got = sorted((r.n_tokens, r.n_tokens_after, r.n_chars_after) for r in editcount.count_with_edits(docs, PATH, PATTERN).collect())
+    texts = [r.text or "" for r in docs.collect()]
+    want = sorted((own.count(t), own.count(edited(t, standard(len(t)))), len(edited(t, standard(len(t))))) for t in texts)
     assert got == want
     assert editcount.count_with_edits(no_docs, PATH, PATTERN).count() == 0
+    assert editcount.count_with_edits(wide_docs, PATH, PATTERN).count() == docs.count()
 
 
 def test_edit_column(spark, own):
-    rows = [(1, "one two three", [(4, 3, "2"), (0, 0, "> ")]), (2, "abc", None), (3, None, [(0, 9, "x y")])]
+    rows = [(1, "one two three", [(4, 3, "2"), (0, 0, "> ")]), (2, "abc", None), (3, None, [(0, 9, "x y")]), (4, "abc", [(1, None, None), None])]
     df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<at: int, removed: int, inserted: string>>")
-    got = {r.doc_id: (r.n_tokens_after, r.n_edits) for r in editcount.count_with_edits(df, PATH, PATTERN, "edits").collect()}
-    assert got == {1: (own.count("> one 2 three"), 2), 2: (own.count("abc"), 0), 3: (own.count("x y"), 1)}
+    trees = editcount.build_trees(df, PATH, PATTERN).join(df.select("doc_id", "edits"), "doc_id")
+    got = {r.doc_id: (r.n_tokens, r.n_edits) for r in editcount.apply_edits(trees, PATH, PATTERN).collect()}
+    assert got == {1: (own.count("> one 2 three"), 2), 2: (own.count("abc"), 0), 3: (own.count("x y"), 1), 4: (own.count("abc"), 1)}
+
+
+def test_batches_of_edits_to_stored_trees(spark, own, tmp_path):
+    """Trees are written, edited by a table of edits, written again and edited again; no step sees the texts."""
+    r = random.Random(5)
+    alphabet = "abé \n\t's12.!  't"
+    texts = {i: "".join(r.choice(alphabet) for _ in range(r.choice([0, 3, 80, 4000]))) for i in range(12)}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    editcount.build_trees(df, PATH, PATTERN).write.parquet(f"{tmp_path}/0")
+    for turn in range(3):
+        edits = [(d, k, r.randint(0, 4100), r.choice([0, 2, 300]), "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 40])))) for d in range(0, 14, 2) for k in range(r.randint(1, 6))]
+        shuffled = spark.createDataFrame(r.sample(edits, len(edits)), "doc_id long, seq int, at int, removed int, inserted string")
+        editcount.apply_edits(spark.read.parquet(f"{tmp_path}/{turn}"), PATH, PATTERN, shuffled).write.parquet(f"{tmp_path}/{turn + 1}")
+        for d in texts:
+            texts[d] = edited(texts[d], [e[2:] for e in edits if e[0] == d])
+        trees = spark.read.parquet(f"{tmp_path}/{turn + 1}")
+        assert {x.doc_id: x.text for x in editcount.texts_of(trees).collect()} == texts
+        assert {x.doc_id: (x.n_tokens, x.n_chars) for x in trees.collect()} == {d: (own.count(t), len(t)) for d, t in texts.items()}
+        assert {x.doc_id for x in trees.filter("recounted_chars > 0").collect()} <= set(range(0, 14, 2))
+
+
+def test_stored_trees_split_only_touched_leaves(own, pieces):
+    tree = editcount.CountTree("the quick brown fox jumps over it. " * 4000, own.pattern, pieces)
+    again = editcount.CountTree.stored(*tree.rows(), own.pattern, pieces)
+    again.edit(70_000, 3, "new words")
+    assert len(again.leaves.made) < 6 < len(again.leaves) and again.recounted < 200
+    assert again.total == own.count(again.text())
 
 
 def test_range_coder_round_trip():
@@ -144,11 +179,11 @@ def test_damage_is_noticed():
             rangecoder.read_file(bytes(bad))
 
 
-def test_token_files(docs, no_docs, monkeypatch):
+def test_token_files(docs, no_docs, wide_docs):
     path = public_tokenizers.path("word_bpe_49k.json")
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    files = rangecoder.write_tokens(docs, path, bucket_docs=20)
+    plain = Tokenizer.from_file(path)  # as the library makes it
+    files = rangecoder.write_tokens(docs, path, bucket_bytes=4_000)
+    assert files.select("bucket").distinct().count() > 4
     got = sorted(rangecoder.read_tokens(files, digest=True).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got][1:] == sorted(r.doc_id for r in docs.collect() if r.doc_id is not None)
     at, by_id = 0, {r.doc_id: r.text for r in docs.collect()}
@@ -157,10 +192,17 @@ def test_token_files(docs, no_docs, monkeypatch):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
     assert rangecoder.read_tokens(rangecoder.write_tokens(no_docs, path)).count() == 0
+    assert rangecoder.read_tokens(rangecoder.write_tokens(wide_docs, path)).columns == ["doc_id", "start", "n_tokens", "ids"]
 
 
 def test_words_between_spaces_are_encoded_as_in_the_text():
     path = public_tokenizers.path("word_bpe_49k.json")
-    own = rangecoder._Words(path)
-    for text in ("ÁÇ é́ x", "a\x1cb c d\te\r\nf'S it's 'RE İstanbul ΣΑΣ Σ", "<|endoftext|> a <|startoftext|>", "x ́y\n̈z", "   ", "e ̧́"):
-        assert own.encode(text, 2).tolist() == [*own.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    own, plain, r = rangecoder._Words(path), Tokenizer.from_file(path), random.Random(4)
+    texts = ["ÁÇ é́ x", "a\x1cb c d\te\r\nf'S it's 'RE İstanbul ΣΑΣ Σ", "<|endoftext|> a <|startoftext|>", "a <|endoftext|> b", "<|ENDOFTEXT|> <|", "x ́y\n̈z", "   ", "e ̧́", "Hi... Hi, hi!? can't. don't, it's; x.y, é. É.", "İ. ǅ, ß! ﬁ."]
+    texts += ["".join(r.choice(["ab", "Ab", "é", "İ", "ſ", " ", " ", "\n", ".", ",", "!?", "'s", "'", "<|", "|>", "<|endoftext|>", "\u0301", "12"]) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    monkey = rangecoder._Words(path)
+    monkey.MOST = 50  # clears its words again and again
+    for text in texts:
+        want = [*plain.encode(text, add_special_tokens=False).ids, 2]
+        assert own.encode(text, 2).tolist() == want, text
+        assert monkey.encode(text, 2).tolist() == want, text
