@@ -17,6 +17,10 @@ from ..functions.text import strip, title_url
 _REF_SELF = re.compile(r"<ref[^>]*?/>", re.I)
 _REF_PAIR = re.compile(r"<ref[^>]*?>.*?</ref>", re.I | re.S)
 _HEADING = re.compile(r"^(={2,6})[ \t]*(.+?)[ \t]*\1[ \t]*$", re.M)
+_INNERMOST = re.compile(r"\{\{((?:(?!\{\{|\}\}).)*)\}\}", re.S)
+_ASIDE = re.compile("\0([0-9]+)\1")
+_LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
+_FILE = re.compile(r"\s*(?:category|file|image)\s*:", re.I)
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _EXTERNAL = re.compile(r"\[(?:https?:)?//[^\s\]]+(?:\s+([^\]]*))?\]")
@@ -75,15 +79,32 @@ def templates(text: str) -> list[Template]:
     return sorted(found, key=lambda t: t.start)
 
 
+def _restored(text: str, aside: list[str]) -> str:
+    """The text with what was put aside in its places; an entry may hold earlier ones."""
+    whole: list[str] = []
+    for part in aside:
+        whole.append(_ASIDE.sub(lambda m: whole[int(m[1])], part))  # noqa: B023
+    return _ASIDE.sub(lambda m: whole[int(m[1])], text)
+
+
 def render_links(text: str, codes: Iterable[str]) -> str:
-    """Link shortcuts {{CODE|target|shown}} become what they show; inner ones first."""
-    codes = set(codes)
-    while True:
-        hit = next((t for t in reversed(templates(text)) if t.name in codes), None)
-        if hit is None:
-            return text
-        shown = [v for k, v in hit.params if k is None]
-        text = text[: hit.start] + plain(shown[1] if len(shown) >= 2 else shown[0] if shown else "").strip() + text[hit.end :]
+    """Link shortcuts {{CODE|target|shown}} become what they show, inner ones first: every round settles all templates
+    that hold no other, those that are no shortcuts being put aside until the end."""
+    codes, aside = set(codes), []
+
+    def settle(m: re.Match) -> str:
+        head, *rest = _split_top(m[1], "|")
+        if head.strip() not in codes:
+            aside.append(m[0])
+            return f"\0{len(aside) - 1}\1"
+        shown = [part for part in rest if "=" not in part or "[[" in part.partition("=")[0]]
+        return plain(shown[1] if len(shown) >= 2 else shown[0] if shown else "").strip()
+
+    n = 1
+    text = text.replace("\0", "").replace("\1", "")
+    while n:
+        text, n = _INNERMOST.subn(settle, text)
+    return _restored(text, aside)
 
 
 def _drop_tables(text: str) -> str:
@@ -109,10 +130,9 @@ def plain(text: str) -> str:
             end = t.end
     text = "".join([*out, text[end:]])
     text = _drop_tables(text)
-    while (m := re.search(r"\[\[([^\[\]]*)\]\]", text)) is not None:
-        target, *shown = m[1].split("|")
-        drop = re.match(r"\s*(?:category|file|image)\s*:", target, re.I)
-        text = text[: m.start()] + ("" if drop else (shown[-1] if shown else target)) + text[m.end() :]
+    n = 1
+    while n:  # a round for each level of links inside links
+        text, n = _LINK.subn(lambda m: "" if _FILE.match(m[1]) else m[1].rpartition("|")[2], text)
     text = _EXTERNAL.sub(lambda m: m[1] or "", text)
     text = _TAG.sub("", re.sub(r"'{2,5}", "", text))
     return _HEADING.sub(lambda m: m[2], text)

@@ -15,7 +15,7 @@ from ..functions import facets
 from ..functions.vectors import hash_embedding
 from ..operators import html, joins, lexical, wikitext
 from ..operators.chunking import chunk_articles
-from ..sources.files import page_text, read_jsonl, read_table, require_input
+from ..sources.files import page_text, read_jsonl, read_table, replacing, require_input
 from ..sources.store import ChunkStore
 
 STEPS = ("parse", "chunk", "embed", "bm25")
@@ -58,18 +58,18 @@ class Pipeline:
     def parse(self) -> dict[str, int]:
         pages = read_jsonl(self.spark, self.path("pages"), schemas.PAGES)
         records = read_jsonl(self.spark, self.path("html"), schemas.HTML_RECORDS)
-        made = articles(pages, records, self.base_url, self.cat).persist()
-        counts = {r["source"]: r["count"] for r in made.groupBy("source").count().collect()}
-        if not counts:
-            raise SetupError("no page parses; the articles that were there stay")
-        made.drop("source").write.mode("overwrite").parquet(self.path("articles"))
-        made.unpersist()
+        with replacing(self.spark, self.path("articles")) as fresh:
+            articles(pages, records, self.base_url, self.cat).write.parquet(fresh)
+            counts = {r["source"]: r["count"] for r in self.spark.read.parquet(fresh).groupBy("source").count().collect()}
+            if not counts:
+                raise SetupError("no page parses; the articles that were there stay")
         return counts
 
     def chunk(self) -> int:
         size, overlap = chunk_params(self.cfg)
         source = require_input(self.table("articles", schemas.ARTICLES), "articles", "run parse")
-        chunk_articles(source, size, overlap).write.mode("overwrite").parquet(self.path("chunks"))
+        with replacing(self.spark, self.path("chunks")) as fresh:
+            chunk_articles(source, size, overlap).write.parquet(fresh)
         return self.table("chunks", schemas.CHUNKS).count()
 
     def embed_step(self, fresh: bool = False) -> int:
@@ -80,7 +80,7 @@ class Pipeline:
         """From the store, not the chunks, so that both indexes hold the same ids; checked before it replaces the old."""
         rows = self.store.read()
         n = joins.check_unique(rows, "chunk_id")
-        lexical.build_index(rows, stemmed=True).materialise(self.path("bm25"))
+        lexical.build_index(rows, stemmed=True).materialise(self.path("bm25"), rows)
         return n
 
     def index(self) -> lexical.Index:

@@ -439,7 +439,13 @@ def positional_zip(spark, sf_dir):
 
 
 def documents_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> lexical.Index:
-    return lexical.build_index(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", stemmed)
+    """The index of the documents for the terms of the benchmark questions."""
+    asked = lexical.query_terms(benchmark_questions(spark, sf_dir), "qid", "question", stemmed)
+    return lexical.build_index(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", stemmed, asked)
+
+
+def every_term(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    return lexical.build_index(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -463,17 +469,17 @@ sc AS (SELECT qid, post.doc_id AS chunk_id, sum(qtf * CASE WHEN ln((n - df + 0.5
 
 @register("postings", "WITH " + POSTINGS_SQL + " SELECT term, doc_id, tf FROM post")
 def postings(spark, sf_dir):
-    return documents_index(spark, sf_dir).postings.select("term", F.col("chunk_id").alias("doc_id"), "tf")
+    return every_term(spark, sf_dir).postings.select("term", F.col("chunk_id").alias("doc_id"), "tf")
 
 
 @register("document_frequencies", "WITH " + POSTINGS_SQL + " SELECT term, df FROM dfs")
 def document_frequencies(spark, sf_dir):
-    return documents_index(spark, sf_dir).frequencies
+    return every_term(spark, sf_dir).frequencies
 
 
 @register("corpus_stats", "WITH " + POSTINGS_SQL + " SELECT n, round(avgdl, 6) AS avgdl FROM st")
 def corpus_stats(spark, sf_dir):
-    return documents_index(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+    return every_term(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 TOP = "row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id)"
@@ -531,12 +537,6 @@ def cosine_topk_faceted(spark, sf_dir):
     return _rounded(dense.top_k(asked, vector_store(spark, sf_dir), 10, facet="facet"))
 
 
-@register("ann_lsh_topk")
-def ann_lsh_topk(spark, sf_dir):
-    """Approximate; tests measure its recall."""
-    return dense.lsh_top_k(vector_queries(spark, sf_dir), vector_store(spark, sf_dir), 10)
-
-
 @register(
     "safe_l2_normalise",
     """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN vec_id % 5 = 0 AND i = 1 THEN 0.0 WHEN vec_id % 7 = 0 THEN 0.0 ELSE x END) AS v FROM embeddings),
@@ -729,8 +729,8 @@ def history_block(spark, sf_dir):
     + """, f AS (SELECT qid, url, min(rank) AS first FROM hits GROUP BY ALL), nu AS (SELECT qid, url, row_number() OVER (PARTITION BY qid ORDER BY first) AS n FROM f),
     bl AS (SELECT qid, rank, n, '[' || n || '] [' || title || ' (' || game || ')] ' || text || chr(10) || 'Source: ' || url AS block FROM hits JOIN nu USING (qid, url)),
     cx AS (SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context, max(n) AS top FROM bl GROUP BY qid)
-    SELECT item_id AS qid, md5('The user is focused on English (en); the context is filtered to that game, so resolve names and terms within it.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '(no context retrieved)') || chr(10) || chr(10)
-      || CASE WHEN top IS NULL THEN '' ELSE 'Cite inline: mark each claim with the bracketed number(s) [1]–[' || top || '] of the supporting context block(s) above, e.g. [2] or [1][3]. Never invent a number.' || chr(10) || chr(10) END
+    SELECT item_id AS qid, md5('This question is about English (en), and all of the context below belongs to it.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '(nothing was found)') || chr(10) || chr(10)
+      || CASE WHEN top IS NULL THEN '' ELSE 'After each statement give the number of the context it rests on, from [1] to [' || top || '], and no other number.' || chr(10) || chr(10) END
       || 'Format: answer with a short Markdown bullet list.' || chr(10) || chr(10) || 'Question: ' || text) AS prompt_md5 FROM benchmark LEFT JOIN cx ON cx.qid = item_id""",
 )
 def prompt_blocks(spark, sf_dir):

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import shutil
+import tarfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import or_
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -48,6 +55,70 @@ def read_table(spark: SparkSession, path: str, schema: str, what: str, fix: str)
         raise SetupError(f"{what} was not found at {path}; {fix}") from error
 
 
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def replacing(spark: SparkSession, path: str) -> Iterator[str]:
+    """A fresh folder beside ``path`` to write to. If the block ends well it takes the place of what is at ``path``, by
+    renames; if it fails, what is there stays and the fresh folder goes."""
+    fresh, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex[:8]}" for kind in ("new", "old"))
+    (target, system), (new, _), (aside, _) = (_hadoop(spark, p) for p in (path, fresh, old))
+    try:
+        yield fresh
+        had = system.exists(target)
+        if had and not system.rename(target, aside):
+            raise SetupError(f"{path} could not be moved aside")
+        if not system.rename(new, target):
+            if had:
+                system.rename(aside, target)
+            raise SetupError(f"{path} could not be put in place; what was there stays")
+        system.delete(aside, True)
+    finally:
+        system.delete(new, True)
+
+
+@contextmanager
+def run_lock(spark: SparkSession, path: str) -> Iterator[None]:
+    """One run at a time over the tables under ``path``: SetupError while another holds the lock file, which is made in
+    one step that fails if it is there."""
+    place, system = _hadoop(spark, f"{path.rstrip('/')}/.lock")
+    try:
+        system.create(place, False).close()
+    except Exception as error:  # Hadoop's own FileAlreadyExistsException, by way of the gateway
+        if not system.exists(place):
+            raise
+        raise SetupError(f"another run is at work in {path} (or ended without removing {place})") from error
+    try:
+        yield
+    finally:
+        system.delete(place, False)
+
+
+def extract_archive(archive: str, folder: str, sha256: str | None = None) -> int:
+    """Unpack a local tar archive and give the number of files, after its checksum, where one is given, was found right.
+    Members that would be written outside the folder, and all that are neither files nor folders, are refused before
+    anything is written; the folder appears whole or not at all."""
+    source, target = Path(archive), Path(folder)
+    if sha256 is not None and hashlib.sha256(source.read_bytes()).hexdigest() != sha256.lower():
+        raise SetupError(f"{archive} does not have the checksum that it should have")
+    with tarfile.open(source) as tar:
+        members = tar.getmembers()
+        for member in members:
+            place = (target / member.name).resolve()
+            if not (member.isfile() or member.isdir()) or not place.is_relative_to(target.resolve()):
+                raise SetupError(f"{member.name!r} of {archive} has no place in {folder}")
+        part = target.with_name(f"{target.name}.part-{uuid.uuid4().hex[:8]}")
+        try:
+            tar.extractall(part, members, filter="data")
+            part.rename(target)
+        finally:
+            shutil.rmtree(part, ignore_errors=True)
+    return sum(m.isfile() for m in members)
+
+
 def next_batch_index(existing: DataFrame, first: int = 9000) -> int:
     """The next index of a reserved block, from file names such as html_09003.jsonl.gz."""
     index = F.regexp_extract("file_name", r"_(\d+)\.", 1).try_cast("int")

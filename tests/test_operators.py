@@ -96,23 +96,6 @@ def test_dense_blocks_and_facets(spark, monkeypatch):
     assert dense.top_k(asked.limit(0), store, 3).count() == 0
 
 
-def test_lsh_recall(spark):
-    import numpy as np
-
-    x = np.random.default_rng(1).normal(size=(300, 16))
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id int, embedding array<double>")
-    asked = rows.filter("chunk_id < 20").withColumnRenamed("chunk_id", "qid")
-    exact = {(r.qid, r.chunk_id) for r in dense.top_k(asked, rows, 5).collect()}
-    assert len(exact & {(r.qid, r.chunk_id) for r in dense.lsh_top_k(asked, rows, 5, tables=24, bits=4).collect()}) / len(exact) > 0.8
-
-
-def test_lsh_recall_of_the_registered_query(spark):
-    import __spark_entry__ as entry
-
-    found, exact = ({(r.qid, r.chunk_id) for r in entry.queries()[name](spark, "/root/testdata/sf0.001").collect()} for name in ("ann_lsh_topk", "cosine_topk"))
-    assert len(found & exact) / len(exact) >= 0.9
-
-
 WIKI = """{{XC1 enemy data|lv=12|hp = 300 <ref>x</ref>|place={{XC1|Colony 9|the colony}}|third}}
 '''Bunnit''' lives in {{XC1|Colony 9}} [[File:a.png|thumb]] and [[Plains|the plains]].<ref name=a /> <!-- no -->
 
@@ -135,6 +118,10 @@ def test_wikitext(spark):
     row = row[0]
     assert (row.game, row.games, row.url) == ("XC1", ["XC1"], "https://w/Bunnit")
     assert [(f.k, f.v) for f in row.infoboxes[0].fields] == [("lv", "12"), ("hp", "300"), ("place", "the colony"), ("1", "third")]
+    nested = "{{XC1|a}}{{other|{{XC1|[[b|c]]}}}} d {{XC1|x=1|T|[[p|q]] s}} {{open {{XC1|z}}" + "{{" * 50
+    assert wikitext.render_links(nested, ["XC1"]) == "a{{other|c}} d q s {{open z" + "{{" * 50
+    assert wikitext.render_links("{{keep|{{in|1}}}} {{XC1|u}}", ["XC1"]) == "{{keep|{{in|1}}}} u"
+    assert wikitext.plain("[[a|[[b]] c]] " + "[[x|y]]" * 3000) == "b c " + "y" * 3000
     assert [(s.heading, s.text) for s in row.sections] == [("Introduction", "Bunnit lives in Colony 9  and the plains."), ("Drops", "Much.\n\nMore.\nRare\nA gem.")]
 
 
@@ -145,15 +132,36 @@ PAGE = """<div class="mw-parser-output"><div class="toc">no</div><table class="i
 <div><ul><li>one<li>two</ul></div><h3>Spawn points</h3><table><tr><th>x</th><td>1</td></tr></table><script>bad()</script><h2></h2><p>tail</div>"""
 
 
-def test_html():
-    blocks, sections = html.parse_html(PAGE)
+def read_page(spark, *pages):
+    rows = html.read_pages(spark.createDataFrame(list(enumerate(pages)), "n int, html string")).orderBy("n").collect()
+    return [([b.asDict() for b in r.factblocks], [x.asDict() for x in r.sections]) for r in rows]
+
+
+def test_html(spark):
+    (blocks, sections), nothing, none = read_page(spark, PAGE, "", None)
+    assert nothing == none == ([], [])
     assert blocks == [{"heading": "infobox", "lines": ["HP: 10 base.", "STR: 5 scaling, extra, more."]}, {"heading": "Drops", "lines": ["Gem - Rate: 5%.", "Coin."]}]
     assert sections == [{"heading": "Introduction", "text": "First bold, text Second link's end"}, {"heading": "Drops", "text": "one two"}, {"heading": "Spawn points", "text": "tail"}]
 
 
-def test_html_grid_cap():
+def test_html_tables(spark):
+    """Headers in two rows, a table inside a cell, columns already said, a header row alone, and a head group."""
+    pages = (
+        "<table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><th>Name</th><th>Rate </th><th></th></tr><tr><td>x</td><td> 5 </td><td>y</td><td>z</td></tr></tbody></table>",
+        "<table><tr><th>k</th><td>v<table><tr><th>in</th><td>side</td></tr></table></td></tr></table>",
+        "<table><tr><th></th><th>Base</th></tr><tr><th>HP</th><td>10 base</td></tr><tr><th>MP</th><td></td></tr><tr><td></td><td>more</td></tr></table>",
+        "<table><tr><th>only</th><th>heads</th></tr></table><table><tr><td>loose</td></tr></table><h2> </h2><h3>H</h3><table class='x infobox-y'><tr><th>a</th><td>b</td></tr></table>",
+    )
+    got = [blocks for blocks, _ in read_page(spark, *pages)]
+    assert got[0] == [{"heading": "Introduction", "lines": ["x - Rate: 5; y; z."]}]
+    assert got[1] == [{"heading": "Introduction", "lines": ["k: v in side."]}]
+    assert got[2] == [{"heading": "Introduction", "lines": ["HP: 10 base, more."]}]
+    assert got[3] == [{"heading": "infobox", "lines": ["a: b."]}]
+
+
+def test_html_grid_cap(spark):
     rows = "".join(f"<tr><td>n{i}</td><td>{'v' * 400}</td></tr>" for i in range(60))
-    lines = html.parse_html(f"<table><tr><th>Name</th><th>V</th></tr>{rows}</table>")[0][0]["lines"]
+    lines = read_page(spark, f"<table><tr><th>Name</th><th>V</th></tr>{rows}</table>")[0][0][0]["lines"]
     assert len(lines) == 40 and all(len(x) <= 322 and x.endswith("….") for x in lines)
 
 
@@ -190,8 +198,8 @@ def test_sources_and_prompts(spark):
     assert [(r.url, r.relevance, r.tier) for r in cards] == [("u/1", 1.0, "high"), ("u/2", 0.5, "med"), ("u/3", 0.0, "low")] and cards[0].snippet == "text one"
     asked = spark.createDataFrame([("q", "Who?", None), ("none", "What?", "XG")], "qid string, question string, game string")
     got = {r.qid: r.prompt for r in prompts.build_prompts(asked, df).collect()}
-    assert "[1] [T1 (XG)] three\nSource: u/1" in got["q"] and "[1]–[3]" in got["q"] and got["q"].endswith("Question: Who?")
-    assert "(no context retrieved)" in got["none"] and "focused on XG (XG)" in got["none"]
+    assert "[1] [T1 (XG)] three\nSource: u/1" in got["q"] and "from [1] to [3]" in got["q"] and got["q"].endswith("Question: Who?")
+    assert prompts.WORDING["nothing"] in got["none"] and "about XG (XG)" in got["none"]
 
 
 def test_answer_events(spark):
