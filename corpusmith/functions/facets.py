@@ -199,6 +199,11 @@ def title_hint(title: Column, cat: Catalogue = DEFAULT) -> Column:
     return _first(F.transform(_parenthesised(title), lambda t: canonical(t, cat)))
 
 
+def main_hit(terms: Column, titles: Column) -> Column:
+    """Whether one of the titles holds every term; a question without terms has no main hit."""
+    return (F.size(terms) > 0) & F.exists(titles, lambda t: F.forall(terms, lambda w: F.lower(t).contains(w)))
+
+
 def subject_terms(question: Column) -> Column:
     """Words over two letters of what a who or what question asks about."""
     found = F.regexp_extract(F.lower(question), r"^\s*(?:who|what)(?:\s+(?:is|are|was|were)|'s)\s+(?:the\s+|a\s+|an\s+)?([^?]*)", 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..errors import SetupError
+
 #: Buckets of the hashing embedder: the last byte of a token's SHA-1.
 BUCKETS = 256
 
@@ -67,6 +70,26 @@ def hash_embedding(text: Column) -> Column:
     return _hashed(text)
 
 
+Embedder = Callable[[Column], Column]
+
+
+def with_instruction(embed: Embedder, instruction: str) -> Embedder:
+    """An embedder of questions from one of documents: the instruction stands before each question; null stays null."""
+    return lambda text: embed(F.concat(F.lit(instruction), text))
+
+
+def first_that_loads(*loaders: Callable[[], Embedder]) -> Embedder:
+    """The first embedder whose loader succeeds, the preferred one first. A loader fails by raising ImportError (its
+    package is not here), OSError (its files are not) or RuntimeError (its device is not); SetupError if all do."""
+    reasons = []
+    for load in loaders:
+        try:
+            return load()
+        except (ImportError, OSError, RuntimeError) as error:
+            reasons.append(f"{getattr(load, '__name__', load)}: {error}")
+    raise SetupError(f"no embedder loads ({'; '.join(reasons)})")
+
+
 def overlap_score(query: Column, passage: Column) -> Column:
     """How many words of the passage, repeats counted, are words of the query: the deterministic offline reranker."""
     asked = F.split(F.trim(F.lower(query)), r"[\x20\x09-\x0D]+")

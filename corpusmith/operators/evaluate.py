@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,22 @@ def hit_rates(ranked: DataFrame) -> DataFrame:
     return ranked.groupingSets([[], [F.col("game")], [F.col("category")]], F.col("game"), F.col("category")).agg(F.count("*").alias("n"), F.sum(hit).alias("hits"), F.avg(hit).alias("hit_rate"), F.avg("rank").alias("mean_rank"), F.grouping_id().alias("level"))
 
 
+def totals(answers: DataFrame, foreign: str = "foreign_tags") -> DataFrame:
+    """One row over all answers: n, errors, and leaks (answers whose sources carry a foreign tag)."""
+    return answers.agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if(F.coalesce(F.col(foreign), F.lit("")) != "").alias("leaks"))
+
+
+def case_sets(**sets: DataFrame) -> DataFrame:
+    """The sets under one another with their names in ``kind``; columns that a set does not have are null in it."""
+    named = [df.withColumn("kind", F.lit(kind)) for kind, df in sets.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def first_of(cases: DataFrame, n: int | None, order: str) -> DataFrame:
+    """The first n cases in ``order``; all of them for None."""
+    return cases if n is None else cases.orderBy(order).limit(n)
+
+
 def rate(condition: Column) -> Column:
     """An aggregate: the share of rows where the condition holds, 0 without rows."""
     return F.coalesce(F.avg(F.coalesce(condition, F.lit(False)).cast("int")), F.lit(0.0))

@@ -15,25 +15,28 @@ from ..functions import facets
 from ..functions.vectors import hash_embedding
 from ..operators import html, joins, lexical, wikitext
 from ..operators.chunking import chunk_articles
-from ..sources.files import page_text, read_jsonl, read_table, replacing, require_input
+from ..sources import api
+from ..sources.files import page_text, read_jsonl, read_table, replacing, require_input, run_lock, write_jsonl
 from ..sources.store import ChunkStore
 
-STEPS = ("parse", "chunk", "embed", "bm25")
-#: Step lists under one name.
-METAS = {"all": STEPS, "rebuild": ("parse", "chunk", "embed_fresh", "bm25")}
+STEPS = ("harvest", "fetch_wikitext", "fetch", "parse", "chunk", "embed", "bm25")
+#: Step lists under one name: everything from the service on, and everything from the fetched records on.
+METAS = {"all": STEPS, "build": STEPS[3:], "rebuild": ("parse", "chunk", "embed_fresh", "bm25")}
 
 
 def articles(pages: DataFrame, records: DataFrame, base_url: str, cat: facets.Catalogue = facets.DEFAULT) -> DataFrame:
     """Raw wikitext pages (title, pageid, revisions) and rendered records (schemas.HTML_RECORDS, file_name) merged:
-    rendered articles win, by page id (title where there is none); of several records of a page the last that parses.
+    rendered articles win, by page id (title where there is none); of several records of a page the last that parses, in
+    the order of ``file_name`` and ``line`` (see ``read_jsonl``; without them, of the rows as they come).
     ``source`` tells where an article came from: right is wikitext."""
     key = lambda: F.coalesce(F.col("pageid").cast("string"), F.concat(F.lit("t:"), F.col("title")))
-    raw = pages.select("title", "pageid", page_text().alias("wikitext"), *(["file_name"] if "file_name" in pages.columns else []))
-    if "file_name" not in raw.columns:
-        raw = raw.withColumn("file_name", F.lit(""))
-    own = wikitext.parse_pages(raw, base_url, cat).withColumn("key", key()).withColumn("_o", F.monotonically_increasing_id())
-    ordered = records.filter("error IS NULL").withColumn("_o", F.monotonically_increasing_id())
-    last = joins.latest(ordered.filter(F.trim(F.coalesce("html", F.lit(""))) != "").withColumn("key", key()), ["key"], ["file_name", "_o"])
+    place = lambda df: F.struct(F.col("file_name") if "file_name" in df.columns else F.lit("").alias("file_name"), F.col("line") if "line" in df.columns else F.monotonically_increasing_id().alias("line"))
+    order = place(pages)
+    raw = pages.select("title", "pageid", page_text().alias("wikitext"), order.alias("_o"))
+    own = wikitext.parse_pages(raw, base_url, cat).withColumn("key", key())
+    own = own.join(raw.withColumn("key", key()).groupBy("key").agg(F.min("_o").alias("_o")), "key")
+    ordered = records.withColumn("_o", place(records)).filter("error IS NULL")
+    last = joins.latest(ordered.filter(F.trim(F.coalesce("html", F.lit(""))) != "").withColumn("key", key()), ["key"], ["_o"])
     rendered = html.parse_records(last, base_url, cat).withColumn("key", key())
     columns = [c for c in rendered.columns if c != "key"]
     return joins.prefer_left(rendered, own, "key", columns, "_o").drop("key")
@@ -42,7 +45,8 @@ def articles(pages: DataFrame, records: DataFrame, base_url: str, cat: facets.Ca
 class Pipeline:
     """Runs steps over folders under ``root``; each step reads the table of the one before and replaces its own."""
 
-    def __init__(self, spark: SparkSession, root: str, cfg: Mapping[str, Any], base_url: str, cat: facets.Catalogue = facets.DEFAULT, embed: Callable[[Column], Column] = hash_embedding):
+    def __init__(self, spark: SparkSession, root: str, cfg: Mapping[str, Any], base_url: str, cat: facets.Catalogue = facets.DEFAULT, embed: Callable[[Column], Column] = hash_embedding, make_client: Callable[[], api.Client] | None = None):
+        self.make_client = make_client
         self.spark, self.root, self.cfg, self.base_url, self.cat, self.embed = spark, root, cfg, base_url, cat, embed
 
     def path(self, name: str) -> str:
@@ -55,9 +59,32 @@ class Pipeline:
     def store(self) -> ChunkStore:
         return ChunkStore(self.spark, self.path("store"), schemas.VECTORS)
 
+    @property
+    def client(self) -> Callable[[], api.Client]:
+        if self.make_client is None:
+            raise SetupError("a client of the service is needed for this step")
+        return self.make_client
+
+    def harvest(self) -> int:
+        with replacing(self.spark, self.path("titles")) as fresh:
+            return write_jsonl(api.titles_table(self.spark, self.client), fresh)
+
+    def titles(self) -> DataFrame:
+        return require_input(read_jsonl(self.spark, self.path("titles"), schemas.TITLES), "titles", "run harvest")
+
+    def fetch_wikitext(self) -> int:
+        return api.fetch_wikitext(self.spark, self.titles(), self.path("pages"), self.client).count()
+
+    def fetch(self) -> dict[str, int]:
+        records = api.fetch_batches(self.spark, self.titles(), self.path("html"), self.client)
+        return {r["kind"]: r["n"] for r in api.error_counts(records).collect()}
+
+    def retry_timeouts(self) -> int:
+        return api.retry_timeouts(self.spark, self.path("html"), self.client)
+
     def parse(self) -> dict[str, int]:
-        pages = read_jsonl(self.spark, self.path("pages"), schemas.PAGES)
-        records = read_jsonl(self.spark, self.path("html"), schemas.HTML_RECORDS)
+        pages = read_jsonl(self.spark, self.path("pages"), schemas.PAGES, numbered=True)
+        records = read_jsonl(self.spark, self.path("html"), schemas.HTML_RECORDS, numbered=True)
         with replacing(self.spark, self.path("articles")) as fresh:
             articles(pages, records, self.base_url, self.cat).write.parquet(fresh)
             counts = {r["source"]: r["count"] for r in self.spark.read.parquet(fresh).groupBy("source").count().collect()}
@@ -88,8 +115,12 @@ class Pipeline:
         return lexical.Index(*(self.table(f"bm25/{n}", s) for n, s in names.items()), True)
 
     def run(self, what: str, dry: bool = False) -> list[tuple[str, Any]]:
+        """Run a step or a list of steps under the root's lock and give each one's result; ``dry`` only names them."""
         steps = METAS.get(what, (what,))
-        known = {"parse": self.parse, "chunk": self.chunk, "embed": self.embed_step, "embed_fresh": lambda: self.embed_step(True), "bm25": self.bm25}
+        known = {"harvest": self.harvest, "fetch_wikitext": self.fetch_wikitext, "fetch": self.fetch, "retry_timeouts": self.retry_timeouts, "parse": self.parse, "chunk": self.chunk, "embed": self.embed_step, "embed_fresh": lambda: self.embed_step(True), "bm25": self.bm25}
         if unknown := [s for s in steps if s not in known]:
             raise SetupError(f"no step {unknown[0]!r}; there are {', '.join([*known, *METAS])}")
-        return [(s, None if dry else known[s]()) for s in steps]
+        if dry:
+            return [(s, None) for s in steps]
+        with run_lock(self.spark, self.root):
+            return [(s, known[s]()) for s in steps]

@@ -19,12 +19,39 @@ from pyspark.sql import functions as F
 from ..errors import SetupError
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of one file or folder (plain or gzip), and file_name, the lexicographic order in which later records
-    replace earlier ones. Blank lines, lines that are not JSON and records without any of the fields are dropped."""
-    rows = spark.read.schema(schema).json(path)
-    some = reduce(or_, [F.col(c).isNotNull() for c in rows.columns])
-    return rows.withColumn("file_name", F.col("_metadata.file_name")).filter(some)
+def _file_name():
+    """A file's name after that of its block's folder, if it is in one."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"((?:block=\d+/)?[^/]+)$", 1)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, numbered: bool = False) -> DataFrame:
+    """Records of one file or folder with blocks (plain or gzip), and file_name, the lexicographic order in which later
+    records replace earlier ones. Blank lines, lines that are not JSON and records without any of the fields are dropped.
+
+    ``numbered`` gives ``line`` too, a record's place in its file, the same on every reading. Files are then read whole,
+    one to a task at a time: it is for batches such as a fetch writes."""
+    if numbered:
+        whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).withColumn("file_name", _file_name())
+        lines = whole.select("file_name", F.posexplode(F.split("value", "\n")).alias("line", "value")).filter(F.trim("value") != "")
+        rows = lines.select(F.from_json("value", schema).alias("_r"), "file_name", "line").select("_r.*", "file_name", "line")
+    else:
+        rows = spark.read.option("recursiveFileLookup", True).schema(schema).json(path).withColumn("file_name", _file_name())
+    some = reduce(or_, [F.col(c).isNotNull() for c in rows.columns if c not in ("file_name", "line")])
+    return rows.filter(some)
+
+
+def write_block(df: DataFrame, out: str, first: int = 0, last: int = 99_999) -> int:
+    """Write records as the next block of a range of blocks under ``out`` and give its number. Blocks are read in order,
+    so what a later range of numbers holds replaces what earlier ones do."""
+    spark = df.sparkSession
+    place, system = hadoop(spark, out)
+    names = [str(s.getPath().getName()) for s in system.listStatus(place)] if system.exists(place) else []
+    there = [n for n in (int(x[6:]) for x in names if x.startswith("block=") and x[6:].isdigit()) if first <= n <= last]
+    number = max(there, default=first - 1) + 1
+    if number > last:
+        raise SetupError(f"blocks {first} to {last} of {out} are full")
+    df.write.option("compression", "gzip").json(f"{out}/block={number:05d}")
+    return number
 
 
 def write_jsonl(df: DataFrame, path: str, compression: str | None = None, mode: str = "overwrite") -> int:
@@ -55,7 +82,7 @@ def read_table(spark: SparkSession, path: str, schema: str, what: str, fix: str)
         raise SetupError(f"{what} was not found at {path}; {fix}") from error
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -65,7 +92,7 @@ def replacing(spark: SparkSession, path: str) -> Iterator[str]:
     """A fresh folder beside ``path`` to write to. If the block ends well it takes the place of what is at ``path``, by
     renames; if it fails, what is there stays and the fresh folder goes."""
     fresh, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex[:8]}" for kind in ("new", "old"))
-    (target, system), (new, _), (aside, _) = (_hadoop(spark, p) for p in (path, fresh, old))
+    (target, system), (new, _), (aside, _) = (hadoop(spark, p) for p in (path, fresh, old))
     try:
         yield fresh
         had = system.exists(target)
@@ -84,7 +111,7 @@ def replacing(spark: SparkSession, path: str) -> Iterator[str]:
 def run_lock(spark: SparkSession, path: str) -> Iterator[None]:
     """One run at a time over the tables under ``path``: SetupError while another holds the lock file, which is made in
     one step that fails if it is there."""
-    place, system = _hadoop(spark, f"{path.rstrip('/')}/.lock")
+    place, system = hadoop(spark, f"{path.rstrip('/')}/.lock")
     try:
         system.create(place, False).close()
     except Exception as error:  # Hadoop's own FileAlreadyExistsException, by way of the gateway
@@ -119,12 +146,6 @@ def extract_archive(archive: str, folder: str, sha256: str | None = None) -> int
     return sum(m.isfile() for m in members)
 
 
-def next_batch_index(existing: DataFrame, first: int = 9000) -> int:
-    """The next index of a reserved block, from file names such as html_09003.jsonl.gz."""
-    index = F.regexp_extract("file_name", r"_(\d+)\.", 1).try_cast("int")
-    return existing.select(F.greatest(F.lit(first - 1), F.coalesce(F.max(index), F.lit(-1)))).first()[0] + 1
-
-
 def missing_batches(n_titles: int, size: int, last_done: int) -> int:
     """Batches that a fetch has still to do; last_done is -1 before the first."""
     return max(0, -(-n_titles // size) - (last_done + 1))

@@ -10,7 +10,34 @@ from pyspark.sql import functions as F
 from ..errors import SetupError
 from ..functions.vectors import hash_embedding
 from ..operators.joins import new_rows
-from .files import read_table
+from .files import hadoop, read_table
+
+
+class Refreshed:
+    """A table that is kept in memory until its files change: ``get`` compares the names, sizes and times of the files
+    under ``path`` and loads anew where they differ from those of the last loading."""
+
+    def __init__(self, spark: SparkSession, path: str, load: Callable[[], DataFrame]):
+        self.spark, self.path, self.load = spark, path, load
+        self.seen: tuple | None = None
+        self.table: DataFrame | None = None
+
+    def state(self) -> tuple:
+        place, system = hadoop(self.spark, self.path)
+        found, out = system.listFiles(place, True), []
+        while found.hasNext():
+            file = found.next()
+            out.append((str(file.getPath()), file.getLen(), file.getModificationTime()))
+        return tuple(sorted(out))
+
+    def get(self) -> DataFrame:
+        now = self.state()
+        if self.table is None or now != self.seen:
+            if self.table is not None:
+                self.table.unpersist()
+            self.spark.catalog.refreshByPath(self.path)
+            self.table, self.seen = self.load().persist(), now
+        return self.table
 
 
 class ChunkStore:
@@ -42,9 +69,8 @@ class ChunkStore:
 
     def drop(self) -> None:
         """Remove the table; one that never was is no error, any other failure is."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        place, system = hadoop(self.spark, self.path)
+        system.delete(place, True)
 
     def rebuild(self, chunks: DataFrame, embed: Callable[[Column], Column] = hash_embedding) -> int:
         """Drop and load anew, after the input was found not to be empty."""

@@ -1,8 +1,12 @@
 """Retrieval, fusion, parsing, joins, streaming and plans on small literal tables."""
 
+import gzip
+import hashlib
 import json
+import os
 import random
 import sqlite3
+import tarfile
 
 import pytest
 from corpusmith import config, schemas
@@ -12,7 +16,7 @@ from corpusmith.functions import vectors as V
 from corpusmith.operators import chunking, dense, evaluate, fusion, html, joins, lexical, prompts, wikitext
 from corpusmith.plans import build, hybrid
 from corpusmith.sources import api, files
-from corpusmith.sources.store import ChunkStore
+from corpusmith.sources.store import ChunkStore, Refreshed
 from corpusmith.streaming import stateful
 from pyspark.sql import functions as F
 
@@ -298,7 +302,7 @@ def test_corpus_build_and_hybrid(spark, tmp_path):
     records = [("Stone", 2, "<p>Rendered stone page about towers.</p>", wiki("Stone", "XC1"), None), ("Extra", 4, "<p>Only rendered tower.</p>", None, None), ("Bad", 5, None, None, "timeout: x")]
     spark.createDataFrame(records, schemas.HTML_RECORDS).write.json(f"{tmp_path}/html")
     pipe = build.Pipeline(spark, str(tmp_path), config.load_config(), "https://w/")
-    done = dict(pipe.run("all"))
+    done = dict(pipe.run("build"))
     assert done["parse"] == {"left": 1, "left_only": 1, "right": 1} and done["chunk"] == done["embed"] == done["bm25"]
     assert [s for s, _ in pipe.run("rebuild", dry=True)] == ["parse", "chunk", "embed_fresh", "bm25"]
     with pytest.raises(SetupError):
@@ -330,3 +334,151 @@ def test_config(tmp_path):
     env = {"B": "kept"}
     assert config.load_env(str(tmp_path / ".env"), env) == {"A": "x y", "B": "2"} and env == {"B": "kept", "A": "x y"}
     assert FA.DEFAULT.every == "series" and V.BUCKETS == 256
+
+
+def wiki_service(awake):
+    """Makes a client of a service with three pages: titles in two parts, wikitext, and rendered pages of which one times out
+    until the file ``awake`` is there."""
+    texts = {t: f"{{{{XG place infobox|lv={i}}}}} {t} is a quiet place with a long river and many old stones." for i, t in enumerate(("Mill", "River", "Tower"))}
+
+    def send(params):
+        reply = {}
+        if params["action"] == "parse":
+            if params["page"] == "Tower" and not os.path.exists(awake):
+                return 503, {}, ""
+            reply["parse"] = {"title": params["page"], "pageid": sorted(texts).index(params["page"]), "text": f"<p>{params['page']} as it is shown.</p>", "wikitext": texts[params["page"]]}
+        elif "list" in params:
+            more = "apcontinue" in params
+            reply["query"] = {"allpages": [{"title": t, "pageid": i} for i, t in enumerate(sorted(texts)) if (i > 1) == more]}
+            reply |= {} if more else {"continue": {"apcontinue": "T"}}
+        else:
+            reply["query"] = {"pages": [{"title": t, "pageid": sorted(texts).index(t), "revisions": [{"slots": {"main": {"content": texts[t]}}}]} for t in params["titles"].split("|")]}
+        return 200, {}, json.dumps(reply)
+
+    return lambda: api.Client(send, delay=0, sleep=lambda s: None)
+
+
+def test_build_from_the_service_on(spark, tmp_path):
+    awake = f"{tmp_path}/awake"
+    root = f"{tmp_path}/root"
+    pipe = build.Pipeline(spark, root, config.load_config(), "https://w/", make_client=wiki_service(awake))
+    assert dict(pipe.run("harvest")) == {"harvest": 3} and [r.title for r in pipe.titles().orderBy("title").collect()] == ["Mill", "River", "Tower"]
+    assert dict(pipe.run("fetch_wikitext")) == {"fetch_wikitext": 3} == dict(pipe.run("fetch_wikitext"))
+    assert dict(pipe.run("fetch"))["fetch"] == {"timeout": 1}
+    open(awake, "w").close()
+    assert dict(pipe.run("retry_timeouts")) == {"retry_timeouts": 1} and dict(pipe.run("retry_timeouts")) == {"retry_timeouts": 0}
+    records = files.read_jsonl(spark, f"{root}/html", schemas.HTML_RECORDS, numbered=True)
+    assert joins.retry_set(records, ["file_name", "line"]).count() == 0 and records.filter("title = 'Tower'").count() == 2
+    assert max(r.file_name for r in records.collect()).startswith("block=09000/")
+    assert dict(pipe.run("build"))["parse"] == {"left": 3}
+    api.fetch_batches(spark, spark.createDataFrame([("Mill",), ("New",)], "title string"), root + "/html", failing_service, blocks=api.EXTRA)
+    assert {r.title: r.file_name[:11] for r in files.read_jsonl(spark, f"{root}/html", schemas.HTML_RECORDS).filter("error = 'missingtitle'").collect()} == {"New": "block=01000"}
+    with files.run_lock(spark, root), pytest.raises(SetupError):
+        pipe.run("parse")
+    with pytest.raises(SetupError):
+        build.Pipeline(spark, root, {}, "").run("harvest")
+    assert pipe.run("all", dry=True)[0] == ("harvest", None)
+
+
+def failing_service():
+    return api.Client(lambda params: (200, {}, json.dumps({"error": {"code": "missingtitle"}})), delay=0, sleep=lambda s: None)
+
+
+def test_records_keep_their_lines(spark, tmp_path):
+    rows = [{"title": f"t{i}", "pageid": i} for i in range(300)]
+    os.makedirs(f"{tmp_path}/in")
+    with open(f"{tmp_path}/in/a.jsonl", "w") as out:
+        out.write("\n".join(json.dumps(r) for r in rows[:200]) + "\n\nnot json\n")
+    with gzip.open(f"{tmp_path}/in/b.jsonl.gz", "wt") as out:
+        out.write("\n".join(json.dumps(r) for r in rows[200:]))
+    got = files.read_jsonl(spark, f"{tmp_path}/in", schemas.TITLES, numbered=True).orderBy("file_name", "line").collect()
+    assert [r.title for r in got] == [r["title"] for r in rows]
+    assert files.read_jsonl(spark, f"{tmp_path}/in", schemas.TITLES).count() == 300
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for n in (3, 5):
+        with files.replacing(spark, path) as fresh:
+            spark.range(n).write.parquet(fresh)
+        assert spark.read.parquet(path).count() == n
+    with pytest.raises(ZeroDivisionError), files.replacing(spark, path) as fresh:
+        spark.range(9).write.parquet(fresh)
+        raise ZeroDivisionError
+    assert spark.read.parquet(path).count() == 5 and sorted(os.listdir(tmp_path)) == ["t"]
+    seen = Refreshed(spark, path, lambda: spark.read.parquet(path))
+    first = seen.get()
+    assert seen.get() is first and first.count() == 5
+    with files.replacing(spark, path) as fresh:
+        spark.range(7).write.parquet(fresh)
+    assert seen.get() is not first and seen.get().count() == 7
+
+
+def test_an_index_that_does_not_fit_is_not_put_in_place(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "one two"), ("b", "two three")], "chunk_id string, text string")
+    index = lexical.build_index(rows)
+    index.materialise(f"{tmp_path}/bm25", rows)
+    with pytest.raises(SetupError):
+        lexical.build_index(rows.limit(1)).materialise(f"{tmp_path}/bm25", rows)
+    broken = lexical.Index(index.postings.unionByName(index.postings), index.frequencies, index.stats, False)
+    with pytest.raises(SetupError):
+        broken.materialise(f"{tmp_path}/bm25", rows)
+    assert spark.read.parquet(f"{tmp_path}/bm25/postings").count() == 4
+    asked = spark.createDataFrame([(1, "two")], "qid int, question string")
+    part = lexical.build_index(rows, asked=lexical.query_terms(asked, "qid", "question"))
+    assert [r.term for r in part.frequencies.collect()] == ["two"]
+    assert lexical.search(part, asked).collect() == lexical.search(index, asked).collect()
+
+
+def test_archives(tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "f").write_text("x")
+    with tarfile.open(tmp_path / "good.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "src" / "f", "d/f")
+    with tarfile.open(tmp_path / "bad.tar", "w") as tar:
+        tar.add(tmp_path / "src" / "f", "../f")
+    digest = hashlib.sha256((tmp_path / "good.tar.gz").read_bytes()).hexdigest()
+    assert files.extract_archive(str(tmp_path / "good.tar.gz"), str(tmp_path / "out"), digest) == 1 and (tmp_path / "out/d/f").read_text() == "x"
+    for name, check in (("bad.tar", None), ("good.tar.gz", "0" * 64)):
+        with pytest.raises(SetupError):
+            files.extract_archive(str(tmp_path / name), str(tmp_path / "other"), check)
+    assert not (tmp_path / "other").exists() and not (tmp_path / "f").exists()
+
+
+def test_evaluation_sets_and_totals(spark):
+    gold, off = spark.createDataFrame([(1, "q", "XG"), (2, "r", None)], "i int, question string, game string"), spark.createDataFrame([(3, "hi")], "i int, question string")
+    cases = evaluate.case_sets(gold=gold, off_topic=off)
+    assert sorted((r.kind, r.i, r.game) for r in cases.collect()) == [("gold", 1, "XG"), ("gold", 2, None), ("off_topic", 3, None)]
+    assert [r.i for r in evaluate.first_of(cases, 2, "i").collect()] == [1, 2] and evaluate.first_of(cases, None, "i").count() == 3
+    said = spark.createDataFrame([(None, "XC1"), ("down", None), (None, "")], "error string, foreign_tags string")
+    assert tuple(evaluate.totals(said).first()) == (3, 1, 1) and tuple(evaluate.totals(said.limit(0)).first()) == (0, 0, 0)
+    hit = FA.main_hit(F.split("terms", " "), F.split("titles", ","))
+    rows = spark.createDataFrame([("old mill", "The Old Mill (XG),x"), ("old mill", "Old,Mill")], "terms string, titles string")
+    assert [r[0] for r in rows.select(hit).collect()] == [True, False]
+
+
+def test_embedders(spark):
+    from corpusmith.functions import vectors as V
+
+    def gone():
+        raise ImportError("no such package")
+
+    embed = V.first_that_loads(gone, lambda: V.hash_embedding)
+    with pytest.raises(SetupError, match="no such package"):
+        V.first_that_loads(gone)
+    row = spark.createDataFrame([("river", None)], "q string, n string").select(embed(F.col("q")), V.with_instruction(embed, "find: ")(F.col("q")), V.hash_embedding(F.lit("find: river")), V.with_instruction(embed, "find: ")(F.col("n"))).first()
+    assert row[0] != row[1] == row[2] and row[3] is None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from corpusmith.__main__ import main
+
+    pages = [("River", 1, [((("{{XG place infobox|lv=3}} The river is a quiet place with many old stones in it.",),),)])]
+    spark.createDataFrame(pages, schemas.PAGES).write.json(f"{tmp_path}/pages")
+    spark.createDataFrame([], schemas.HTML_RECORDS).write.json(f"{tmp_path}/html")
+    build_ = ["build", "--root", str(tmp_path), "--base-url", "https://w/"]
+    assert main([*build_, "--dry-run", "build"]) == 0 and capsys.readouterr().out.count("step") == 4
+    assert main([*build_, "build"]) == 0 and main([*build_, "harvest"]) == 2
+    assert main(["ask", "--root", str(tmp_path), "-q", "old stones", "--tier", "thinking", "--k", "3"]) == 0
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert said["tier"] == "thinking" and said["sources"][0]["title"] == "River"
