@@ -209,12 +209,23 @@ def test_mixing_against_one_document_at_a_time():
     assert not mixlm.mix(x[:, :0], gates[:0], bits[:0], doc[:0], 2, start).any()
 
 
-def test_spelled_bits_are_those_of_the_bytes():
+def test_spelled_bits_are_a_code_of_the_bytes():
+    code = mixlm.huffman(np.bincount(np.frombuffer("en le la élan".encode(), np.uint8), minlength=256) + 1)
+    start, _, bits = code
+    paths = ["".join(map(str, bits[a:b])) for a, b in zip(start, start[1:], strict=False)]
+    assert abs(sum(2.0 ** -len(p) for p in paths) - 1) < 1e-12 and len(set(paths)) == 256 and len(paths[ord("e")]) < 8
     raw = np.frombuffer("élan\nb\n".encode(), np.uint8)
-    slots, bits, owner = mixlm._spelled_bits(raw)
-    assert np.packbits(bits).tobytes() == raw.tobytes() and owner.tolist() == np.repeat(np.arange(len(raw)), 8).tolist()
-    again, _, _ = mixlm._spelled_bits(np.frombuffer("b\nélan\n".encode(), np.uint8))
-    assert all((a[:48] == b[16:]).all() and (a[48:] == b[:16]).all() for a, b in zip(slots, again, strict=True))  # words stand alone
+    slots, bits, owner = mixlm._spelled_bits(raw, code)
+    assert "".join(map(str, bits)) == "".join(paths[c] for c in raw) and owner.tolist() == [i for i, c in enumerate(raw) for _ in paths[c]]
+    again, _, place = mixlm._spelled_bits(np.frombuffer("b\nélan\n".encode(), np.uint8), code)
+    cut, at = int((owner < 6).sum()), int((place < 2).sum())
+    assert all((a[:cut] == b[at:]).all() and (a[cut:] == b[:at]).all() for a, b in zip(slots, again, strict=True))  # words stand alone
+    assert mixlm._spelled_bits(raw[:0], code)[1].size == 0
+
+
+def test_counts_of_any_size_are_packed():
+    n = np.array([0, 1, 254, 255, 256, 10**12, 3])
+    assert mixlm._unpack(mixlm._pack(n), len(n)).tolist() == n.tolist() and mixlm._unpack(b"", 0).size == 0
 
 
 def test_a_spelled_word_has_a_probability(spark):
