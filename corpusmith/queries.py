@@ -183,10 +183,15 @@ def host_parse(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.host_name(header).alias("host"))
 
 
-@register("client_key", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || user_id WHEN event_id % 3 = 1 THEN 'peer' || event_id ELSE 'peer' || event_id END AS client FROM events")
+@register(
+    "client_key",
+    r"""WITH h AS (SELECT p_partkey, p_size % 2 = 0 AS trusted, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 5 = 0 THEN ' , ' || p_brand ELSE replace(p_name || ' ' || p_type, ' ', ' , ') END AS fwd, p_brand FROM part)
+    SELECT p_partkey, CASE WHEN trusted AND trim(split_part(fwd, ',', 1), ' ') <> '' THEN trim(split_part(fwd, ',', 1), ' ') ELSE p_brand END AS client FROM h""",
+)
 def client_key(spark, sf_dir):
-    forwarded = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" 10.0.0."), F.col("user_id"), F.lit(" , 10.9.9.9"))).when(F.col("event_id") % 3 == 1, F.lit(" ,1.1.1.1"))
-    return read(spark, sf_dir, "events").select("event_id", T.client_key(forwarded, F.concat(F.lit("peer"), F.col("event_id")), F.lit(True)).alias("client"))
+    size = F.col("p_size")
+    forwarded = F.when(size % 7 == 0, F.lit(None)).when(size % 5 == 0, F.concat(F.lit(" , "), "p_brand")).otherwise(F.regexp_replace(F.concat_ws(" ", "p_name", "p_type"), " ", " , "))
+    return read(spark, sf_dir, "part").select("p_partkey", T.client_key(forwarded, F.col("p_brand"), size % 2 == 0).alias("client"))
 
 
 @register("redirect_stub_filter", f"SELECT doc_id FROM documents WHERE NOT (lower({STRIP.format('text')}) LIKE '#redirect%') AND length({STRIP.format('text')}) >= 50")
@@ -225,15 +230,32 @@ def citation_markers(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.array_join(cited.cast("array<string>"), ",").alias("cited"))
 
 
-@register("safe_href", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '#' END AS href FROM pages")
+#: What may stand before an address: nothing, blanks, other schemes, other spellings.
+SCHEMES = ("", " ", "javascript:", "HTTPS://x.example/?", "//", "data:text/html,", "ftp://")
+
+
+@register(
+    "safe_href",
+    rf"""WITH l AS (SELECT page_id, unnest(list_concat([url], regexp_extract_all(html, 'href="([^"]*)"', 1))) AS href FROM pages),
+    n AS (SELECT page_id, [{", ".join(f"'{x}'" for x in SCHEMES)}][(length(href) % {len(SCHEMES)} + 1)::INT] || href AS href FROM l)
+    SELECT page_id, href AS given, CASE WHEN regexp_matches(trim(href, ' '), '(?i)^https?://') THEN trim(href, ' ') ELSE '#' END AS href FROM n""",
+)
 def safe_href(spark, sf_dir):
-    url = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" "), F.col("url"))).otherwise(F.concat(F.lit("javascript:"), F.col("url")))
-    return read(spark, sf_dir, "pages").select("page_id", T.safe_href(url).alias("href"))
+    links = F.concat(F.array("url"), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
+    given = read(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("href"))
+    given = given.select("page_id", F.concat(F.element_at(F.array(*map(F.lit, SCHEMES)), F.length("href") % len(SCHEMES) + 1), "href").alias("given"))
+    return given.select("page_id", "given", T.safe_href(F.col("given")).alias("href"))
 
 
-@register("source_name", r"SELECT p_partkey, p_name AS name FROM part")
+@register(
+    "source_name",
+    r"""WITH l AS (SELECT page_id, unnest(list_concat([url], list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: 'https://w.example/wiki' || replace(x, 'e', '_') || '%20x?a=/1#b'))) AS url FROM pages)
+    SELECT page_id, url, url_decode(replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1), '_', ' ')) AS name FROM l""",
+)
 def source_name(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", T.source_name(F.concat(F.lit("https://w.example/wiki/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit("?a=1#x"))).alias("name"))
+    made = F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda x: F.concat(F.lit("https://w.example/wiki"), F.replace(x, F.lit("e"), F.lit("_")), F.lit("%20x?a=/1#b")))
+    links = read(spark, sf_dir, "pages").select("page_id", F.explode(F.concat(F.array("url"), made)).alias("url"))
+    return links.select("page_id", "url", T.source_name(F.col("url")).alias("name"))
 
 
 # ------------------------------------------------------------------------------------- facets, filters
@@ -270,10 +292,16 @@ def facet_flags(spark, sf_dir):
     return faceted(read(spark, sf_dir, "documents")).select("doc_id", *[c.alias(n) for n, c in FA.flags(F.col("games"), LANGS).items()])
 
 
-@register("facet_fallback", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'XS1,XS2,XS3' WHEN 1 THEN 'XC2' ELSE 'XC1,XC2,XC3,XCX,XG,XS1,XS2,XS3' END AS games FROM events")
+@register(
+    "facet_fallback",
+    """WITH l AS (SELECT doc_id, CASE n_chars % 4 WHEN 0 THEN 'EU' WHEN 1 THEN split_part(text, ' ', 1) WHEN 2 THEN NULL ELSE lang END AS label FROM documents)
+    SELECT doc_id, label, CASE WHEN label = 'EU' THEN 'de,fr' WHEN label IN ('de', 'en', 'es', 'fr') THEN label ELSE 'de,en,es,fr' END AS games FROM l""",
+)
 def facet_fallback(spark, sf_dir):
-    label = F.when(F.col("event_id") % 4 == 0, "XS").when(F.col("event_id") % 4 == 1, "XC2").when(F.col("event_id") % 4 == 2, "series")
-    return read(spark, sf_dir, "events").select("event_id", F.array_join(FA.fallback_memberships(label), ",").alias("games"))
+    kind = F.col("n_chars") % 4
+    label = F.when(kind == 0, "EU").when(kind == 1, F.get(F.split("text", " "), 0)).when(kind == 2, F.lit(None)).otherwise(F.col("lang"))
+    labelled = read(spark, sf_dir, "documents").select("doc_id", label.alias("label"))
+    return labelled.select("doc_id", "label", F.array_join(FA.fallback_memberships(F.col("label"), LANGS), ",").alias("games"))
 
 
 @register(
@@ -297,35 +325,75 @@ def foreign_tags(spark, sf_dir):
     return tags.select("source", F.nullif(found, F.lit("")).alias("foreign_tags"))
 
 
+#: Parts of made wikitext; a document has those whose bits of its number, times a prime, are set.
+WIKI_PARTS = ("{{de place infobox|hp=3}}", "{{en data|x}}", "{{fr|x}} {{other|b}}", "[[Category: Things (FR)]]", "[[category:German things|x]]", "[[Category:Es (old) things (es)]]", "{{EU}} and {{eu}}", "plain English words")
+WIKI_TITLES = ("Thing", "Thing (en-gb)", "Thing (EU)", "Thing (old) (DE)", "Thing (EU1&2)", "Thing (new)")
+
+
 def wiki_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic wikitext of five kinds from the events."""
-    k = F.col("event_id") % 5
-    title = F.when(k == 0, F.concat(F.lit("Thing "), F.col("event_id"), F.lit(" (en-gb)"))).when(k == 1, F.concat(F.lit("Thing "), F.col("event_id"), F.lit(" (EU)"))).otherwise(F.concat(F.lit("Thing "), F.col("event_id")))
-    text = (
-        F.when(k == 2, "{{de place infobox|hp=3}} [[Category: Things (FR)]] {{fr|x}}")
-        .when(k == 3, "no box [[Category:German things]] [[category: French things|x]]")
-        .when(k == 4, "{{es|a}} and {{other|b}}<ref>n</ref><ref name=a />")
-    )
-    return read(spark, sf_dir, "events").select("event_id", title.alias("title"), text.alias("wikitext"))
+    """Made wikitext pages, one per document: any of the parts under any of the titles."""
+    bits = F.col("doc_id") * 37 % 2 ** len(WIKI_PARTS)
+    parts = [F.when(F.expr(f"shiftright(doc_id * 37 % {2 ** len(WIKI_PARTS)}, {i})").bitwiseAND(F.lit(1)) == 1, part) for i, part in enumerate(WIKI_PARTS)]
+    title = F.element_at(F.array(*map(F.lit, WIKI_TITLES)), (F.col("doc_id") % len(WIKI_TITLES) + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", title.alias("title"), F.when(bits != 0, F.concat_ws(" ", *parts)).alias("wikitext"))
 
 
-@register("derive_facet", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'EU' WHEN 2 THEN 'de' WHEN 3 THEN 'EU' ELSE 'es' END AS label FROM events")
-def derive_facet(spark, sf_dir):
-    return wiki_rows(spark, sf_dir).select("event_id", FA.derive_label(F.col("title"), F.col("wikitext"), CASELESS).alias("label"))
+#: Codes are compared in upper case; the languages are their own canonical form through the aliases.
+CASELESS = FA.Catalogue(bases=LANGS.bases, aliases={"EN-GB": "en", "EN": "en", "DE": "de", "FR": "fr", "ES": "es"}, umbrella="EU", episodes=("de", "fr"), phrases=LANGS.phrases)
 
 
-@register("derive_facets", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de,fr' WHEN 2 THEN 'de,fr' WHEN 3 THEN 'de,fr' ELSE 'es' END AS games FROM events")
-def derive_facets(spark, sf_dir):
-    return wiki_rows(spark, sf_dir).select("event_id", F.array_join(FA.derive_memberships(F.col("title"), F.col("wikitext"), CASELESS), ",").alias("games"))
+#: The rules of labels and memberships over made pages: codes by title, template, category and phrase.
+FACETS_SQL = f"""WITH pages AS (SELECT doc_id, [{", ".join(f"'{t}'" for t in WIKI_TITLES)}][(doc_id % {len(WIKI_TITLES)} + 1)::INT] AS title,
+    CASE WHEN doc_id * 37 % {2 ** len(WIKI_PARTS)} <> 0 THEN concat_ws(' ', {", ".join(f"CASE WHEN (doc_id * 37 % {2 ** len(WIKI_PARTS)}) >> {i} & 1 = 1 THEN '{part}' END" for i, part in enumerate(WIKI_PARTS))}) END AS wikitext FROM documents),
+t AS (SELECT *, regexp_extract_all(title, '\\(([^()]+)\\)', 1) AS suffixes, list_transform(regexp_extract_all(coalesce(wikitext, ''), '\\{{\\{{\\s*([^|{{}}\\n]+)', 1), lambda x: trim(x)) AS names,
+    regexp_extract_all(coalesce(wikitext, ''), '(?i)\\[\\[\\s*Category\\s*:\\s*([^\\]|\\n]+)', 1) AS cats FROM pages),
+code AS (SELECT {{'EN-GB': 'en', 'EN': 'en', 'DE': 'de', 'FR': 'fr', 'ES': 'es'}}::MAP(VARCHAR, VARCHAR) AS of),
+u AS (SELECT t.*, of,
+    list_filter(list_transform(suffixes, lambda x: of[upper(trim(x))]), lambda x: x IS NOT NULL) AS own,
+    list_bool_or(list_transform(suffixes, lambda x: regexp_matches(upper(replace(x, ' ', '')), '^EU([1-3](&[1-3])+)?$'))) AS wide,
+    list_transform(names, lambda n: list_filter(list_transform(regexp_split_to_array(n, '\\s+'), lambda w: of[upper(w)]), lambda x: x IS NOT NULL)[1]) AS name_codes,
+    list_filter(list_transform(cats, lambda c: coalesce(list_filter(list_transform(regexp_extract_all(c, '\\(([^()]+)\\)', 1), lambda x: of[upper(trim(x))]), lambda x: x IS NOT NULL)[-1],
+        CASE WHEN regexp_matches(c, '(?i)\\benglish\\b') THEN 'en' WHEN regexp_matches(c, '(?i)\\bgerman\\b') THEN 'de' WHEN regexp_matches(c, '(?i)\\bfrench\\b') THEN 'fr' END)), lambda x: x IS NOT NULL) AS cat_codes
+    FROM t, code),
+v AS (SELECT *, list_filter(name_codes, lambda x, i: x IS NOT NULL AND (contains(lower(names[i]), 'infobox') OR regexp_matches(lower(names[i]), ' (data|stats)$'))) AS all_structured,
+    coalesce(list_bool_or(list_transform(names, lambda n: contains(lower(n), 'infobox'))), false) AS boxed,
+    list_filter(name_codes, lambda x: x IS NOT NULL) AS all_codes, coalesce(list_bool_or(list_transform(names, lambda n: upper(n) = 'EU')), false) AS generic FROM u),
+w AS (SELECT *, list_distinct(all_structured) AS structured, list_distinct(cat_codes) AS kinds, CASE WHEN len(list_distinct(all_codes)) = 1 AND NOT generic THEN all_codes[1] END AS lone,
+    CASE WHEN len(list_filter(list_distinct(cat_codes), lambda x: x NOT IN ('de', 'fr'))) = 0 THEN 'EU' ELSE 'series' END AS several FROM v)"""
 
 
-#: Codes are compared in upper case; the languages are their own canonical form through the aliases.
-CASELESS = FA.Catalogue(bases=LANGS.bases, aliases={"EN-GB": "en", "EN": "en", "DE": "de", "FR": "fr", "ES": "es"}, umbrella="EU", episodes=("de", "fr"), phrases=LANGS.phrases)
+@register(
+    "derive_facet",
+    FACETS_SQL
+    + """ SELECT doc_id, CASE WHEN len(own) > 0 THEN own[1] WHEN wide THEN 'EU' WHEN coalesce(wikitext, '') = '' THEN 'series' WHEN len(structured) = 1 THEN structured[1]
+    WHEN boxed AND len(list_filter(kinds, lambda x: x IN ('de', 'fr'))) >= 2 THEN several WHEN boxed AND len(cat_codes) > 0 THEN cat_codes[1]
+    WHEN len(kinds) = 1 THEN kinds[1] WHEN len(kinds) >= 2 THEN several ELSE coalesce(lone, 'series') END AS label FROM w""",
+)
+def derive_facet(spark, sf_dir):
+    return wiki_rows(spark, sf_dir).select("doc_id", FA.derive_label(F.col("title"), F.col("wikitext"), CASELESS).alias("label"))
+
+
+@register(
+    "derive_facets",
+    FACETS_SQL
+    + """, s AS (SELECT *, list_sort(list_distinct(flatten(list_transform(suffixes, lambda x: CASE WHEN of[upper(trim(x))] IS NOT NULL THEN [of[upper(trim(x))]] WHEN upper(trim(x)) = 'EU' THEN ['de', 'fr']
+        WHEN regexp_matches(upper(replace(x, ' ', '')), '^EU[1-3](&[1-3])+$') THEN list_transform(regexp_extract_all(x, '[1-3]'), lambda d: 'EU' || d) ELSE [] END)))) AS by_title, list_distinct(list_concat(all_structured, cat_codes)) AS found FROM w)
+    SELECT doc_id, array_to_string(CASE WHEN len(by_title) > 0 THEN by_title WHEN len(found) > 0 THEN list_sort(found) WHEN lone IS NOT NULL THEN [lone] ELSE [] END, ',') AS games FROM s""",
+)
+def derive_facets(spark, sf_dir):
+    return wiki_rows(spark, sf_dir).select("doc_id", F.array_join(FA.derive_memberships(F.col("title"), F.col("wikitext"), CASELESS), ",").alias("games"))
 
 
-@register("wikitext_strip_refs", "SELECT event_id, CASE WHEN event_id % 5 = 4 THEN '{{es|a}} and {{other|b}}' END AS wikitext FROM events WHERE event_id % 5 = 4")
+@register(
+    "wikitext_strip_refs",
+    r"""WITH w AS (SELECT doc_id, replace(replace(replace(text, ', ', '<Ref name="a b" />, '), '. ', '<ref>see ' || chr(10) || '<b>this</b></REF>. '), 'en', 'e<ref group=x>n</ref>n') AS t FROM documents)
+    SELECT doc_id, md5(regexp_replace(regexp_replace(t, '<ref[^>]*?/>', '', 'gi'), '<ref[^>]*?>.*?</ref>', '', 'gis')) AS text_md5, length(t) AS n_before FROM w""",
+)
 def wikitext_strip_refs(spark, sf_dir):
-    return wiki_rows(spark, sf_dir).filter("event_id % 5 = 4").select("event_id", wikitext.strip_refs(F.col("wikitext")).alias("wikitext"))
+    put = lambda text, at, what: F.replace(text, F.lit(at), F.lit(what))
+    marked = put(put(put(F.col("text"), ", ", '<Ref name="a b" />, '), ". ", "<ref>see \n<b>this</b></REF>. "), "en", "e<ref group=x>n</ref>n")
+    rows = read(spark, sf_dir, "documents").select("doc_id", marked.alias("t"))
+    return rows.select("doc_id", F.md5(wikitext.strip_refs(F.col("t"))).alias("text_md5"), F.length("t").cast("long").alias("n_before"))
 
 
 HTML_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
@@ -346,11 +414,26 @@ def html_sections(spark, sf_dir):
     return html.parse_records(pages, BASE_URL).select("pageid", F.posexplode("sections").alias("n", "section")).select("pageid", "n", "section.heading", "section.text")
 
 
-@register("tag_mismatch", "SELECT event_id FROM events WHERE event_id % 5 = 0")
+@register(
+    "tag_mismatch",
+    FACETS_SQL + """, h AS (SELECT u.doc_id, own[1] AS hint, CASE d.n_chars % 3 WHEN 0 THEN 'series' ELSE d.lang END AS tag FROM u JOIN documents d USING (doc_id))
+    SELECT doc_id, hint, tag FROM h WHERE hint IS NOT NULL AND hint <> tag AND tag <> 'series'""",
+)
 def tag_mismatch(spark, sf_dir):
-    rows = wiki_rows(spark, sf_dir).withColumn("tag", F.when(F.col("event_id") % 5 == 0, "fr").otherwise("series"))
-    hint = FA.title_hint(F.col("title"), CASELESS)
-    return rows.filter(hint.isNotNull() & (hint != F.col("tag")) & (F.col("tag") != "series")).select("event_id")
+    tags = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") % 3 == 0, "series").otherwise(F.col("lang")).alias("tag"))
+    rows = wiki_rows(spark, sf_dir).join(tags, "doc_id").withColumn("hint", FA.title_hint(F.col("title"), CASELESS))
+    return rows.filter(F.col("hint").isNotNull() & (F.col("hint") != F.col("tag")) & (F.col("tag") != CASELESS.every)).select("doc_id", "hint", "tag")
+
+
+@register(
+    "main_hit",
+    """SELECT p_partkey, coalesce(list_bool_or(list_transform([p_type || ' ' || p_name, p_brand, upper(p_name)], lambda t: len(list_filter(string_split(p_name, ' '), lambda w: length(w) > 2 AND NOT contains(lower(t), w))) = 0)), false)
+    AND len(list_filter(string_split(p_name, ' '), lambda w: length(w) > 2)) > 0 AND p_size % 3 <> 0 AS hit FROM part""",
+)
+def main_hit(spark, sf_dir):
+    question = F.concat(F.lit("What is the "), F.col("p_name"), F.lit("?"))
+    titles = F.when(F.col("p_size") % 3 != 0, F.array(F.concat_ws(" ", "p_type", "p_name"), "p_brand", F.upper("p_name"))).otherwise(F.array("p_brand", "p_type"))
+    return read(spark, sf_dir, "part").select("p_partkey", FA.main_hit(FA.subject_terms(question), titles).alias("hit"))
 
 
 @register("subject_terms", "SELECT p_partkey, array_to_string(list_filter(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), lambda t: length(t) > 2), ' ') AS terms FROM part")
@@ -809,22 +892,34 @@ def route(spark, sf_dir):
     return routed.select("event_id", "r.tier", "r.source", "r.topic", "r.format")
 
 
-@register("tier_overlay", "SELECT event_id, ['fast', 'thinking', 'scholar', 'bogus'][(event_id % 4 + 1)::INT] AS tier, [20, 48, 96, 48][(event_id % 4 + 1)::INT]::INT AS top_k FROM events")
+@register(
+    "tier_overlay",
+    """WITH a AS (SELECT conv_id, turn, coalesce(nullif(regexp_extract(event_type || text, 'fast|thinking|scholar|error|view'), ''), 'none') AS tier FROM (
+        SELECT c.conv_id, c.turn, c.text, ['fast', 'thinking', 'scholar', 'view', 'error', ''][(length(c.text) % 6 + 1)::INT] AS event_type FROM conversations c)),
+    t(tier, top_k, cand) AS (VALUES ('fast', 20, 60), ('thinking', 48, 60), ('scholar', 96, 224))
+    SELECT conv_id, turn, a.tier, coalesce(t.top_k, f.top_k)::INT AS top_k, coalesce(t.cand, f.cand)::INT AS candidates FROM a LEFT JOIN t ON a.tier = t.tier, (SELECT * FROM t WHERE tier = 'thinking') f""",
+)
 def tier_overlay(spark, sf_dir):
     from .config import DEFAULTS, TIER_NAMES, apply_tier
 
-    tiers = spark.createDataFrame([(t, apply_tier(DEFAULTS, t)["top_k"]) for t in TIER_NAMES], "tier string, top_k int")
-    asked = read(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, CHOICES)), (F.col("event_id") % 4 + 1).cast("int")).alias("tier"))
-    fallback = apply_tier(DEFAULTS, "")["top_k"]
-    return asked.join(F.broadcast(tiers), "tier", "left").select("event_id", "tier", F.coalesce("top_k", F.lit(fallback)).alias("top_k"))  # three rows
+    laid = lambda t: (t, apply_tier(DEFAULTS, t)["top_k"], apply_tier(DEFAULTS, t)["hybrid_candidates"])
+    tiers = spark.createDataFrame([laid(t) for t in (*TIER_NAMES, "any other")], "_tier string, top_k int, candidates int")
+    kinds = F.array(*map(F.lit, ("fast", "thinking", "scholar", "view", "error", "")))
+    named = F.regexp_extract(F.concat(F.element_at(kinds, F.length("text") % 6 + 1), "text"), "fast|thinking|scholar|error|view", 0)
+    asked = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(named == "", "none").otherwise(named).alias("tier"))
+    key = F.when(F.col("tier").isin(list(TIER_NAMES)), F.col("tier")).otherwise("any other")
+    return asked.join(F.broadcast(tiers), key == F.col("_tier")).select("conv_id", "turn", "tier", "top_k", "candidates")  # four rows
 
 
-@register("not_covered", "SELECT event_id, event_id % 3 = 2 AND event_id % 17 <> 0 AND (event_id % 10) / 10.0 >= 0.8 AS declined FROM events")
+@register(
+    "not_covered",
+    """WITH v AS (SELECT event_id, ['answered', 'partial', 'not_covered', 'unknown', NULL][(user_id % 5 + 1)::INT] AS verdict, CASE WHEN event_type = 'error' THEN 'NaN'::DOUBLE WHEN event_type = 'signup' THEN 'Infinity'::DOUBLE ELSE value / 500.0::DOUBLE END AS confidence FROM events)
+    SELECT event_id, coalesce(verdict = 'not_covered', false) AND NOT isnan(confidence) AND NOT isinf(confidence) AND confidence >= 0.2 AS declined FROM v""",
+)
 def not_covered(spark, sf_dir):
-    e = F.col("event_id")
-    verdict = F.element_at(F.array(*map(F.lit, D.COVERAGE)), (e % 3 + 1).cast("int"))
-    confidence = F.when(e % 17 == 0, float("nan")).otherwise((e % 10) / 10)
-    return read(spark, sf_dir, "events").select("event_id", D.not_covered(verdict, confidence).alias("declined"))
+    verdict = F.element_at(F.array(*map(F.lit, (*D.COVERAGE, "unknown", None))), (F.col("user_id") % 5 + 1).cast("int"))
+    confidence = F.when(F.col("event_type") == "error", float("nan")).when(F.col("event_type") == "signup", float("inf")).otherwise(F.col("value") / 500.0)
+    return read(spark, sf_dir, "events").select("event_id", D.not_covered(verdict, confidence, 0.2).alias("declined"))
 
 
 @register("check_eligible", REPLY_SQL + " SELECT event_id, event_id % 19 <> 0 AND said AND event_id % 29 <> 0 AND (tier IS NOT NULL) AS eligible FROM g")
