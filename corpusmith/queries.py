@@ -405,6 +405,93 @@ def html_to_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.md5(T.collapse(bare)).alias("text_md5"))
 
 
+#: Made pages with tables: an infobox of labelled rows with column names, a grid under a heading, and prose.
+MADE_PAGE = (
+    "<div class=\"mw-parser-output\"><table class=\"infobox wide\"><tr><th></th><th>Base</th><th> Max </th></tr><tr><th>Size</th><td>{size}</td><td>{price} max</td></tr>"
+    "<tr><th>Kind</th><td></td><td>{type}</td></tr><tr><td>also</td><td>{brand}</td></tr><tr><th></th><td>lost</td></tr></table><p>The <b>{name}</b> , by {brand}</p>"
+    "<h2><span class=\"mw-headline\">Where</span></h2><table><thead><tr><th>Name</th><th>Rate</th><th></th></tr></thead><tr><td>{name}</td><td>{size}%</td><td>{type}</td></tr><tr><td>{brand}</td><td></td><td></td></tr></table>"
+    "<ul><li>{type}</ul><h3>Spawn points</h3><table><tr><th>x</th><td>1</td></tr></table><div class=\"navbox\"><p>no</p></div>"
+)
+
+
+def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = {"size": F.col("p_size").cast("string"), "price": F.floor("p_retailprice").cast("string"), "type": F.col("p_type"), "brand": F.col("p_brand"), "name": F.col("p_name")}
+    page = F.lit(MADE_PAGE)
+    for key, value in values.items():
+        page = F.replace(page, F.lit("{" + key + "}"), value)
+    return read(spark, sf_dir, "part").select("p_partkey", page.alias("html"))
+
+
+@register(
+    "html_tables",
+    """WITH l AS (SELECT p_partkey, unnest([
+        {'n': 1, 'h': 'infobox', 'l': 'Size: ' || p_size || ' base, ' || floor(p_retailprice)::INT || ' max.'},
+        {'n': 2, 'h': 'infobox', 'l': 'Kind: ' || p_type || CASE WHEN contains(lower(p_type), 'max') THEN '' ELSE ' max' END || ', also, ' || p_brand || '.'},
+        {'n': 3, 'h': 'Where', 'l': p_name || ' - Rate: ' || p_size || '%; ' || p_type || '.'}, {'n': 4, 'h': 'Where', 'l': p_brand || '.'}]) AS x FROM part)
+    SELECT p_partkey, x.n::INT AS n, x.h AS heading, x.l AS line FROM l""",
+)
+def html_tables(spark, sf_dir):
+    from .operators import html
+
+    blocks = html.read_pages(made_pages(spark, sf_dir)).select("p_partkey", F.explode("factblocks").alias("b"))
+    lines = blocks.select("p_partkey", F.when(F.col("b.heading") == "infobox", 0).otherwise(2).alias("from"), "b.heading", F.posexplode("b.lines").alias("i", "line"))
+    return lines.select("p_partkey", (F.col("from") + F.col("i") + 1).cast("int").alias("n"), "heading", "line")
+
+
+@register(
+    "html_page_sections",
+    """SELECT p_partkey, unnest(['Introduction', 'Where']) AS heading, unnest(['The ' || p_name || ', by ' || p_brand, p_type]) AS text FROM part""",
+)
+def html_page_sections(spark, sf_dir):
+    from .operators import html
+
+    return html.read_pages(made_pages(spark, sf_dir)).select("p_partkey", F.explode("sections").alias("s")).select("p_partkey", "s.heading", "s.text")
+
+
+#: Made wikitext: an infobox whose fields hold links, references and templates, and two levels of sections.
+MADE_WIKI = (
+    "{{EN place infobox|Size={size}|place={{EN|{brand}|the {brand} works}}<ref name=a />|{type}|empty= }}\n'''{name}''' is by [[{brand}|its maker]]. [[File:x.png|thumb]]<ref>no [[x]]</ref>\n"
+    "{| class=x\n| gone\n|}\n== Use ==\nFor [[{type}]] {{other|not shown}}work.\n\n\n\n=== More ===\n[https://x.example/{size} A page].\n== Gone ==\n<!-- {name} -->\n[[Category:{type}]]"
+)
+
+
+def made_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = {"size": F.col("p_size").cast("string"), "type": F.col("p_type"), "brand": F.col("p_brand"), "name": F.col("p_name")}
+    text = F.lit(MADE_WIKI)
+    for key, value in values.items():
+        text = F.replace(text, F.lit("{" + key + "}"), value)
+    pages = read(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("pageid"), text.alias("wikitext"))
+    return wikitext.parse_pages(pages, BASE_URL, CASELESS)
+
+
+ARTICLES_SQL = """WITH a AS (SELECT p_partkey AS pageid, p_name AS title, 'en' AS game, 'https://corpus.example/' || replace(p_name, ' ', '_') AS url,
+    [{'k': 'Size', 'v': p_size::VARCHAR}, {'k': 'place', 'v': 'the ' || p_brand || ' works'}, {'k': '1', 'v': p_type}, {'k': 'empty', 'v': ''}] AS fields,
+    [{'h': 'Introduction', 't': p_name || ' is by its maker.'}, {'h': 'Use', 't': 'For ' || p_type || ' work.' || chr(10) || chr(10) || 'More' || chr(10) || 'A page.'}] AS parts FROM part)"""
+
+
+@register("wikitext_articles", ARTICLES_SQL + " SELECT pageid, title, game, url, array_to_string(list_transform(fields, lambda f: f.k || '=' || f.v), ';') AS fields, array_to_string(list_transform(parts, lambda s: s.h || '=' || s.t), ';') AS sections FROM a")
+def wikitext_articles(spark, sf_dir):
+    pair = lambda x, a, b: F.concat(x[a], F.lit("="), x[b])
+    fields = F.array_join(F.transform(F.get("infoboxes", 0)["fields"], lambda f: pair(f, "k", "v")), ";")
+    parts = F.array_join(F.transform("sections", lambda x: pair(x, "heading", "text")), ";")
+    return made_articles(spark, sf_dir).select("pageid", "title", "game", "url", fields.alias("fields"), parts.alias("sections"))
+
+
+@register(
+    "chunk_articles",
+    ARTICLES_SQL
+    + f""", f AS (SELECT *, '[en] ' || title || ' > infobox: EN place infobox. ' || array_to_string(list_transform(list_filter(fields, lambda f: trim(f.v) <> ''), lambda f: {LABEL_SQL.replace('CASE k', 'CASE lower(f.k)').replace('(k', '(f.k').replace(' k', ' f.k')} || ': ' || f.v || '.'), ' ') AS box FROM a),
+    b AS (SELECT pageid, title, 0 AS o, 'infobox' AS heading, box AS t, string_split(box, ' ') AS ws FROM f
+      UNION ALL SELECT pageid, title, 1, parts[1].h, parts[1].t, regexp_extract_all(parts[1].t, '\\S+') FROM f UNION ALL SELECT pageid, title, 2, parts[2].h, parts[2].t, regexp_extract_all(parts[2].t, '\\S+') FROM f),
+    w AS (SELECT pageid, title, o, heading, t, ws, unnest(range(0, greatest(0, ceil((len(ws) - 8) / 6.0)::BIGINT) + 1)) AS i FROM b),
+    c AS (SELECT pageid, heading, CASE WHEN heading = 'infobox' AND i = 0 THEN '' ELSE '[en] ' || title || ' > ' || heading || ': ' END || CASE WHEN len(ws) <= 8 THEN t ELSE array_to_string(ws[i * 6 + 1 : i * 6 + 8], ' ') END AS text,
+      row_number() OVER (PARTITION BY pageid ORDER BY o, i) - 1 AS n FROM w)
+    SELECT printf('%s-%04d', pageid::VARCHAR, n) AS chunk_id, heading, text FROM c""",
+)
+def chunk_articles(spark, sf_dir):
+    return chunking.chunk_articles(made_articles(spark, sf_dir), 8, 2).select("chunk_id", "heading", "text")
+
+
 @register("html_sections")
 def html_sections(spark, sf_dir):
     """The tree walk has no SQL form; tests hold it against literal pages."""
@@ -1084,3 +1171,19 @@ def hybrid_retrieve(spark, sf_dir):
     store = materialise(store, "store")  # vectors are made once
     hits = hybrid.retrieve(asked, store, documents_index(spark, sf_dir), cfg)
     return hits.select("qid", "chunk_id", F.col("_score").alias("score"), "rank")
+
+
+@register("answer_all")
+def answer_all(spark, sf_dir):
+    """The whole question path over the conversations' user turns with the offline services: route, retrieve by depth, check,
+    escalate once, prompt, answer. Services have no SQL form; tests hold the path against literal cases."""
+    from .config import load_config
+    from .plans import answer
+
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    store = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("pageid"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.col("lang").alias("game"), F.array("lang").alias("games"), F.lit("text").alias("heading"), F.concat(F.lit(BASE_URL), "doc_id").alias("url"), "text", V.hash_embedding(F.col("text")).alias("embedding"))
+    store = materialise(store, "answer-store")
+    turns = prompts.previous_questions(read(spark, sf_dir, "conversations")).filter(F.length("text") < 2000)
+    asked = turns.select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.col("text").alias("question"), F.lit(None).cast("string").alias("game"), F.col("previous").alias("previous_question"))
+    index = lexical.build_index(store, asked=lexical.query_terms(asked.select("qid", F.concat_ws(" ", "previous_question", "question").alias("question")), "qid", "question"))
+    return answer.answer_all(asked, store, index, load_config()).select("qid", "tier", "escalated", "declined", F.md5("answer").alias("answer_md5"), F.col("error"))
