@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 
 from .common import bound_batches, column, materialise, release_worker_cache, without_gc, worker_cache
 
-BLOCK, LANES = 2048, 2048
+BLOCK, LANES = 1024, 4096
 #: Ids of a file; documents are never split between files.
 FILE_IDS = BLOCK * LANES
 MAGIC, HEAD = b"CMR2", struct.Struct("<4sIIQI")
@@ -38,9 +38,9 @@ TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 WORD, SHIFT = np.uint64(16), np.uint64(48)
 GAIN, LIMIT = 24, 1 << 14
 BITS1, BITS2 = 11, 12
-#: First node of each level of the order-0 tree. The last level's 4096 nodes share 1024 places: a block touches few.
+#: First node of each level of the order-0 tree. The last level's 4096 nodes share 256 places, which keeps the tables of all lanes small.
 LEVELS = (0, 1, 17, 273)
-PLACES = 1024
+PLACES = 256
 NODES = 273 + PLACES
 #: Confidences of predictions count up to three.
 SURE = np.minimum(np.arange(256), 3)
