@@ -1,6 +1,8 @@
 """Documents whose sets of word shingles are alike: Jaccard similarity of a stated share or more, computed exactly.
 
-Candidates meet in buckets of min-hash bands (Broder; BANDS bands of ROWS values): a pair of similarity s shares none
+Candidates come from two sides. SimHash ball hashing (``simhash.link_fingerprints``) gives the texts whose fingerprints are
+equal or within three bits. A similarity of 0.8 lies four to fourteen bits apart as a rule, where no ball is small enough
+to emit, so others meet in buckets of min-hash bands (Broder; BANDS bands of ROWS values): a pair of similarity s shares none
 with chance (1 - s**ROWS) ** BANDS, which is 3e-6 at 0.8. Every link is then verified on the whole sets. Equal sets are
 one vertex, so exact copies never meet each other. A bucket's members are compared with its leader first, the one
 that meets most others over all buckets; after that, only members whose components still differ, each with each. So
@@ -18,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import bound_batches, column, materialise, release_worker_cache
 from .components import components, one_per
 
@@ -30,15 +33,16 @@ _FACTORS = np.random.default_rng(SEED).integers(1 << 62, size=(BANDS * ROWS, 1))
 def shingles(text: str, width: int) -> np.ndarray:
     """The sorted distinct XXH64 values (seed 42) of the word shingles, A-Z lowered; fewer words than ``width`` are one
     shingle and no words none."""
+    return _sketch(text, width)[0]
+
+
+def _sketch(text: str, width: int) -> tuple[np.ndarray, int]:
+    """The set of shingles, and the fingerprint of all of them."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts, ends, digest = (ends - lengths).tolist(), ends.tolist(), xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :], strict=False)])
-    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+        return np.zeros(0, np.uint64), 0
+    raw = simhash.digests(words, width)
+    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64)), simhash.majority(raw)
 
 
 def bands(values: np.ndarray) -> list[int]:
@@ -54,20 +58,21 @@ def bands(values: np.ndarray) -> list[int]:
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, tkey (hash of the text), vertex (hash of the set), size, bands."""
+    """doc_id, tkey (hash of the text), vertex (hash of the set), size, fp (SimHash), bands."""
     bound_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("vertex", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("vertex", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker_cache()
         for frame in frames:
-            sets = [shingles(text or "", width) for text in column(frame, "text")]
+            sketches = [_sketch(text or "", width) for text in column(frame, "text")]
+            sets, fps = [s for s, _ in sketches], np.array([f for _, f in sketches], np.uint64).view(np.int64)
             vertex = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            rest = [pa.array(vertex), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(bands, sets)), pa.list_(pa.int64()))]
+            rest = [pa.array(vertex), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array(list(map(bands, sets)), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), *rest], schema=schema)
 
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id long, tkey long, vertex long, size long, bands array<long>")
+    return source.mapInArrow(run, "doc_id long, tkey long, vertex long, size long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -120,6 +125,18 @@ def _settler(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _by_fingerprint(reps: DataFrame) -> DataFrame:
+    """u, v: a spanning set of the links between sets whose SimHash fingerprints are equal or within three bits. Empty sets
+    are one vertex and need none."""
+    full = reps.filter("size > 0").select("vertex", "fp")
+    first = materialise(full.groupBy("fp").agg(F.min("vertex").alias("lead")), "alike-fingerprints")
+    near = simhash.link_fingerprints(first.select("fp"))
+    one, two = (first.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead")) for c in ("u", "v"))
+    pairs = near.join(one, "u").join(two, "v").select(F.col("u_lead").alias("a"), F.col("v_lead").alias("b"))
+    pairs = pairs.unionByName(full.join(first, "fp").filter("vertex <> lead").select(F.col("vertex").alias("a"), F.col("lead").alias("b")))
+    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+
+
 def _alike_in_size(a: str, b: str, percent: int) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -131,15 +148,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     marks = materialise(_sketches(docs, width), "alike")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("least")
-    reps = materialise(marks.groupBy("vertex").agg(first, F.first("size").alias("size"), F.first("bands").alias("bands")).select("vertex", "least.doc_id", "least.tkey", "size", "bands"), "alike-reps")
+    reps = materialise(marks.groupBy("vertex").agg(first, F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands")).select("vertex", "least.doc_id", "least.tkey", "size", "fp", "bands"), "alike-reps")
     met = reps.select("vertex", "size", F.explode("bands").alias("bucket"))
     hits = met.join(met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket")
     hits = materialise(hits, "alike-hits")
     crowd = hits.groupBy("vertex").agg(F.sum("n").alias("crowd"))
     leaders = hits.join(crowd, "vertex").groupBy("bucket").agg(F.max(F.struct("crowd", "vertex", "size")).alias("top")).select("bucket", F.col("top.vertex").alias("lead"), F.col("top.size").alias("lead_size"))
     tried = hits.join(leaders, "bucket").filter((F.col("vertex") != F.col("lead")) & _alike_in_size("size", "lead_size", percent))
-    tried = tried.select(F.greatest("vertex", "lead").alias("u"), F.least("vertex", "lead").alias("v")).distinct()
-    sets = materialise(_sets(docs, reps.join(hits.select("vertex").distinct(), "vertex").select("doc_id", "tkey", "vertex"), width), "alike-sets")
+    tried = tried.select(F.greatest("vertex", "lead").alias("u"), F.least("vertex", "lead").alias("v"))
+    tried = materialise(tried.unionByName(_by_fingerprint(reps)).distinct(), "alike-tried")
+    used = hits.select("vertex").union(tried.select("u")).union(tried.select("v")).distinct()
+    sets = materialise(_sets(docs, reps.join(used, "vertex").select("doc_id", "tkey", "vertex"), width), "alike-sets")
     links = materialise(_verified(tried, sets, percent), "alike-links")
     roots = components(links)
     named = hits.join(roots, "vertex", "left").select("bucket", "vertex", "size", F.coalesce("root", "vertex").alias("root"))

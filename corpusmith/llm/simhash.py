@@ -46,12 +46,21 @@ def fingerprint(text: str, width: int = 3) -> int:
         return 0
     if len(words) <= width:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    return majority(digests(words, width))
+
+
+def digests(words: list[bytes], width: int) -> bytes:
+    """The XXH64 values (seed 42, big-endian, one after another) of the shingles of some words, repeats included; fewer
+    words than ``width`` are one shingle."""
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    digest, ends = xxhash.xxh64_digest, ends.tolist()
-    raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)])
+    starts, ends, digest = (ends - lengths).tolist(), ends.tolist(), xxhash.xxh64_digest
+    return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :], strict=False)])
+
+
+def majority(raw: bytes) -> int:
+    """The fingerprint of some shingles' values."""
     bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
     ones = bits.sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(bits)).tobytes(), "big")

@@ -226,6 +226,10 @@ def test_spelled_bits_are_a_code_of_the_bytes():
 def test_counts_of_any_size_are_packed():
     n = np.array([0, 1, 254, 255, 256, 10**12, 3])
     assert mixlm._unpack(mixlm._pack(n), len(n)).tolist() == n.tolist() and mixlm._unpack(b"", 0).size == 0
+    r = np.random.default_rng(1)
+    for size in (0, 1, 3, 40, 5000):
+        keys = np.unique(np.append(r.integers(0, 1 << 32, size), [0, (1 << 32) - 1] if size else [])).astype(np.int64)
+        assert mixlm._unpack_sorted(mixlm._pack_sorted(keys), len(keys)).tolist() == keys.tolist()
 
 
 def test_a_spelled_word_has_a_probability(spark):

@@ -9,8 +9,10 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
-from corpusmith.llm import bpe, langid, mixing, pii, simhash, tiff
+from corpusmith.llm import bpe, mixing, pii, resemblance, tiff
 
 from .conftest import DOCS, make_docs
 
@@ -232,37 +234,81 @@ def test_personal_data_edge_tables(docs, no_docs, wide_docs):
     assert all(mine[r.doc_id] == pii.joined(plain_spans(r.text or "")) for r in docs.collect() if r.doc_id is not None)
 
 
+def pipeline_rows():
+    """Documents of every awkward kind, with null ids (one with the text of a named document), a repeated row, near copies
+    and a document that differs from its copy in its source alone."""
+    rows = make_docs(60, seed=21)
+    words = rows[7][1].split() + rows[8][1].split()
+    rows += [(500, " ".join(words), "en", "src0", 9), (501, " ".join([*words[:-2], "other", "end"]), "en", "src1", 9), (502, " ".join(words[: len(words) // 2]), "de", None, 9)]
+    return [*rows, rows[2], (None, rows[9][1], "de", "src9", 1), (None, rows[9][1], "de", "src9", 1)]
+
+
 def test_pipeline_against_its_stages_done_plainly(spark, tmp_path):
     import corpus_pipeline
 
-    rows = [r for r in make_docs(80, seed=21) if r[0] is not None]
-    df = spark.createDataFrame(rows, DOCS).dropDuplicates(["doc_id"])
-    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = pipeline_rows()
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    texts = {r.doc_id: r.text for r in df.collect()}
-    kept = {d: t for d, t in texts.items() if any(c.isalpha() for c in t or "")}
-    fps = {d: simhash.fingerprint(t, 5) for d, t in kept.items()}
-    up = {d: d for d in kept}
-    for _ in kept:
-        for a in kept:
-            for b in kept:
-                if (fps[a] ^ fps[b]).bit_count() <= 3:
-                    up[a] = up[b] = min(up[a], up[b])
-        if all(up[up[a]] == up[a] for a in kept):
+    named = {r[0]: r for r in rows if r[0] is not None and any(c.isalpha() for c in r[1] or "")}
+    sets = {d: set(resemblance.shingles(r[1], 5).tolist()) for d, r in named.items()}
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    up = {d: d for d in named}
+    while True:
+        less = {a: min(up[b] for b in named if alike(sets[a], sets[b])) for a in named}
+        if less == up:
             break
-    first = {d: kept[d] for d in kept if up[d] == d}
-    sources = {r.doc_id: r.source for r in df.collect()}
-    spans = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame([(d, t, None, sources[d], None) for d, t in first.items()], DOCS)).collect()}
-    clean = {d: pii.redact(t, spans[d]) if spans[d] else t for d, t in first.items()}
+        up = less
+    assert sum(up[d] != d for d in up) >= 2
+    kept = [named[d] for d in named if up[d] == d] + [r for r in rows if r[0] is None and any(c.isalpha() for c in r[1])]
+    found = pii.find_personal_data(spark.createDataFrame(kept, DOCS)).select("doc_id", "key", "spans").distinct().collect()
+    keys = {(r[0], r[1]): r.key for r in spark.createDataFrame(kept, DOCS).selectExpr("doc_id", "text", "xxhash64(text) AS key").collect()}
+    spans = {(r.doc_id, r.key): r.spans for r in found}
+    clean = [(d, pii.redact(t, spans[d, keys[d, t]]) if spans[d, keys[d, t]] else t, source) for d, t, _, source, _ in kept]
     con = duckdb.connect()
-    import pandas as pd
-
-    con.register("documents", pd.DataFrame({"doc_id": list(clean), "text": list(clean.values()), "source": [sources[d] for d in clean]}))
-    times = {r[0]: -(-r[4] // r[1]) for r in con.execute(mixing.mix_sql()).fetchall() if r[4] > 0}
-    import public_tokenizers
-
+    con.register("documents", pa.table({"doc_id": pa.array([c[0] for c in clean], pa.int64()), "text": [c[1] for c in clean], "source": pa.array([c[2] for c in clean], pa.string())}))
+    taken = con.execute(f"SELECT doc_id, source, size, taken FROM ({mixing.mix_sql()}) WHERE taken > 0").fetchall()
+    times = defaultdict(int)
+    for d, source, size, n in taken:
+        times[d, source] += -(-n // size)
     own = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    want = sorted((d, len(own.encode(clean[d])) // 4, hashlib.sha256(clean[d].encode()).hexdigest()) for d, n in times.items() for _ in range(n))
-    assert sorted(got[["doc_id", "n_tokens", "decoded_sha256"]].itertuples(index=False, name=None)) == want
+    text = {(d, source): t for d, t, source in clean}
+    want = sorted((-1 if k[0] is None else k[0], len(own.encode(text[k])) // 4, hashlib.sha256(text[k].encode()).hexdigest()) for k, n in times.items() for _ in range(n))
+    mine = sorted((-1 if d != d or d is None else int(d), n, h) for d, n, h in got[["doc_id", "n_tokens", "decoded_sha256"]].itertuples(index=False, name=None))
+    assert mine == want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "personal_data", "source_mix", "encode"]
-    assert langid.keep_identified(df).columns == df.columns
+
+
+def test_pipeline_of_nothing_and_of_wide_tables(spark, tmp_path, wide_docs, no_docs):
+    import corpus_pipeline
+
+    no_docs.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    wide_docs.limit(20).write.parquet(f"{tmp_path}/wide/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/wide/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/wide")
+        assert docs.columns == wide_docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, f"{tmp_path}/wide").count() == docs.count()
+
+
+def test_mix_follows_the_slots(spark, docs):
+    """The pipeline's documents stand in the order of the slots that take them."""
+    _, pieces, slots = mixing.plan_mix(docs, block=64, whole=True)
+    first = {}
+    for r in mixing._taken(pieces, slots).groupBy("doc_id", "first", "pass").min("slot").collect():
+        first.setdefault(r.doc_id, []).append(r["min(slot)"])
+    order = [r.doc_id for r in mixing.repeat_documents(docs, block=64).collect()]
+    at = {d: iter(sorted(x)) for d, x in first.items()}
+    got = [next(at[d]) for d in order if d in at and len(first[d]) < 3]
+    assert got == sorted(got) and len(order) == sum(map(len, first.values()))
+
+
+def test_one_row_on_a_third_of_the_table(spark):
+    """Equal rows, rows without an id, and an id on many texts are mixed like any others."""
+    rows = [(7, "one two three four", "en", "a", 1)] * 300 + [(None, f"w{i} x y", "en", "b", 1) for i in range(300)] + [(8, f"z{i}", "en", f"s{i % 50}", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS).repartition(7)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = sorted(map(str, con.execute(f"SELECT doc_id, size, source, taken, first_slot, n_slots FROM ({mixing.mix_sql(block=16)})").fetchall()))
+    got = mixing.mix_sources(df, block=16).select("doc_id", "size", "source", "taken", "first_slot", "n_slots").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
