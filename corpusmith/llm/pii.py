@@ -200,11 +200,13 @@ def find_personal_data(docs: DataFrame, share: float = 0.9) -> DataFrame:
     total = rows.count()
     entities = rows.select(F.explode("entities").alias("e"), F.col("terms").alias("ts"))
     n_e = entities.groupBy("e").agg(F.count("*").alias("n_e"))
-    # Dealt by the term once, which serves the count of pairs and the join with n_t.
-    pairs = entities.join(n_e, "e").select("e", "n_e", F.explode("ts").alias("t")).repartition("t").groupBy("t", "e").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"))
     n_t = scan.filter("term IS NOT NULL").groupBy(F.col("term").alias("t")).agg(F.sum("df").alias("n_t"))
+    # Dealt by the term once, which serves the count of pairs and the join with n_t. As n_e is at least 1, a pair can only
+    # disclose if n_t <= n_te * N ** (1 - share); the few that are left meet n_e and the rule itself.
+    pairs = entities.select("e", F.explode("ts").alias("t")).repartition("t").groupBy("t", "e").agg(F.count("*").alias("n_te"))
+    pairs = pairs.join(n_t, "t").filter(F.col("n_t") <= F.col("n_te") * F.lit(1.001 * float(max(1, total)) ** max(0.0, 1 - share))).join(n_e, "e")
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    flagged = pairs.join(n_t, "t").filter(pmi >= F.lit(share) * F.log2(F.lit(float(total)) / F.col("n_e"))).filter(F.col("n_e") < total).select("t").distinct()
+    flagged = pairs.filter(pmi >= F.lit(share) * F.log2(F.lit(float(total)) / F.col("n_e"))).filter(F.col("n_e") < total).select("t").distinct()
     told = _told(docs, materialise(flagged, "pii-flagged"))
     out = rows.drop("terms").join(told, (F.col("key") == F.col("_cs_key")) & F.col("doc_id").eqNullSafe(F.col("_cs_id")), "left")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "terms")

@@ -129,7 +129,7 @@ def _bucket_links(kept: list[int], aside: list[int], names: list[int], centre: i
 
 def _linker(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by key; a bucket may span frames, so the last one of a frame waits for the next."""
-    rest: list[np.ndarray] = []
+    rest: list[tuple[np.ndarray, np.ndarray]] = []
 
     def of(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
         edges: list[tuple[int, int]] = []
@@ -146,14 +146,17 @@ def _linker(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for frame in frames:
         keys, fps = frame["key"].to_numpy(), frame["fp"].to_numpy()
-        if rest:
-            keys, fps = np.concatenate((rest[0], keys)), np.concatenate((rest[1], fps))
-        if len(keys):
-            last = int(np.searchsorted(keys, keys[-1], "left"))
-            yield of(keys[:last], fps[:last])
-            rest = [keys[last:], fps[last:]]
+        if not len(keys):
+            continue
+        if rest and keys[-1] == rest[0][0][0]:  # all of the open bucket: put together when it ends
+            rest.append((keys, fps))
+            continue
+        keys, fps = (np.concatenate([*(r[k] for r in rest), x]) for k, x in enumerate((keys, fps)))
+        last = int(np.searchsorted(keys, keys[-1], "left"))
+        yield of(keys[:last], fps[:last])
+        rest = [(keys[last:], fps[last:])]
     if rest:
-        yield of(*rest)
+        yield of(*(np.concatenate([r[k] for r in rest]) for k in range(2)))
 
 
 def link_fingerprints(reps: DataFrame) -> DataFrame:

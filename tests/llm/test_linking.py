@@ -68,6 +68,18 @@ def test_bucket_links_keep_every_link_and_no_other():
         assert len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b))
 
 
+def test_a_bucket_over_many_frames():
+    """Frames of any size give the links of one frame."""
+    r = np.random.default_rng(2)
+    low = np.sort(r.integers(0, 3, 400)).astype(np.int64)
+    fps = (r.integers(0, 64, 400).astype(np.int64) << 32) | low
+    whole = pd.DataFrame({"key": low, "fp": fps})
+    links = lambda frames: sorted((min(a), max(a)) for f in simhash._linker(iter(frames)) for a in f.itertuples(index=False))
+    want = links([whole])
+    for size in (1, 7, 150):
+        assert links([whole[i : i + size] for i in range(0, 400, size)]) == want and want
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.vertex: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
