@@ -65,6 +65,23 @@ def test_tiff_pages_and_damage(spark):
     assert tiff.decode_pages(spark.createDataFrame([], "path string, content binary")).count() == 0
 
 
+def test_more_pages_than_sixteen_bits_count():
+    """Every directory is a page, however many there are."""
+    page = tiff.write([np.zeros((1, 1), np.uint8)], tiff.PLAIN)
+    at = struct.unpack_from("<I", page, 4)[0]
+    n = struct.unpack_from("<H", page, at)[0]
+    entry, count = page[at : at + 2 + 12 * n], 70_000
+    chain = [entry + struct.pack("<I", len(page) + (i + 1) * (len(entry) + 4) if i + 1 < count else 0) for i in range(count)]
+    data = bytearray(page) + b"".join(chain)
+    struct.pack_into("<I", data, 4, len(page))
+    assert sum(1 for _ in tiff.read(bytes(data))) == count
+
+
+def test_texts_as_tiff_beside_columns_of_its_own_names(docs, wide_docs):
+    key = lambda rows: sorted((r.doc_id or -1, r.payload_sha256, r.feature) for r in rows)
+    assert key(tiff.texts_as_tiff(wide_docs.withColumn("pages", wide_docs.ids).withColumn("feature", wide_docs.ids)).collect()) == key(tiff.texts_as_tiff(docs).collect())
+
+
 def test_texts_as_tiff(docs, no_docs, monkeypatch):
     by = {r.doc_id: r.text for r in docs.collect()}
     found = tiff.texts_as_tiff(docs).collect()
