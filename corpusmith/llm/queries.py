@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, editcount, langid, mixing, mixlm, permutation, pii, rangecoder, simhash, tiff
+from . import bpe, editcount, langid, mixing, mixlm, permutation, pii, rangecoder, secrets, simhash, tiff
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -57,6 +57,11 @@ def op10_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in secrets.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_confirmed")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_permutation_index, op2_edit_aware_counts, op3_crf_language, op4_tiff_media, op5_range_coded_ids, op6_simhash_ball, op7_context_mixing_lm, op8_bpe_transducer, op9_low_discrepancy_mix, op10_disclosing_terms, pipeline)
+    for f in (op1_permutation_index, op2_edit_aware_counts, op3_crf_language, op4_tiff_media, op5_range_coded_ids, op6_simhash_ball, op7_context_mixing_lm, op8_bpe_transducer, op9_low_discrepancy_mix, op10_disclosing_terms, op11_structural_secrets, pipeline)
 }
 
 ORACLES: dict[str, str] = {"op9_low_discrepancy_mix": mixing.mix_sql()}
