@@ -27,12 +27,18 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder at every call; ``release`` removes it."""
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing. The table
     stays until ``release`` as plans that read it may run at any time."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
