@@ -33,7 +33,12 @@ COLUMNS = ("change_id", "client_id", "seq", "op", "valid_at", "source", "segment
 _FED = "client_id long, change_id long, n long, day int, op string, city string, balance double, clock int, batch int"
 _OUT = "change_id long, client_id long, n long, op string, status string, batch int, missed long, city string, balance double"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_SETTINGS = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+#: A store is closed and its local copy removed when its task ends: the next start opens it from the checkpoint anyway.
+_SETTINGS = {
+    _PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 #: A held change: change_id, day, op, city, balance, batch in which it came.
 Held = tuple[int | None, int, str | None, str | None, float | None, int]
