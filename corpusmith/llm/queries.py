@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, editcount, langid, mixing, mixlm, permutation, pii, rangecoder, secrets, sequenced, simhash, tiff
+from . import bpe, collocation, editcount, langid, mixing, mixlm, permutation, pii, rangecoder, secrets, sequenced, simhash, tiff
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -68,6 +68,10 @@ def op12_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("change_id", "client_id", "status", "batch", "missed", "city", cents.alias("cents"), "current")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_permutation_index, op2_edit_aware_counts, op3_crf_language, op4_tiff_media, op5_range_coded_ids, op6_simhash_ball, op7_context_mixing_lm, op8_bpe_transducer, op9_low_discrepancy_mix, op10_disclosing_terms, op11_structural_secrets, op12_sequenced_changes, pipeline)
+    for f in (op1_permutation_index, op2_edit_aware_counts, op3_crf_language, op4_tiff_media, op5_range_coded_ids, op6_simhash_ball, op7_context_mixing_lm, op8_bpe_transducer, op9_low_discrepancy_mix, op10_disclosing_terms, op11_structural_secrets, op12_sequenced_changes, op13_collocations, pipeline)
 }
 
-ORACLES: dict[str, str] = {"op9_low_discrepancy_mix": mixing.mix_sql()}
+ORACLES: dict[str, str] = {"op9_low_discrepancy_mix": mixing.mix_sql(), "op13_collocations": collocation.collocations_sql()}
