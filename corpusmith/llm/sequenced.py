@@ -3,16 +3,21 @@
 Changes carry a number n per client and come late, twice or never. A stateful streaming query keeps, per client, a map
 from n to the change that is held and one value with the next number and the present city and balance. Batches are fed
 one after another, each by a new start of the query on the same checkpoint. In every batch each client that is known from
-an earlier one gets a clock row, so that a gap expires even where the client has no change; every row carries the clock.
+an earlier one gets a clock row, so that a gap expires even where the client has no change.
 
-What a client's batch does does not hang on the order in which its rows reach the task: a number leaves the map only by
-being applied or jumped, both after the rows are in, so of the rows with one new number the first by day and change_id is
-held and the others are rejected. So a task holds a bounded part of a client's rows and leaves the rest to the state
-store; a client with a third of all rows is one sequence, as the rule says, but nothing of it is held whole.
+What a client's batch does does not hang on the order in which its rows reach the task, clock row included: numbers leave
+the map only by being applied, and new rows are applied once all are in, so of the rows with one new number the first by
+day and change_id is held and the others are rejected. So a task holds a bounded part of a client's rows and leaves the
+rest to the state store; a client with a third of all rows is one sequence, as the rule says, but nothing of it is held
+whole.
+
+A call for a key costs far more than its few rows, so rows in and out have few columns and what the state holds is one
+JSON text each.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -30,8 +35,9 @@ FRESH = 20_000
 ENDED = 2_000_000_000
 
 COLUMNS = ("change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance")
-_FED = "client_id long, change_id long, n long, day int, op string, city string, balance double, clock int, batch int"
-_OUT = "change_id long, client_id long, n long, op string, status string, batch int, missed long, city string, balance double"
+_FED = "client_id long, change_id long, n long, day int, op string, city string, balance double"
+_OUT = "change_id long, client_id long, n long, kind int, missed long, city string, balance double"
+REJECTED, APPLIED, DELETED = 0, 1, 2
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: A store is closed and its local copy removed when its task ends: the next start opens it from the checkpoint anyway.
 _SETTINGS = {
@@ -57,38 +63,41 @@ def _first(a: Held, b: Held) -> bool:
     return False
 
 
+_ROW = Row(*(c.split()[0] for c in _OUT.split(", ")))
+
+
 class SequencedApplier(StatefulProcessor):
     """Per client: ``held`` n -> change, ``at`` the next number, how many are held, a lower bound of their days, and the
-    present values."""
+    present values. A row without n is the clock, its day the largest day of earlier batches."""
 
-    def __init__(self, patience: int, fresh: int = FRESH) -> None:
-        self.patience, self.limit = patience, fresh
+    def __init__(self, batch: int, patience: int, fresh: int = FRESH) -> None:
+        self.batch, self.patience, self.limit = batch, patience, fresh
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "n long", "change_id long, day int, op string, city string, balance double, batch int")
-        self.at = handle.getValueState("at", "next long, n_held long, earliest int, city string, balance double")
+        self.held = handle.getMapState("held", "n long", "change string")
+        self.at = handle.getValueState("at", "now string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         client, was = key[0], self.at.get()
-        self.next, self.n_held, self.earliest, self.city, self.balance = was or (1, 0, 0, None, None)
+        self.next, self.n_held, self.earliest, self.city, self.balance = before = json.loads(was[0]) if was else [1, 0, 0, None, None]
         fresh: dict[int, Held] = {}
-        begun, batch = False, 0
-        for _, change_id, n, day, op, city, balance, clock, batch in rows:
-            if not begun and self.n_held and self.earliest + self.patience <= clock:
-                yield from self._jump(client, clock, batch)
-            begun = True
+        for _, change_id, n, day, op, city, balance in rows:
             if n is None:
+                if self.n_held and self.earliest + self.patience <= day:
+                    yield from self._jump(client, day)
+                    for n in [n for n in fresh if n < self.next]:
+                        yield self._rejected(client, n, fresh.pop(n))
                 continue
-            change: Held = (change_id, day, op, city, balance, batch)
+            change: Held = (change_id, day, op, city, balance, self.batch)
             known = fresh.get(n)
             if known is None and n >= self.next and self.n_held:
-                known = self.held.getValue((n,))
-            if n < self.next or known and known[5] < batch:
-                yield self._rejected(client, n, change, batch)
+                known = self._held(n)
+            if n < self.next or known and known[5] < self.batch:
+                yield self._rejected(client, n, change)
                 continue
             if known:
-                late = change if _first(tuple(known), change) else tuple(known)
-                yield self._rejected(client, n, late, batch)
+                late = change if _first(known, change) else known
+                yield self._rejected(client, n, late)
                 if late is change:
                     continue
                 if n not in fresh:
@@ -100,32 +109,47 @@ class SequencedApplier(StatefulProcessor):
             change = fresh.pop(self.next, None) or self._taken(self.next)
             if change is None:
                 break
-            yield self._applied(client, self.next, change, batch)
+            yield self._applied(client, self.next, change)
         self._hold(fresh)
-        now = (self.next, self.n_held, self.earliest, self.city, self.balance)
-        if was is None or now != tuple(was):
-            self.at.update(now)
+        now = [self.next, self.n_held, self.earliest, self.city, self.balance]
+        if was is None or now != before:
+            self.at.update((json.dumps(now),))
 
-    def _jump(self, client: Any, clock: int, batch: int) -> Iterator[Row]:
+    def _jump(self, client: Any, clock: int) -> Iterator[Row]:
         """While a held change has waited out, next jumps to the smallest held number. So everything held up to the
-        largest number that has waited out is applied in order, and what follows that without a gap."""
-        numbers, last, rest = [], 0, ENDED
-        for (n,), change in self.held.iterator():
+        largest number that has waited out is applied in order, and what follows that without a gap. Rows of this batch
+        that are in the map already take no part; those whose number was jumped are rejected."""
+        numbers, own, last, rest = [], [], 0, ENDED
+        for (n,), (text,) in self.held.iterator():
+            _, day, *_, batch = json.loads(text)
+            if batch == self.batch:
+                own.append(n)
+                continue
             numbers.append(n)
-            if change[1] + self.patience <= clock:
+            if day + self.patience <= clock:
                 last = max(last, n)
             else:
-                rest = min(rest, change[1])
-        self.earliest = rest
+                rest = min(rest, day)
+        self.earliest = min(rest, self.earliest) if own else rest
         if last:
             order = np.sort(np.array(numbers, np.int64))
-            for n in order[: np.searchsorted(order, last, "right")].tolist():
-                yield self._applied(client, n, self._taken(n), batch)
-            while self.n_held and (change := self._taken(self.next)):
-                yield self._applied(client, self.next, change, batch)
+            at = np.searchsorted(order, last, "right")
+            for n in order[:at].tolist():
+                yield self._applied(client, n, self._taken(n))
+            for n in order[at:].tolist():
+                if n != self.next:
+                    break
+                yield self._applied(client, n, self._taken(n))
+            for n in own:
+                if n < self.next:
+                    yield self._rejected(client, n, self._taken(n))
+
+    def _held(self, n: int) -> Held | None:
+        found = self.held.getValue((n,))
+        return tuple(json.loads(found[0])) if found else None
 
     def _taken(self, n: int) -> Held | None:
-        change = self.held.getValue((n,)) if self.n_held else None
+        change = self._held(n) if self.n_held else None
         if change is not None:
             self.held.removeKey((n,))
             self.n_held -= 1
@@ -133,12 +157,12 @@ class SequencedApplier(StatefulProcessor):
 
     def _hold(self, fresh: dict[int, Held]) -> None:
         for n, change in fresh.items():
-            self.held.updateValue((n,), change)
+            self.held.updateValue((n,), (json.dumps(change),))
             self.earliest = min(self.earliest, change[1]) if self.n_held else change[1]
             self.n_held += 1
         fresh.clear()
 
-    def _applied(self, client: Any, n: int, change: Held, batch: int) -> Row:
+    def _applied(self, client: Any, n: int, change: Held) -> Row:
         change_id, _, op, city, balance, _ = change
         if op == "I":
             self.city, self.balance = city, balance
@@ -148,11 +172,11 @@ class SequencedApplier(StatefulProcessor):
         elif op == "D":
             self.city = self.balance = None
         missed, self.next = n - self.next, n + 1
-        return Row(change_id=change_id, client_id=client, n=n, op=op, status="applied", batch=batch, missed=missed, city=self.city, balance=self.balance)
+        return _ROW(change_id, client, n, DELETED if op == "D" else APPLIED, missed, self.city, self.balance)
 
     @staticmethod
-    def _rejected(client: Any, n: int, change: Held, batch: int) -> Row:
-        return Row(change_id=change[0], client_id=client, n=n, op=change[2], status="rejected", batch=batch, missed=0, city=None, balance=None)
+    def _rejected(client: Any, n: int, change: Held) -> Row:
+        return _ROW(change[0], client, n, REJECTED, 0, None, None)
 
     def close(self) -> None:
         pass
@@ -199,7 +223,7 @@ def _move(spark: SparkSession, source: str, target: str) -> bool:
 
 
 def apply_in_sequence(rows: DataFrame, batches: int = 8, patience: int = 5, fresh: int = FRESH) -> DataFrame:
-    """change_id, client_id, n, op, status (applied or rejected), batch, missed, city, balance, current of every row of
+    """change_id, client_id, n, status (applied or rejected), batch, missed, city, balance, current of every row of
     ``rows`` (client_id, change_id, n, day, op, city, balance, batch).
 
     Batches run in order. At a batch's start, while a client's earliest held day + ``patience`` lies not after the largest
@@ -211,36 +235,34 @@ def apply_in_sequence(rows: DataFrame, batches: int = 8, patience: int = 5, fres
     folder = new_folder(spark, "sequenced")
     rows = materialise(rows, "changes")
     days = {r["batch"]: r["day"] for r in rows.groupBy("batch").agg(F.max("day").alias("day")).collect()}
-    if not days:
-        return spark.createDataFrame([], f"{_OUT}, current boolean")
-    clock = F.lit(-ENDED)
+    clock = F.lit(ENDED)
     for b in range(2, batches + 1):
-        before = [d for k, d in days.items() if k < b]
-        clock = F.when(F.col("batch") == b, max(before, default=-ENDED)).otherwise(clock)
-    clock = F.when(F.col("batch") > batches, ENDED).otherwise(clock).cast("int")
+        clock = F.when(F.col("batch") == b, max((d for k, d in days.items() if k < b), default=-ENDED)).otherwise(clock)
     known = rows.groupBy("client_id").agg(F.min("batch").alias("since"))
     clocks = known.select("client_id", F.explode(F.sequence(F.col("since") + 1, F.lit(batches + 1))).alias("batch"))
-    fed = rows.unionByName(clocks, allowMissingColumns=True).withColumn("clock", clock)
-    fed.select([c.split()[0] for c in _FED.split(", ")]).write.partitionBy("batch").parquet(f"{folder}/batches")
+    fed = rows.unionByName(clocks.withColumn("day", clock.cast("int")), allowMissingColumns=True)
+    fed.select(*(c.split()[0] for c in _FED.split(", ")), "batch").write.partitionBy("batch").parquet(f"{folder}/batches")
     for b in range(1, batches + 2):
         if _move(spark, f"{folder}/batches/batch={b}", f"{folder}/in/batch={b}"):
-            _start(spark, folder, patience, fresh)
-    out = spark.read.schema(_OUT).parquet(f"{folder}/out")
-    ends = out.filter("status = 'applied'").groupBy("client_id").agg(F.max("n").alias("_end")).withColumnRenamed("client_id", "_client")
+            _start(spark, folder, b, patience, fresh)
+    schema = f"{_OUT}, batch int"
+    out = spark.read.schema(schema).parquet(f"{folder}/out") if days else spark.createDataFrame([], schema)
+    ends = out.filter(F.col("kind") != REJECTED).groupBy("client_id").agg(F.max("n").alias("_end")).withColumnRenamed("client_id", "_client")
     out = out.join(ends, F.col("client_id").eqNullSafe(F.col("_client")) & (F.col("n") == F.col("_end")), "left")
-    last = F.col("_end").isNotNull() & (F.col("status") == "applied")
-    return out.withColumn("current", last & ~F.col("op").eqNullSafe("D")).drop("_client", "_end")
+    status = F.when(F.col("kind") == REJECTED, "rejected").otherwise("applied")
+    current = F.col("_end").isNotNull() & (F.col("kind") == APPLIED)
+    return out.select("change_id", "client_id", "n", status.alias("status"), "batch", "missed", "city", "balance", current.alias("current"))
 
 
-def _start(spark: SparkSession, folder: str, patience: int, fresh: int) -> None:
+def _start(spark: SparkSession, folder: str, batch: int, patience: int, fresh: int) -> None:
     """One start of the query on the folder's checkpoint: it reads what has come since the start before, and ends."""
     was = {k: spark.conf.get(k, None) for k in _SETTINGS}
     for k, v in _SETTINGS.items():
         spark.conf.set(k, v)
     try:
-        fed = spark.readStream.schema(_FED).parquet(f"{folder}/in")
-        found = fed.groupBy("client_id").transformWithState(SequencedApplier(patience, fresh), _OUT, "Append", "None")
-        sink = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        fed = spark.readStream.schema(_FED).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        found = fed.groupBy("client_id").transformWithState(SequencedApplier(batch, patience, fresh), _OUT, "Append", "None")
+        sink = found.withColumn("batch", F.lit(batch)).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
         sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in was.items():
