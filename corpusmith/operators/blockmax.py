@@ -28,6 +28,8 @@ from .lexical import K1, B
 
 #: Postings of a block, chunks of a run, and tokens of a part's chunks that make it about full.
 BLOCK, RUN, PART_TOKENS = 128, 16, 4_000_000
+#: Few tokens are cut into parts of this size, as long as there are cores without one.
+LEAST_TOKENS = 250_000
 #: Terms after which the leaders so far are scored to the end, to raise the edge.
 LEADS = (2, 4, 7, 11, 16)
 #: Questions that a part answers at once.
@@ -35,8 +37,9 @@ PACK = 1024
 #: A bound must lie so far below the n-th best score, which is compared at nine decimals.
 SLACK = 1e-8
 
-#: Rows that are not postings: lengths of a part's chunks, chunks of a facet, chunks dropped since.
-LENGTHS, FACET, DEAD = "\x00len", "\x00facet:", "\x00dead"
+#: Rows that are not postings, under names that no token has: lengths of a part's chunks, chunks of a facet, chunks dropped.
+MARK = "#"
+LENGTHS, FACET, DEAD = MARK + "len", MARK + "facet:", MARK + "dead"
 
 BLOCKS_DDL = "part int, term string, block int, n int, first int, last int, ords binary, tfs binary, runs binary, tops binary, facets long"
 _BLOCKS = pa.schema(
@@ -104,8 +107,8 @@ def numbered(rows: DataFrame, parts: int) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("part").orderBy("games", "dl", "chunk_id")) - 1)
 
 
-def parts_for(tokens: int, part_tokens: int = PART_TOKENS) -> int:
-    return max(1, -(-tokens // part_tokens))
+def parts_for(tokens: int, part_tokens: int = PART_TOKENS, cores: int = 1) -> int:
+    return max(1, -(-tokens // part_tokens), min(cores, -(-tokens // min(part_tokens, LEAST_TOKENS))))
 
 
 def build_blocks(rows: DataFrame) -> DataFrame:
@@ -238,10 +241,13 @@ def answer_parts(blocks: DataFrame, packs: DataFrame, n: int, average: float) ->
 
     ``blocks``: segment, pack and the block rows; ``packs``: segment, part, pack, questions array<struct<qid, facet,
     terms array<struct<term, weight>>>>."""
+    columns = ["qid", "segment", "part", "ord", "score", "opened", "scored"]
     kind = packs.schema["questions"].dataType.elementType["qid"].dataType.simpleString()
 
     def run(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         segment, part, _ = key
+        if not len(rows):  # no chunk was dealt to this part
+            return pd.DataFrame({c: [] for c in columns})
         place = _Part(rows, average)
         out = {"qid": [], "ord": [], "score": []}
         for questions in asked["questions"]:
@@ -252,7 +258,7 @@ def answer_parts(blocks: DataFrame, packs: DataFrame, n: int, average: float) ->
                 out["score"] += score.tolist()
         counted = pd.DataFrame({"qid": [None], "ord": [-1], "score": [0.0], "opened": [place.opened], "scored": [place.scored]})
         frame = pd.concat([pd.DataFrame(out).assign(opened=0, scored=0), counted]) if out["qid"] else counted
-        return frame.assign(segment=segment, part=part)[["qid", "segment", "part", "ord", "score", "opened", "scored"]]
+        return frame.assign(segment=segment, part=part)[columns]
 
     keys = ("segment", "part", "pack")
     return blocks.groupBy(*keys).cogroup(packs.groupBy(*keys)).applyInPandas(run, FOUND_DDL.format(qid=kind))

@@ -16,7 +16,8 @@ from .functions import facets as FA
 from .functions import text as T
 from .functions import vectors as V
 from .operators import chunking, dense, evaluate, fusion, joins, lexical, prompts, wikitext
-from .scratch import materialise
+from .scratch import materialise, new_folder
+from .sources.segments import SegmentedIndex
 from .streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -669,6 +670,47 @@ def bm25_topk_faceted(spark, sf_dir):
     return lexical.search(documents_index(spark, sf_dir), benchmark_questions(spark, sf_dir), 20, allowed=allowed).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def segmented(spark: SparkSession, sf_dir: str, *texts: DataFrame) -> SegmentedIndex:
+    """A segmented index of the documents, or of the given tables one after another, with their languages as facets."""
+    index = SegmentedIndex(spark, new_folder(spark, "segments"), "long")
+    for rows in texts or (read(spark, sf_dir, "documents"),):
+        index.add(spread(rows.select(F.col("doc_id").alias("chunk_id"), "text", F.array_compact(F.array("lang")).alias("games"))))
+    return index
+
+
+@register("bm25_blockmax_topk", BM25_SQL + f", r AS (SELECT qid, chunk_id, score, {TOP} AS rank FROM sc) SELECT qid, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20")
+def bm25_blockmax_topk(spark, sf_dir):
+    return segmented(spark, sf_dir).search(benchmark_questions(spark, sf_dir), 20).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register(
+    "bm25_blockmax_faceted",
+    BM25_SQL
+    + f""", f AS (SELECT sc.* FROM sc JOIN documents d ON d.doc_id = sc.chunk_id WHERE qid % 3 = 2 OR lang = CASE qid % 3 WHEN 0 THEN 'en' ELSE 'fr' END),
+    r AS (SELECT qid, chunk_id, score, {TOP} AS rank FROM f) SELECT qid, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20""",
+)
+def bm25_blockmax_faceted(spark, sf_dir):
+    """A third of the questions asks for each of two facets, a third for all."""
+    facet = F.when(F.col("qid") % 3 == 0, "en").when(F.col("qid") % 3 == 1, "fr")
+    hits = segmented(spark, sf_dir).search(benchmark_questions(spark, sf_dir).withColumn("game", facet), 20, facet="game")
+    return hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register(
+    "bm25_segments",
+    BM25_SQL.replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))") + f", r AS (SELECT qid, chunk_id, score, {TOP} AS rank FROM sc) SELECT qid, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20",
+)
+def bm25_segments(spark, sf_dir):
+    """The documents come source by source in five segments, which are merged; the toxic ones are dropped after that: the
+    same ranks as over an index of what is left."""
+    docs = read(spark, sf_dir, "documents")
+    turn = F.pmod(F.xxhash64("source"), F.lit(5))
+    index = segmented(spark, sf_dir, *(docs.filter(turn == i) for i in range(5)))
+    index.merge()
+    index.drop(read(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("chunk_id")))
+    return index.search(benchmark_questions(spark, sf_dir), 20).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @register("bm25_stemmed_topk")
 def bm25_stemmed_topk(spark, sf_dir):
     """Stemming has no SQL form; tests hold it against SQLite's full-text search."""

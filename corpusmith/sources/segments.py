@@ -87,7 +87,8 @@ class SegmentedIndex:
     """``chunks`` given to ``add`` have chunk_id and text, and may have games (facets). ``key`` is chunk_id's type."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "string", stemmed: bool = False, part_tokens: int = blockmax.PART_TOKENS):
-        self.spark, self.path, self.key, self.stemmed, self.part_tokens = spark, path.rstrip("/"), key, stemmed, part_tokens
+        self.spark, self.path, self.key, self.stemmed = spark, path.rstrip("/"), key, stemmed
+        self.parts_for = lambda tokens: blockmax.parts_for(tokens, part_tokens, spark.sparkContext.defaultParallelism)
 
     # -- manifest
 
@@ -162,7 +163,7 @@ class SegmentedIndex:
     def _write_blocks(self, name: str, blocks: DataFrame) -> None:
         ranged = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(RANGES)).cast("int")).repartitionByRange("bucket", "term", "part").sortWithinPartitions("bucket", "term", "part", "block")
         ranged.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/blocks/segment={name}")
-        stored = self._blocks([name]).filter(~F.col("term").startswith("\x00"))
+        stored = self._blocks([name]).filter(~F.col("term").startswith(blockmax.MARK))
         stored.groupBy("term").agg(F.sum("n").cast("long").alias("df")).write.parquet(f"{self.path}/terms/segment={name}")
 
     def _blocks(self, ids: Iterable[str]) -> DataFrame:
@@ -181,7 +182,7 @@ class SegmentedIndex:
             new = materialise(new, "new") if segments else new
             n, tokens = new.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
             if n:
-                self._commit(version, [*segments, self._write(new, blockmax.parts_for(tokens, self.part_tokens))])
+                self._commit(version, [*segments, self._write(new, self.parts_for(tokens))])
             return n
 
         return self._again(work)
@@ -222,7 +223,7 @@ class SegmentedIndex:
                     n.append(int(hit))
             return pd.DataFrame({"term": pd.Series(names, dtype=object), "df": pd.Series(n, dtype="int64")})
 
-        touched = self._blocks([segment]).filter(~F.col("term").startswith("\x00")).select("part", "term", "first", "ords", "n")
+        touched = self._blocks([segment]).filter(~F.col("term").startswith(blockmax.MARK)).select("part", "term", "first", "ords", "n")
         touched = touched.join(F.broadcast(gone.select("part").distinct()), "part", "left_semi")
         lost = touched.groupBy("part").cogroup(gone.select("part", "ord").groupBy("part")).applyInPandas(run, "term string, df long")
         return lost.groupBy("term").agg(F.sum("df").alias("df"))
@@ -240,7 +241,7 @@ class SegmentedIndex:
             if not chosen:
                 return 0
             tokens = sum(s.tokens - s.dead_tokens for s in chosen)
-            new = self._write(self._terms(chosen), blockmax.parts_for(tokens, self.part_tokens))
+            new = self._write(self._terms(chosen), self.parts_for(tokens))
             gone = {s.id for s in chosen}
             self._commit(version, [*(s for s in segments if s.id not in gone), new])
             return len(chosen)
@@ -257,7 +258,7 @@ class SegmentedIndex:
                     yield pa.RecordBatch.from_pydict({"segment": [segment] * n, "part": [part] * n, "term": [term] * n, "ord": blockmax._unpacked(ords, n) + first, "tf": blockmax._unpacked(tfs, n)}, schema=schema)
 
         schema = pa.schema([("segment", pa.string()), ("part", pa.int32()), ("term", pa.string()), ("ord", pa.int32()), ("tf", pa.int32())])
-        blocks = self._blocks([s.id for s in segments]).filter(~F.col("term").startswith("\x00")).select("segment", "part", "term", "n", "first", "ords", "tfs")
+        blocks = self._blocks([s.id for s in segments]).filter(~F.col("term").startswith(blockmax.MARK)).select("segment", "part", "term", "n", "first", "ords", "tfs")
         each = blocks.mapInArrow(opened, "segment string, part int, term string, ord int, tf int")
         per = each.groupBy("segment", "part", "ord").agg(F.flatten(F.collect_list(F.expr("array_repeat(term, tf)"))).alias("terms"))
         rows = self.chunks(segments).join(per, ["segment", "part", "ord"], "left")  # an empty text has no posting
