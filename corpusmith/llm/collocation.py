@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, materialise, release_worker_cache
 
-#: Cells of one row of the longest lengths: a cell for so many bytes of text, up to the limit (14 MB of bits in all).
-BYTES_A_CELL, LEAST_WIDTH, WIDTH_LIMIT = 64, 1 << 12, 1 << 24
+#: Cells of one row of phrases of three words and more (7 MB of bits in all), and the fewest of any row. The same whatever
+#: the input: what tasks send grows with it in proportion. It holds back most of a few gigabytes' rare phrases; a larger
+#: corpus wants a wider sketch, as far as a task can hold a byte for each of 6.6 times as many cells.
+WIDTH, LEAST_WIDTH = 1 << 23, 1 << 12
+#: Bytes of text whose words a task holds at once, as numbers, hashes and places.
+BATCH = 4 << 20
 #: Cells of a block, and tasks whose blocks are added up first.
 BLOCK, FAN_IN = 1 << 18, 256
 
@@ -120,7 +124,7 @@ def split_words(text: pa.Array, lang: pa.Array) -> Words:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, size=BATCH)
     return docs.select(F.col("text").cast("string"), F.col("lang").cast("string"))
 
 
@@ -194,12 +198,9 @@ def frequent_cells(docs: DataFrame, layout: Layout, least: int) -> np.ndarray:
 _COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int64()), ("phrase", pa.string()), ("a", pa.int64())])
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, width: int | None = None) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, width: int = WIDTH) -> DataFrame:
     """lang, size, phrase, a: all phrases of 1 to ``longest`` words that occur ``least`` times or more in a language, with
     their exact counts; and a row of size 0 per language with the number of its words. ``width`` cells a row of the sketch."""
-    if width is None:
-        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-        width = min(WIDTH_LIMIT, max(LEAST_WIDTH, size // BYTES_A_CELL))
     layout = Layout(1 << max(0, int(width) - 1).bit_length(), longest)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, layout, least))
 
@@ -236,7 +237,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, width: in
     return counts.filter((F.col("a") >= least) | (F.col("size") == 0))
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, share: int = 100, width: int | None = None) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, share: int = 100, width: int = WIDTH) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of 2 to ``longest`` words.
 
     ``docs`` has text (null: empty) and lang (null: `und`). A phrase's count is a; cutting it after its first k words

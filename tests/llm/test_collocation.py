@@ -48,7 +48,7 @@ def rows():
     return out + out[:9]
 
 
-@pytest.mark.parametrize("width,least,top", [(None, 3, 2000), (1 << 20, 5, 7), (64, 2, 2000), (3000, 300, 2000)])
+@pytest.mark.parametrize("width,least,top", [(1 << 16, 3, 2000), (1 << 20, 5, 7), (64, 2, 2000), (3000, 300, 2000)])
 def test_equals_plain_counts(spark, rows, width, least, top):
     df = spark.createDataFrame(rows, DOCS).repartition(5)
     found = got(collocation.collocations(df, least=least, top=top, width=width))
@@ -61,7 +61,7 @@ def test_empty_and_clashing_columns(spark, rows):
     assert got(collocation.collocations(spark.createDataFrame([(1, None, None, None, None)], DOCS))) == []
     df = spark.createDataFrame(rows, DOCS)
     wide = df.withColumns({c: F.lit(1) for c in ("a", "k", "l", "r", "n", "size", "phrase", "rank", "block", "w")})
-    assert got(collocation.collocations(wide, least=4)) == got(collocation.collocations(df, least=4))
+    assert got(collocation.collocations(wide, least=4, width=4096)) == got(collocation.collocations(df, least=4, width=1 << 14))
 
 
 def test_sketch_never_falls_short(spark, rows):
