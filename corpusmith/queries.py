@@ -15,7 +15,7 @@ from .functions import decisions as D
 from .functions import facets as FA
 from .functions import text as T
 from .functions import vectors as V
-from .operators import chunking, dense, evaluate, fusion, joins, lexical, prompts, wikitext
+from .operators import chunking, containment, dense, evaluate, fusion, joins, lexical, prompts, wikitext
 from .scratch import materialise, new_folder
 from .sources.segments import SegmentedIndex
 from .streaming import stateful
@@ -1130,17 +1130,28 @@ def call_budget(spark, sf_dir):
 )
 def gold_hit_rate(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("game"))
-    # Passages are found by their first window of words, which the text must hold; then checked whole.
-    key = lambda c: F.array_join(F.slice(T.words(c), 1, 5), " ")
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), key(F.col("text")).alias("key"))
-    grams = T.let(T.words(F.col("text")), lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 4, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, F.lit(5)), " ")))
-    where = docs.withColumn("key", F.explode(F.array_distinct(F.concat(grams, F.array(F.lit("")))))).join(items, "key").filter(F.contains("text", "passage")).groupBy("qid").agg(F.min("doc_id").alias("gold"))
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    where = containment.holds(spread(docs), items, "doc_id", "text", "qid", "passage").groupBy("qid").agg(F.min("doc_id").alias("gold"))
     gold = where.join(docs.select(F.col("doc_id").alias("gold"), "game"), "gold").select("qid", "game", F.concat(F.lit("c"), F.col("qid") % 4).alias("category"), F.concat(F.lit(BASE_URL), F.col("gold"), F.lit("/ ")).alias("source_url"), F.lit(None).cast("string").alias("source_title"))
     hits = lexical.search(documents_index(spark, sf_dir), benchmark_questions(spark, sf_dir), 10).select("qid", "rank", F.concat(F.lit(BASE_URL), F.col("chunk_id")).alias("url"), F.lit("").alias("title"))
     rates = evaluate.hit_rates(evaluate.gold_hits(gold, hits))
     return rates.select("game", "category", "n", F.col("hits").cast("long").alias("hits"), F.round("hit_rate", 9).alias("hit_rate"), F.round("mean_rank", 9).alias("mean_rank"))
 
 
+PIECES_SQL = r"""p AS (SELECT item_id * 3 AS piece, text AS passage FROM benchmark
+  UNION ALL SELECT item_id * 3 + 1, regexp_extract(text, '[^\x20\x09-\x0D]+') FROM benchmark UNION ALL SELECT item_id * 3 + 2, substr(text, 3 + (item_id % 5)::INT, 4 + (item_id % 90)::INT) FROM benchmark)"""
+
+
+@register("containment_join", f"WITH {PIECES_SQL} SELECT doc_id, piece FROM documents JOIN p ON contains(text, passage)")
+def containment_join(spark, sf_dir):
+    """Whole passages, their first words, and pieces that begin and end within words, against whole texts."""
+    items = read(spark, sf_dir, "benchmark")
+    piece = lambda n, c: items.select((F.col("item_id") * 3 + n).alias("piece"), c.alias("passage"))
+    cut = F.substring("text", (3 + F.col("item_id") % 5).cast("int"), (4 + F.col("item_id") % 90).cast("int"))
+    pieces = piece(0, F.col("text")).unionByName(piece(1, F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0))).unionByName(piece(2, cut))
+    return containment.holds(spread(read(spark, sf_dir, "documents")), pieces, "doc_id", "text", "piece", "passage")
+
+
 @register("tag_histogram", "SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL")
 def tag_histogram(spark, sf_dir):
     found = evaluate.tag_histogram(read(spark, sf_dir, "documents").select(F.col("source").alias("qid"), F.col("lang").alias("game")))
