@@ -11,8 +11,8 @@ day and change_id is held and the others are rejected. So a task holds a bounded
 rest to the state store; a client with a third of all rows is one sequence, as the rule says, but nothing of it is held
 whole.
 
-A call for a key costs far more than its few rows, so rows in and out have few columns and what the state holds is one
-JSON text each.
+A call for a key costs far more than its few rows, and each column of them adds to it. So what a change sets, what comes
+out and what the state holds are one JSON text each.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ FRESH = 20_000
 ENDED = 2_000_000_000
 
 COLUMNS = ("change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance")
-_FED = "client_id long, change_id long, n long, day int, op string, city string, balance double"
+_FED = "client_id long, change_id long, n long, day int, sets string"
 _OUT = "change_id long, client_id long, n long, kind int, missed long, city string, balance double"
 REJECTED, APPLIED, DELETED = 0, 1, 2
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -46,16 +46,17 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
-#: A held change: change_id, day, op, city, balance, batch in which it came.
-Held = tuple[int | None, int, str | None, str | None, float | None, int]
+#: A held change: change_id, day, what it sets, batch in which it came.
+Held = tuple[int, int, str, int]
 
 
 def _first(a: Held, b: Held) -> bool:
-    """Whether ``a`` comes before ``b``: by day, change_id and, for rows that share both, by what they set; nulls first."""
+    """Whether ``a`` comes before ``b``: by day, change_id and, for rows that share both, by op, city and balance, nulls
+    first."""
 
     def order(change: Held) -> list:
-        change_id, day, op, city, balance, _ = change
-        return [day, change_id or 0, *((x is not None, x) for x in (op, city, balance))]
+        sets = json.loads(change[2])
+        return [change[1], change[0], *((x is not None, x) for x in (sets.get(c) for c in ("op", "city", "balance")))]
 
     for x, y in zip(order(a), order(b), strict=True):
         if x != y:
@@ -63,7 +64,7 @@ def _first(a: Held, b: Held) -> bool:
     return False
 
 
-_ROW = Row(*(c.split()[0] for c in _OUT.split(", ")))
+_ROW = Row("found")
 
 
 class SequencedApplier(StatefulProcessor):
@@ -81,18 +82,18 @@ class SequencedApplier(StatefulProcessor):
         client, was = key[0], self.at.get()
         self.next, self.n_held, self.earliest, self.city, self.balance = before = json.loads(was[0]) if was else [1, 0, 0, None, None]
         fresh: dict[int, Held] = {}
-        for _, change_id, n, day, op, city, balance in rows:
+        for _, change_id, n, day, sets in rows:
             if n is None:
                 if self.n_held and self.earliest + self.patience <= day:
                     yield from self._jump(client, day)
                     for n in [n for n in fresh if n < self.next]:
                         yield self._rejected(client, n, fresh.pop(n))
                 continue
-            change: Held = (change_id, day, op, city, balance, self.batch)
+            change: Held = (change_id, day, sets, self.batch)
             known = fresh.get(n)
             if known is None and n >= self.next and self.n_held:
                 known = self._held(n)
-            if n < self.next or known and known[5] < self.batch:
+            if n < self.next or known and known[3] < self.batch:
                 yield self._rejected(client, n, change)
                 continue
             if known:
@@ -163,7 +164,8 @@ class SequencedApplier(StatefulProcessor):
         fresh.clear()
 
     def _applied(self, client: Any, n: int, change: Held) -> Row:
-        change_id, _, op, city, balance, _ = change
+        sets = json.loads(change[2])
+        op, city, balance = sets.get("op"), sets.get("city"), sets.get("balance")
         if op == "I":
             self.city, self.balance = city, balance
         elif op == "U":
@@ -172,11 +174,15 @@ class SequencedApplier(StatefulProcessor):
         elif op == "D":
             self.city = self.balance = None
         missed, self.next = n - self.next, n + 1
-        return _ROW(change_id, client, n, DELETED if op == "D" else APPLIED, missed, self.city, self.balance)
+        return self._row(change[0], client, n, DELETED if op == "D" else APPLIED, missed, self.city, self.balance)
+
+    @classmethod
+    def _rejected(cls, client: Any, n: int, change: Held) -> Row:
+        return cls._row(change[0], client, n, REJECTED, 0, None, None)
 
     @staticmethod
-    def _rejected(client: Any, n: int, change: Held) -> Row:
-        return _ROW(change[0], client, n, REJECTED, 0, None, None)
+    def _row(change_id: int, client: Any, n: int, kind: int, missed: int, city: str | None, balance: float | None) -> Row:
+        return _ROW(json.dumps({"change_id": change_id, "client_id": client, "n": n, "kind": kind, "missed": missed, "city": city, "balance": balance}))
 
     def close(self) -> None:
         pass
@@ -241,6 +247,7 @@ def apply_in_sequence(rows: DataFrame, batches: int = 8, patience: int = 5, fres
     known = rows.groupBy("client_id").agg(F.min("batch").alias("since"))
     clocks = known.select("client_id", F.explode(F.sequence(F.col("since") + 1, F.lit(batches + 1))).alias("batch"))
     fed = rows.unionByName(clocks.withColumn("day", clock.cast("int")), allowMissingColumns=True)
+    fed = fed.withColumn("sets", F.when(F.col("n").isNotNull(), F.to_json(F.struct("op", "city", "balance"))))
     fed.select(*(c.split()[0] for c in _FED.split(", ")), "batch").write.partitionBy("batch").parquet(f"{folder}/batches")
     for b in range(1, batches + 2):
         if _move(spark, f"{folder}/batches/batch={b}", f"{folder}/in/batch={b}"):
@@ -261,8 +268,8 @@ def _start(spark: SparkSession, folder: str, batch: int, patience: int, fresh: i
         spark.conf.set(k, v)
     try:
         fed = spark.readStream.schema(_FED).option("recursiveFileLookup", True).parquet(f"{folder}/in")
-        found = fed.groupBy("client_id").transformWithState(SequencedApplier(batch, patience, fresh), _OUT, "Append", "None")
-        sink = found.withColumn("batch", F.lit(batch)).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        found = fed.groupBy("client_id").transformWithState(SequencedApplier(batch, patience, fresh), "found string", "Append", "None")
+        sink = found.select(F.from_json("found", _OUT).alias("r")).select("r.*", F.lit(batch).alias("batch")).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
         sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in was.items():
