@@ -177,16 +177,18 @@ def dropped(text: Column, least: int = 50) -> Column:
     return F.coalesce(text, F.lit("")).eqNullSafe("") | F.lower(bare).startswith("#redirect") | (F.length(bare) < least) | F.exists(names, lambda n: F.lower(n).contains("disambig"))
 
 
-def parse_pages(pages: DataFrame, base_url: str, cat: facets.Catalogue = facets.DEFAULT, least: int = 50) -> DataFrame:
-    """title, pageid, wikitext to articles (schemas.ARTICLES). Tags are column expressions on the raw text; only the
+def parse_pages(pages: DataFrame, base_url: str, cat: facets.Catalogue = facets.DEFAULT, least: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """title, pageid, wikitext to articles (schemas.ARTICLES), beside the columns of ``keep``. Tags are column expressions on the raw text; only the
     brace scanner runs in Python, on the pages that are kept."""
     codes = [*cat.bases, *cat.aliases]
     clean = strip_refs(F.col("wikitext"))
-    kept = pages.filter(~dropped(F.col("wikitext"), least)).select("title", "pageid", facets.derive_label(F.col("title"), F.col("wikitext"), cat).alias("game"), facets.derive_memberships(F.col("title"), F.col("wikitext"), cat).alias("games"), title_url(F.col("title"), base_url).alias("url"), clean.alias("wikitext"))
+    kept = pages.filter(~dropped(F.col("wikitext"), least)).select("title", "pageid", facets.derive_label(F.col("title"), F.col("wikitext"), cat).alias("game"), facets.derive_memberships(F.col("title"), F.col("wikitext"), cat).alias("games"), title_url(F.col("title"), base_url).alias("url"), clean.alias("wikitext"), *keep)
+    more = "".join(f", {c} {pages.schema[c].dataType.simpleString()}" for c in keep)
+    columns = ["title", "pageid", "game", "games", "url", "infoboxes", "factblocks", "sections", *keep]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [render_links(t, codes) for t in frame["wikitext"]]
-            yield frame.drop(columns="wikitext").assign(infoboxes=[infoboxes(t) for t in texts], factblocks=None, sections=[sections(t) for t in texts])
+            yield frame.drop(columns="wikitext").assign(infoboxes=[infoboxes(t) for t in texts], factblocks=None, sections=[sections(t) for t in texts])[columns]
 
-    return kept.mapInPandas(run, "title STRING, pageid BIGINT, game STRING, games ARRAY<STRING>, url STRING, infoboxes ARRAY<STRUCT<template: STRING, fields: ARRAY<STRUCT<k: STRING, v: STRING>>>>, factblocks ARRAY<STRUCT<heading: STRING, lines: ARRAY<STRING>>>, sections ARRAY<STRUCT<heading: STRING, text: STRING>>")
+    return kept.mapInPandas(run, "title STRING, pageid BIGINT, game STRING, games ARRAY<STRING>, url STRING, infoboxes ARRAY<STRUCT<template: STRING, fields: ARRAY<STRUCT<k: STRING, v: STRING>>>>, factblocks ARRAY<STRUCT<heading: STRING, lines: ARRAY<STRING>>>, sections ARRAY<STRUCT<heading: STRING, text: STRING>>" + more)

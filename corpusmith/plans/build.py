@@ -15,6 +15,7 @@ from ..functions import facets
 from ..functions.vectors import hash_embedding
 from ..operators import html, joins, lexical, wikitext
 from ..operators.chunking import chunk_articles
+from ..scratch import materialise
 from ..sources import api
 from ..sources.files import page_text, read_jsonl, read_table, replacing, require_input, run_lock, write_jsonl
 from ..sources.store import ChunkStore
@@ -26,8 +27,9 @@ METAS = {"all": STEPS, "build": STEPS[3:], "rebuild": ("parse", "chunk", "embed_
 
 def articles(pages: DataFrame, records: DataFrame, base_url: str, cat: facets.Catalogue = facets.DEFAULT) -> DataFrame:
     """Raw wikitext pages (title, pageid, revisions) and rendered records (schemas.HTML_RECORDS, file_name) merged:
-    rendered articles win, by page id (title where there is none); of several records of a page the last that parses, in
-    the order of ``file_name`` and ``line`` (see ``read_jsonl``; without them, of the rows as they come).
+    rendered articles win, by page id (title where there is none). Every record is parsed, by its own wikitext where its
+    rendering gives nothing; of several records of a page the last that gave an article counts, in the order of
+    ``file_name`` and ``line`` (see ``read_jsonl``; without them, of the rows as they come).
     ``source`` tells where an article came from: right is wikitext."""
     key = lambda: F.coalesce(F.col("pageid").cast("string"), F.concat(F.lit("t:"), F.col("title")))
     place = lambda df: F.struct(F.col("file_name") if "file_name" in df.columns else F.lit("").alias("file_name"), F.col("line") if "line" in df.columns else F.monotonically_increasing_id().alias("line"))
@@ -35,9 +37,13 @@ def articles(pages: DataFrame, records: DataFrame, base_url: str, cat: facets.Ca
     raw = pages.select("title", "pageid", page_text().alias("wikitext"), order.alias("_o"))
     own = wikitext.parse_pages(raw, base_url, cat).withColumn("key", key())
     own = own.join(raw.withColumn("key", key()).groupBy("key").agg(F.min("_o").alias("_o")), "key")
-    ordered = records.withColumn("_o", place(records)).filter("error IS NULL")
-    last = joins.latest(ordered.filter(F.trim(F.coalesce("html", F.lit(""))) != "").withColumn("key", key()), ["key"], ["_o"])
-    rendered = html.parse_records(last, base_url, cat).withColumn("key", key())
+    place_of = place(records)
+    good = records.filter("error IS NULL").select("title", "pageid", "html", "wikitext", place_of["file_name"].alias("_file"), place_of["line"].alias("_line"), F.monotonically_increasing_id().alias("_id"))
+    good, at = materialise(good, "records"), ("_file", "_line", "_id")
+    made = materialise(html.parse_records(good, base_url, cat, at), "rendered")
+    rest = good.filter("wikitext IS NOT NULL").join(made.select("_id"), "_id", "left_anti")
+    made = made.unionByName(wikitext.parse_pages(rest.select("title", "pageid", "wikitext", *at), base_url, cat, keep=at))
+    rendered = joins.latest(made.withColumn("key", key()), ["key"], list(at)).drop(*at)
     columns = [c for c in rendered.columns if c != "key"]
     return joins.prefer_left(rendered, own, "key", columns, "_o").drop("key")
 

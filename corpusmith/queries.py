@@ -465,6 +465,36 @@ def made_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wikitext.parse_pages(pages, BASE_URL, CASELESS)
 
 
+@register(
+    "merged_articles",
+    """WITH c AS (SELECT *, p_partkey % 8 AS k FROM part)
+    SELECT p_partkey AS pageid, CASE WHEN k IN (0, 7) THEN 'right' WHEN k = 6 THEN 'left_only' ELSE 'left' END AS source,
+      CASE WHEN k IN (0, 7) THEN p_name || ' is a thing that is made by ' || p_brand || ' and told of at length.'
+        WHEN k = 3 THEN p_name || ' of the record is known by its wikitext alone, of ' || p_type || '.' WHEN k = 4 THEN 'Second ' || p_name ELSE 'First ' || p_name END AS intro
+    FROM c""",
+)
+def merged_articles(spark, sf_dir):
+    """Pages of eight kinds: without a record, with a good one, with a good one before one that holds a navigation box
+    alone, with an empty rendering beside its wikitext, with two good ones, with an error after a good one, without a raw
+    page, and with a rendering and wikitext that both hold nothing."""
+    from .plans import build
+
+    rows = read(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % 8)
+    raw = F.concat(F.lit("'''"), "p_name", F.lit("''' is a thing that is made by "), "p_brand", F.lit(" and told of at length."))
+    slots = F.struct(F.struct(F.struct(raw.alias("content")).alias("main")).alias("slots"))
+    pages = rows.filter("k <> 6").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("pageid"), F.array(slots).alias("revisions"))
+    said = lambda word: F.concat(F.lit(f"<div><p>{word} "), "p_name", F.lit("</p></div>"))
+    own = F.concat("p_name", F.lit(" of the record is known by its wikitext alone, of "), "p_type", F.lit("."))
+    record = lambda line, html, text, error=None: F.struct(F.lit(line).cast("long").alias("line"), html.cast("string").alias("html"), text.cast("string").alias("wikitext"), F.lit(error).cast("string").alias("error"))
+    none, navigation = F.lit(None), F.lit('<div><table class="navbox"><tr><th>a</th><td>b</td></tr></table></div>')
+    good = record(0, said("First"), none)
+    more = F.when(F.col("k") == 0, F.array().cast("array<struct<line:bigint,html:string,wikitext:string,error:string>>")).when(F.col("k") == 2, F.array(good, record(1, navigation, none))).when(F.col("k") == 3, F.array(record(0, F.lit(" "), own)))
+    more = more.when(F.col("k") == 4, F.array(good, record(1, said("Second"), none))).when(F.col("k") == 5, F.array(good, record(1, none, none, "timeout: late"))).when(F.col("k") == 7, F.array(record(0, F.lit(""), F.lit("#REDIRECT [[x]]")))).otherwise(F.array(good))
+    records = rows.select(F.col("p_name").alias("title"), F.col("p_partkey").alias("pageid"), F.explode(more).alias("r"), F.lit("f").alias("file_name")).select("title", "pageid", "r.*", "file_name")
+    found = build.articles(pages, records, BASE_URL, CASELESS)
+    return found.select("pageid", "source", F.get("sections", 0)["text"].alias("intro"))
+
+
 ARTICLES_SQL = """WITH a AS (SELECT p_partkey AS pageid, p_name AS title, 'en' AS game, 'https://corpus.example/' || replace(p_name, ' ', '_') AS url,
     [{'k': 'Size', 'v': p_size::VARCHAR}, {'k': 'place', 'v': 'the ' || p_brand || ' works'}, {'k': '1', 'v': p_type}, {'k': 'empty', 'v': ''}] AS fields,
     [{'h': 'Introduction', 't': p_name || ' is by its maker.'}, {'h': 'Use', 't': 'For ' || p_type || ' work.' || chr(10) || chr(10) || 'More' || chr(10) || 'A page.'}] AS parts FROM part)"""
