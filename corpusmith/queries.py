@@ -17,6 +17,7 @@ from .functions import text as T
 from .functions import vectors as V
 from .operators import chunking, containment, dense, evaluate, fusion, joins, lexical, prompts, wikitext
 from .scratch import materialise, new_folder
+from .sources.cells import CellIndex
 from .sources.segments import SegmentedIndex
 from .streaming import stateful
 
@@ -779,6 +780,25 @@ def cosine_topk_faceted(spark, sf_dir):
     return _rounded(dense.top_k(asked, vector_store(spark, sf_dir), 10, facet="facet"))
 
 
+def cell_index(spark: SparkSession, sf_dir: str) -> CellIndex:
+    """An index of half of the vectors, to which the other half is added."""
+    index, store = CellIndex(spark, new_folder(spark, "cells"), "long"), vector_store(spark, sf_dir)
+    index.create(store.filter("chunk_id % 2 = 0"))
+    index.add(store)
+    return index
+
+
+@register("vector_cells_topk", COSINE_SQL.format(where=""))
+def vector_cells_topk(spark, sf_dir):
+    return _rounded(cell_index(spark, sf_dir).search(vector_queries(spark, sf_dir), 10, exact=True))
+
+
+@register("vector_cells_faceted", COSINE_SQL.format(where="WHERE label = (qid // 20) % 10"))
+def vector_cells_faceted(spark, sf_dir):
+    asked = vector_queries(spark, sf_dir).withColumn("facet", (F.floor(F.col("qid") / 20) % 10).cast("string"))
+    return _rounded(cell_index(spark, sf_dir).search(asked, 10, facet="facet", exact=True))
+
+
 @register(
     "safe_l2_normalise",
     """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN vec_id % 5 = 0 AND i = 1 THEN 0.0 WHEN vec_id % 7 = 0 THEN 0.0 ELSE x END) AS v FROM embeddings),
