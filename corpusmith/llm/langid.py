@@ -12,7 +12,6 @@ whole texts; every labelled language is in it. Prediction covers every word of e
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -34,12 +33,10 @@ SPAN = 48
 BITS = 16
 #: Words whose potentials a worker keeps; numbers that one step of the recursions works on, about.
 MAX_WORDS, STEP_SIZE = 500_000, 1 << 18
-_LETTERS = re.compile(r"[^\W\d_]+")
-
 
 def letters_of(words: list[str]) -> list[str]:
     """The words' letters in lower case."""
-    return [w if w.isalpha() else "".join(_LETTERS.findall(w)) for w in (word.lower() for word in words)]
+    return [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in (word.lower() for word in words)]
 
 
 def features(words: list[str], lexicon: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
