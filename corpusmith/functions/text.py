@@ -11,10 +11,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 TOKEN = r"[\p{L}\p{N}]+"
 
 # Function words that a query drops while a content word remains.
-STOP_WORDS = (
-    "a an and are as at be but by do does for from had has have he her his how i in is it its of on or she that the "
-    "their there they this to was were what when where which who why will with you"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "do", "does", "for", "from", "had", "has", "have", "he",
+    "her", "his", "how", "i", "in", "is", "it", "its", "of", "on", "or", "she", "that", "the", "their", "there",
+    "they", "this", "to", "was", "were", "what", "when", "where", "which", "who", "why", "will", "with", "you",
+]
 
 # Readable labels of terse field keys; other keys are capitalised.
 LABELS = {

@@ -17,6 +17,7 @@ from .functions import text as T
 from .functions import vectors as V
 from .operators import chunking, containment, dense, evaluate, fusion, joins, lexical, prompts, wikitext
 from .scratch import materialise, new_folder
+from .sources.absent import KeyedTable
 from .sources.cells import CellIndex
 from .sources.segments import SegmentedIndex
 from .streaming import stateful
@@ -594,6 +595,16 @@ def incremental_anti_join(spark, sf_dir):
     return joins.new_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
+@register("insert_if_absent", "SELECT DISTINCT md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def insert_if_absent(spark, sf_dir):
+    """Texts come in three batches with their copies; the table keeps each once."""
+    table = KeyedTable(spark, new_folder(spark, "keyed"), "text_md5 string, doc_id long", "text_md5")
+    docs = read(spark, sf_dir, "documents").select(F.md5("text").alias("text_md5"), "doc_id")
+    for i in range(3):
+        table.insert(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == i))
+    return table.read().select("text_md5")
+
+
 @register("sibling_lookup", CHUNKS_SQL + ", h AS (SELECT doc_id AS pageid FROM labels WHERE toxic = 1) SELECT pageid, count(*) AS n, md5(string_agg(chunk_id, ',' ORDER BY chunk_id)) AS ids_md5 FROM chunks WHERE pageid IN (SELECT pageid FROM h) GROUP BY pageid")
 def sibling_lookup(spark, sf_dir):
     hits = read(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("pageid"))
@@ -1286,7 +1297,12 @@ def answer_all(spark, sf_dir):
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     store = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("pageid"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.col("lang").alias("game"), F.array("lang").alias("games"), F.lit("text").alias("heading"), F.concat(F.lit(BASE_URL), "doc_id").alias("url"), "text", V.hash_embedding(F.col("text")).alias("embedding"))
     store = materialise(store, "answer-store")
-    turns = prompts.previous_questions(read(spark, sf_dir, "conversations")).filter(F.length("text") < 2000)
+    turns = prompts.previous_questions(read(spark, sf_dir, "conversations"))
+    # Questions that are too long are refused, with the reason in their row; their words are in the questions after them.
+    refused = turns.select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.when(F.length("text") > 2000, D.valid_request(F.col("text"), F.lit(None).cast("string"), F.lit(0), F.lit(0), LANGS.bases)).alias("error")).filter("error IS NOT NULL")
+    turns = turns.filter(~F.coalesce(F.length("text") > 2000, F.lit(False)))
     asked = turns.select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.col("text").alias("question"), F.lit(None).cast("string").alias("game"), F.col("previous").alias("previous_question"))
     index = lexical.build_index(store, asked=lexical.query_terms(asked.select("qid", F.concat_ws(" ", "previous_question", "question").alias("question")), "qid", "question"))
-    return answer.answer_all(asked, store, index, load_config()).select("qid", "tier", "escalated", "declined", F.md5("answer").alias("answer_md5"), F.col("error"))
+    told = answer.answer_all(asked, store, index, load_config()).select("qid", "tier", "escalated", "declined", F.md5("answer").alias("answer_md5"), F.col("error"))
+    none = F.lit(None).cast("string")
+    return told.unionByName(refused.select("qid", none.alias("tier"), F.lit(False).alias("escalated"), F.lit(False).alias("declined"), none.alias("answer_md5"), "error"))

@@ -28,7 +28,7 @@ Transport = Callable[[dict], tuple[int, dict, str]]
 MAX_WAIT = 120
 
 
-class RetriesExhausted(SetupError):
+class StillFailing(SetupError):
     """The service kept failing in ways that may pass."""
 
 
@@ -85,7 +85,7 @@ class Client:
                 why = f"{type(error).__name__}: {error}"
             self.sleep(wait_for(header, backoff))
             backoff *= 2
-        raise RetriesExhausted(f"gave up after {max_retries} tries: {why}")
+        raise StillFailing(f"gave up after {max_retries} tries: {why}")
 
 
 def titles(client: Client, redirects: str = "nonredirects") -> Iterator[dict]:
@@ -106,7 +106,7 @@ def fetch_html(client: Client, title: str) -> dict:
     record = dict.fromkeys(("title", "pageid", "html", "wikitext", "error")) | {"title": title}
     try:
         reply = client.get({"action": "parse", "page": title, "prop": "text|wikitext", "formatversion": 2})
-    except RetriesExhausted as error:
+    except StillFailing as error:
         return record | {"error": f"timeout: {error}"}
     except SetupError as error:
         return record | {"error": f"request: {error}"}

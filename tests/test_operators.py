@@ -269,7 +269,7 @@ def test_api_client():
     client = api.Client(Service(pages), delay=0.5, sleep=waits.append)
     assert [t["title"] for t in api.titles(client)] == ["A", "B"]
     assert waits == [0.5, 120, 6, 12, 0.5] and client.transport.asked[-1]["apcontinue"] == "B"
-    with pytest.raises(api.RetriesExhausted):
+    with pytest.raises(api.StillFailing):
         api.Client(Service([(500, {}, "")] * 6), sleep=waits.append).get({})
     assert api.fetch_html(api.Client(Service([(404, {}, "")]), sleep=waits.append), "X")["error"].startswith("request:")
     assert api.fetch_html(api.Client(Service([{"error": {"code": "missingtitle"}}]), sleep=waits.append), "X")["error"] == "missingtitle"
