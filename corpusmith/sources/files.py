@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import shutil
+import socket
+import stat
 import tarfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -107,43 +112,83 @@ def replacing(spark: SparkSession, path: str) -> Iterator[str]:
         system.delete(new, True)
 
 
+def _owner_is_gone(system, place) -> bool:
+    """Whether the lock's owner ran on this machine and has ended; of other machines' owners nothing is known."""
+    try:
+        stream = system.open(place)
+        owner = json.loads(bytes(stream.readAllBytes()).decode() or "{}")
+        stream.close()
+    except Exception:  # gone meanwhile, or half written: its owner is at work
+        return False
+    if owner.get("host") != socket.gethostname() or not isinstance(owner.get("pid"), int):
+        return False
+    try:
+        os.kill(owner["pid"], 0)
+    except ProcessLookupError:
+        return True
+    except PermissionError:
+        return False
+    return False
+
+
 @contextmanager
 def run_lock(spark: SparkSession, path: str) -> Iterator[None]:
     """One run at a time over the tables under ``path``: SetupError while another holds the lock file, which is made in
-    one step that fails if it is there."""
+    one step that fails if it is there and names its owner. The lock of an owner that ended on this machine without
+    removing it is put aside, by a rename that only one of several runs can do, and taken."""
     place, system = hadoop(spark, f"{path.rstrip('/')}/.lock")
+
+    def take() -> None:
+        out = system.create(place, False)
+        out.write(bytearray(json.dumps({"host": socket.gethostname(), "pid": os.getpid()}).encode()))
+        out.close()
+
     try:
-        system.create(place, False).close()
+        take()
     except Exception as error:  # Hadoop's own FileAlreadyExistsException, by way of the gateway
         if not system.exists(place):
             raise
-        raise SetupError(f"another run is at work in {path} (or ended without removing {place})") from error
+        aside, _ = hadoop(spark, f"{path.rstrip('/')}/.lock-{uuid.uuid4().hex[:8]}")
+        if not _owner_is_gone(system, place) or not system.rename(place, aside):
+            raise SetupError(f"another run is at work in {path} (or ended elsewhere without removing {place})") from error
+        system.delete(aside, False)
+        take()
     try:
         yield
     finally:
         system.delete(place, False)
 
 
+def _members(archive: tarfile.TarFile | zipfile.ZipFile) -> Iterator[tuple[str, bool, bool]]:
+    """(name, is a file, is a file or folder) of everything in a tar or zip archive."""
+    if isinstance(archive, tarfile.TarFile):
+        yield from ((m.name, m.isfile(), m.isfile() or m.isdir()) for m in archive.getmembers())
+        return
+    for m in archive.infolist():
+        kind = stat.S_IFMT(m.external_attr >> 16)
+        yield m.filename, not m.is_dir(), kind in (0, stat.S_IFREG, stat.S_IFDIR)
+
+
 def extract_archive(archive: str, folder: str, sha256: str | None = None) -> int:
-    """Unpack a local tar archive and give the number of files, after its checksum, where one is given, was found right.
-    Members that would be written outside the folder, and all that are neither files nor folders, are refused before
-    anything is written; the folder appears whole or not at all."""
+    """Unpack a local zip or tar archive and give the number of files, after its checksum, where one is given, was found
+    right. Members that would be written outside the folder, and all that are neither files nor folders, are refused
+    before anything is written; the folder appears whole or not at all."""
     source, target = Path(archive), Path(folder)
-    if sha256 is not None and hashlib.sha256(source.read_bytes()).hexdigest() != sha256.lower():
-        raise SetupError(f"{archive} does not have the checksum that it should have")
-    with tarfile.open(source) as tar:
-        members = tar.getmembers()
-        for member in members:
-            place = (target / member.name).resolve()
-            if not (member.isfile() or member.isdir()) or not place.is_relative_to(target.resolve()):
-                raise SetupError(f"{member.name!r} of {archive} has no place in {folder}")
+    with source.open("rb") as data:
+        if sha256 is not None and hashlib.file_digest(data, "sha256").hexdigest() != sha256.lower():
+            raise SetupError(f"{archive} does not have the checksum that it should have")
+    with tarfile.open(source) if tarfile.is_tarfile(source) else zipfile.ZipFile(source) as opened:
+        members = list(_members(opened))
+        for name, _, plain in members:
+            if not plain or not (target / name).resolve().is_relative_to(target.resolve()):
+                raise SetupError(f"{name!r} of {archive} has no place in {folder}")
         part = target.with_name(f"{target.name}.part-{uuid.uuid4().hex[:8]}")
         try:
-            tar.extractall(part, members, filter="data")
+            opened.extractall(part, **({"filter": "data"} if isinstance(opened, tarfile.TarFile) else {}))
             part.rename(target)
         finally:
             shutil.rmtree(part, ignore_errors=True)
-    return sum(m.isfile() for m in members)
+    return sum(is_file for _, is_file, _ in members)
 
 
 def missing_batches(n_titles: int, size: int, last_done: int) -> int:

@@ -5,8 +5,11 @@ import hashlib
 import json
 import os
 import random
+import socket
 import sqlite3
+import subprocess
 import tarfile
+import zipfile
 
 import pytest
 from corpusmith import config, schemas
@@ -445,6 +448,38 @@ def test_archives(tmp_path):
     assert not (tmp_path / "other").exists() and not (tmp_path / "f").exists()
 
 
+def test_zip_archives(tmp_path):
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as made:
+        made.writestr("d/", "")
+        made.writestr("d/f", "x")
+    link = zipfile.ZipInfo("link")
+    link.external_attr = 0o120777 << 16
+    for name, member in (("up.zip", "../f"), ("link.zip", link)):
+        with zipfile.ZipFile(tmp_path / name, "w") as made:
+            made.writestr("fine", "y")
+            made.writestr(member, "/etc/passwd")
+        with pytest.raises(SetupError):
+            files.extract_archive(str(tmp_path / name), str(tmp_path / "other"))
+    digest = hashlib.sha256((tmp_path / "good.zip").read_bytes()).hexdigest()
+    assert files.extract_archive(str(tmp_path / "good.zip"), str(tmp_path / "out"), digest) == 1 and (tmp_path / "out/d/f").read_text() == "x"
+    assert not (tmp_path / "other").exists()
+
+
+def test_a_dead_runs_lock_is_taken_over(spark, tmp_path):
+    ended = subprocess.Popen(["true"])
+    ended.wait()
+    lock = tmp_path / ".lock"
+    lock.write_text(json.dumps({"host": socket.gethostname(), "pid": ended.pid}))
+    with files.run_lock(spark, str(tmp_path)):
+        assert json.loads(lock.read_text())["pid"] == os.getpid()
+    assert not lock.exists()
+    for owner in ({"host": "elsewhere", "pid": ended.pid}, {"host": socket.gethostname(), "pid": os.getpid()}, {}):
+        lock.write_text(json.dumps(owner))
+        with pytest.raises(SetupError), files.run_lock(spark, str(tmp_path)):
+            pass
+        assert json.loads(lock.read_text()) == owner
+
+
 def test_evaluation_sets_and_totals(spark):
     gold, off = spark.createDataFrame([(1, "q", "XG"), (2, "r", None)], "i int, question string, game string"), spark.createDataFrame([(3, "hi")], "i int, question string")
     cases = evaluate.case_sets(gold=gold, off_topic=off)
