@@ -7,8 +7,10 @@ the one bit a cell that is left of it (whether the least count is reached) loses
 
 Second pass: the bits go to all tasks, of bounded size. A phrase survives at a place if its own cells and those of both
 phrases one word shorter in it are set, as no phrase is more frequent than a part of it. Survivors alone are counted,
-exactly, by their words: within a batch, then in Spark before and after the shuffle. What the sketch let through by chance
-falls to the exact count, so the result is the same at any width of the sketch; a narrow one only lets more through.
+exactly, by their words. Counts stay columns all the way: a task adds up its batches' tables and sends them as compressed
+column blocks, one for each range of the phrases' hashes, and the blocks of a range are added up again; there are as many
+ranges as the text needs for one to be small. What the sketch let through by chance falls to the exact count, so the result
+is the same at any width of the sketch; a narrow one only lets more through.
 
 Scores, subsumption and ranks are joins and aggregates of the few phrases that are left.
 """
@@ -195,46 +197,112 @@ def frequent_cells(docs: DataFrame, layout: Layout, least: int) -> np.ndarray:
     return out
 
 
-_COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int64()), ("phrase", pa.string()), ("a", pa.int64())])
+#: Rows of counts that a task gathers before it sends or adds them up, and bytes of text behind one range of phrases.
+GATHERED, RANGE_BYTES = 1_000_000, 64 << 20
+
+_KEYS = ["range", "lang", "size", "phrase"]
+_PACKED = pa.schema([("range", pa.int64()), ("counts", pa.binary())])
+
+
+def _sum(tables: list[pa.Table]) -> pa.Table:
+    """Tables of counts (range, lang, size, phrase, a) as one, each phrase once."""
+    total = pa.concat_tables(tables).group_by(_KEYS, use_threads=False).aggregate([("a", "sum")])
+    return total.select([*_KEYS, "a_sum"]).rename_columns([*_KEYS, "a"])
+
+
+def _pack(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A row for each range: its counts as a compressed stream of columns."""
+    table = table.sort_by("range")
+    ranges = table["range"].to_numpy()
+    for at in np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]).tolist() if len(ranges) else []:
+        part, out = table.slice(at, int(np.searchsorted(ranges, ranges[at], "right")) - at), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(part.combine_chunks())
+        yield pa.RecordBatch.from_pylist([{"range": int(ranges[at]), "counts": out.getvalue().to_pybytes()}], schema=_PACKED)
+
+
+def _merged(packed: DataFrame, least: int) -> DataFrame:
+    """lang, size, phrase, a of the counts that reach ``least``, and of the rows of size 0."""
+
+    def done(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        total = _sum(tables)
+        total = total.filter(pc.or_(pc.greater_equal(total["a"], least), pc.equal(total["size"], 0)))
+        yield from pa.table({"lang": total["lang"].cast(pa.string()), "size": total["size"], "phrase": total["phrase"].cast(pa.large_string()).cast(pa.string()), "a": total["a"]}).to_batches(max_chunksize=65_536)
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tables, n = None, [], 0
+        for frame in frames:
+            for at, data in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+                if at != now and tables:
+                    yield from done(tables)
+                    tables, n = [], 0
+                now = at
+                tables.append(pa.ipc.open_stream(data).read_all())
+                n += len(tables[-1])
+                if n > GATHERED:
+                    tables = [_sum(tables)]
+                    n = len(tables[0]) // 2  # so that a large sum is not made anew for every block
+        if tables:
+            yield from done(tables)
+
+    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(run, "lang string, size long, phrase string, a long")
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, width: int = WIDTH) -> DataFrame:
     """lang, size, phrase, a: all phrases of 1 to ``longest`` words that occur ``least`` times or more in a language, with
     their exact counts; and a row of size 0 per language with the number of its words. ``width`` cells a row of the sketch."""
     layout = Layout(1 << max(0, int(width) - 1).bit_length(), longest)
+    ranges = max(64, (docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // RANGE_BYTES)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, layout, least))
 
+    def counted(frame: pa.RecordBatch, bits: np.ndarray) -> Iterator[pa.Table]:
+        words = split_words(frame.column(0), frame.column(1))
+
+        def table(h: np.ndarray, lang: np.ndarray, size: int, phrase: pa.Array, n: np.ndarray) -> pa.Table:
+            at = ((h * _MIX[1]) >> np.uint64(33)) % np.uint64(ranges)
+            return pa.table([pa.array(at.astype(np.int64)), words.langs.take(pa.array(lang)), pa.array(np.full(len(n), size)), phrase, pa.array(n)], names=[*_KEYS, "a"])
+
+        per = np.bincount(words.lang, minlength=len(words.langs))
+        yield table(np.zeros(len(per), np.uint64), np.arange(len(per)), 0, pa.nulls(len(per), pa.large_binary()), per)
+        h, alive, gram = words.hash, np.ones(len(words.hash) + 1, bool), np.zeros(0, np.int64)
+        for size in range(1, longest + 1):
+            if size > 1:
+                h = words.longer(h, size)
+            alive = words.whole(size) & alive[: len(h)] & alive[1 : len(h) + 1]
+            at = np.flatnonzero(alive)
+            for row in range(2):
+                places = layout.places(size, h[at])[row]
+                at = at[np.flatnonzero(bits[places >> 3] >> (places & 7).astype(np.uint8) & 1)]
+            alive = np.zeros(len(h), bool)
+            alive[at] = True
+            if not len(at):
+                break
+            before = words.lang[at] if size == 1 else gram[at]
+            _, one, number, n = np.unique(before * len(words.names) + words.number[at + size - 1], return_index=True, return_inverse=True, return_counts=True)
+            gram = np.zeros(len(h), np.int64)
+            gram[at] = number
+            found = at[one]
+            parts = [words.names.take(pa.array(words.number[found + k])) for k in range(size)]
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if size > 1 else parts[0]
+            yield table(h[found], words.lang[found], size, phrase, n)
+
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker_cache()
-        bits = shared.value
+        tables, n = [], 0
         for frame in frames:
-            words = split_words(frame.column(0), frame.column(1))
-            per = np.bincount(words.lang, minlength=len(words.langs))
-            yield pa.RecordBatch.from_arrays([words.langs.cast(pa.string()), pa.array(np.zeros(len(per), np.int64)), pa.nulls(len(per), pa.string()), pa.array(per)], schema=_COUNTS)
-            h, alive, gram = words.hash, np.ones(len(words.hash) + 1, bool), np.zeros(0, np.int64)
-            for size in range(1, longest + 1):
-                if size > 1:
-                    h = words.longer(h, size)
-                alive = words.whole(size) & alive[: len(h)] & alive[1 : len(h) + 1]
-                at = np.flatnonzero(alive)
-                for row in range(2):
-                    places = layout.places(size, h[at])[row]
-                    at = at[np.flatnonzero(bits[places >> 3] >> (places & 7).astype(np.uint8) & 1)]
-                alive = np.zeros(len(h), bool)
-                alive[at] = True
-                if not len(at):
-                    break
-                before = words.lang[at] if size == 1 else gram[at]
-                _, one, number, n = np.unique(before * len(words.names) + words.number[at + size - 1], return_index=True, return_inverse=True, return_counts=True)
-                gram = np.zeros(len(h), np.int64)
-                gram[at] = number
-                found = at[one]
-                parts = [words.names.take(pa.array(words.number[found + k])) for k in range(size)]
-                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if size > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(words.lang[found])).cast(pa.string()), pa.array(np.full(len(found), size)), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(n)], schema=_COUNTS)
-
-    counts = _texts(docs).mapInArrow(run, "lang string, size long, phrase string, a long").groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
-    return counts.filter((F.col("a") >= least) | (F.col("size") == 0))
+            new = list(counted(frame, shared.value))
+            tables += new
+            n += sum(map(len, new))
+            if n > GATHERED:
+                tables = [_sum(tables)]
+                n = len(tables[0])
+                if 2 * n > GATHERED:
+                    yield from _pack(tables[0])
+                    tables, n = [], 0
+        if tables:
+            yield from _pack(_sum(tables))
+
+    return _merged(_texts(docs).mapInArrow(run, "range long, counts binary"), least)
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, share: int = 100, width: int = WIDTH) -> DataFrame:
