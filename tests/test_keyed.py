@@ -14,6 +14,7 @@ def test_starts_equal_the_batch_and_idle_keys_leave_nothing(spark, tmp_path):
     rows += [("late", 1_700_009_000)]
     df = spark.createDataFrame(rows, REQUESTS).withColumn("ts", F.timestamp_seconds("s"))
     before = spark.createDataFrame([("k0", 1_699_999_990), ("k0", 1_699_999_995), ("k1", 1_699_999_000), ("gone", 1_699_999_999)], REQUESTS).withColumn("ts", F.timestamp_seconds("s"))
+    (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("key string, ts timestamp").parquet(f"{tmp_path}/in").withWatermark("ts", "10 seconds")
     for lot, (a, b) in enumerate(((0, 450), (450, 901), (901, 99_999))):
         part = df.filter(F.col("s").between(1_700_000_000 + a, 1_700_000_000 + b - 1))
