@@ -360,3 +360,9 @@ def test_scores_are_of_the_original_doubles(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     for row in permutation.search(df, F.col("vec_id") % 20 == 0).collect():
         assert row.score == np.einsum("j,j->", x[row.query_id], x[row.vec_id]) or abs(row.score - x[row.query_id] @ x[row.vec_id]) < 1e-14
+
+
+def test_number_signs_are_no_letters():
+    from corpusmith.llm.langid import letters_of
+
+    assert letters_of(["½", "²", "①", "Ⅷ", "Ab1", "été", "ʼn"]) == ["", "", "", "", "ab", "été", "ʼn"]
