@@ -422,7 +422,7 @@ def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.lit(MADE_PAGE)
     for key, value in values.items():
         page = F.replace(page, F.lit("{" + key + "}"), value)
-    return read(spark, sf_dir, "part").select("p_partkey", page.alias("html"))
+    return spread(read(spark, sf_dir, "part")).select("p_partkey", page.alias("html"))
 
 
 @register(
@@ -463,7 +463,7 @@ def made_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit(MADE_WIKI)
     for key, value in values.items():
         text = F.replace(text, F.lit("{" + key + "}"), value)
-    pages = read(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("pageid"), text.alias("wikitext"))
+    pages = spread(read(spark, sf_dir, "part")).select(F.col("p_name").alias("title"), F.col("p_partkey").alias("pageid"), text.alias("wikitext"))
     return wikitext.parse_pages(pages, BASE_URL, CASELESS)
 
 
@@ -481,7 +481,7 @@ def merged_articles(spark, sf_dir):
     page, and with a rendering and wikitext that both hold nothing."""
     from .plans import build
 
-    rows = read(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % 8)
+    rows = spread(read(spark, sf_dir, "part")).withColumn("k", F.col("p_partkey") % 8)
     raw = F.concat(F.lit("'''"), "p_name", F.lit("''' is a thing that is made by "), "p_brand", F.lit(" and told of at length."))
     slots = F.struct(F.struct(F.struct(raw.alias("content")).alias("main")).alias("slots"))
     pages = rows.filter("k <> 6").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("pageid"), F.array(slots).alias("revisions"))
@@ -530,7 +530,7 @@ def html_sections(spark, sf_dir):
     """The tree walk has no SQL form; tests hold it against literal pages."""
     from .operators import html
 
-    pages = read(spark, sf_dir, "pages").select(F.col("url").alias("title"), F.col("page_id").alias("pageid"), "html", F.lit(None).cast("string").alias("wikitext"))
+    pages = spread(read(spark, sf_dir, "pages")).select(F.col("url").alias("title"), F.col("page_id").alias("pageid"), "html", F.lit(None).cast("string").alias("wikitext"))
     return html.parse_records(pages, BASE_URL).select("pageid", F.posexplode("sections").alias("n", "section")).select("pageid", "n", "section.heading", "section.text")
 
 

@@ -517,3 +517,28 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["ask", "--root", str(tmp_path), "-q", "old stones", "--tier", "thinking", "--k", "3"]) == 0
     said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert said["tier"] == "thinking" and said["sources"][0]["title"] == "River"
+
+
+def test_everyday_pages_need_no_tokenizer():
+    """Everyday pages give the tree that the tokenizer gives; pages with anything else go to it."""
+    from corpusmith.queries import MADE_PAGE
+
+    def told(page):
+        builder = html._Builder()
+        builder.feed(page)
+        builder.close()
+        return builder.root
+
+    odd = ["a < b", "<!-- c --><p>x</p>", "<script>if (a<b) x</script>", '<a href="a>b">x</a>', "<p a=\">", "</ p>", "<A HREF=x>y</A>"]
+    plain = [MADE_PAGE, "", "a &amp; b", "<P Class='x &lt; y' nowrap>a<br/>b &nbsp", '<td colspan="" id="toc">\n</td >']
+    for page in odd + plain:
+        assert html.tree(page) == told(page), page
+    assert all(html._everyday(page) is None for page in odd) and all(html._everyday(page) is not None for page in plain)
+
+
+def test_made_pages_are_dealt_to_all_cores(spark):
+    """A table in one file is parsed by all cores, not by one task."""
+    from corpusmith import queries
+
+    sf = "/root/testdata/sf0.001"
+    assert queries.made_pages(spark, sf).rdd.getNumPartitions() == queries.made_articles(spark, sf).rdd.getNumPartitions() == 4
