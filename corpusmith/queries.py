@@ -849,7 +849,9 @@ def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ranked lists per vector query: nearest by cosine, and smallest ids of the query's label."""
     near = dense.top_k(vector_queries(spark, sf_dir), vector_store(spark, sf_dir), 10).select("qid", F.lit(0).alias("list_id"), "rank", "chunk_id")
     asked = vector_queries(spark, sf_dir).select("qid", F.col("facet").cast("int").alias("label"))
-    same = vector_store(spark, sf_dir).join(asked, "label").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).filter("rank <= 10")
+    # A label's list is cut before its questions get it, so no pair of question and row beyond the ten is made.
+    first = vector_store(spark, sf_dir).filter("label IS NOT NULL").select("label", "chunk_id").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("chunk_id"))).filter("rank <= 10")
+    same = asked.join(first, "label")
     return near.unionByName(same.select("qid", F.lit(1).alias("list_id"), "rank", "chunk_id"))
 
 

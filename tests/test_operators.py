@@ -542,3 +542,27 @@ def test_made_pages_are_dealt_to_all_cores(spark):
 
     sf = "/root/testdata/sf0.001"
     assert queries.made_pages(spark, sf).rdd.getNumPartitions() == queries.made_articles(spark, sf).rdd.getNumPartitions() == 4
+
+
+def test_dense_memory_does_not_follow_the_batch(spark, monkeypatch):
+    """However many rows a message brings, distances to a block are held for so many of them alone."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=4).round(1).tolist()) for i in range(300)]
+    store = spark.createDataFrame([(i, v, ["a", "b"][: 1 + i % 2]) for i, v in vectors], "chunk_id long, embedding array<double>, games array<string>").coalesce(1)
+    asked = spark.createDataFrame([(i, v, "b" if i % 2 else None) for i, v in vectors[:150]], "qid long, embedding array<double>, game string")
+    read = lambda: {(r.qid, r.rank): (r.chunk_id, round(r.distance, 9)) for r in dense.top_k(asked, store, 5, facet="game").collect()}
+    whole = read()
+    monkeypatch.setattr(dense, "ROWS", 7)
+    assert read() == whole and len(whole) == 150 * 5
+
+
+def test_second_list_is_cut_before_questions_get_it(spark):
+    """The ten smallest ids of a label are found once a label, not once for every question: no join lies below a window
+    over all rows of a question's label."""
+    from corpusmith import queries
+
+    plan = queries.two_lists(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number" in line and "Window" in line]
+    assert any("windowspecdefinition(label" in line for line in windows) and sum("windowspecdefinition(qid" in line for line in windows) == 1
