@@ -566,3 +566,33 @@ def test_second_list_is_cut_before_questions_get_it(spark):
     plan = queries.two_lists(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "row_number" in line and "Window" in line]
     assert any("windowspecdefinition(label" in line for line in windows) and sum("windowspecdefinition(qid" in line for line in windows) == 1
+
+
+def test_asked_index_writes_asked_tokens_alone(spark, monkeypatch):
+    """Of the texts only asked tokens are written; lengths, frequencies and scores are those of the whole texts, with a
+    list of terms or without."""
+    texts = spark.createDataFrame([(1, "It's the mill's mill of wind"), (2, "wind and water"), (3, None), (4, "don\\t walk"), (5, "")], "chunk_id long, text string")
+    asked = spark.createDataFrame([("mill",), ("wind",), ("t",), ("no'ne",), ("back\\",)], "term string")
+    kept = []
+    monkeypatch.setattr(lexical, "materialise", lambda df, name: kept.append((name, df)) or df)
+    read = lambda index: ({tuple(r) for r in index.postings.collect()}, {tuple(r) for r in index.frequencies.collect()}, index.stats.first())
+    listed = read(lexical.build_index(texts, asked=asked))
+    assert {t for r in dict(kept)["terms"].collect() for t in r.terms or ()} == {"mill", "wind", "t"}
+    monkeypatch.setattr(lexical, "LISTED_TERMS", 2)
+    assert read(lexical.build_index(texts, asked=asked)) == listed
+    assert listed[0] == {r for r in read(lexical.build_index(texts))[0] if r[0] in {"mill", "wind", "t"}}
+
+
+def test_scores_are_summed_where_the_postings_lie(spark, monkeypatch):
+    """Between the join and the sum of a chunk's scores nothing is shuffled, and the scores are those of the shuffled join."""
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(12) if (i * 7 + j) % 5)) for i in range(40)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 3} w{q + 3}") for q in range(8)], "qid long, question string")
+    index = lexical.build_index(texts)
+    found = lexical.scores(index, lexical.query_terms(asked, "qid", "question"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    above = found._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")[0]
+    assert "BroadcastHashJoin" in plan and "Exchange" not in above
+    read = lambda df: {(r.qid, r.chunk_id): round(r.score, 9) for r in df.collect()}
+    near = read(found)
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 1)
+    assert read(lexical.scores(index, lexical.query_terms(asked, "qid", "question"))) == near and len(near) > 100
