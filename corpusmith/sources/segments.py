@@ -34,6 +34,8 @@ from .files import hadoop
 FANOUT, ATTEMPTS = 4, 8
 #: Ranges of terms (by hash) in which a segment's postings lie; a search reads the asked ones.
 RANGES = 64
+#: Blocks that are taken apart at once when segments merge; of 128 postings at most, so a message has 65,536 rows.
+OPENED = 512
 
 
 @dataclass
@@ -252,10 +254,12 @@ class SegmentedIndex:
         """chunk_id, terms, games of the live chunks, from the blocks: a term stands in ``terms`` as often as in the text."""
 
         def opened(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for frame in frames:
-                rows = frame.to_pydict()
-                for segment, part, term, n, first, ords, tfs in zip(*(rows[c] for c in ("segment", "part", "term", "n", "first", "ords", "tfs")), strict=True):
-                    yield pa.RecordBatch.from_pydict({"segment": [segment] * n, "part": [part] * n, "term": [term] * n, "ord": blockmax._unpacked(ords, n) + first, "tf": blockmax._unpacked(tfs, n)}, schema=schema)
+            for frame in (whole.slice(at, OPENED) for whole in frames for at in range(0, len(whole), OPENED)):
+                n, first = frame.column("n").to_numpy(), frame.column("first").to_numpy()
+                of = pa.array(np.repeat(np.arange(len(n)), n))
+                data = {c: np.concatenate([blockmax._unpacked(x, k) for x, k in zip(frame.column(c).to_pylist(), n.tolist(), strict=True)]) for c in ("ords", "tfs")}
+                ords = (data["ords"] + np.repeat(first, n)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(frame.column(c).take(of) for c in ("segment", "part", "term")), pa.array(ords), pa.array(data["tfs"].astype(np.int32))], schema=schema)
 
         schema = pa.schema([("segment", pa.string()), ("part", pa.int32()), ("term", pa.string()), ("ord", pa.int32()), ("tf", pa.int32())])
         blocks = self._blocks([s.id for s in segments]).filter(~F.col("term").startswith(blockmax.MARK)).select("segment", "part", "term", "n", "first", "ords", "tfs")

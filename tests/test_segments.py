@@ -135,3 +135,17 @@ def test_few_postings_are_scored_where_lengths_and_terms_differ(spark):
     assert counted["scored"] < 0.02 * 16_000 and counted["opened"] < 0.6 * 16_000
     plain = lexical.search(lexical.build_index(spark.createDataFrame(rows, CHUNKS)), asked, 5)
     assert hits(index.search(asked, 5)) == hits(plain)
+
+
+def test_merge_opens_blocks_many_at_once(spark, tmp_path, monkeypatch):
+    """Segments are taken apart in messages of many blocks, and however many these are the chunks' terms are the same."""
+    from corpusmith.sources import segments
+
+    index = segments.SegmentedIndex(spark, f"{tmp_path}/many", "long")
+    texts = [(i, " ".join(f"w{j}" for j in range(15) for _ in range(1 + (i + j) % 3) if (i * 5 + j) % 4), ["a"]) for i in range(300)] + [(300, "", ["b"])]
+    index.add(spark.createDataFrame(texts, "chunk_id long, text string, games array<string>"))
+    read = lambda: {r.chunk_id: sorted(r.terms) for r in index._terms(index.manifest()[1]).collect()}
+    whole = read()
+    assert whole == {i: sorted(text.split()) for i, text, _ in texts}
+    monkeypatch.setattr(segments, "OPENED", 2)
+    assert read() == whole
