@@ -33,6 +33,8 @@ SAMPLE_NUMBERS, MOST_CELLS, PIECE = 4_000_000, 4096, 50_000
 #: is for vectors without clusters (of 2,000 such in 64 dimensions 0.6 of the cells hold 95 % of the ten nearest); where
 #: there are clusters a few ``probes`` do.
 PROBE_SHARE, DEPTH = 0.65, 20
+#: Distances of a cell's queries and rows that are held at once.
+DISTANCES = 1_000_000
 ALL = ""  # the facet of every row
 
 
@@ -146,31 +148,35 @@ class CellIndex:
         return asked.join(per, "facet").select("qid", "vec", "facet", "cells").mapInPandas(choose, f"qid {kind}, vec array<double>, facet string, cell int, bound double, first boolean")
 
     def _visit(self, pairs: DataFrame, n: int) -> DataFrame:
-        """qid, chunk_id, distance: each cell's n nearest of its queries, with ties at nine decimals."""
+        """qid, chunk_id, distance: each cell's n nearest of its queries, with ties at nine decimals; where pairs have an
+        ``edge``, none farther than it."""
         cells = [r["cell"] for r in pairs.select("cell").distinct().collect()]  # at most MOST_CELLS
         kind = pairs.schema["qid"].dataType.simpleString()
         pieces = self.stats().filter(F.col("facet") == ALL).select("cell", F.ceil(F.col("rows") / PIECE).cast("int").alias("pieces"))
         rows = self.rows().filter(F.col("cell").isin(cells)).join(F.broadcast(pieces), "cell")
         rows = rows.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces")
-        asked = pairs.join(F.broadcast(pieces), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("cell", "piece", "qid", "vec", "facet")
+        asked = pairs.join(F.broadcast(pieces), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("cell", "piece", "qid", "vec", "facet", F.col("edge") if "edge" in pairs.columns else F.lit(None).cast("double").alias("edge"))
 
         def nearest(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             out = []
             if len(rows) and len(asked):
-                x = np.stack(rows["vec"].to_numpy())
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                ids, facets = rows["id"].to_numpy(), asked["facet"].tolist()
+                x, q = (np.stack(frame["vec"].to_numpy()) for frame in (rows, asked))
+                x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, q))
+                ids, qids, facets, edges = rows["id"].to_numpy(), asked["qid"].to_numpy(), asked["facet"].to_numpy(), asked["edge"].to_numpy(np.float64)
                 names = sorted(set(facets) - {ALL})
                 held = dict(zip(names, _membership(rows["games"], names), strict=True)) | {ALL: np.ones(len(ids), bool)}
-                for q, vec, name in zip(asked["qid"], asked["vec"], facets, strict=True):
-                    at = np.flatnonzero(held[name])
-                    distance = 1 - x[at] @ (vec / np.linalg.norm(vec))
-                    if len(at) > n:
+                for name in sorted(set(facets)):
+                    at, own = np.flatnonzero(held[name]), np.flatnonzero(facets == name)
+                    step = max(1, DISTANCES // max(1, len(at)))
+                    for some in (own[k : k + step] for k in range(0, len(own) if len(at) else 0, step)):
+                        distance = 1 - q[some] @ x[at].T
                         near = np.round(distance, 9)
-                        kept = near <= np.partition(near, n - 1)[n - 1]
-                        at, distance = at[kept], distance[kept]
-                    out.append(pd.DataFrame({"qid": [q] * len(at), "chunk_id": ids[at], "distance": distance}))
-            return pd.concat(out) if out else pd.DataFrame({"qid": [], "chunk_id": [], "distance": []})
+                        kept = near <= np.where(np.isnan(edges[some]), np.inf, np.round(edges[some], 9))[:, None]
+                        if len(at) > n:
+                            kept &= near <= np.partition(near, n - 1, axis=1)[:, n - 1 : n]
+                        i, j = np.nonzero(kept)
+                        out.append((qids[some[i]], ids[at[j]], distance[i, j]))
+            return pd.DataFrame(dict(zip(("qid", "chunk_id", "distance"), map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else {"qid": [], "chunk_id": [], "distance": []})
 
         return rows.groupBy("cell", "piece").cogroup(asked.groupBy("cell", "piece")).applyInPandas(nearest, f"qid {kind}, chunk_id {self.key}, distance double")
 
@@ -183,7 +189,7 @@ class CellIndex:
         if exact:
             far = found.groupBy("qid").agg(F.sort_array(F.collect_list("distance")).alias("d")).select(F.col("qid").alias("_q"), F.when(F.size("d") >= n, F.get("d", n - 1)).alias("edge"))
             rest = pairs.filter("NOT first").join(far, F.col("qid") == F.col("_q"), "left")
-            rest = rest.filter(F.col("edge").isNull() | (F.col("bound") <= F.acos(F.greatest(F.lit(-1.0), 1 - F.col("edge"))) + 1e-6)).drop("_q", "edge")
+            rest = rest.filter(F.col("edge").isNull() | (F.col("bound") <= F.acos(F.greatest(F.lit(-1.0), 1 - F.col("edge"))) + 1e-6)).drop("_q")
             found = found.unionByName(self._visit(materialise(rest, "rest"), n))
         order = Window.partitionBy("qid").orderBy(F.round("distance", 9), "chunk_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
