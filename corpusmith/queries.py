@@ -87,8 +87,11 @@ CHUNKS_SQL = (
 )
 
 
-def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_rows(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """The chunks of the documents, or of those whose pageid stands in ``of``: others are not cut."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    if of is not None:
+        docs = docs.join(of.select(F.col("pageid").alias("doc_id")).distinct(), "doc_id", "left_semi")
     cut = chunking.chunk_texts(docs, "doc_id", "text", SIZE, OVERLAP)
     heading = F.when(F.col("ordinal") % 5 == 2, "infobox").otherwise("text")
     title = F.concat(F.lit("doc "), F.col("doc_id"))
@@ -901,7 +904,8 @@ def relaxed_retrieve(spark, sf_dir):
 def lexical_hits(spark: SparkSession, sf_dir: str, n: int = 30) -> DataFrame:
     """Chunk hits of the benchmark questions: chunks of the documents that BM25 finds, by document rank and ordinal."""
     found = lexical.search(documents_index(spark, sf_dir), benchmark_questions(spark, sf_dir), 5).select("qid", F.col("chunk_id").alias("pageid"), F.col("rank").alias("page_rank"))
-    rows = chunk_rows(spark, sf_dir).join(found, "pageid")
+    found = materialise(found, "found-pages")  # a table of known, small size: it is broadcast before texts are read
+    rows = chunk_rows(spark, sf_dir, found).join(found, "pageid")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("page_rank", "ordinal"))).filter(F.col("rank") <= n)
 
 
@@ -950,7 +954,7 @@ jo AS (SELECT h.*, body, row_number() OVER (PARTITION BY qid, h.pageid ORDER BY
 )
 def merge_fragmented(spark, sf_dir):
     hits = lexical_hits(spark, sf_dir).drop("page_rank", "ordinal")
-    merged = fusion.merge_fragmented(hits, chunk_rows(spark, sf_dir), small_chars=900)
+    merged = fusion.merge_fragmented(hits, chunk_rows(spark, sf_dir, hits), small_chars=900)
     return merged.select("qid", "chunk_id", F.md5("text").alias("text_md5"), "rank")
 
 
