@@ -1,28 +1,29 @@
-"""Token-id files packed by an adaptive context-mixing range coder.
+"""Token-id files packed by a context-mixing range coder.
 
-Each block of ids is coded from a fresh state and carries a CRC-32 of its ids, so blocks can be read alone and damage
-stays in its block. Three predictions of an id are mixed into one probability: the id that followed the two ids before
-last time (order 2), the id that followed the one before (order 1), and an adaptive tree of four 16-way nodes (order 0).
-Their weights are learned for each pair of confidences that the first two have earned. The id is coded in its four hex
-digits: a digit's chance is the mixture's, and the weights are updated by what each prediction gave the digit, so the
-four steps give the id exactly its mixed probability.
+Blocks of ids are coded apart and carry a CRC-32 of their ids, so each can be read alone with its file's directory, and
+damage stays in its block. Three predictions of an id are mixed into one probability: the id that the two ids before
+foretell (order 2), the id that the one before foretells (order 1), both learned in the block, and the shares of all ids
+in the file (order 0), which stand in its directory. The weights are learned in the block for each pair of confidences
+that the first two have earned. They are whole numbers, so every machine finds the same, and the chances add up to a power
+of two: an id is coded in one step.
 
 The coder works on many blocks at once: step t codes id t of every block, with one numpy operation for all of them,
 so the interpreter's cost is shared. Streams are independent of which blocks were coded together.
 
-File layout (little-endian): magic "CMR2", documents u32, blocks u32, ids u64, CRC-32 of the directory u32; the
-directory: doc_id i64 and has-id u8 and ids u32 for each document, ids u32 and bytes u32 and CRC-32 u32 for each
-block; then the blocks' bytes.
+File layout (little-endian): magic "CMR3", documents u32, blocks u32, bytes of order 0 u32, ids u64, CRC-32 of the
+directory u32; the directory: doc_id i64 and has-id u8 and ids u32 for each document, ids u32 and bytes u32 and CRC-32 u32
+for each block, order 0 (deflated: ids u16, then their shares less one u16); then the blocks' bytes.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,121 +31,155 @@ from tokenizers import Tokenizer
 
 from .common import bound_batches, column, materialise, release_worker_cache, without_gc, worker_cache
 
-BLOCK, LANES = 1024, 4096
+BLOCK, LANES = 16_384, 1024
+#: Small files have shorter blocks, down to the least, so that a step still codes this many.
+LEAST_BLOCK, LEAST_LANES = 2048, 512
 #: Ids of a file; documents are never split between files.
 FILE_IDS = BLOCK * LANES
-MAGIC, HEAD = b"CMR2", struct.Struct("<4sIIQI")
+MAGIC, HEAD = b"CMR3", struct.Struct("<4sIIIQI")
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 WORD, SHIFT = np.uint64(16), np.uint64(48)
-GAIN, LIMIT = 24, 1 << 14
-BITS1, BITS2 = 11, 12
-#: First node of each level of the order-0 tree. The last level's 4096 nodes share 256 places, which keeps the tables of all lanes small.
-LEVELS = (0, 1, 17, 273)
-PLACES = 256
-NODES = 273 + PLACES
-#: Confidences of predictions count up to three.
-SURE = np.minimum(np.arange(256), 3)
-#: A digit's chances are in 1/SCALE, each digit of order 0 having one more.
-SCALE = 1 << 15
-#: What a digit adds to the running counts of its node.
-ADDED = (np.arange(16)[:, None] <= np.arange(16)[None, :]).astype(np.uint16) * np.uint16(GAIN)
+#: Ids are below this, and order 0's shares add up to it.
+IDS_BITS = 16
+IDS = 1 << IDS_BITS
+#: Weights are in 1/256, so an id's chances are in 1/2^24.
+WEIGHT_BITS = 8
+TOTAL_BITS = np.uint64(IDS_BITS + WEIGHT_BITS)
+#: Places of a block's tables of orders 2 and 1, and confidences of a prediction (0: none yet).
+PLACES = np.array([[1 << 14], [1 << 12]])
+SURE_BITS = 3
+SURE = (1 << SURE_BITS) - 1
+#: What a hit (second half) or a miss does to a prediction that stays: a hit makes it surer, a miss a sure one less so. Others give way at a miss.
+CHANGE = np.array([-2] * (SURE + 1) + [1] * SURE + [0]) << 16
+STAYS = np.array([False] * 3 + [True] * (2 * SURE - 1))
+#: A weight, in 1/65536, loses 1/32 of itself at each step, and gains this with a hit: order 0's never falls under 1/256.
+RATE, GAIN = 5, 2040
+#: Both weights lie in one number, order 2's above order 1's; this keeps what one loses out of the other.
+LOSS = ((1 << 16 - RATE) - 1) * ((1 << 16) + 1)
+
+
+def _first_weights(most: int) -> np.ndarray:
+    """The weights before a block has taught better, by confidence of order 2 and of order 1."""
+    sure2, sure1 = np.arange(SURE + 1)[:, None], np.arange(SURE + 1)[None, :]
+    second = most * (2 * sure2 + 1) // (2 * sure2 + 8) * (sure2 > 0)
+    return (second << 16 | (most - second) * (2 * sure1 + 1) // (2 * sure1 + 16) * (sure1 > 0)).reshape(-1)
+
+
+FIRST = _first_weights(GAIN << RATE)
+
+
+class Shares:
+    """Order 0: the shares of ids, in 1/65536; every id that is coded has one at least."""
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray):
+        self.ids = ids
+        self.size = np.zeros(IDS, np.int64)
+        self.size[ids] = size
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
+        self.at = np.repeat(np.arange(IDS, dtype=np.uint16), self.size)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Shares:
+        count = np.bincount(ids, minlength=IDS)
+        there = np.flatnonzero(count)
+        if not len(there):
+            return cls.even()
+        size = 1 + count[there] * (IDS - len(there)) // len(ids)
+        size[np.argmax(size)] += IDS - size.sum()
+        return cls(there, size)
+
+    @classmethod
+    def even(cls) -> Shares:
+        return cls(np.arange(IDS), np.ones(IDS, np.int64))
+
+    def pack(self) -> bytes:
+        return zlib.compress(np.concatenate((self.ids, self.size[self.ids] - 1)).astype("<u2").tobytes())
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Shares:
+        ids, size = np.frombuffer(zlib.decompress(data), "<u2").astype(np.int64).reshape(2, -1)
+        return cls(ids, size + 1)
 
 
 class _Lanes:
     """Models and coder of several blocks; ``lengths`` are their numbers of ids, longest first."""
 
-    def __init__(self, lengths: np.ndarray):
+    def __init__(self, lengths: np.ndarray, shares: Shares):
         n = len(lengths)
-        self.n, self.lengths, self.rows = n, lengths, np.arange(n)
+        self.n, self.lengths, self.rows, self.shares = n, lengths, np.arange(n), shares
         self.low = np.zeros(n, np.uint64)
         self.range = np.full(n, 0xFFFF_FFFF_FFFF_FFFF, np.uint64)
-        self.weights = np.tile(np.array([1, 1, 4], np.float64), (n * 16, 1))  # of order 2, 1 and 0
-        self.tree = np.tile(np.arange(1, 17, dtype=np.uint16), (n * NODES, 1))  # running counts of the digits
-        self.upto = self.tree.reshape(-1)
-        self.id1, self.id2 = np.zeros((n, 1 << BITS1), np.uint16), np.zeros((n, 1 << BITS2), np.uint16)
-        self.sure1, self.sure2 = np.zeros((n, 1 << BITS1), np.uint8), np.zeros((n, 1 << BITS2), np.uint8)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.weights = np.tile(FIRST, n)
+        # What follows a context, and above it how sure that is: a lane's places of order 2, then those of order 1.
+        self.next = np.zeros(n * int(PLACES.sum()), np.uint32)
+        self.base = self.rows * int(PLACES.sum()) + [[0], [int(PLACES[0, 0])]]
+        self.hash = np.zeros((2, n), np.int64)  # of both ids before, and of the last
+        self.state = self.rows << 2 * SURE_BITS
 
     def settle(self, active: int) -> None:
         """Move out the leading words of the lanes whose range has become small."""
         at = np.flatnonzero(self.range[:active] < BOTTOM)
         while len(at):
-            low, span = self.low[at], self.range[at]
+            low, span = self.low.take(at), self.range.take(at)
             stuck = (low ^ (low + span)) >= TOP
-            span = np.where(stuck & (span < BOTTOM), (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), span)
+            if stuck.any():
+                span = np.where(stuck, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), span)
             self.move(at, low >> SHIFT)
-            low, span = low << WORD, span << WORD
-            self.low[at], self.range[at] = low, span
-            at = at[((low ^ (low + span)) < TOP) | (span < BOTTOM)]
+            span = span << WORD
+            self.low[at], self.range[at] = low << WORD, span
+            at = at[span < BOTTOM]
 
     def move(self, lanes: np.ndarray, words: np.ndarray) -> None:
         raise NotImplementedError
 
-    def digit(self, active: int, upto: Callable[[np.ndarray], np.ndarray], total: np.ndarray, given: np.ndarray | None) -> np.ndarray:
-        """Code (or, with ``given`` None, decode) one digit of each lane. ``upto`` gives the chances of all digits below
-        the given ones, ``total`` those of all."""
+    def seek(self, unit: np.ndarray, weights: np.ndarray, rest: np.ndarray, foretold: np.ndarray) -> np.ndarray:
+        """The id that each lane's code stands for under these predictions and weights of orders 2 and 1, and order 0's."""
         raise NotImplementedError
 
     def step(self, active: int, given: np.ndarray | None) -> np.ndarray:
         """Code the next id of the first ``active`` lanes, or decode it where none are given."""
-        lanes = slice(0, active)
-        rows, last, before = self.rows[lanes], self.last[lanes], self.before[lanes]
-        at1 = (rows << BITS1) + ((last * 0x9E3779B1 >> 7) & ((1 << BITS1) - 1))
-        at2 = (rows << BITS2) + (((last * 0x85EBCA77 ^ before * 0xC2B2AE3D) >> 9) & ((1 << BITS2) - 1))
-        c1, c2, s1, s2 = (t.take(at) for t, at in ((self.id1, at1), (self.id2, at2), (self.sure1, at1), (self.sure2, at2)))
-        state = (rows << 4) + (SURE.take(s2) << 2) + SURE.take(s1)
-        own = self.weights.take(state, axis=0)
-        w2, w1, w0 = own[:, 0], own[:, 1], own[:, 2]
-        every = w0 + w1 + w2  # sums of a fixed order: the decoder must find the same numbers on any machine
-        w2, w1, w0 = w2 / every, w1 / every, w0 / every
-        base, prefix, upto = rows * NODES, np.zeros(active, np.int64), self.upto
-        for level, first in enumerate(LEVELS):
-            shift = 12 - 4 * level
-            node = base + first + (prefix if level < 3 else (prefix ^ prefix >> 6) % PLACES)
-            at = node << 4
-            total = upto.take(at + 15)
-            d2, d1 = (c2 >> shift) & 15, (c1 >> shift) & 15
-            spike2, spike1, each = (w2 * SCALE).astype(np.int64), (w1 * SCALE).astype(np.int64), w0 * SCALE / total
-
-            def below(k: np.ndarray) -> np.ndarray:
-                """The mixture's chances of the digits below k: order 0's share, one for each, and the predicted ones."""
-                own = np.where(k, upto.take(at + k - (k > 0)), 0)  # noqa: B023
-                return (own * each).astype(np.int64) + k + spike2 * (k > d2) + spike1 * (k > d1)  # noqa: B023
-
-            everything = (total * each).astype(np.int64) + 16 + spike2 + spike1
-            found = self.digit(active, below, everything, None if given is None else (given >> shift) & 15)
-            w2 = w2 * (found == d2)
-            w1 = w1 * (found == d1)
-            w0 = w0 * ((upto.take(at + found) - np.where(found, upto.take(at + found - (found > 0)), 0)) / total)
-            every = w0 + w1 + w2
-            w2, w1, w0 = w2 / every, w1 / every, w0 / every
-            counts = self.tree.take(node, axis=0)
-            counts += ADDED.take(found, axis=0)
-            if level < 2 and len(full := np.flatnonzero(total > LIMIT - 2 * GAIN)):
-                halved = (np.diff(counts[full], axis=1, prepend=np.uint16(0)) + 1) >> 1
-                counts[full] = np.cumsum(halved, axis=1)
-            self.tree[node] = counts
-            prefix = prefix << 4 | found
-        hit2, hit1 = prefix == c2, prefix == c1
-        update = self.weights.take(state, axis=0)
-        update *= 0.98
-        update[:, 0] += hit2
-        update[:, 1] += hit1 & ~hit2
-        update[:, 2] += ~(hit1 | hit2)
-        update += 0.002
-        self.weights[state] = update
-        self.id1.put(at1, prefix)
-        self.id2.put(at2, prefix)
-        self.sure1.put(at1, np.where(hit1, np.minimum(s1, 250) + 1, 0))
-        self.sure2.put(at2, np.where(hit2, np.minimum(s2, 250) + 1, 0))
-        self.before[lanes] = last.copy()
-        self.last[lanes] = prefix
-        return prefix
+        shares, hashed = self.shares, self.hash[:, :active]
+        at = (hashed >> 11) & (PLACES - 1)
+        at += self.base[:, :active]
+        now = self.next.take(at).astype(np.int64)
+        foretold, sure = now & (IDS - 1), now >> IDS_BITS
+        state = (sure[0] << SURE_BITS) + sure[1]
+        state += self.state[:active]
+        own = self.weights.take(state)
+        weights = np.empty_like(now)
+        np.right_shift(own, 16 + WEIGHT_BITS, out=weights[0])
+        np.bitwise_and(own >> WEIGHT_BITS, (1 << WEIGHT_BITS) - 1, out=weights[1])
+        rest = (1 << WEIGHT_BITS) - weights[0] - weights[1]
+        unit = np.maximum(self.range[:active] >> TOTAL_BITS, np.uint64(1))
+        found = self.seek(unit, weights, rest, foretold) if given is None else given
+        hit = foretold == found
+        # The mixture's chance of all ids below this one, and of this one.
+        weights <<= IDS_BITS
+        start, size = rest * shares.start.take(found), rest * shares.size.take(found)
+        below, within = weights * (foretold < found), weights * hit
+        start += below[0]
+        start += below[1]
+        size += within[0]
+        size += within[1]
+        self.low[:active] += unit * start.view(np.uint64)
+        self.range[:active] = np.maximum(unit * size.view(np.uint64), np.uint64(1))
+        self.settle(active)
+        own -= (own >> RATE) & LOSS
+        own += GAIN * np.where(hit[0], 1 << 16, hit[1])
+        self.weights[state] = own
+        sure += hit * (SURE + 1)
+        now += CHANGE.take(sure)
+        self.next[at] = np.where(STAYS.take(sure), now, found + (1 << IDS_BITS))
+        new = found * 0x9E3779B1
+        np.bitwise_xor(new, hashed[1] >> 7, out=hashed[0])
+        hashed[1] = new
+        return found
 
 
 class _Encoder(_Lanes):
-    def __init__(self, lengths: np.ndarray):
-        super().__init__(lengths)
+    def __init__(self, lengths: np.ndarray, shares: Shares):
+        super().__init__(lengths, shares)
         self.out = np.zeros((self.n, 64 + int(lengths.max(initial=0))), np.uint16)
         self.at = np.zeros(self.n, np.int64)
 
@@ -155,14 +190,6 @@ class _Encoder(_Lanes):
         self.out[lanes, at] = words
         self.at[lanes] = at + 1
 
-    def digit(self, active: int, upto: Callable[[np.ndarray], np.ndarray], total: np.ndarray, given: np.ndarray | None) -> np.ndarray:
-        start, end = upto(given), np.where(given < 15, upto(np.minimum(given + 1, 15)), total)
-        unit = self.range[:active] // total.view(np.uint64)
-        self.low[:active] += unit * start.view(np.uint64)
-        self.range[:active] = unit * (end - start).view(np.uint64)
-        self.settle(active)
-        return given
-
     def finish(self) -> list[bytes]:
         for _ in range(4):
             self.move(self.rows, self.low >> SHIFT)
@@ -171,8 +198,8 @@ class _Encoder(_Lanes):
 
 
 class _Decoder(_Lanes):
-    def __init__(self, lengths: np.ndarray, blocks: list[bytes]):
-        super().__init__(lengths)
+    def __init__(self, lengths: np.ndarray, shares: Shares, blocks: list[bytes]):
+        super().__init__(lengths, shares)
         words = [np.frombuffer(b[: len(b) // 2 * 2], "<u2") for b in blocks]
         self.words = np.zeros((self.n, 8 + max(map(len, words), default=0)), np.uint16)
         for i, w in enumerate(words):
@@ -187,19 +214,17 @@ class _Decoder(_Lanes):
         self.code[lanes] = self.code[lanes] << WORD | self.words[lanes, at]
         self.at[lanes] += 1
 
-    def digit(self, active: int, upto: Callable[[np.ndarray], np.ndarray], total: np.ndarray, given: np.ndarray | None) -> np.ndarray:
-        unit = np.maximum(self.range[:active] // total.view(np.uint64), np.uint64(1))
-        value = np.minimum((self.code[:active] - self.low[:active]) // unit, np.uint64(0xFFFF)).view(np.int64)
-        found, start, end = np.zeros(active, np.int64), np.zeros(active, np.int64), total
-        for half in (8, 4, 2, 1):  # the last digit that begins at or below the value, by halves
-            middle = upto(found + half)
-            higher = middle <= value
-            found = found + half * higher
-            start, end = np.where(higher, middle, start), np.where(higher, end, middle)
-        self.low[:active] += unit * start.view(np.uint64)
-        self.range[:active] = np.maximum(unit * (end - start).view(np.uint64), np.uint64(1))
-        self.settle(active)
-        return found
+    def seek(self, unit: np.ndarray, weights: np.ndarray, rest: np.ndarray, foretold: np.ndarray) -> np.ndarray:
+        active = len(unit)
+        value = np.minimum((self.code[:active] - self.low[:active]) // unit, np.uint64((1 << int(TOTAL_BITS)) - 1)).view(np.int64)
+        # What the predictions, the smaller id first, add within their ids is taken out; order 0's share is left.
+        swap = foretold[1] < foretold[0]
+        first = np.where(swap, weights[1], weights[0])
+        ends = rest * self.shares.end.take(foretold)
+        ends -= 1
+        for end, extra in ((np.minimum(*ends), first), (np.maximum(*ends), weights[0] + weights[1] - first)):
+            value = value - np.minimum(np.maximum(value - end, 0), extra << IDS_BITS)
+        return self.shares.at.take(value.view(np.uint64) // rest.view(np.uint64)).astype(np.int64)
 
 
 def _active(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -208,31 +233,33 @@ def _active(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         yield t, int(np.searchsorted(-lengths, -t, "left"))
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of each block of ids (0 to 65535)."""
+def encode_blocks(blocks: list[np.ndarray], shares: Shares | None = None) -> list[bytes]:
+    """The coded bytes of each block of ids (0 to 65535); without ``shares`` order 0 holds all ids alike."""
+    shares = shares or Shares.even()
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     for low in range(0, len(order), LANES):
         own = order[low : low + LANES]
         lengths = np.array([len(blocks[i]) for i in own])
-        ids = np.zeros((len(own), int(lengths.max())), np.int64)
+        ids = np.zeros((len(own), int(lengths.max())), np.uint16)
         for row, i in enumerate(own):
             ids[row, : lengths[row]] = blocks[i]
-        ids, coder = np.ascontiguousarray(ids.T), _Encoder(lengths)
+        ids, coder = np.ascontiguousarray(ids.T), _Encoder(lengths, shares)
         for t, active in _active(lengths):
-            coder.step(active, ids[t, :active])
+            coder.step(active, ids[t, :active].astype(np.int64))
         for i, data in zip(own, coder.finish(), strict=True):
             out[i] = data
     return out
 
 
-def decode_blocks(blocks: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+def decode_blocks(blocks: list[bytes], sizes: list[int], shares: Shares | None = None) -> list[np.ndarray]:
+    shares = shares or Shares.even()
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -sizes[i])
     for low in range(0, len(order), LANES):
         own = order[low : low + LANES]
         lengths = np.array([sizes[i] for i in own])
-        coder = _Decoder(lengths, [blocks[i] for i in own])
+        coder = _Decoder(lengths, shares, [blocks[i] for i in own])
         ids = np.zeros((int(lengths.max()), len(own)), np.uint16)
         for t, active in _active(lengths):
             ids[t, :active] = coder.step(active, None)
@@ -249,24 +276,26 @@ def _crc(ids: np.ndarray) -> int:
 def write_file(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     """One file of whole documents, in the order given."""
     ids = np.concatenate([x for _, x in docs]) if docs else np.zeros(0, np.uint16)
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    coded = encode_blocks(blocks)
+    size = min(BLOCK, max(LEAST_BLOCK, -(-len(ids) // LEAST_LANES)))
+    blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
+    shares = Shares.of(ids)
+    coded, table = encode_blocks(blocks, shares), shares.pack()
     directory = np.array([d or 0 for d, _ in docs], "<i8").tobytes() + np.array([d is not None for d, _ in docs], "u1").tobytes() + np.array([len(x) for _, x in docs], "<u4").tobytes()
-    directory += np.array([(len(b), len(c), _crc(b)) for b, c in zip(blocks, coded, strict=True)], "<u4").tobytes()
-    return HEAD.pack(MAGIC, len(docs), len(blocks), len(ids), zlib.crc32(directory)) + directory + b"".join(coded)
+    directory += np.array([(len(b), len(c), _crc(b)) for b, c in zip(blocks, coded, strict=True)], "<u4").tobytes() + table
+    return HEAD.pack(MAGIC, len(docs), len(blocks), len(table), len(ids), zlib.crc32(directory)) + directory + b"".join(coded)
 
 
 def read_file(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     """The documents of a file; ValueError names the first block or directory that fails its checksum."""
-    magic, n, n_blocks, n_ids, crc = HEAD.unpack_from(data)
-    end = HEAD.size + 13 * n + 12 * n_blocks
+    magic, n, n_blocks, n_table, n_ids, crc = HEAD.unpack_from(data)
+    end = HEAD.size + 13 * n + 12 * n_blocks + n_table
     directory = data[HEAD.size : end]
     if magic != MAGIC or zlib.crc32(directory) != crc:
         raise ValueError("not a token file, or its directory is damaged")
     doc_ids, named = np.frombuffer(directory, "<i8", n), np.frombuffer(directory, "u1", n, 8 * n)
     sizes, table = np.frombuffer(directory, "<u4", n, 9 * n), np.frombuffer(directory, "<u4", 3 * n_blocks, 13 * n).reshape(-1, 3)
     ends = end + np.cumsum(table[:, 1], dtype=np.int64)
-    blocks = decode_blocks([data[e - s : e] for e, s in zip(ends.tolist(), table[:, 1].tolist(), strict=True)], table[:, 0].tolist())
+    blocks = decode_blocks([data[e - s : e] for e, s in zip(ends.tolist(), table[:, 1].tolist(), strict=True)], table[:, 0].tolist(), Shares.unpack(directory[13 * n + 12 * n_blocks :]))
     for k, (block, want) in enumerate(zip(blocks, table[:, 2].tolist(), strict=True)):
         if _crc(block) != want:
             raise ValueError(f"block {k} fails its checksum")
@@ -284,32 +313,55 @@ class _Words:
 
     MOST = 400_000
     MARKS = ".,;:!?"
+    #: Letters below this have no decomposed form, so a word of them is one piece of the pattern, which ends with an end-of-word token.
+    PLAIN = "\u0100"
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.between = self.special[-1]
         self.mark = self.tokenizer.token_to_id(self.between)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(IDS, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+        self.lower = all((self.tokenizer.normalizer.normalize_str(x) if self.tokenizer.normalizer else x) == x.lower() for x in map(chr, range(256)) if x.isalpha())
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(found.ids, "<u2") for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Words not known yet: those used before the last clearance are taken over, the others encoded in one call, told
         apart by a special token between them."""
         known, older = self.known, self.older
         new: dict[str, tuple[str, str]] = {}
         parts: set[str] = set()
+        letters: set[str] = set()
         for word in words:
             if (ids := older.get(word)) is not None:
                 known[word] = ids
                 continue
             bare = word.rstrip(self.MARKS)
-            cut = (bare, word[len(bare) :]) if bare.isalpha() and bare.isascii() else (word, "")
+            if bare.isalpha() and max(bare) < self.PLAIN:
+                cut = (bare.lower(), word[len(bare) :]) if self.lower else (bare, word[len(bare) :])
+                if cut[0] not in known:
+                    letters.add(cut[0])
+            else:
+                cut = (word, "")
             new[word] = cut
             parts.update(part for part in cut if part and part not in known)
+        parts -= letters
+        if letters:
+            order = list(letters)
+            ids = self._library([" ".join(order)])[0]
+            ends = (np.flatnonzero(self.ends.take(ids)) + 1).tolist()
+            if len(ends) == len(order) and ends[-1] == len(ids):
+                raw = ids.tobytes()
+                for part, a, b in zip(order, [0, *ends[:-1]], ends, strict=True):
+                    known[part] = raw[2 * a : 2 * b]
+            else:  # another vocabulary, whose words have no mark of their own at the end
+                parts |= letters
         if parts:
             order = list(parts)
             ids = self._library([self.between.join(order)])[0]
@@ -321,14 +373,24 @@ class _Words:
 
     def encode_all(self, texts: list[str], end: int) -> list[np.ndarray]:
         odd = {i: x for i, x in enumerate(texts) if any(t in x for t in self.special)}
-        parts = [[] if i in odd else text.replace("\n", " ").split(" ") for i, text in enumerate(texts)]
+        plain = pa.array(["" if i in odd else x for i, x in enumerate(texts)] if odd else texts, pa.string())
+        parts = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        coded = parts.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.known) > self.MOST:
             self.older, self.known = self.known, {"": b""}
         known = self.known
-        if missing := {w for words in parts for w in words if w not in known}:
+        if missing := [w for w in words if w not in known]:
             self._learn(missing)
-        last = struct.pack("<H", end)
-        out = [np.frombuffer(b"".join([known[w] for w in words]) + last, "<u2") for words in parts]
+        raw = [known[w] for w in words] + [struct.pack("<H", end)]
+        flat, sizes = np.frombuffer(b"".join(raw), "<u2"), np.fromiter(map(len, raw), np.int64, len(raw)) >> 1
+        closes = parts.offsets.to_numpy()[1:].astype(np.int64)
+        index = np.insert(coded.indices.to_numpy(), closes, len(words))
+        count = sizes.take(index)
+        ends = np.cumsum(count)
+        ids = flat.take(np.repeat((np.cumsum(sizes) - sizes).take(index) - ends + count, count) + np.arange(ends[-1]) if len(ends) else index)
+        cuts = [0, *ends.take(closes + np.arange(len(closes))).tolist()]
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         for i, ids in zip(odd, self._library(list(odd.values())) if odd else [], strict=True):
             out[i] = np.append(ids, np.uint16(end)).astype("<u2")
         return out
@@ -341,8 +403,9 @@ def _words(path: str) -> _Words:
     return worker_cache(("words", path), lambda: _Words(path))
 
 
-#: Bytes of text of a bucket, about: what one file's lanes hold. A task makes one bucket.
-BUCKET_BYTES = 12 << 20
+#: Bytes of text of a bucket, about: what one file's lanes hold. A task makes one bucket. Small tables are cut into buckets
+#: of the least size, as long as there are cores without one.
+BUCKET_BYTES, LEAST_BYTES = 40 << 20, 4 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, end: int = 2, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -359,7 +422,8 @@ def write_tokens(docs: DataFrame, path: str, end: int = 2, bucket_bytes: int = B
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     rows = docs.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     order = ["doc_id", "h", "row"]
-    dealt = rows.repartitionByRange(max(1, -(-size // bucket_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    buckets = max(1, -(-size // bucket_bytes), min(spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+    dealt = rows.repartitionByRange(buckets, *order).sortWithinPartitions(*order).select("doc_id", "text")
     schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def pack(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,6 +179,18 @@ def test_damage_is_noticed():
             rangecoder.read_file(bytes(bad))
 
 
+def test_mixture_is_below_the_entropy_of_single_ids():
+    r = np.random.default_rng(5)
+    words = [r.integers(3, 3000, n).astype(np.uint16) for n in r.integers(1, 4, 4000)]
+    docs = [(i, np.concatenate([words[min(k, 4000) - 1] for k in r.zipf(1.2, 400)])) for i in range(500)]
+    ids = np.concatenate([x for _, x in docs])
+    data = rangecoder.write_file(docs)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert len(data) < 0.95 * -(share * np.log2(share)).sum() / 8 * len(ids)  # directory and order 0's table included
+    assert rangecoder.HEAD.unpack_from(data)[2] > 100  # a small file has many blocks still, which are coded together
+    assert all((a == b).all() for (_, a), (_, b) in zip(docs, rangecoder.read_file(data), strict=True))
+
+
 def test_token_files(docs, no_docs, wide_docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)  # as the library makes it
