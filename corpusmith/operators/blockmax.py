@@ -58,6 +58,21 @@ def _packed(values: np.ndarray) -> bytes:
     return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
 
 
+def _packed_all(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """``_packed`` of every stretch of the values, which begin at ``begin``."""
+    n = np.diff(np.r_[begin, len(values)])
+    top = np.maximum.reduceat(values, begin)
+    width = np.where(top < 1 << 8, 1, np.where(top < 1 << 16, 2, 4))
+    ends = np.cumsum(n * width)
+    wide = np.repeat(width, n)
+    at = np.cumsum(wide) - wide
+    data = np.zeros(int(ends[-1]), np.uint8)
+    for k in range(int(width.max())):
+        own = slice(None) if k == 0 else np.flatnonzero(wide > k)
+        data[at[own] + k] = values[own] >> 8 * k & 255
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data)])
+
+
 def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.int64)
 
@@ -76,18 +91,32 @@ def part_blocks(part: int, terms: list[str], code: np.ndarray, ords: np.ndarray,
             bits[i] |= facet_bit(game)
     rows = [(LENGTHS, 0, len(lengths), 0, max(0, len(lengths) - 1), b"", _packed(lengths), b"", b"", 0)]
     rows += [(FACET + game, 0, len(at), at[0], at[-1], _packed(np.array(at) - at[0]), b"", b"", b"", facet_bit(game)) for game, at in sorted(of.items())]
-    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(code)] if len(code) else starts
-    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-        name = terms[code[start]]
-        for block, at in enumerate(range(start, end, BLOCK)):
-            cut = slice(at, min(end, at + BLOCK))
-            o, t = ords[cut], tfs[cut]
-            run = o // RUN - o[0] // RUN
-            begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-            rows.append((name, block, len(o), int(o[0]), int(o[-1]), _packed(o - o[0]), _packed(t), _packed(run[begin]), _packed(np.maximum.reduceat(t, begin)), int(np.bitwise_or.reduce(bits[o]))))
     columns = list(zip(*rows, strict=True))
-    return pa.Table.from_arrays([pa.array([part] * len(rows), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, _BLOCKS.types[1:], strict=True))], schema=_BLOCKS)
+    marks = pa.Table.from_arrays([pa.array([part] * len(rows), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, _BLOCKS.types[1:], strict=True))], schema=_BLOCKS)
+    if not len(code):
+        return marks
+    # All blocks at once: most terms have one posting, and a loop over terms would be most of the work.
+    start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    inside = np.arange(len(code)) - np.repeat(start, np.diff(np.r_[start, len(code)]))
+    begin = np.flatnonzero(inside % BLOCK == 0)
+    n = np.diff(np.r_[begin, len(code)])
+    first, last = ords[begin], ords[begin + n - 1]
+    run = ords // RUN - np.repeat(first // RUN, n)
+    fresh = np.r_[True, run[1:] != run[:-1]]
+    fresh[begin] = True
+    at = np.flatnonzero(fresh)
+    runs_begin = np.searchsorted(at, begin)
+    columns = [
+        pa.array(np.full(len(begin), part, np.int32)),
+        pa.array(terms, pa.string()).take(pa.array(code[begin])),
+        *(pa.array(x.astype(np.int32)) for x in (inside[begin] // BLOCK, n, first, last)),
+        _packed_all(ords - np.repeat(first, n), begin),
+        _packed_all(tfs, begin),
+        _packed_all(run[at], runs_begin),
+        _packed_all(np.maximum.reduceat(tfs, at), runs_begin),
+        pa.array(np.bitwise_or.reduceat(bits[ords], begin)),
+    ]
+    return pa.concat_tables([marks, pa.Table.from_arrays(columns, schema=_BLOCKS)]).combine_chunks()
 
 
 def encode(table: pa.Table) -> pa.Table:

@@ -34,6 +34,8 @@ from .files import hadoop
 FANOUT, ATTEMPTS = 4, 8
 #: Ranges of terms (by hash) in which a segment's postings lie; a search reads the asked ones.
 RANGES = 64
+#: Parts of a segment whose blocks of a range of terms lie in one file.
+GROUP = 32
 #: Blocks that are taken apart at once when segments merge; of 128 postings at most, so a message has 65,536 rows.
 OPENED = 512
 
@@ -158,12 +160,15 @@ class SegmentedIndex:
         name = f"s{uuid.uuid4().hex[:12]}"
         rows = materialise(blockmax.numbered(rows, parts), "segment")
         rows.select("part", "ord", "chunk_id", "dl", "games").write.parquet(f"{self.path}/chunks/segment={name}")
-        self._write_blocks(name, blockmax.build_blocks(rows))
+        self._write_blocks(name, blockmax.build_blocks(rows), parts)
         n, tokens = rows.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return Segment(name, n, tokens, parts)
 
-    def _write_blocks(self, name: str, blocks: DataFrame) -> None:
-        ranged = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(RANGES)).cast("int")).repartitionByRange("bucket", "term", "part").sortWithinPartitions("bucket", "term", "part", "block")
+    def _write_blocks(self, name: str, blocks: DataFrame, parts: int) -> None:
+        # Dealt by hash: dealing by ranges would sample the blocks first, which makes all of them twice.
+        groups = -(-parts // GROUP)
+        ranged = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(RANGES)).cast("int"))
+        ranged = ranged.repartition(RANGES * groups, "bucket", F.pmod("part", F.lit(groups))).sortWithinPartitions("bucket", "term", "part", "block")
         ranged.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/blocks/segment={name}")
         stored = self._blocks([name]).filter(~F.col("term").startswith(blockmax.MARK))
         stored.groupBy("term").agg(F.sum("n").cast("long").alias("df")).write.parquet(f"{self.path}/terms/segment={name}")

@@ -149,3 +149,33 @@ def test_merge_opens_blocks_many_at_once(spark, tmp_path, monkeypatch):
     assert whole == {i: sorted(text.split()) for i, text, _ in texts}
     monkeypatch.setattr(segments, "OPENED", 2)
     assert read() == whole
+
+
+def test_blocks_are_made_once_and_pack_as_one_by_one(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    key = np.unique(np.minimum(rng.zipf(1.3, 40_000), 9000) * 200_000 + rng.integers(0, 200_000, 40_000))
+    code, ords = key // 200_000 - 1, key % 200_000
+    tfs = np.minimum(rng.zipf(1.3, len(key)), 100_000)
+    table = blockmax.part_blocks(0, [f"t{i}" for i in range(9000)], code, ords, tfs, rng.integers(1, 70_000, 200_000), [["a"] if i % 5 == 0 else None for i in range(200_000)])
+    rows = [r for r in table.to_pylist() if not r["term"].startswith(blockmax.MARK)]
+    at = 0
+    for r in rows:
+        own = slice(at, at + r["n"])
+        o, t, at = ords[own], tfs[own], at + r["n"]
+        runs = np.unique(o // blockmax.RUN)
+        assert (r["term"], r["first"], r["last"]) == (f"t{code[own][0]}", o[0], o[-1]) and len(set(code[own])) == 1
+        assert (r["ords"], r["tfs"], r["runs"]) == (blockmax._packed(o - o[0]), blockmax._packed(t), blockmax._packed(runs - o[0] // blockmax.RUN))
+        assert r["tops"] == blockmax._packed(np.array([t[o // blockmax.RUN == x].max() for x in runs])) and bool(r["facets"]) == bool((o % 5 == 0).any())
+    assert at == len(key)
+
+    made = spark.sparkContext.accumulator(0)
+
+    def again(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    index = SegmentedIndex(spark, str(tmp_path / "once"), "long")
+    blocks = spark.createDataFrame(table.slice(0, 500).to_pandas(), blockmax.BLOCKS_DDL).mapInPandas(again, blockmax.BLOCKS_DDL)
+    index._write_blocks("s1", blocks, 100)
+    assert made.value == 500 and index._blocks(["s1"]).count() == 500
