@@ -10,16 +10,17 @@ of two: an id is coded in one step.
 The coder works on many blocks at once: step t codes id t of every block, with one numpy operation for all of them,
 so the interpreter's cost is shared. Streams are independent of which blocks were coded together.
 
-File layout (little-endian): magic "CMR3", documents u32, blocks u32, bytes of order 0 u32, ids u64, CRC-32 of the
+File layout (little-endian): magic "CMR4", documents u32, blocks u32, bytes of order 0 u32, ids u64, CRC-32 of the
 directory u32; the directory: doc_id i64 and has-id u8 and ids u32 for each document, ids u32 and bytes u32 and CRC-32 u32
 for each block, order 0 (deflated: ids u16, then their shares less one u16); then the blocks' bytes.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,34 +29,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from .common import bound_batches, column, materialise, release_worker_cache, without_gc, worker_cache
+from .common import bound_batches, materialise, release_worker_cache, without_gc, worker_cache
 
 BLOCK, LANES = 16_384, 1024
 #: Small files have shorter blocks, down to the least, so that a step still codes this many.
 LEAST_BLOCK, LEAST_LANES = 2048, 512
 #: Ids of a file; documents are never split between files.
 FILE_IDS = BLOCK * LANES
-MAGIC, HEAD = b"CMR3", struct.Struct("<4sIIIQI")
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-WORD, SHIFT = np.uint64(16), np.uint64(48)
+MAGIC, HEAD = b"CMR4", struct.Struct("<4sIIIQI")
+#: A range below the bottom gives a digit out; what lies under that digit is kept.
+BOTTOM, KEPT, DIGIT = np.uint64(1 << 32), np.uint64(32), np.uint64(24)
+ONE = np.uint64(1)
 #: Ids are below this, and order 0's shares add up to it.
 IDS_BITS = 16
 IDS = 1 << IDS_BITS
 #: Weights are in 1/256, so an id's chances are in 1/2^24.
 WEIGHT_BITS = 8
 TOTAL_BITS = np.uint64(IDS_BITS + WEIGHT_BITS)
+MOST = np.uint64((1 << IDS_BITS + WEIGHT_BITS) - 1)
+#: Spreads an id over the bits that places are taken from.
+SPREAD = 0x9E3779B1
+#: Steps that are prepared at once when coding.
+SPAN = 32
+#: Steps whose ids are turned from blocks to steps, or back, at once.
+HELD = 512
 #: Places of a block's tables of orders 2 and 1, and confidences of a prediction (0: none yet).
 PLACES = np.array([[1 << 14], [1 << 12]])
 SURE_BITS = 3
 SURE = (1 << SURE_BITS) - 1
 #: What a hit (second half) or a miss does to a prediction that stays: a hit makes it surer, a miss a sure one less so. Others give way at a miss.
-CHANGE = np.array([-2] * (SURE + 1) + [1] * SURE + [0]) << 16
+CHANGE = (np.array([-2] * (SURE + 1) + [1] * SURE + [0]) << IDS_BITS).astype(np.uint32)
 STAYS = np.array([False] * 3 + [True] * (2 * SURE - 1))
+FRESH = np.uint32(1 << IDS_BITS)
 #: A weight, in 1/65536, loses 1/32 of itself at each step, and gains this with a hit: order 0's never falls under 1/256.
 RATE, GAIN = 5, 2040
 #: Both weights lie in one number, order 2's above order 1's; this keeps what one loses out of the other.
 LOSS = ((1 << 16 - RATE) - 1) * ((1 << 16) + 1)
+#: What they gain, by whether order 2 (2) and order 1 (1) foretold the id: one of them, order 2 first.
+GAINS = np.array([0, GAIN, GAIN << 16, GAIN << 16])
 
 
 def _first_weights(most: int) -> np.ndarray:
@@ -77,7 +90,7 @@ class Shares:
         self.size[ids] = size
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
-        self.at = np.repeat(np.arange(IDS, dtype=np.uint16), self.size)
+        self.at = np.repeat(np.arange(IDS, dtype=np.uint32), self.size)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Shares:
@@ -103,134 +116,201 @@ class Shares:
 
 
 class _Lanes:
-    """Models and coder of several blocks; ``lengths`` are their numbers of ids, longest first."""
+    """Models and coder of ``n`` blocks. A range holds 32 to 56 bits, and every digit of a stream has 24."""
 
-    def __init__(self, lengths: np.ndarray, shares: Shares):
-        n = len(lengths)
-        self.n, self.lengths, self.rows, self.shares = n, lengths, np.arange(n), shares
-        self.low = np.zeros(n, np.uint64)
-        self.range = np.full(n, 0xFFFF_FFFF_FFFF_FFFF, np.uint64)
+    def __init__(self, n: int, shares: Shares):
+        self.n, self.shares = n, shares
+        self.range = np.full(n, 1 << 56, np.uint64)
         self.weights = np.tile(FIRST, n)
         # What follows a context, and above it how sure that is: a lane's places of order 2, then those of order 1.
         self.next = np.zeros(n * int(PLACES.sum()), np.uint32)
-        self.base = self.rows * int(PLACES.sum()) + [[0], [int(PLACES[0, 0])]]
-        self.hash = np.zeros((2, n), np.int64)  # of both ids before, and of the last
-        self.state = self.rows << 2 * SURE_BITS
-
-    def settle(self, active: int) -> None:
-        """Move out the leading words of the lanes whose range has become small."""
-        at = np.flatnonzero(self.range[:active] < BOTTOM)
-        while len(at):
-            low, span = self.low.take(at), self.range.take(at)
-            stuck = (low ^ (low + span)) >= TOP
-            if stuck.any():
-                span = np.where(stuck, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), span)
-            self.move(at, low >> SHIFT)
-            span = span << WORD
-            self.low[at], self.range[at] = low << WORD, span
-            at = at[span < BOTTOM]
-
-    def move(self, lanes: np.ndarray, words: np.ndarray) -> None:
-        raise NotImplementedError
-
-    def seek(self, unit: np.ndarray, weights: np.ndarray, rest: np.ndarray, foretold: np.ndarray) -> np.ndarray:
-        """The id that each lane's code stands for under these predictions and weights of orders 2 and 1, and order 0's."""
-        raise NotImplementedError
-
-    def step(self, active: int, given: np.ndarray | None) -> np.ndarray:
-        """Code the next id of the first ``active`` lanes, or decode it where none are given."""
-        shares, hashed = self.shares, self.hash[:, :active]
-        at = (hashed >> 11) & (PLACES - 1)
-        at += self.base[:, :active]
-        now = self.next.take(at).astype(np.int64)
-        foretold, sure = now & (IDS - 1), now >> IDS_BITS
-        state = (sure[0] << SURE_BITS) + sure[1]
-        state += self.state[:active]
-        own = self.weights.take(state)
-        weights = np.empty_like(now)
-        np.right_shift(own, 16 + WEIGHT_BITS, out=weights[0])
-        np.bitwise_and(own >> WEIGHT_BITS, (1 << WEIGHT_BITS) - 1, out=weights[1])
-        rest = (1 << WEIGHT_BITS) - weights[0] - weights[1]
-        unit = np.maximum(self.range[:active] >> TOTAL_BITS, np.uint64(1))
-        found = self.seek(unit, weights, rest, foretold) if given is None else given
-        hit = foretold == found
-        # The mixture's chance of all ids below this one, and of this one.
-        weights <<= IDS_BITS
-        start, size = rest * shares.start.take(found), rest * shares.size.take(found)
-        below, within = weights * (foretold < found), weights * hit
-        start += below[0]
-        start += below[1]
-        size += within[0]
-        size += within[1]
-        self.low[:active] += unit * start.view(np.uint64)
-        self.range[:active] = np.maximum(unit * size.view(np.uint64), np.uint64(1))
-        self.settle(active)
-        own -= (own >> RATE) & LOSS
-        own += GAIN * np.where(hit[0], 1 << 16, hit[1])
-        self.weights[state] = own
-        sure += hit * (SURE + 1)
+        self.base = np.arange(n) * int(PLACES.sum()) + [[0], [int(PLACES[0, 0])]]
+        self.last = np.zeros((2, n), np.int64)  # the last two ids, spread over 48 bits
+        self.state = np.arange(n, dtype=np.uint32) << 2 * SURE_BITS
+
+    def places(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where the tables of orders 2 and 1 hold what follows these ids."""
+        at = np.empty((*last.shape[:-1], 2, last.shape[-1]), np.int64)
+        np.bitwise_xor(last, before >> 7, out=at[..., 0, :])
+        at[..., 1, :] = last
+        at >>= 11
+        at &= PLACES - 1
+        at += self.base[:, : last.shape[-1]]
+        return at
+
+    def predict(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the tables hold there, how sure that is, and the places and values of the weights in use."""
+        now = self.next.take(at)
+        sure = now >> IDS_BITS
+        state = sure[0] << SURE_BITS
+        state += sure[1]
+        state += self.state[: len(state)]
+        return now, sure, state, self.weights.take(state)
+
+    def learn(self, at: np.ndarray, now: np.ndarray, sure: np.ndarray, state: np.ndarray, own: np.ndarray, found: np.ndarray, hit: np.ndarray) -> None:
+        """Take in the id that came (``found``, and whether it is the one foretold); ``now`` and ``sure`` are used up."""
+        hits = hit.view(np.uint8)
+        gain = GAINS.take((hits[0] << 1) | hits[1])
+        gain -= (own >> RATE) & LOSS
+        gain += own
+        self.weights[state] = gain
+        sure += hits << SURE_BITS
         now += CHANGE.take(sure)
-        self.next[at] = np.where(STAYS.take(sure), now, found + (1 << IDS_BITS))
-        new = found * 0x9E3779B1
-        np.bitwise_xor(new, hashed[1] >> 7, out=hashed[0])
-        hashed[1] = new
-        return found
+        self.next[at] = np.where(STAYS.take(sure), now, found + FRESH)
+
+
+def _mix(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of orders 2 and 1, in 1/2^24, and order 0's, in 1/256."""
+    weights = np.empty((2, *own.shape), np.int64)
+    np.right_shift(own, 16 + WEIGHT_BITS, out=weights[0])
+    np.right_shift(own, WEIGHT_BITS, out=weights[1])
+    weights[1] &= (1 << WEIGHT_BITS) - 1
+    rest = (1 << WEIGHT_BITS) - weights[0]
+    rest -= weights[1]
+    weights <<= IDS_BITS
+    return weights, rest
+
+
+def _chances(shares: Shares, found: np.ndarray, foretold: np.ndarray, weights: np.ndarray, rest: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mixture's chance of all ids below the one found, and of that one."""
+    found_at = found.astype(np.intp)
+    start, size = shares.start.take(found_at), shares.size.take(found_at)
+    start *= rest
+    size *= rest
+    below, within = weights * (foretold < found), weights * hit
+    start += below[0]
+    start += below[1]
+    size += within[0]
+    size += within[1]
+    return start.view(np.uint64), size.view(np.uint64)
 
 
 class _Encoder(_Lanes):
+    """A digit may hold a carry into the one before it, which is settled at the end."""
+
     def __init__(self, lengths: np.ndarray, shares: Shares):
-        super().__init__(lengths, shares)
-        self.out = np.zeros((self.n, 64 + int(lengths.max(initial=0))), np.uint16)
+        super().__init__(len(lengths), shares)
+        self.lengths = lengths
+        self.low = np.zeros(self.n, np.uint64)
+        self.out = np.zeros((self.n, SPAN + 64 + int(lengths.max(initial=0)) // 3), np.uint32)
         self.at = np.zeros(self.n, np.int64)
 
-    def move(self, lanes: np.ndarray, words: np.ndarray) -> None:
-        at = self.at[lanes]
-        if at.max() + 8 >= self.out.shape[1]:
+    def code(self, ids: np.ndarray) -> None:
+        """Code the next ids of the first lanes, a row a step. What does not lead from step to step is done for all rows at once."""
+        steps, active = ids.shape
+        found = ids.astype(np.uint32)
+        last = np.concatenate((self.last[:, :active], found * np.int64(SPREAD)))
+        places = self.places(last[:-2], last[1:-1])
+        self.last[:, :active] = last[-2:]
+        foretold, owns = np.empty((2, steps, active), np.uint32), np.empty((steps, active), np.int64)
+        hits = np.empty((2, steps, active), bool)
+        for t in range(steps):
+            at = places[t]
+            now, sure, state, own = self.predict(at)
+            owns[t] = own
+            seen = np.bitwise_and(now, IDS - 1, out=foretold[:, t])
+            self.learn(at, now, sure, state, own, found[t], np.equal(seen, found[t], out=hits[:, t]))
+        weights, rest = _mix(owns)
+        start, size = _chances(self.shares, found, foretold, weights, rest, hits)
+        low, span = self.low[:active], self.range[:active]
+        digits, due = np.empty((steps, active), np.uint64), np.empty((steps, active), bool)
+        for t in range(steps):
+            span >>= TOTAL_BITS
+            low += span * start[t]
+            span *= size[t]
+            small = np.less(span, BOTTOM, out=due[t])
+            shift = small * DIGIT
+            np.right_shift(low, KEPT, out=digits[t])
+            low -= (digits[t] << KEPT) * small
+            low <<= shift
+            span <<= shift
+        self.put(digits, due)
+
+    def put(self, digits: np.ndarray, due: np.ndarray) -> None:
+        """Write those digits that are due to the ends of their lanes."""
+        active = due.shape[1]
+        ends = self.at[:active] + np.cumsum(due, axis=0)
+        if int(ends[-1].max()) + SPAN >= self.out.shape[1]:
             self.out = np.concatenate((self.out, np.zeros_like(self.out)), axis=1)
-        self.out[lanes, at] = words
-        self.at[lanes] = at + 1
+        step, lane = np.nonzero(due)
+        self.out[lane, ends[step, lane] - 1] = digits[step, lane]
+        self.at[:active] = ends[-1]
 
     def finish(self) -> list[bytes]:
-        for _ in range(4):
-            self.move(self.rows, self.low >> SHIFT)
-            self.low <<= WORD
-        return [self.out[i, : self.at[i]].astype("<u2").tobytes() for i in range(self.n)]
+        # One digit more tells a number within what is left of the range, as that has 32 bits; zeros follow it.
+        self.put((self.low + (BOTTOM - ONE) >> KEPT)[None, :], np.ones((1, self.n), bool))
+        found = []
+        for row, size in zip(self.out, self.at.tolist(), strict=True):
+            digits = row[:size]
+            while (carry := digits[1:] >> np.uint32(24)).any():
+                digits &= 0xFF_FFFF
+                digits[:-1] += carry
+            found.append(digits.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes())
+        return found
 
 
 class _Decoder(_Lanes):
-    def __init__(self, lengths: np.ndarray, shares: Shares, blocks: list[bytes]):
-        super().__init__(lengths, shares)
-        words = [np.frombuffer(b[: len(b) // 2 * 2], "<u2") for b in blocks]
-        self.words = np.zeros((self.n, 8 + max(map(len, words), default=0)), np.uint16)
-        for i, w in enumerate(words):
-            self.words[i, : len(w)] = w
-        self.at = np.full(self.n, 4, np.int64)
+    def __init__(self, blocks: list[bytes], shares: Shares):
+        super().__init__(len(blocks), shares)
+        # Four bytes and a digit come first, then a digit at a time; zeros follow the end.
+        self.width = 3 + -(-max(map(len, blocks), default=0) // 3)
+        self.digits = np.zeros((self.n, self.width), np.uint32)
         self.code = np.zeros(self.n, np.uint64)
-        for k in range(4):
-            self.code = self.code << WORD | self.words[:, k]
-
-    def move(self, lanes: np.ndarray, words: np.ndarray) -> None:
-        at = np.minimum(self.at[lanes], self.words.shape[1] - 1)  # past the end only in a damaged block
-        self.code[lanes] = self.code[lanes] << WORD | self.words[lanes, at]
-        self.at[lanes] += 1
-
-    def seek(self, unit: np.ndarray, weights: np.ndarray, rest: np.ndarray, foretold: np.ndarray) -> np.ndarray:
-        active = len(unit)
-        value = np.minimum((self.code[:active] - self.low[:active]) // unit, np.uint64((1 << int(TOTAL_BITS)) - 1)).view(np.int64)
-        # What the predictions, the smaller id first, add within their ids is taken out; order 0's share is left.
-        swap = foretold[1] < foretold[0]
-        first = np.where(swap, weights[1], weights[0])
-        ends = rest * self.shares.end.take(foretold)
-        ends -= 1
-        for end, extra in ((np.minimum(*ends), first), (np.maximum(*ends), weights[0] + weights[1] - first)):
-            value = value - np.minimum(np.maximum(value - end, 0), extra << IDS_BITS)
-        return self.shares.at.take(value.view(np.uint64) // rest.view(np.uint64)).astype(np.int64)
+        for i, block in enumerate(blocks):
+            block = block.ljust(7, b"\0") + bytes((1 - max(len(block), 7)) % 3)
+            raw = np.frombuffer(block, np.uint8, offset=4).reshape(-1, 3).astype(np.uint32)
+            self.digits[i, : len(raw)] = raw[:, 0] << np.uint32(16) | raw[:, 1] << np.uint32(8) | raw[:, 2]
+            self.code[i] = int.from_bytes(block[:4], "big") << 24 | int(self.digits[i, 0])
+        self.at = np.arange(self.n) * self.width + 1
+
+    def step(self, active: int) -> np.ndarray:
+        """The next id of the first ``active`` lanes."""
+        shares, last = self.shares, self.last[:, :active]
+        at = self.places(last[0], last[1])
+        now, sure, state, own = self.predict(at)
+        foretold = now & np.uint32(IDS - 1)
+        weights, rest = _mix(own)
+        code, span = self.code[:active], self.range[:active]
+        span >>= TOTAL_BITS
+        # What the predictions add above their ids' own shares is taken out; order 0's share is left.
+        value = np.minimum(code // span, MOST).view(np.int64)
+        end = shares.end.take(foretold)
+        end *= rest
+        above = np.empty((2, active), bool)
+        np.less_equal(foretold[1], foretold[0], out=above[0])
+        np.logical_not(above[0], out=above[1])
+        end += weights[::-1] * above
+        extra = value + 1 - end
+        np.maximum(extra, 0, out=extra)
+        np.minimum(extra, weights, out=extra)
+        value -= extra[0]
+        value -= extra[1]
+        found = shares.at.take(value // rest)
+        hit = foretold == found
+        start, size = _chances(shares, found, foretold, weights, rest, hit)
+        code -= span * start
+        span *= size
+        self.learn(at, now, sure, state, own, found, hit)
+        small = span < BOTTOM
+        shift = small * DIGIT
+        code <<= shift
+        code |= self.digits.take(self.at[:active], mode="clip") * small
+        span <<= shift
+        self.at[:active] += small
+        last[0] = last[1]
+        np.multiply(found, SPREAD, out=last[1])
+        return found
 
 
-def _active(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(step, lanes still at work): lengths descend, so these are the first lanes."""
-    for t in range(int(lengths[0]) if len(lengths) else 0):
-        yield t, int(np.searchsorted(-lengths, -t, "left"))
+def _active(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """(first step, step after the last, lanes still at work) of at most so many steps: lengths descend, so these are the
+    first lanes."""
+    at = 0
+    for end in np.unique(lengths).tolist():
+        active = int(np.searchsorted(-lengths, -end, "right"))
+        for low in range(at, end, most):
+            yield low, min(low + most, end), active
+        at = end
 
 
 def encode_blocks(blocks: list[np.ndarray], shares: Shares | None = None) -> list[bytes]:
@@ -240,33 +320,36 @@ def encode_blocks(blocks: list[np.ndarray], shares: Shares | None = None) -> lis
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     for low in range(0, len(order), LANES):
         own = order[low : low + LANES]
-        lengths = np.array([len(blocks[i]) for i in own])
-        ids = np.zeros((len(own), int(lengths.max())), np.uint16)
-        for row, i in enumerate(own):
-            ids[row, : lengths[row]] = blocks[i]
-        ids, coder = np.ascontiguousarray(ids.T), _Encoder(lengths, shares)
-        for t, active in _active(lengths):
-            coder.step(active, ids[t, :active].astype(np.int64))
+        coder = _Encoder(np.array([len(blocks[i]) for i in own]), shares)
+        for first, end, active in _active(coder.lengths, HELD):
+            ids = np.stack([blocks[i][first:end] for i in own[:active]]).T
+            for t in range(0, end - first, SPAN):
+                coder.code(ids[t : t + SPAN])
         for i, data in zip(own, coder.finish(), strict=True):
             out[i] = data
     return out
 
 
-def decode_blocks(blocks: list[bytes], sizes: list[int], shares: Shares | None = None) -> list[np.ndarray]:
-    shares = shares or Shares.even()
-    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
+def _decode(blocks: list[bytes], sizes: list[int], shares: Shares) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The ids of all blocks, one block after the other, and each block's own among them."""
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    whole = np.zeros(ends[-1] if ends else 0, np.uint16)
+    out = [whole[e - n : e] for e, n in zip(ends, sizes, strict=True)]
     order = sorted(range(len(blocks)), key=lambda i: -sizes[i])
     for low in range(0, len(order), LANES):
         own = order[low : low + LANES]
-        lengths = np.array([sizes[i] for i in own])
-        coder = _Decoder(lengths, shares, [blocks[i] for i in own])
-        ids = np.zeros((int(lengths.max()), len(own)), np.uint16)
-        for t, active in _active(lengths):
-            ids[t, :active] = coder.step(active, None)
-        ids = np.ascontiguousarray(ids.T)
-        for row, i in enumerate(own):
-            out[i] = ids[row, : lengths[row]]
-    return out
+        coder = _Decoder([blocks[i] for i in own], shares)
+        for first, end, active in _active(np.array([sizes[i] for i in own]), HELD):
+            ids = np.empty((end - first, active), np.uint16)
+            for row in ids:
+                row[:] = coder.step(active)
+            for i, found in zip(own, ids.T, strict=False):
+                out[i][first:end] = found
+    return whole, out
+
+
+def decode_blocks(blocks: list[bytes], sizes: list[int], shares: Shares | None = None) -> list[np.ndarray]:
+    return _decode(blocks, sizes, shares or Shares.even())[1]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -295,23 +378,161 @@ def read_file(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     doc_ids, named = np.frombuffer(directory, "<i8", n), np.frombuffer(directory, "u1", n, 8 * n)
     sizes, table = np.frombuffer(directory, "<u4", n, 9 * n), np.frombuffer(directory, "<u4", 3 * n_blocks, 13 * n).reshape(-1, 3)
     ends = end + np.cumsum(table[:, 1], dtype=np.int64)
-    blocks = decode_blocks([data[e - s : e] for e, s in zip(ends.tolist(), table[:, 1].tolist(), strict=True)], table[:, 0].tolist(), Shares.unpack(directory[13 * n + 12 * n_blocks :]))
+    ids, blocks = _decode([data[e - s : e] for e, s in zip(ends.tolist(), table[:, 1].tolist(), strict=True)], table[:, 0].tolist(), Shares.unpack(directory[13 * n + 12 * n_blocks :]))
     for k, (block, want) in enumerate(zip(blocks, table[:, 2].tolist(), strict=True)):
         if _crc(block) != want:
             raise ValueError(f"block {k} fails its checksum")
-    ids = np.concatenate(blocks) if blocks else np.zeros(0, np.uint16)
     if len(ids) != n_ids:
         raise ValueError("ids are missing")
     cuts = np.cumsum(sizes, dtype=np.int64)
     return [(d if ok else None, ids[e - s : e]) for d, ok, s, e in zip(doc_ids.tolist(), named.tolist(), sizes.tolist(), cuts.tolist(), strict=True)]
 
 
+def _spread(known: list[bytes], index: np.ndarray, closes: np.ndarray, end: int) -> list[np.ndarray]:
+    """The ids of texts from those of their words: ``index`` numbers the words of all texts, which close at ``closes``."""
+    raw = [*known, struct.pack("<H", end)]
+    flat, sizes = np.frombuffer(b"".join(raw), "<u2"), np.fromiter(map(len, raw), np.int64, len(raw)) >> 1
+    index = np.insert(index, closes, len(known))
+    count = sizes.take(index)
+    ends = np.cumsum(count)
+    ids = flat.take(np.repeat((np.cumsum(sizes) - sizes).take(index) - ends + count, count) + np.arange(ends[-1]) if len(ends) else index)
+    cuts = [0, *ends.take(closes + np.arange(len(closes))).tolist()]
+    return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _byte_table(value: Callable[[int], int], dtype: type = np.uint8) -> np.ndarray:
+    return np.array([value(b) for b in range(256)], dtype)
+
+
+def _byte_letters() -> np.ndarray:
+    """The letters that byte-level vocabularies write for bytes."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return _byte_table(lambda b: b if b in own else next(others), np.uint16)
+
+
+class _Pieces:
+    """Ids of texts of ASCII and the Latin letters up to U+00FF, in which characters are lower-cased and told apart one by
+    one: the texts of a frame are cut at once into the pieces of the pattern, pieces are told apart by Arrow, and the
+    library merges each one it has not met. For tokenizers of this normaliser and pattern alone."""
+
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    BLANK, LETTER, DIGIT, MARK = range(4)
+    QUOTE = ord("'")
+    #: Pieces of a call: the library holds some hundred bytes for each token until it returns.
+    AT_ONCE = 16_384
+    # In UTF-8: C3 and a byte after it are a Latin letter, save the signs of times (97) and division (B7).
+    ODD = _byte_table(lambda b: not (32 <= b < 127 or b in b"\t\n\r" or b == 0xC3 or 0x80 <= b < 0xC0 and b not in (0x97, 0xB7)), bool)
+    LOWER = _byte_table(lambda b: b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b).tobytes()
+    KIND = _byte_table(lambda b: 0 if b in b" \t\n\r" else 1 if b >= 0x80 or chr(b).isalpha() else 2 if 48 <= b <= 57 else 3).tobytes()
+    LETTERS = _byte_letters()
+
+    @classmethod
+    def fits(cls, tokenizer: Tokenizer) -> bool:
+        normalizer, splitter = (json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+        steps = splitter.get("pretokenizers") or [{}]
+        return (
+            normalizer.get("normalizers") == cls.NORMALIZERS
+            and steps[0] == {"type": "Split", "pattern": {"Regex": cls.PATTERN}, "behavior": "Removed", "invert": True}
+            and [step["type"] for step in steps[1:]] == ["ByteLevel"]
+            and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+            and bool(getattr(tokenizer.model, "end_of_word_suffix", None)) and tokenizer.model.dropout is None
+            and not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values())
+        )
+
+    def __init__(self, tokenizer: Tokenizer, ends: np.ndarray):
+        self.merger = Tokenizer(tokenizer.model)  # shares the vocabulary
+        self.merger.pre_tokenizer = WhitespaceSplit()
+        self.ends = ends
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The UTF-8 bytes of the texts, and where each text begins and the last one ends."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+    def odd(self, texts: pa.Array, special: list[str]) -> np.ndarray:
+        """Which texts hold other characters or what may be a special token's string."""
+        if not len(texts):
+            return np.zeros(0, bool)
+        data, at = self._bytes(texts)
+        found = np.zeros(len(texts), bool)
+        found[np.searchsorted(at, np.flatnonzero(self.ODD.take(data)), "right") - 1] = True
+        for token in special:
+            found |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        return found
+
+    def _starts(self, data: np.ndarray, kind: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which bytes begin a piece."""
+        first = np.ones(len(kind), bool)
+        np.not_equal(kind[1:], kind[:-1], out=first[1:])
+        first |= kind == self.DIGIT
+        first[at[at < len(first)]] = True
+        first &= kind != self.BLANK
+        quotes = np.flatnonzero(data == self.QUOTE)
+        if len(quotes):
+            # A mark of its own and the letters of a short form are one piece; more letters are the next.
+            padded, new, letter = np.append(data, [0, 0]), np.append(first, [True, True]), np.append(kind, [0, 0]) == self.LETTER
+            quotes = quotes[first[quotes] & new[quotes + 1] & letter[quotes + 1]]
+            quotes = quotes[~np.isin(quotes + 1, at)]
+            one, two = padded[quotes + 1], padded[quotes + 2]
+            short = np.isin(one, list(b"stmd"))
+            long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+            long &= ~new[quotes + 2]
+            for those, size in ((quotes[short], 1), (quotes[long], 2)):
+                first[those + 1] = False
+                after = those + 1 + size
+                first[after[letter[after]]] = True
+        return first
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Pieces not known yet: those used before the last clearance are taken over, the others merged by the library."""
+        known, older = self.known, self.older
+        if older:
+            known.update((w, ids) for w in words if (ids := older.get(w)) is not None)
+            words = [w for w in words if w not in known]
+        letters = self.LETTERS.copy()
+        letters[32] = 32
+        for low in range(0, len(words), self.AT_ONCE):
+            part = words[low : low + self.AT_ONCE]
+            text = letters.take(np.frombuffer(b" ".join(part), np.uint8)).astype("<u2").tobytes().decode("utf-16-le")
+            ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            ends = (np.flatnonzero(self.ends.take(ids)) + 1).tolist()
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                raise ValueError("a piece does not end with an end-of-word token")
+            raw = ids.tobytes()
+            known.update((word, raw[2 * a : 2 * b]) for word, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
+
+    def encode(self, texts: pa.Array, end: int, most: int) -> list[np.ndarray]:
+        data, at = self._bytes(texts)
+        low = data.tobytes().translate(self.LOWER)
+        data, kind = np.frombuffer(low, np.uint8), np.frombuffer(low.translate(self.KIND), np.uint8)
+        first, kept = self._starts(data, kind, at), kind != self.BLANK
+        closes = np.searchsorted(np.flatnonzero(first), at[1:])
+        body, starts = data[kept], np.flatnonzero(first[kept])
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(body)).astype(np.int32)), pa.py_buffer(body)])
+        coded = pieces.dictionary_encode()
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), b" ")[0].as_py()
+        words = joined.split(b" ") if joined else []
+        if len(self.known) > most:
+            self.older, self.known = self.known, {}
+        known = self.known
+        if missing := [w for w in words if w not in known]:
+            self._learn(missing)
+        return _spread([known[w] for w in words], coded.indices.to_numpy(), closes, end)
+
+
 class _Words:
     """Ids of texts by the tokenizer, which drops blanks: what stands between plain spaces or line ends is encoded once
     and kept, letters and the marks after them apart. Neither the tokenizer's normaliser nor its pattern looks across
     these. A text that holds what may be a special token's string is encoded as a whole."""
 
-    MOST = 400_000
+    MOST = 300_000
     MARKS = ".,;:!?"
     #: Letters below this have no decomposed form, so a word of them is one piece of the pattern, which ends with an end-of-word token.
     PLAIN = "\u0100"
@@ -327,6 +548,7 @@ class _Words:
         self.lower = all((self.tokenizer.normalizer.normalize_str(x) if self.tokenizer.normalizer else x) == x.lower() for x in map(chr, range(256)) if x.isalpha())
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.tokenizer, self.ends) if _Pieces.fits(self.tokenizer) else None
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(found.ids, "<u2") for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -371,7 +593,18 @@ class _Words:
         for word, (bare, marks) in new.items():
             known[word] = known[bare] + known[marks]
 
-    def encode_all(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def encode_all(self, texts: pa.Array | list[str], end: int) -> list[np.ndarray]:
+        """The ids of each text (null: empty) and ``end``."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        texts = texts.fill_null("")
+        odd = self.pieces.odd(texts, self.special) if self.pieces else np.ones(len(texts), bool)
+        others = iter(self._encode_others(texts.filter(pa.array(odd)).to_pylist(), end) if odd.any() else [])
+        if odd.all():
+            return list(others)
+        plain = self.pieces.encode(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, end, self.MOST)
+        return [next(others) if o else ids for o, ids in zip(odd.tolist(), plain, strict=True)]
+
+    def _encode_others(self, texts: list[str], end: int) -> list[np.ndarray]:
         odd = {i: x for i, x in enumerate(texts) if any(t in x for t in self.special)}
         plain = pa.array(["" if i in odd else x for i, x in enumerate(texts)] if odd else texts, pa.string())
         parts = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
@@ -382,15 +615,8 @@ class _Words:
         known = self.known
         if missing := [w for w in words if w not in known]:
             self._learn(missing)
-        raw = [known[w] for w in words] + [struct.pack("<H", end)]
-        flat, sizes = np.frombuffer(b"".join(raw), "<u2"), np.fromiter(map(len, raw), np.int64, len(raw)) >> 1
         closes = parts.offsets.to_numpy()[1:].astype(np.int64)
-        index = np.insert(coded.indices.to_numpy(), closes, len(words))
-        count = sizes.take(index)
-        ends = np.cumsum(count)
-        ids = flat.take(np.repeat((np.cumsum(sizes) - sizes).take(index) - ends + count, count) + np.arange(ends[-1]) if len(ends) else index)
-        cuts = [0, *ends.take(closes + np.arange(len(closes))).tolist()]
-        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = _spread([known[w] for w in words], coded.indices.to_numpy(), closes, end)
         for i, ids in zip(odd, self._library(list(odd.values())) if odd else [], strict=True):
             out[i] = np.append(ids, np.uint16(end)).astype("<u2")
         return out
@@ -432,10 +658,11 @@ def write_tokens(docs: DataFrame, path: str, end: int = 2, bucket_bytes: int = B
         part, size = 0, 0
 
         def flush() -> pa.RecordBatch:
+            pa.default_memory_pool().release_unused()  # the coder's tables are numpy's
             return pa.RecordBatch.from_pylist([{"bucket": bucket, "part": part, "n_docs": len(held), "n_ids": size, "data": write_file(held)}], schema=schema)
 
         for frame in without_gc(frames):
-            for doc_id, ids in zip(frame.column(0).to_pylist(), own.encode_all([text or "" for text in column(frame, "text")], end), strict=True):
+            for doc_id, ids in zip(frame.column(0).to_pylist(), own.encode_all(frame.column("text"), end), strict=True):
                 if size >= FILE_IDS:
                     yield flush()
                     held, part, size = [], part + 1, 0
@@ -454,6 +681,7 @@ def read_tokens(files: DataFrame, digest: bool = False) -> DataFrame:
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker_cache()
+        pa.default_memory_pool().release_unused()
         for frame in frames:
             for bucket, part, data in zip(*(frame.column(i).to_pylist() for i in range(3)), strict=True):
                 docs = read_file(data)

@@ -218,3 +218,65 @@ def test_words_between_spaces_are_encoded_as_in_the_text():
         want = [*plain.encode(text, add_special_tokens=False).ids, 2]
         assert own.encode(text, 2).tolist() == want, text
         assert monkey.encode(text, 2).tolist() == want, text
+
+
+def test_pieces_of_latin_texts_are_those_of_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, plain, r = rangecoder._Words(path), Tokenizer.from_file(path), random.Random(7)
+    texts = [f"a{c}b{c}1{c}.{c} {c}" for c in map(chr, range(256))] + ["", "'", "'s", "s'", "'s", "'", "r", "'re", "ll", "'l", "l", "x's'S", "x''s", "'ll'LLe", "Été's"]
+    texts += ["".join(r.choice(["a", "S", "re", "LL", "v", "e", "'", "'", "''", "!", " ", "d", "É", "9", "\n", "m", "<|", "½"]) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    got = own.encode_all(rangecoder.pa.array([None, *texts]).slice(1), 2)  # texts without a blank between them stand side by side
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], text
+    assert own.encode_all([None], 2)[0].tolist() == [2] and own.encode_all([], 2) == []
+
+
+def test_a_piece_is_merged_once(monkeypatch):
+    """Neither the case nor the marks of a word send its letters to the library again."""
+    sent = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.__dict__["inner"] = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    class Maker:
+        from_file = staticmethod(lambda path: Counting(Tokenizer.from_file(path)))
+
+        def __new__(cls, model):
+            return Counting(Tokenizer(model))
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = ["reading", "été", "lanterns", "übermut"]
+    marks = ["", ".", "***", "###", "%%%", "$$$.", "&&&", "1", "22", "!?", "'s", "-"]
+    text = " ".join(form + mark for mark in marks for word in words for form in (word, word.title(), word.upper()))
+    monkeypatch.setattr(rangecoder, "Tokenizer", Maker)
+    ids = rangecoder._Words(path).encode(text, 2)
+    assert ids.tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2]
+    assert sum(map(len, sent)) < 2 * sum(map(len, words + marks))
+
+
+def test_carries_run_through_digits():
+    """A number that grows by a carry changes digits that were given out before."""
+    coder = rangecoder._Encoder(np.array([9, 9]), rangecoder.Shares.even())
+    digits = np.array([[1, 5], [0xFF_FFFF, 6], [0xFF_FFFF, 7], [1 << 24, 8]], np.uint64)
+    coder.put(digits, np.ones((4, 2), bool))
+    assert coder.finish() == [bytes([0, 0, 2] + [0] * 12), bytes([0, 0, 5, 0, 0, 6, 0, 0, 7, 0, 0, 8, 0, 0, 0])]
+
+
+def test_blocks_of_many_lengths_with_rare_ids():
+    r = np.random.default_rng(2)
+    blocks = [np.where(r.random(n) < 0.02, r.integers(0, 65536, n), r.integers(0, 3, n)).astype(np.uint16) for n in [*range(70), 500, 501, 3000]]
+    shares = rangecoder.Shares.of(np.concatenate(blocks))
+    coded = rangecoder.encode_blocks(blocks, shares)
+    assert all((a == b).all() for a, b in zip(blocks, rangecoder.decode_blocks(coded, [len(b) for b in blocks], shares), strict=True))
+    assert coded[72] == rangecoder.encode_blocks([blocks[72]], shares)[0]
