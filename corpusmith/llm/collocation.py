@@ -1,7 +1,8 @@
 """Collocated phrases: merged count-min sketches, one exact count of what survives them, scores and subsumption.
 
 First pass: every task sketches the phrases of one to five words in its texts. A sketch has two rows of cells for each
-length; a cell holds at most the least count that is asked for, one byte. Tasks send their sketches in compressed blocks
+length, as many as the text needs for a cell to hold few rare phrases; a cell holds at most the least count that is asked
+for, one byte. Tasks send their sketches in compressed blocks
 of cells, which are added up block by block, two levels deep. A cell never holds less than any of its phrases' counts, so
 the one bit a cell that is left of it (whether the least count is reached) loses no frequent phrase.
 
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, materialise, release_worker_cache
 
-#: Cells of one row of phrases of three words and more (7 MB of bits in all), and the fewest of any row. The same whatever
-#: the input: what tasks send grows with it in proportion. It holds back most of a few gigabytes' rare phrases; a larger
-#: corpus wants a wider sketch, as far as a task can hold a byte for each of 6.6 times as many cells.
-WIDTH, LEAST_WIDTH = 1 << 23, 1 << 12
+#: Cells of one row of phrases of two words and more: the fewest and the most that a text is given (a task holds a byte, and
+#: the driver and the second pass a bit, for each of 8.5 times as many), and the fewest of any row.
+WIDTH, MOST_WIDTH, LEAST_WIDTH = 1 << 22, 1 << 26, 1 << 12
+#: Bytes of text behind a cell, for each occurrence of the least count: its phrases then add up to less than half of that.
+BYTES_A_CELL = 3.2
 #: Bytes of text whose words a task holds at once, as numbers, hashes and places.
 BATCH = 4 << 20
 #: Cells of a block, and tasks whose blocks are added up first.
@@ -51,7 +53,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 @dataclass(frozen=True)
 class Layout:
-    """Where the cells of a sketch lie: for each length two rows, shorter phrases being fewer."""
+    """Where the cells of a sketch lie: for each length two rows, single words being fewer."""
 
     width: int
     longest: int
@@ -60,7 +62,7 @@ class Layout:
         """(first cell, cells) of the rows of phrases of ``size`` words."""
         at = 0
         for n in range(1, size + 1):
-            cells = max(min(self.width, LEAST_WIDTH), self.width >> max(0, 2 * (3 - n)))
+            cells = max(min(self.width, LEAST_WIDTH), self.width >> 2 if n == 1 else self.width)
             for _ in range(2):
                 if n == size:
                     yield at, cells
@@ -78,6 +80,12 @@ class Layout:
         return out
 
 
+def sketch_width(size: int, least: int) -> int:
+    """Cells of a row for ``size`` bytes of text. A fixed width would fill up: from some size on every cell reaches the
+    least count, and every phrase of the corpus goes to the exact count."""
+    return min(MOST_WIDTH, max(WIDTH, 1 << max(0, int(size / (BYTES_A_CELL * least)) - 1).bit_length()))
+
+
 @dataclass
 class Words:
     """The words of a batch of texts: numbers into ``names``, a hash that tells languages apart, piece and language."""
@@ -132,23 +140,25 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _sketches(docs: DataFrame, layout: Layout, least: int) -> DataFrame:
     """block, task, cells: the blocks of each task's sketch that are not empty."""
+    kind = np.min_scalar_type(2 * least)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker_cache()
-        rows = {}
+        flat = np.zeros(0, kind)
         for frame in frames:
+            if not len(flat):
+                flat = np.zeros(layout.cells, kind)
             words = split_words(frame.column(0), frame.column(1))
             h = words.hash
             for size in range(1, layout.longest + 1):
                 if size > 1:
                     h = words.longer(h, size)
-                for (at, cells), places in zip(layout.rows(size), layout.places(size, h[words.whole(size)]), strict=True):
-                    was = rows.setdefault(at, np.zeros(cells, np.min_scalar_type(2 * least)))
-                    np.minimum(was + np.minimum(np.bincount(places - at, minlength=cells), least).astype(was.dtype), least, out=was)
+                for places in layout.places(size, h[words.whole(size)]):
+                    places = np.sort(places.astype(np.int32))  # a batch has far fewer phrases than a row has cells
+                    start = np.flatnonzero(np.r_[True, places[1:] != places[:-1]][: len(places)])
+                    n, cell = np.minimum(np.diff(np.r_[start, len(places)]), least).astype(kind), places[start]
+                    flat[cell] = np.minimum(flat[cell] + n, least)
         task = TaskContext.get().partitionId()
-        flat = np.zeros(0, np.uint8)
-        if rows:
-            flat = np.concatenate([rows[at] for at in sorted(rows)])
         for block in range(0, len(flat), BLOCK):
             if (part := flat[block : block + BLOCK]).any():
                 yield pa.RecordBatch.from_pylist([{"block": block // BLOCK, "task": task, "cells": pa.compress(part.tobytes(), "zstd", asbytes=True)}], schema=_BLOCKS)
@@ -188,7 +198,7 @@ def _added(blocks: DataFrame, group: Column, cells: int, least: int, bits: bool)
 
 
 def frequent_cells(docs: DataFrame, layout: Layout, least: int) -> np.ndarray:
-    """The bits of the whole table's sketch, of a size that only the layout sets."""
+    """The bits of the whole table's sketch."""
     some = _added(_sketches(docs, layout, least), F.expr(f"task div {FAN_IN}"), layout.cells, least, bits=False)
     found = _added(some, F.lit(0).cast("long"), layout.cells, least, bits=True).toArrow()
     out = np.zeros(-(-layout.cells // BLOCK) * BLOCK // 8, np.uint8)
@@ -248,11 +258,13 @@ def _merged(packed: DataFrame, least: int) -> DataFrame:
     return packed.repartition("range").sortWithinPartitions("range").mapInArrow(run, "lang string, size long, phrase string, a long")
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, width: int = WIDTH) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, width: int | None = None) -> DataFrame:
     """lang, size, phrase, a: all phrases of 1 to ``longest`` words that occur ``least`` times or more in a language, with
-    their exact counts; and a row of size 0 per language with the number of its words. ``width`` cells a row of the sketch."""
-    layout = Layout(1 << max(0, int(width) - 1).bit_length(), longest)
-    ranges = max(64, (docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // RANGE_BYTES)
+    their exact counts; and a row of size 0 per language with the number of its words. ``width`` cells a row of the sketch;
+    None: as the text needs."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    layout = Layout(1 << max(0, int(width or sketch_width(size, least)) - 1).bit_length(), longest)
+    ranges = max(64, size // RANGE_BYTES)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, layout, least))
 
     def counted(frame: pa.RecordBatch, bits: np.ndarray) -> Iterator[pa.Table]:
@@ -305,7 +317,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, width: in
     return _merged(_texts(docs).mapInArrow(run, "range long, counts binary"), least)
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, share: int = 100, width: int = WIDTH) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, share: int = 100, width: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of 2 to ``longest`` words.
 
     ``docs`` has text (null: empty) and lang (null: `und`). A phrase's count is a; cutting it after its first k words

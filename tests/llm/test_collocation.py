@@ -97,3 +97,24 @@ def test_query_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     assert got(op13_collocations(spark, sf)) == sorted(con.execute(ORACLES["op13_collocations"]).fetchall())
+
+
+def test_sketch_grows_with_the_text(spark, monkeypatch):
+    """As the text grows sixteenfold, the sketch lets no larger share of the rare phrases through to the exact count."""
+    import numpy as np
+
+    monkeypatch.setattr(collocation, "WIDTH", 1 << 10)
+    r = random.Random(5)
+
+    def set_share(n):
+        docs = spark.createDataFrame([(i, " ".join(r.choice("abcdefghij") + str(r.randrange(4000)) for _ in range(500)), "en", "s", None) for i in range(n)], DOCS)
+        seen = []
+        monkeypatch.setattr(collocation, "frequent_cells", lambda d, layout, least, real=real: seen.append((layout, real(d, layout, least))) or seen[0][1])
+        assert collocation.phrase_counts(docs, least=10).filter("size > 1").count() == 0
+        layout, bits = seen[0]
+        (at, cells), *_ = layout.rows(3)
+        return np.unpackbits(bits, bitorder="little")[at : at + cells].mean()
+
+    real = collocation.frequent_cells
+    assert set_share(10) < 0.05 and set_share(160) < 0.05
+    assert [collocation.sketch_width(x << 30, 100).bit_length() - 1 for x in (0, 1, 10, 1000)] == [10, 22, 25, 26]
