@@ -77,6 +77,20 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.int64)
 
 
+def _unpacked_all(data: pa.Array, n: np.ndarray) -> np.ndarray:
+    """``_unpacked`` of every value, of ``n`` numbers each, one after another."""
+    ends = np.frombuffer(data.buffers()[1], np.int32 if pa.types.is_binary(data.type) else np.int64)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    held = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+    width = np.diff(ends) // np.maximum(n, 1)
+    wide = np.repeat(width, n)
+    at = np.repeat(ends[:-1] - (np.cumsum(n * width) - n * width), n) + np.cumsum(wide) - wide
+    out = held[at].astype(np.int64)
+    for k in range(1, int(width.max(initial=0))):
+        own = np.flatnonzero(wide > k)
+        out[own] |= held[at[own] + k].astype(np.int64) << 8 * k
+    return out
+
+
 def impact(tf: np.ndarray, dl: np.ndarray, average: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
 
@@ -169,29 +183,37 @@ class _Part:
 
     def __init__(self, table: pd.DataFrame, average: float):
         self.average, self.opened, self.scored = average, 0, 0
-        groups = {term: group.sort_values("block") for term, group in table.groupby("term", sort=False)}
-        own = groups.pop(LENGTHS)
-        self.lengths = _unpacked(own["tfs"].iloc[0], int(own["n"].iloc[0])).astype(np.float64)
+        # Columns are taken apart once for all terms, which are thousands with few blocks each.
+        code, names = pd.factorize(table["term"])
+        order = np.lexsort((table["block"].to_numpy(), code))
+        firsts, lasts, ns, facets = (table[c].to_numpy().astype(np.int64)[order] for c in ("first", "last", "n", "facets"))
+        ords, tfs, runs, tops = ([values[i] for i in order.tolist()] for values in (table[c].tolist() for c in ("ords", "tfs", "runs", "tops")))
+        at = np.searchsorted(code[order], np.arange(len(names) + 1))
+        place = {term: slice(a, b) for term, a, b in zip(names.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)}
+        own = place.pop(LENGTHS).start
+        self.lengths = _unpacked(tfs[own], int(ns[own])).astype(np.float64)
         self.run = np.arange(len(self.lengths)) // RUN
         self.short = np.minimum.reduceat(self.lengths, np.arange(0, len(self.lengths), RUN))
         self.alive = np.ones(len(self.lengths), bool)
-        for ords in groups.pop(DEAD)["ords"] if DEAD in groups else ():
-            self.alive[np.frombuffer(ords, "<u4")] = False
+        for dead in ords[place.pop(DEAD)] if DEAD in place else ():
+            self.alive[np.frombuffer(dead, "<u4")] = False
         self.lists: dict[str, _List] = {}
         self.allowed: dict[str, np.ndarray] = {}
         self.kept: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        for term, group in groups.items():
+        # Runs are stored as steps from a block's first, so the last of them tells in how many bytes each is.
+        steps = lasts // RUN - firsts // RUN
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // np.where(steps < 1 << 8, 1, np.where(steps < 1 << 16, 2, 4))
+        begin = np.r_[0, np.cumsum(sizes)]
+        run = _unpacked_all(pa.array(runs, pa.large_binary()), sizes) + np.repeat(firsts // RUN, sizes)
+        value = impact(_unpacked_all(pa.array(tops, pa.large_binary()), sizes).astype(np.float64), self.short[run], average)
+        for term, rows in place.items():
             if term.startswith(FACET):
-                self.allowed[term[len(FACET) :]] = _unpacked(group["ords"].iloc[0], int(group["n"].iloc[0])) + int(group["first"].iloc[0])
+                self.allowed[term[len(FACET) :]] = _unpacked(ords[rows.start], int(ns[rows.start])) + int(firsts[rows.start])
                 continue
-            first, last, n, facets = (group[c].to_numpy().astype(np.int64) for c in ("first", "last", "n", "facets"))
-            # Runs are stored as steps from a block's first, so the last of them tells in how many bytes each is.
-            sizes = [len(x) // (1 if (b // RUN - a // RUN) < 1 << 8 else 2 if (b // RUN - a // RUN) < 1 << 16 else 4) for x, a, b in zip(group["runs"], first, last, strict=True)]
-            run = np.concatenate([_unpacked(x, k) + a // RUN for x, k, a in zip(group["runs"], sizes, first, strict=True)])
-            top = np.concatenate([_unpacked(x, k) for x, k in zip(group["tops"], sizes, strict=True)]).astype(np.float64)
+            inside = slice(begin[rows.start], begin[rows.stop])
             high = np.zeros(len(self.short))
-            np.maximum.at(high, run, impact(top, self.short[run], average))
-            self.lists[term] = _List(first, last, n, facets, group["ords"].tolist(), group["tfs"].tolist(), run, np.repeat(np.arange(len(n)), sizes), high)
+            np.maximum.at(high, run[inside], value[inside])
+            self.lists[term] = _List(firsts[rows], lasts[rows], ns[rows], facets[rows], ords[rows], tfs[rows], run[inside], np.repeat(np.arange(rows.stop - rows.start), sizes[rows]), high)
 
     def open(self, term: str, block: int) -> tuple[np.ndarray, np.ndarray]:
         """Chunk numbers and impacts of a block."""
@@ -208,11 +230,15 @@ class _Part:
 
     def whole(self, chunks: np.ndarray, score: np.ndarray, lists: list[tuple[str, float, _List]]) -> np.ndarray:
         """The scores of a few chunks with what the lists add to them."""
-        out = score[chunks]
+        out, near = score[chunks], np.zeros(len(self.short), bool)
+        near[self.run[chunks]] = True
         for term, weight, a in lists:
-            at = np.searchsorted(a.last, chunks)
-            at = np.unique(at[at < len(a.last)])
-            ords, value = self.postings(term, at[np.isin(at, a.block[np.isin(a.run, self.run[chunks])])])
+            if not (touched := near[a.run]).any():
+                continue
+            reached, runs = np.zeros(len(a.last) + 1, bool), np.zeros(len(a.last) + 1, bool)
+            reached[np.searchsorted(a.last, chunks)] = True
+            runs[a.block[touched]] = True
+            ords, value = self.postings(term, np.flatnonzero((reached & runs)[:-1]))
             if len(ords):
                 place = np.minimum(np.searchsorted(ords, chunks), len(ords) - 1)
                 hit = ords[place] == chunks

@@ -19,7 +19,6 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,11 +181,13 @@ class SegmentedIndex:
         games = F.coalesce(F.col("games"), F.array().cast("array<string>")) if "games" in chunks.columns else F.array().cast("array<string>")
         found = T.tokens(F.coalesce(F.col("text"), F.lit("")))
         rows = chunks.select(F.col("chunk_id").cast(self.key), (lexical.stem_all(found) if self.stemmed else found).alias("terms"), games.alias("games"))
-        rows = materialise(rows.filter("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"]), "terms")
+        rows = rows.filter("chunk_id IS NOT NULL")
+        if rows.groupBy("chunk_id").count().filter("count > 1").limit(1).count():  # else all terms would be sorted for nothing
+            rows = rows.dropDuplicates(["chunk_id"])
+        rows = materialise(rows, "terms")
 
         def work(version: int, segments: list[Segment]) -> int:
             new = rows.join(self.chunks(segments).select("chunk_id"), "chunk_id", "left_anti") if segments else rows
-            new = materialise(new, "new") if segments else new
             n, tokens = new.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
             if n:
                 self._commit(version, [*segments, self._write(new, self.parts_for(tokens))])
@@ -220,19 +221,23 @@ class SegmentedIndex:
     def _lost(self, segment: str, gone: DataFrame) -> DataFrame:
         """term, df: in how many of the chunks that go a term stands."""
 
-        def run(key: tuple, blocks: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-            ords = np.unique(gone["ord"].to_numpy()).astype(np.int64)
-            names, n = [], []
-            for term, first, data, size in zip(blocks["term"], blocks["first"], blocks["ords"], blocks["n"], strict=True):
-                hit = np.isin(blockmax._unpacked(data, int(size)) + first, ords, assume_unique=True).sum()
-                if hit:
-                    names.append(term)
-                    n.append(int(hit))
-            return pd.DataFrame({"term": pd.Series(names, dtype=object), "df": pd.Series(n, dtype="int64")})
+        def run(blocks: pa.Table, gone: pa.Table) -> pa.Table:
+            terms, lost = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
+            ords = gone["ord"].to_numpy()
+            for frame in blocks.to_batches(max_chunksize=65_536) if len(ords) else ():  # most blocks hold one posting: no loop over them
+                n = frame.column("n").to_numpy().astype(np.int64)
+                of = blockmax._unpacked_all(frame.column("ords"), n) + np.repeat(frame.column("first").to_numpy(), n)
+                dead = np.zeros(max(int(of.max(initial=0)), int(ords.max())) + 1, bool)
+                dead[ords] = True
+                hit = np.add.reduceat(dead[of], np.cumsum(n) - n, dtype=np.int64)
+                at = np.flatnonzero(hit)
+                terms.append(frame.column("term").take(pa.array(at)))
+                lost.append(hit[at])
+            return pa.table({"term": pa.chunked_array(terms, pa.string()), "df": np.concatenate(lost)})
 
         touched = self._blocks([segment]).filter(~F.col("term").startswith(blockmax.MARK)).select("part", "term", "first", "ords", "n")
         touched = touched.join(F.broadcast(gone.select("part").distinct()), "part", "left_semi")
-        lost = touched.groupBy("part").cogroup(gone.select("part", "ord").groupBy("part")).applyInPandas(run, "term string, df long")
+        lost = touched.groupBy("part").cogroup(gone.select("part", "ord").groupBy("part")).applyInArrow(run, "term string, df long")
         return lost.groupBy("term").agg(F.sum("df").alias("df"))
 
     def merge(self) -> int:
@@ -262,7 +267,7 @@ class SegmentedIndex:
             for frame in (whole.slice(at, OPENED) for whole in frames for at in range(0, len(whole), OPENED)):
                 n, first = frame.column("n").to_numpy(), frame.column("first").to_numpy()
                 of = pa.array(np.repeat(np.arange(len(n)), n))
-                data = {c: np.concatenate([blockmax._unpacked(x, k) for x, k in zip(frame.column(c).to_pylist(), n.tolist(), strict=True)]) for c in ("ords", "tfs")}
+                data = {c: blockmax._unpacked_all(frame.column(c), n.astype(np.int64)) for c in ("ords", "tfs")}
                 ords = (data["ords"] + np.repeat(first, n)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(frame.column(c).take(of) for c in ("segment", "part", "term")), pa.array(ords), pa.array(data["tfs"].astype(np.int32))], schema=schema)
 

@@ -4,6 +4,7 @@ writers that die or come second."""
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpusmith.operators import blockmax, lexical
 from corpusmith.scratch import new_folder
@@ -179,3 +180,25 @@ def test_blocks_are_made_once_and_pack_as_one_by_one(spark, tmp_path):
     blocks = spark.createDataFrame(table.slice(0, 500).to_pandas(), blockmax.BLOCKS_DDL).mapInPandas(again, blockmax.BLOCKS_DDL)
     index._write_blocks("s1", blocks, 100)
     assert made.value == 500 and index._blocks(["s1"]).count() == 500
+
+
+def test_no_loop_over_blocks(monkeypatch):
+    """Blocks are unpacked together, with the numbers of one after another, whatever their widths."""
+    r = np.random.default_rng(3)
+    values = [r.integers(0, top, n) for top, n in ((200, 7), (60_000, 128), (1 << 20, 1), (1, 5), (256, 64), (3, 1), (65_536, 2))]
+    begin = np.cumsum([0, *map(len, values)])[:-1]
+    packed = blockmax._packed_all(np.concatenate(values), begin)
+    assert packed.to_pylist() == [blockmax._packed(v) for v in values]
+    for some, own in ((packed, values), (packed.slice(1, 4), values[1:5]), (packed.cast(pa.large_binary()), values), (packed.slice(0, 0), [])):
+        n = np.array([len(v) for v in own], np.int64)
+        assert blockmax._unpacked_all(some, n).tolist() == [int(y) for v in own for y in v]
+    words = [f"w{i}" for i in range(300)]
+    rows = [{"part": 0, "ord": i, "terms": r.choice(words, 40).tolist(), "games": ["x"]} for i in range(500)]
+    schema = pa.schema([("part", pa.int32()), ("ord", pa.int32()), ("terms", pa.list_(pa.string())), ("games", pa.list_(pa.string()))])
+    table, calls = blockmax.encode(pa.Table.from_pylist(rows, schema)).to_pandas(), []
+    real = blockmax._unpacked
+    monkeypatch.setattr(blockmax, "_unpacked", lambda *a: calls.append(a) or real(*a))
+    part = blockmax._Part(table, 40.0)
+    assert len(part.lists) == 300 and len(calls) <= 2  # lengths and one facet
+    lengths = {t: sum(int(x) for x in a.n) for t, a in part.lists.items()}
+    assert lengths == {w: sum(w in row["terms"] for row in rows) for w in words}
