@@ -129,3 +129,9 @@ def test_decisions(spark):
     assert again(no, no, "fast") == (True, True) and again(no, yes, "fast") == (True, False)
     assert again(no, yes, "scholar") == (False, True) and again(yes, no, "fast") == (False, False)
     assert each(spark, ["https://api.h.ai/x", "http://h.ai", "https://h.ai.evil.com", None], lambda u: D.allowed_url(u, "h.ai")) == [True, False, False, False]
+
+
+def test_strip_ends_at_the_end_of_the_text(spark):
+    """Java's $ also stands before a last line mark such as U+0085, SQL's does not: blanks before that are inside the text."""
+    texts = ["a \u0085", "\t a\u2028", " \x0b\x0c\r\n", "\u00a0 a \n", " a \u2029 ", "", None]
+    assert each(spark, texts, T.strip) == [t if t is None else t.strip(" \t\n\x0b\x0c\r") for t in texts]
